@@ -1 +1 @@
-
+"""Operators of the recommendation engine."""

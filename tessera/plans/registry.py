@@ -1,15 +1,442 @@
-"""All registered queries of the library, by name."""
+"""All registered queries of the library, by name, with the SQL that they should agree with."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
+from ..functions import text as fx
+from ..operators import collaborative, content, evaluation, hybrid, interactions, library, matching, ranking
+from ..sources import tables
+from .domain import BRAND_LIKES, CATALOG, LIKES, RATINGS, brand_likes, catalog, likes, ratings, table
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def keep(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return keep
+
+
+def r6(df: DataFrame, *columns: str) -> DataFrame:
+    return df.withColumns({c: F.round(c, 6) for c in columns})
+
+
+SPLIT = f"""likes as ({LIKES}), n as (select user_id, count(*) as n from likes group by user_id),
+    able as (select user_id, row_number() over (order by md5('0|' || user_id), user_id) as r, count(*) over () as c from n where n >= 5),
+    split as (select n.user_id, case when r <= least(floor(c * 0.15), 5000) then 'val' when r <= least(floor(c * 0.15), 5000) + least(floor(c * 0.15), 20000) then 'test' else 'train' end as split
+              from n left join able using (user_id)),
+    hid as (select l.user_id, l.item_id, row_number() over (partition by l.user_id order by md5('0|' || l.user_id || '|' || l.item_id), l.item_id)
+            <= greatest(1, cast(round_even(count(*) over (partition by l.user_id) * 0.2, 0) as integer)) as hidden from likes l join split s using (user_id) where split = 'test'),
+    fold as (select user_id, item_id from hid where not hidden), held as (select user_id, item_id from hid where hidden),
+    pop as (select item_id, count(*) as n from likes join split using (user_id) where split = 'train' group by item_id)"""
+
+
+def eval_sets(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Likes of training users, and fold-in and hidden likes of test users."""
+    mine = likes(spark, sf_dir)
+    split = evaluation.split_users(mine)
+    both = mine.join(split, "user_id")
+    cut = evaluation.hide(both.where("split = 'test'").select("user_id", "item_id"))
+    return both.where("split = 'train'").select("user_id", "item_id"), cut.where("not hidden").drop("hidden"), cut.where("hidden").drop("hidden")
+
+
+@query(f"""with {SPLIT}, free as (select h.user_id, p.item_id, row_number() over (partition by h.user_id order by p.n desc, p.item_id) as rank
+    from (select distinct user_id from held) h cross join pop p where not exists (select 1 from fold f where f.user_id = h.user_id and f.item_id = p.item_id)),
+    top as (select * from free where rank <= 10), hit as (select t.*, case when h.item_id is null then 0.0::double else 1.0 end as hit from top t left join held h using (user_id, item_id)),
+    m as (select user_id, least(count(*), 10) as m from held group by user_id),
+    u as (select m.user_id, m, sum(hit) / m as recall, sum(hit / log2(rank + 1)) / list_sum(list_transform(range(1, m + 1), lambda i: 1 / log2(i + 1))) as ndcg from m join hit using (user_id) group by m.user_id, m)
+    select round(avg(recall), 6) as recall, round(avg(ndcg), 6) as ndcg, round((select count(distinct item_id) from top) / (select count(*) from part)::double, 6) as coverage from u""")
+def popularity_ndcg(spark, sf_dir):
+    train, fold, held = eval_sets(spark, sf_dir)
+    counts = train.groupBy("item_id").agg(F.count("*").alias("n"))
+    lists = evaluation.popular_lists(fold, counts, held.select("user_id").distinct(), 10)
+    return r6(evaluation.metrics(lists, held, table(spark, sf_dir, "part").count()), "recall", "ndcg", "coverage")
+
+
+@query("""select doc_id, trim(lang) as title, trim(lang || ' ' || coalesce(text, '')) as text, source as genres, regexp_replace(lower(source), '[^a-z0-9]', '', 'g') as key from documents""")
+def catalog_normalize(spark, sf_dir):
+    raw = table(spark, sf_dir, "documents").select("doc_id", F.col("lang").alias("Movie Title"), F.col("text").alias("Plot"), F.col("source").alias("Genre"))
+    return tables.normalize_catalog(raw).select("doc_id", "title", "text", "genres", fx.normalize_key(F.col("genres")).alias("key"))
+
+
+@query(f"""with c as ({CATALOG}) select item_id, runtime, case when runtime < 90 then 'short' when runtime <= 120 then 'medium' when runtime <= 150 then 'long' when runtime > 150 then 'epic' end as bucket from c""")
+def runtime_bucket(spark, sf_dir):
+    return catalog(spark, sf_dir).select("item_id", "runtime", fx.runtime_bucket(F.col("runtime")).alias("bucket"))
+
+
+@query(r"""select event_id, try_cast(regexp_replace(coalesce(props, ''), '[^0-9.\-]', '', 'g') as double) as number, try_cast(nullif(regexp_extract(coalesce(props, ''), '(\d+)', 1), '') as integer) as first from events""")
+def numeric_clean(spark, sf_dir):
+    props = F.coalesce("props", F.lit(""))
+    return table(spark, sf_dir, "events").select("event_id", fx.to_numeric(props).alias("number"), fx.first_integer(props).alias("first"))
+
+
+@query(rf"""with c as ({CATALOG}) select item_id, try_cast(nullif(regexp_extract(ml_title, '((?:19|20)\d{{2}})', 1), '') as integer) as year from c""")
+def year_extract(spark, sf_dir):
+    return catalog(spark, sf_dir).select("item_id", fx.extract_year(F.col("ml_title")).alias("year"))
+
+
+@query("""with t as (select p_partkey as item_id, unnest(list_filter(list_transform(regexp_split_to_array(p_type || ',' || p_name || '|' || p_brand, '[|,]'), lambda x: lower(trim(x))), lambda x: x <> '')) as token from part)
+    select token, count(*) as n from t group by token""")
+def name_tokens(spark, sf_dir):
+    names = F.concat("p_type", F.lit(","), "p_name", F.lit("|"), "p_brand")
+    return table(spark, sf_dir, "part").select(F.explode(fx.name_tokens(names)).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
+
+
+@query("select distinct unnest(list_filter(list_transform(string_split(p_type || ', ' || p_brand, ','), lambda x: trim(x)), lambda x: x <> '')) as option from part")
+def genre_options(spark, sf_dir):
+    return library.options(table(spark, sf_dir, "part").select(F.concat("p_type", F.lit(", "), "p_brand").alias("genres")), "genres")
+
+
+@query(f"""with c as ({CATALOG}) select item_id, title, rating from c where contains(lower(title), 'e') and coalesce(rating, 0) >= 4.5 and runtime between 90 and 120 and contains(lower(director), 'brand#1')""")
+def filter_library(spark, sf_dir):
+    f = library.Filters(query=" E ", min_rating=4.5, runtime="medium", director="Brand#1")
+    return library.filter_library(catalog(spark, sf_dir), f).select("item_id", "title", "rating")
+
+
+@query(f"""with c as ({CATALOG}) select item_id, votes, row_number() over (order by coalesce(votes, 0) desc, item_id) as rank from c order by rank limit 100""")
+def sort_library(spark, sf_dir):
+    top = library.sort_library(catalog(spark, sf_dir), "votes").limit(100)
+    order = Window.orderBy(F.desc(F.coalesce("votes", F.lit(0.0))), "item_id")
+    return top.select("item_id", "votes", F.row_number().over(order).cast("long").alias("rank"))
+
+
+@query(f"""with c as ({CATALOG}), w as (select cast(i - 1 as integer) as pick, ts[i] as title from (select (select list(distinct title order by title) from c)[1:5] as ts), range(1, 6) r(i))
+    select pick, title, min(item_id) as item_id from w join c using (title) group by pick, title""")
+def quick_picks(spark, sf_dir):
+    movies = catalog(spark, sf_dir)
+    titles = [r["title"] for r in movies.select("title").distinct().orderBy("title").limit(5).collect()]
+    return library.quick_picks(movies, titles)
+
+
+@query(f"""with c as ({CATALOG}) select item_id, case when (select max(votes) from c) is not null then coalesce(votes, 0) else coalesce(rating, 0) end as score from c order by score desc, item_id limit 25""")
+def fallback_popular(spark, sf_dir):
+    return content.popularity(catalog(spark, sf_dir)).orderBy(F.desc("score"), "item_id").limit(25)
+
+
+@query("""with t as (select doc_id, split_part(coalesce(text, ''), '.', 1) as title from documents)
+    select doc_id, regexp_replace(regexp_replace(trim(replace(lower(strip_accents(title)), '&', ' and ')), '^(the|an|a) ', ''), '[^a-z0-9]', '', 'g') as key from t""")
+def title_keys(spark, sf_dir):
+    title = F.split_part(F.coalesce("text", F.lit("")), F.lit("."), F.lit(1))
+    return table(spark, sf_dir, "documents").select("doc_id", fx.title_key(title).alias("key"))
+
+
+VARIANT = r"regexp_replace(trim(regexp_replace(ml_title, '\s*\(\d{4}\)\s*$', '')), '^(.*), (The|A|An)$', '\2 \1')"
+KEY = "regexp_replace(regexp_replace(lower({}), '^(the|an|a) ', ''), '[^a-z0-9]', '', 'g')"
+
+
+def movie_keys(spark, sf_dir) -> DataFrame:
+    """Keys of all spellings of the derived titles."""
+    rows = catalog(spark, sf_dir).select(F.col("item_id").alias("movie_id"), F.explode(fx.title_variants(F.col("ml_title"))).alias("v"))
+    return rows.select(fx.title_key(F.col("v"), fold=False).alias("key"), "movie_id", F.lit(True).alias("fuzzy")).distinct()
+
+
+def supplier_items(spark, sf_dir) -> DataFrame:
+    """Titles to match: words of the first parts' names, some with more before or after."""
+    p = catalog(spark, sf_dir).where("item_id < 300").select("item_id", F.element_at(F.split("title", " "), 2).alias("w"), F.element_at(F.split("title", " "), 1).alias("v"))
+    text = F.when(F.col("item_id") % 3 == 0, F.col("w")).when(F.col("item_id") % 3 == 1, F.concat("w", "v")).otherwise(F.concat("v", "w"))
+    return p.select("item_id", fx.title_key(text, fold=False).alias("key"))
+
+
+ITEMS = "select p_partkey as item_id, lower(case p_partkey % 3 when 0 then split_part(p_name, ' ', 2) when 1 then split_part(p_name, ' ', 2) || split_part(p_name, ' ', 1) else split_part(p_name, ' ', 1) || split_part(p_name, ' ', 2) end) as key from part where p_partkey < 300"
+TIERS = f"""keys as (select distinct {KEY.format(VARIANT)} as key, item_id as movie_id from ({CATALOG})), items as ({ITEMS}),
+    t as (select item_id, movie_id, 0 as tier from items join keys using (key) union
+          select i.item_id, k.movie_id, case when starts_with(i.key, k.key) or starts_with(k.key, i.key) then 1 else 2 end from items i join keys k on i.key <> k.key and length(i.key) >= 5 and length(k.key) >= 5
+          and (starts_with(i.key, k.key) or starts_with(k.key, i.key) or ends_with(i.key, k.key) or ends_with(k.key, i.key))
+          and least(length(i.key), length(k.key)) >= 0.3 * greatest(length(i.key), length(k.key)) and regexp_replace(i.key, '[^0-9]', '', 'g') = regexp_replace(k.key, '[^0-9]', '', 'g')),
+    tiers as (select * from t where tier = (select min(tier) from t x where x.item_id = t.item_id))"""
+
+
+@query(f"with {TIERS} select item_id, movie_id, tier from tiers")
+def match_tiers(spark, sf_dir):
+    return matching.tiers(supplier_items(spark, sf_dir), movie_keys(spark, sf_dir))
+
+
+RATED = "counts as (select l_partkey as movie_id, count(*) as n from lineitem group by l_partkey)"
+
+
+@query(f"""with {TIERS}, {RATED}, b as (select t.*, coalesce(n, 0) as n, row_number() over (partition by item_id order by coalesce(n, 0) desc, movie_id desc) as r from tiers t left join counts using (movie_id))
+    select item_id, movie_id, tier, n from b where r = 1 and (tier = 0 or n > 0)""")
+def match_resolve(spark, sf_dir):
+    counts = table(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").alias("movie_id")).agg(F.count("*").alias("n"))
+    return matching.best(match_tiers(spark, sf_dir), counts).select("item_id", "movie_id", "tier", "n")
+
+
+@query()
+def match_greedy(spark, sf_dir):
+    counts = table(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").alias("movie_id")).agg(F.count("*").alias("n"))
+    return matching.claimed(match_tiers(spark, sf_dir), counts)
+
+
+@query(LIKES)
+def interactions_likes(spark, sf_dir):
+    return likes(spark, sf_dir)
+
+
+@query(f"""with r as ({RATINGS}), s as (select item_id, avg(rating) as ml_rating, avg(case when rating >= 4 then 1.0::double else 0 end) as like_rate from r where user_id % 2 = 0 group by item_id)
+    select p_partkey as item_id, round(ml_rating, 6) as ml_rating, round(like_rate, 6) as like_rate from part left join s on item_id = p_partkey""")
+def item_stats(spark, sf_dir):
+    rows = ratings(spark, sf_dir)
+    users = rows.where("user_id % 2 = 0").select("user_id")
+    return r6(interactions.item_stats(rows, users, catalog(spark, sf_dir)), "ml_rating", "like_rate")
+
+
+@query(f"with l as ({BRAND_LIKES}) select a.item_id as i, b.item_id as j, cast(count(*) as double) as w from l a join l b using (user_id) group by 1, 2")
+def gram(spark, sf_dir):
+    return interactions.gram(brand_likes(spark, sf_dir))
+
+
+@query(f"""with l as ({LIKES}), g as (select a.item_id as i, b.item_id as j, count(*) as w from l a join l b using (user_id) group by 1, 2), d as (select i as k, greatest(w, 1) as c from g where i = j)
+    select i, j, round(w / sqrt(a.c) / sqrt(b.c), 6) as w from g join d a on a.k = i join d b on b.k = j where i <> j and g.w >= 2""")
+def cooc_cosine(spark, sf_dir):
+    g = interactions.gram(likes(spark, sf_dir))
+    strong = g.where("w >= 2 or i = j")
+    return r6(interactions.cooccurrence(strong), "w")
+
+
+@query(f"with r as ({RATINGS}) select item_id, count(*) as n from r where item_id in (select p_partkey from part where p_brand = 'Brand#11') group by item_id")
+def candidate_semi_filter(spark, sf_dir):
+    wanted = table(spark, sf_dir, "part").where("p_brand = 'Brand#11'").select(F.col("p_partkey").alias("item_id"))
+    return ratings(spark, sf_dir).join(wanted, "item_id", "left_semi").groupBy("item_id").agg(F.count("*").alias("n"))
+
+
+@query("select user_id, event_type, count(*) as n, round(sum(value), 6) as total from events group by user_id, event_type")
+def incremental_count(spark, sf_dir):
+    return r6(table(spark, sf_dir, "events").groupBy("user_id", "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total")), "total")
+
+
+TFIDF = r"""w as (select doc_id as item_id, unnest(regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}_]{2,}')) as term from documents), tf as (select item_id, term, count(*) as tf from w group by 1, 2),
+    df as (select term, count(*) as df, sum(tf) as total from tf group by term order by total desc, term limit 20000),
+    x as (select item_id, term, tf * (ln((1 + (select count(*) from documents)) / (1 + df)::double) + 1) as w from tf join df using (term)), tfidf as (select item_id, term, w / sqrt(sum(w * w) over (partition by item_id)) as w from x)"""
+
+
+def plots(spark, sf_dir) -> DataFrame:
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("item_id"), "text")
+
+
+@query(f"with {TFIDF}, r as (select *, row_number() over (partition by item_id order by round(w, 9) desc, term) as r from tfidf) select item_id, term, round(w, 6) as w, r as rank from r where r <= 3")
+def tfidf_topterms(spark, sf_dir):
+    w = content.tfidf(plots(spark, sf_dir), "text").withColumn("s", F.round("w", 9))
+    top = interactions.top_k(w, 3, by="item_id", score="s", item="term")
+    return r6(top.select("item_id", "term", "w", F.col("rank").cast("long").alias("rank")), "w")
+
+
+BLOCKS = """t as (select p_partkey as item_id, unnest(regexp_extract_all(lower(p_type), '[^,|\\s]+')) as term from part), c as (select item_id, term, cast(count(*) as double) as n from t group by 1, 2),
+    genre as (select item_id, term, n / sqrt(sum(n * n) over (partition by item_id)) as w, 'genre' as block from c), brand as (select p_partkey as item_id, lower(p_brand) as term, 1.0::double as w, 'director' as block from part)"""
+SAMPLE = "item_id < 400"
+
+
+def part_features(spark, sf_dir) -> DataFrame:
+    items = catalog(spark, sf_dir)
+    blocks = [content.token_block(items, fx.genre_tokens(F.col("genres")), "genre"), content.token_block(items, fx.name_tokens(F.col("director")), "director")]
+    return content.feature_table(blocks, content.ContentWeights())
+
+
+@query(f"with {BLOCKS}, f as (select * from genre union all select * from brand), x as (select item_id, block, term, w * case block when 'genre' then 6.0 else 3.0 end as w from f) select item_id, block, term, round(w / sqrt(sum(w * w) over (partition by item_id)), 6) as w from x")
+def block_norms(spark, sf_dir):
+    return r6(part_features(spark, sf_dir).select("item_id", "block", "term", "w"), "w")
+
+
+@query("""with a as (select vec_id as i, unnest(embedding)::double as x, generate_subscripts(embedding, 1) as p from embeddings), n as (select i, p, x / sqrt(sum(x * x) over (partition by i)) as x from a),
+    s as (select a.i, b.i as j, round(sum(a.x * b.x), 9) as s from n a join n b using (p) where a.i % 20 = 0 and a.i <> b.i group by 1, 2), r as (select *, row_number() over (partition by i order by s desc, j) as r from s)
+    select i, j, round(s, 6) as w, r as rank from r where r <= 5""")
+def embedding_topk(spark, sf_dir):
+    """Every twentieth vector against all."""
+    rows = content.vector_block(table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("item_id"), "embedding")).select("item_id", "term", "w")
+    asked = rows.where("item_id % 20 = 0").select("term", F.col("item_id").alias("i"), F.col("w").alias("wi"))
+    s = asked.join(rows.withColumnRenamed("item_id", "j"), "term").where("i <> j").groupBy("i", "j").agg(F.round(F.sum(F.col("wi") * F.col("w")), 9).alias("s"))
+    top = interactions.top_k(s, 5, by="i", score="s", item="j")
+    return top.select("i", "j", F.round("s", 6).alias("w"), F.col("rank").cast("long").alias("rank"))
+
+
+@query(f"""with l as ({LIKES}), {BLOCKS}, s as (select user_id, term, sum(w) as w from l join genre using (item_id) group by 1, 2), p as (select user_id, term, w / sqrt(sum(w * w) over (partition by user_id)) as w from s)
+    select user_id, term, round(w, 6) as w from p""")
+def profile_similarity(spark, sf_dir):
+    genre = content.token_block(catalog(spark, sf_dir), fx.genre_tokens(F.col("genres")), "genre")
+    return r6(content.profiles(likes(spark, sf_dir), genre), "w")
+
+
+@query(f"""with c as ({CATALOG}), s as (select median(rating) as mr, min(rating) as lr, max(rating) as hr, median(ln(1 + votes)) as mv, min(ln(1 + votes)) as lv, max(ln(1 + votes)) as hv from c)
+    select item_id, round(0.5 * (coalesce(rating, mr) - lr) / (hr - lr) + 0.5 * (coalesce(ln(1 + votes), mv) - lv) / (hv - lv), 6) as quality from c, s""")
+def quality_prior(spark, sf_dir):
+    return r6(content.quality_prior(catalog(spark, sf_dir)).select("item_id", "quality"), "quality")
+
+
+EASE = f"""bl as ({BRAND_LIKES}), names as (select item_id, row_number() over (order by item_id) as k from (select distinct p_brand as item_id from part)), n as (select count(*) as n from names),
+    g as (select a.item_id as i, b.item_id as j, count(*) as w from bl a join bl b using (user_id) group by 1, 2),
+    full_g as (select a.k as i, b.k as j, coalesce(w, 0) + case when a.k = b.k then 200.0::double else 0 end as w from names a cross join names b left join g on g.i = a.item_id and g.j = b.item_id),
+    aug as (select i, list(w order by j) || list_transform(range(1, (select n from n) + 1), lambda x: case when x = i then 1.0::double else 0 end) as r from full_g group by i),
+    gj(k, m) as (select 0::bigint, list(r order by i) from aug union all select k + 1, list_transform(range(1, len(m) + 1), lambda i: case when i = k + 1 then list_transform(m[i], lambda z: z / m[k + 1][k + 1])
+        else list_transform(range(1, len(m[i]) + 1), lambda j: m[i][j] - m[i][k + 1] * m[k + 1][j] / m[k + 1][k + 1]) end) from gj where k < len(m)),
+    inv as (select m from gj where k = len(m)), ease as (select a.item_id as i, b.item_id as j, -m[a.k][b.k + n] / m[b.k][b.k + n] as w from inv, n, names a cross join names b where a.k <> b.k)"""
+
+
+def brand_items(spark, sf_dir) -> DataFrame:
+    return table(spark, sf_dir, "part").select(F.col("p_brand").alias("item_id")).distinct()
+
+
+def brand_edges(spark, sf_dir) -> DataFrame:
+    return collaborative.ease(brand_likes(spark, sf_dir), brand_items(spark, sf_dir), 200.0)
+
+
+@query(f"with recursive {EASE} select i, j, round(w, 6) as w from ease")
+def ease_weights(spark, sf_dir):
+    return r6(brand_edges(spark, sf_dir), "w")
+
+
+@query(f"with recursive {EASE} select user_id, j as item_id, round(sum(w), 6) as score from bl join ease on i = item_id group by user_id, j")
+def ease_scores(spark, sf_dir):
+    return r6(collaborative.scores(brand_likes(spark, sf_dir), brand_edges(spark, sf_dir)), "score")
+
+
+HYBRID = f"""{EASE}, s as (select user_id, j as item_id, sum(w) as cf from bl join ease on i = item_id group by user_id, j), own as (select s.*, b.user_id is null as free from s left join bl b using (user_id, item_id)),
+    pk as (select *, max(case when free then cf end) over (partition by user_id) as peak from own), q as (select user_id, item_id, round(0.9 * greatest(0, least(1, cf / peak)), 9) as score from pk where free and peak > 0),
+    rk as (select *, row_number() over (partition by user_id order by score desc, item_id) as rank from q)"""
+
+
+def hybrid_lists(spark, sf_dir, k: int) -> DataFrame:
+    mine = brand_likes(spark, sf_dir)
+    cf = collaborative.scores(mine, brand_edges(spark, sf_dir))
+    done = hybrid.rescaled(cf, mine).where("cf is not null").select("user_id", "item_id", F.round(hybrid.blend(F.lit(0.0), F.col("cf"), F.lit(0.0), 0.9, 0.0), 9).alias("score"))
+    return hybrid.recommend(done, mine, k)
+
+
+@query(f"with recursive {HYBRID} select user_id, item_id, round(score, 6) as score, rank from rk where rank <= 3")
+def hybrid_topk(spark, sf_dir):
+    return r6(hybrid_lists(spark, sf_dir, 3).select("user_id", "item_id", "score", F.col("rank").cast("long").alias("rank")), "score")
+
+
+@query(f"with recursive {HYBRID} select user_id, rank, round(min(least(1, greatest(0, score))) over (partition by user_id order by rank), 6) as shown from rk where rank <= 5")
+def display_running_min(spark, sf_dir):
+    return r6(hybrid.displayed(hybrid_lists(spark, sf_dir, 5)).select("user_id", F.col("rank").cast("long").alias("rank"), "shown"), "shown")
+
+
+@query(f"with l as ({LIKES}), c as ({CATALOG}) select c.item_id, 0.0::double as score from c left join (select item_id, count(*) as n from l group by 1) x using (item_id) order by coalesce(n, 0) desc, coalesce(votes, 0) desc, item_id limit 20")
+def popular_fallback(spark, sf_dir):
+    counts = likes(spark, sf_dir).groupBy("item_id").agg(F.count("*").alias("n"))
+    return hybrid.popular(catalog(spark, sf_dir).select("item_id", "votes").join(counts, "item_id", "left").fillna(0, ["n", "votes"]), 20).withColumn("score", F.lit(0.0))
+
+
+@query()
+def impute_cold(spark, sf_dir):
+    """Edges between brands with a tenth of them hidden and filled in from similar ones."""
+    mine = brand_likes(spark, sf_dir)
+    items = brand_items(spark, sf_dir)
+    cold = evaluation.pick_cold(mine, items.count(), 0.1)
+    warm = items.join(cold, "item_id", "left_anti")
+    edges = collaborative.ease(mine.join(cold, "item_id", "left_anti"), warm, 200.0)
+    parts = catalog(spark, sf_dir).select(F.col("director").alias("item_id"), F.explode(fx.genre_tokens(F.col("genres"))).alias("term")).groupBy("item_id", "term").agg(F.count("*").cast("double").alias("w"))
+    return r6(collaborative.impute_cold(edges, content.similarity(content.unit_rows(parts, ["item_id"])), items, warm, 5), "w")
+
+
+@query(f"with {SPLIT} select user_id, split from split")
+def split_users(spark, sf_dir):
+    return evaluation.split_users(likes(spark, sf_dir))
+
+
+@query(f"with {SPLIT} select user_id, item_id, hidden from hid")
+def hidden_likes(spark, sf_dir):
+    mine = likes(spark, sf_dir)
+    test = evaluation.split_users(mine).where("split = 'test'").select("user_id")
+    return evaluation.hide(mine.join(test, "user_id"))
+
+
+@query(f"""with {SPLIT}, top as (select item_id from pop order by n desc, item_id limit 100) select round(sum(case when t.item_id is null then 0 else 1 end) / count(*)::double, 6) as candidate_recall from held h left join top t using (item_id)""")
+def candidate_recall(spark, sf_dir):
+    train, _, held = eval_sets(spark, sf_dir)
+    top = train.groupBy("item_id").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "item_id").limit(100).select("item_id")
+    return r6(evaluation.candidate_recall(held.join(top, "item_id", "left_semi"), held), "candidate_recall")
+
+
+@query(f"""with l as ({LIKES}), c as (select item_id, count(*) as n from l group by 1 having count(*) >= 10) select item_id from c order by md5('0|' || item_id), item_id limit cast(floor((select count(*) from part) * 0.1) as bigint)""")
+def cold_items(spark, sf_dir):
+    return evaluation.pick_cold(likes(spark, sf_dir), table(spark, sf_dir, "part").count(), 0.1, 10)
+
+
+@query()
+def tune_grid(spark, sf_dir):
+    mine = brand_likes(spark, sf_dir)
+    val = evaluation.split_users(mine).where("split = 'val'").select("user_id")
+    cut = evaluation.hide(mine.join(val, "user_id"))
+    fold, held = cut.where("not hidden").drop("hidden"), cut.where("hidden").drop("hidden")
+    cf = hybrid.rescaled(collaborative.scores(fold, collaborative.ease(mine.join(val, "user_id", "left_anti"), brand_items(spark, sf_dir), 200.0)), fold).cache()
+    counts = mine.groupBy("item_id").agg((F.count("*") / 1000.0).alias("quality"))
+
+    def one(alpha, beta):
+        s = cf.join(counts, "item_id").select("user_id", "item_id", hybrid.blend(F.lit(0.0), F.col("cf"), F.col("quality"), alpha, beta).alias("score"))
+        return evaluation.metrics(hybrid.recommend(s, fold, 5), held, 25, 5)
+
+    return r6(evaluation.tune(one, [0.0, 0.5, 1.0], [0.0, 0.1]), "recall", "ndcg", "coverage")
+
+
+@query("""select event_type as model, 'value' as metric, round(avg(value), 6) as mean, round(stddev_pop(value), 6) as std from events group by event_type""")
+def aggregate_runs(spark, sf_dir):
+    runs = table(spark, sf_dir, "events").select(F.col("event_id").alias("run"), F.col("event_type").alias("model"), F.lit("value").alias("metric"), "value")
+    return r6(evaluation.aggregate_runs(runs), "mean", "std")
+
+
+def rank_rows(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Features of test users over all parts, and their hidden likes; nearest parts by co-occurrence stand for the item model."""
+    train, fold, held = eval_sets(spark, sf_dir)
+    g = interactions.gram(train)
+    edges = interactions.cooccurrence(g)
+    counts = g.where("i = j").select(F.col("i").alias("item_id"), F.col("w").alias("n"))
+    stats = interactions.item_stats(ratings(spark, sf_dir), train.select("user_id"), catalog(spark, sf_dir))
+    items = catalog(spark, sf_dir).join(counts, "item_id", "left").fillna(0.0, ["n"]).join(stats, "item_id", "left")
+    items = items.select("item_id", F.log1p("n").alias("log_pop"), (F.col("n") > 0).alias("covered"), "rating", F.log1p("votes").alias("log_votes"), F.lit(None).cast("double").alias("metascore"), "year", "ml_rating", "like_rate")
+    return ranking.candidates_and_features(fold, items, edges, edges, part_features(spark, sf_dir), 30, 10), held
+
+
+@query()
+def rank_features(spark, sf_dir):
+    rows, held = rank_rows(spark, sf_dir)
+    return r6(ranking.labelled(rows, held), *ranking.FEATURES)
+
+
+@query()
+def ltr_scores(spark, sf_dir):
+    rows, held = rank_rows(spark, sf_dir)
+    model = ranking.Reranker.fit(ranking.labelled(rows, held), ranking.RankerParams(rounds=20, leaves=8, min_leaf=20))
+    return r6(interactions.top_k(model.scores(rows), 10), "score")
+
+
+def event_favorites(spark, sf_dir) -> DataFrame:
+    """Each event as a favorite kept in JSON text, read back by the source."""
+    e = table(spark, sf_dir, "events")
+    at = F.unix_millis(F.col("ts").cast("timestamp"))
+    entry = F.struct(at.alias("addedAt"), F.floor(F.col("value") % 6).cast("int").alias("rating"), F.array("event_type").alias("tags"))
+    state = e.select("event_id", F.to_json(F.create_map(F.col("user_id").cast("string"), entry)).alias("state"))
+    return tables.favorites(state, "state")
+
+
+@query("select event_id, user_id as item_id, cast(floor(epoch_us(ts) / 1000) as bigint) as added, cast(floor(value % 6) as integer) as rating from events")
+def favorites_view(spark, sf_dir):
+    return event_favorites(spark, sf_dir).select("event_id", "item_id", F.col("addedAt").alias("added"), "rating")
+
+
+@query("select distinct event_type as tag from events")
+def used_tags(spark, sf_dir):
+    return library.used_tags(event_favorites(spark, sf_dir))
+
+
+@query("select distinct p_name as title from part where p_partkey < 1000 and p_name not in (select p_name from part where p_partkey % 50 = 1 and p_partkey < 1000)")
+def resume_todo(spark, sf_dir):
+    p = table(spark, sf_dir, "part").where("p_partkey < 1000").select(F.col("p_name").alias("title"), "p_partkey")
+    return tables.missing_from(p.select("title"), p.where("p_partkey % 50 = 1").select("title"), "title")
+
+
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
