@@ -94,7 +94,8 @@ def colliding(prints: DataFrame, bits: int, radius: int) -> DataFrame:
     chunks, buckets = ceil(n * len(masks) / CHUNK_ROWS), max(prints.sparkSession.sparkContext.defaultParallelism, ceil(n * len(masks) / BUCKET_ROWS))
     low = np.uint64(64 - width)
     borders = np.array([-(-(b << width) // buckets) for b in range(1, buckets)], dtype=np.uint64)
-    dealt = prints.select("fp", F.expr(f"pmod(xxhash64(fp), {chunks})").cast("int").alias("chunk"))
+    # a set number of partitions, as a few MB of fingerprints make many variants and shouldn't be put together
+    dealt = prints.select("fp", F.expr(f"pmod(xxhash64(fp), {chunks})").cast("int").alias("chunk")).repartition(chunks, "chunk")
 
     def announce(key, group):
         held = group["fp"].to_numpy().view(np.uint64)

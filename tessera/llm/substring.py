@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import mix64
+from .shared import mix64, written
 
 GRAM, HOT, SHARD_CHARS = 8, 2000, 400_000
 
@@ -152,62 +152,77 @@ def repeated_windows(docs: DataFrame, length: int) -> DataFrame:
     total = docs.agg(F.sum(F.char_length("text"))).first()[0] or 0
     shards = max(docs.sparkSession.sparkContext.defaultParallelism, ceil(total / SHARD_CHARS))
 
-    def anchors(batches):
+    def passages(batches):
+        digest = xxhash.xxh3_64_intdigest
         for batch in batches:
             for rows in small(batch):
                 flat, starts, _ = word_hashes(rows["text"].tolist())
-                anchor, first, _ = owned(flat, starts, length)
+                anchor, first, n = owned(flat, starts, length)
                 row = np.searchsorted(starts, first, side="right") - 1
-                yield pd.DataFrame({"did": rows["did"].to_numpy()[row], "th": rows["th"].to_numpy()[row], "anchor": anchor.view(np.int64)})
-
-    every = docs.mapInPandas(anchors, "did long, th long, anchor long")
-    often = every.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1")
-    wanted = every.distinct().join(often, "anchor").groupBy("did", "th").agg(F.collect_set("anchor").alias("anchors"), F.collect_set(F.when(F.col("n") > HOT, F.col("anchor"))).alias("hot"))
-    held = docs.join(wanted, ["did", "th"])
-
-    def passages(batches):
+                data = flat.tobytes()
+                sums = np.fromiter((digest(data[8 * i : 8 * j]) for i, j in zip(first.tolist(), (first + n + length - 1).tolist())), dtype=np.uint64, count=len(first))
+                yield pd.DataFrame({"did": rows["did"].to_numpy()[row], "th": rows["th"].to_numpy()[row], "first": (first - starts[row]).astype(np.int32), "n": n.astype(np.int32), "anchor": anchor.view(np.int64), "sum": sums.view(np.int64)})
+
+    every = written(docs.mapInPandas(passages, "did long, th long, first int, n int, anchor long, sum long"))
+    often = written(every.groupBy("anchor").agg(F.count("*").alias("times")).where("times > 1").select("anchor"))
+    found = written(every.join(often, "anchor"))  # so that sums are taken before they are dealt by anchor, of which one may be very frequent
+    contents = written(found.groupBy("anchor", "sum").agg(F.count("*").alias("times"), F.min(F.struct("did", "th", "first", "n")).alias("x")).select("anchor", "sum", "times", "x.*"))
+    kinds = written(contents.groupBy("anchor").agg(F.count("*").alias("kinds")))
+    contents = contents.join(kinds, "anchor")
+    # a passage that is alone at its anchor repeats as a whole or not at all
+    alone = contents.where("kinds = 1").select("anchor", "sum", F.expr("shiftleft(1L, n) - 1").alias("mask"))
+
+    def fetched(batches):
+        """The words of one passage of each content, or its windows by themselves at an anchor with very many contents."""
         for batch in batches:
             for rows in small(batch):
                 flat, starts, _ = word_hashes(rows["text"].tolist())
-                anchor, first, count = owned(flat, starts, length)
-                anchor = anchor.view(np.int64)
-                keep = np.isin(anchor, np.unique(np.concatenate(rows["anchors"].tolist())))
-                anchor, first, count = anchor[keep], first[keep], count[keep]
-                hot = np.isin(anchor, np.concatenate(rows["hot"].tolist()).astype(np.int64))
-                whole = spans(flat, length).view(np.int64) if hot.any() else None
-                row = np.searchsorted(starts, first, side="right") - 1
-                did, th, data = rows["did"].to_numpy(), rows["th"].to_numpy(), flat.tobytes()
-                out = []
-                for a, i, n, r, split in zip(anchor.tolist(), first.tolist(), count.tolist(), row.tolist(), hot.tolist()):
-                    parts = [(int(whole[j]), j, 1) for j in range(i, i + n)] if split else [(a, i, n)]
-                    for a, j, n in parts:
-                        words = data[8 * j : 8 * (j + n + length - 1)]
-                        out.append((a % shards, a, xxhash.xxh3_128_digest(words), words, did[r], th[r], j - int(starts[r])))
-                yield pd.DataFrame(out, columns=["shard", "anchor", "sum", "words", "did", "th", "first"])
-
-    found = held.select("did", "th", "text", "anchors", "hot").mapInPandas(passages, "shard int, anchor long, sum binary, words binary, did long, th long, first int")
-    contents = found.groupBy("shard", "anchor", "sum", "words").agg(F.count("*").alias("n"))
+                whole = spans(flat, length).view(np.int64) if len(flat) >= length else None
+                data, out = flat.tobytes(), []
+                for at, asked in zip(starts, rows["asked"]):
+                    for x in asked:
+                        i, n, a = int(at) + x["first"], x["n"], x["anchor"]
+                        if x["kinds"] <= HOT:
+                            out.append((a % shards, a, x["sum"], x["times"], data[8 * i : 8 * (i + n + length - 1)], None, 0))
+                        else:
+                            out += [(None, a, x["sum"], x["times"], None, int(w), k) for k, w in enumerate(whole[i : i + n])]
+                yield pd.DataFrame(out, columns=["shard", "anchor", "sum", "times", "words", "window", "k"]).astype({"shard": "Int32", "window": "Int64"})
+
+    asked = contents.where("kinds > 1").groupBy("did", "th").agg(F.collect_list(F.struct("first", "n", "anchor", "sum", "times", "kinds")).alias("asked"))
+    held = docs.join(asked, ["did", "th"]).select("text", "asked")
+    held = written(held.mapInPandas(fetched, "shard int, anchor long, sum long, times long, words binary, window long, k int"))
 
     def match(key, group):
         out = []
         for anchor, rows in group.groupby("anchor", sort=False):
             sequences = [np.frombuffer(x, np.uint64).tolist() for x in rows["words"]]
-            if len(rows) == 1:
-                windows = [range(len(sequences[0]) - length + 1) if rows["n"].iloc[0] > 1 else []]
-            else:
-                automaton = SuffixAutomaton()
-                for sequence, n in zip(sequences, rows["n"].tolist()):
-                    automaton.add(sequence, n)
-                automaton.close()
-                windows = [automaton.repeats(x, length) for x in sequences]
-            out += [(anchor, s, sum(1 << i for i in w)) for s, w in zip(rows["sum"], windows) if len(w)]
+            automaton = SuffixAutomaton()
+            for sequence, n in zip(sequences, rows["times"].tolist()):
+                automaton.add(sequence, n)
+            automaton.close()
+            for s, sequence in zip(rows["sum"], sequences):
+                if windows := automaton.repeats(sequence, length):
+                    out.append((anchor, s, sum(1 << i for i in windows)))
         return pd.DataFrame(out, columns=["anchor", "sum", "mask"])
 
-    marked = contents.groupBy("shard").applyInPandas(match, "anchor long, sum binary, mask long")
+    mixed = held.where("shard is not null").select("shard", "anchor", "sum", "times", "words").groupBy("shard").applyInPandas(match, "anchor long, sum long, mask long")
+    singles = held.where("window is not null").select("window", "anchor", "sum", "times", "k")
+    twice = singles.groupBy("window").agg(F.sum("times").alias("t")).where("t > 1").select("window")
+    single = singles.join(twice, "window").distinct().groupBy("anchor", "sum").agg(F.sum(F.expr("shiftleft(1L, k)")).alias("mask"))
+    marked = alone.unionByName(mixed).unionByName(single)
     places = found.select("anchor", "sum", "did", "th", "first")
     return places.join(marked, ["anchor", "sum"]).groupBy("did", "th").agg(F.collect_set(F.struct("first", "mask")).alias("marks"))
 
 
+def marked_docs(docs: DataFrame, length: int, id_col: str, text_col: str) -> DataFrame:
+    """(did, th, text, marks, own_0, ...) for every row of ``docs``; own_0, ... are its columns but the text."""
+    if not GRAM <= length <= 63 + GRAM - 1:
+        raise ValueError("length must be from 8 to 70 words")
+    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    keyed = docs.select(F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(-(2**63))).alias("did"), F.xxhash64(text).alias("th"), text.alias("text"), *[F.col(f"`{c}`").alias(f"own_{i}") for i, c in enumerate(docs.columns) if c != text_col])
+    return keyed.join(repeated_windows(keyed.select("did", "th", "text"), length), ["did", "th"], "left")
+
+
 def covered(n: int, marks, length: int) -> np.ndarray:
     """Which of ``n`` words are in a marked window."""
     edge = np.zeros(n + 1, dtype=np.int64)
@@ -220,15 +235,6 @@ def covered(n: int, marks, length: int) -> np.ndarray:
     return np.cumsum(edge[:n]) > 0
 
 
-def marked_docs(docs: DataFrame, length: int, id_col: str, text_col: str) -> DataFrame:
-    """(did, th, text, marks, own_0, ...) for every row of ``docs``; own_0, ... are its columns but the text."""
-    if not GRAM <= length <= 63 + GRAM - 1:
-        raise ValueError("length must be from 8 to 70 words")
-    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
-    keyed = docs.select(F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(-(2**63))).alias("did"), F.xxhash64(text).alias("th"), text.alias("text"), *[F.col(f"`{c}`").alias(f"own_{i}") for i, c in enumerate(docs.columns) if c != text_col])
-    return keyed.join(repeated_windows(keyed.select("did", "th", "text"), length), ["did", "th"], "left")
-
-
 def substring_digest(docs: DataFrame, length: int = 35, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_words, n_removed, kept_sha256) of ``substring_dedup``, whose kept texts are digested where they are made."""
     def work(batches):
