@@ -225,8 +225,8 @@ def listed(node: Node, out: Layout) -> None:
                 continue
             mark = f"{number}. " if node.tag == "ol" else "- "
             number += 1
-            own = lines_of(x)
-            lines += [(mark if i == 0 else " " * len(mark)) + y if y else "" for i, y in enumerate(own)] or [mark.strip()]
+            own = [y for y in lines_of(x) if y]
+            lines += [(mark if i == 0 else " " * len(mark)) + y for i, y in enumerate(own)] or [mark.strip()]
         else:
             part = Layout()
             render(x, part)
