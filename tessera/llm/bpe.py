@@ -189,8 +189,8 @@ def bpe_encode(docs: DataFrame, vocabulary: str, text_col: str = "text", ids_col
     def work(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         model = loaded(spec.value)
         for text in texts:
-            ids = [model.encode(x) for x in text]
-            yield pd.DataFrame({"ids": [np.array(x, dtype=np.int32) for x in ids], "decoded": [model.decode(x) for x in ids]})
+            ids = [np.frombuffer(model.encode_packed(x), "<i4") for x in text]  # no lists of Python integers for a whole batch
+            yield pd.DataFrame({"ids": ids, "decoded": [model.decode(x.tolist()) for x in ids]})
 
     # not deterministic to Spark, so that its two fields aren't worked out separately
     encode = F.pandas_udf(work, "ids array<int>, decoded string").asNondeterministic()
