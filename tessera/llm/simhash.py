@@ -208,15 +208,17 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
     def keyed(batches):
         for batch in batches:
             texts = batch["text"].tolist()
-            out = {"id": batch["id"], "sum": [xxhash.xxh3_128_hexdigest(b" ".join((x or "").encode().lower().split())) for x in texts]}
+            words = [(x or "").encode().lower().split() for x in texts]
+            out = {"id": batch["id"], "sum": [xxhash.xxh3_128_hexdigest(b" ".join(w)) for w in words]}
+            out["counts"] = [counted(shingle_set(w, shingle)) for w in words]
             for k, seed in enumerate(seeds):
                 out[f"fp{k}"] = np.array([fingerprint(x, 1, bits, seed, True) for x in texts], dtype=np.uint64).view(np.int64)
             yield pd.DataFrame(out)
 
     names = [f"fp{k}" for k in range(len(seeds))]
     texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    own = written(texts.mapInPandas(keyed, "id long, sum string, " + ", ".join(f"{x} long" for x in names)))
-    prints = written(own.groupBy("sum").agg(F.min(F.struct("id", *names)).alias("x")).select("sum", "x.*"))
+    own = written(texts.mapInPandas(keyed, "id long, sum string, counts binary, " + ", ".join(f"{x} long" for x in names)))
+    prints = written(own.groupBy("sum").agg(F.min(F.struct("id", "counts", *names)).alias("x")).select("sum", "x.*"))
     found = None
     for k in range(len(seeds)):
         held = prints.select(F.col(f"fp{k}").alias("fp"), "id")
@@ -240,36 +242,66 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
         for pairs in (*same, met):
             found = pairs if found is None else found.unionByName(pairs)
     pairs = written(found.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    links = verified(texts, pairs, shingle, similarity)
+    links = verified(texts, prints.select("id", "counts"), pairs, shingle, similarity)
     roots = connected_components(links)
     classes = written(prints.join(roots, prints.id == roots.node, "left").select("sum", F.coalesce("root", "id").alias("keeper")))
     return own.select("id", "sum").join(classes, "sum").select(F.col("id").alias(id_col), "keeper")
 
 
-def verified(texts: DataFrame, pairs: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """The pairs (a, b) of ids whose sets of shingles have Jaccard similarity ``similarity`` or more; shingles are held as 32-bit hashes, whose chance collisions within a pair don't move it measurably."""
+def shingle_set(words: list[bytes], shingle: int) -> np.ndarray:
+    """Ascending 32-bit hashes of the shingles, whose chance collisions within a pair don't move its similarity measurably."""
+    joined, ends, at = b" ".join(words), [], -1
+    for word in words:
+        at += len(word) + 1
+        ends.append(at)
+    digest, begins = xxhash.xxh3_64_intdigest, [0, *(e + 1 for e in ends)]
+    ends = ends[shingle - 1 :] or [len(joined)]
+    return np.unique(np.fromiter((digest(joined[i:j]) for i, j in zip(begins, ends)), dtype="<u8", count=len(ends)).astype("<u4"))
+
+
+def counted(hashes: np.ndarray) -> bytes:
+    """How many of the hashes end in each value of as many low bits as leave four to eight a value; more bits where a count passes a byte."""
+    bits = max(0, ceil(log2(len(hashes) / 8)))
+    while (count := np.bincount(hashes & np.uint32((1 << bits) - 1), minlength=1 << bits)).max() > 255:
+        bits += 1
+    return count.astype(np.uint8).tobytes()
+
+
+def most_shared(x: bytes, y: bytes) -> tuple[int, int]:
+    """No fewer than the hashes that two sets of these counts can share, and the hashes of both together."""
+    a, b = (np.frombuffer(v, np.uint8).astype(np.int64) for v in (x, y))
+    k = min(len(a), len(b))
+    return int(np.minimum(a.reshape(-1, k).sum(axis=0), b.reshape(-1, k).sum(axis=0)).sum()), int(a.sum() + b.sum())
+
+
+def verified(texts: DataFrame, counts: DataFrame, pairs: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """The pairs (a, b) of ids whose sets of shingles have Jaccard similarity ``similarity`` or more.
+
+    Whole sets are fetched and compared only for pairs whose ``counts`` (id, counts) leave that possible: the least of both
+    counts, value by value, bounds what two sets can share, so no pair that passes is lost.
+    """
+    def possible(batches):
+        for batch in batches:
+            bounds = [most_shared(x, y) for x, y in zip(batch["x"], batch["y"])]
+            yield batch.loc[[shared >= similarity * (both - shared) - 1e-9 for shared, both in bounds], ["a", "b"]]
+
     def hashed(batches):
         for batch in batches:
-            sets = []
-            for text in batch["text"]:
-                words = (text or "").encode().lower().split()
-                parts = {b" ".join(words[i : i + shingle]) for i in range(max(1, len(words) - shingle + 1))}
-                sets.append(np.unique(np.fromiter((xxhash.xxh3_64_intdigest(x) for x in parts), dtype="<u8", count=len(parts)).astype("<u4")).tobytes())
-            yield pd.DataFrame({"id": batch["id"], "set": sets})
+            yield pd.DataFrame({"id": batch["id"], "set": [shingle_set((text or "").encode().lower().split(), shingle).tobytes() for text in batch["text"]]})
 
     def compare(batches):
         for batch in batches:
             keep = []
-            for x, y in zip(batch["sa"], batch["sb"]):
+            for x, y in zip(batch["x"], batch["y"]):
                 both = (len(x) + len(y)) // 4
-                least = min(len(x), len(y)) // 4
-                shared = 0
-                if least * (1 + similarity) >= similarity * both:
-                    shared = both - len(np.unique(np.concatenate([np.frombuffer(x, "<u4"), np.frombuffer(y, "<u4")])))
+                shared = both - len(np.unique(np.concatenate([np.frombuffer(x, "<u4"), np.frombuffer(y, "<u4")])))
                 keep.append(shared >= similarity * (both - shared) - 1e-9)
             yield batch.loc[keep, ["a", "b"]]
 
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    def sided(pairs: DataFrame, held: DataFrame, value: str) -> DataFrame:
+        return pairs.join(held.select(F.col("id").alias("a"), F.col(value).alias("x")), "a").join(held.select(F.col("id").alias("b"), F.col(value).alias("y")), "b")
+
+    near = written(sided(pairs, counts, "counts").mapInPandas(possible, "a long, b long").distinct())
+    wanted = written(near.select(F.explode(F.array("a", "b")).alias("id")).distinct())
     sets = written(texts.join(wanted, "id").mapInPandas(hashed, "id long, set binary"))
-    sided = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("set").alias("sb")), "b")
-    return written(sided.mapInPandas(compare, "a long, b long"))
+    return written(sided(near, sets, "set").mapInPandas(compare, "a long, b long"))
