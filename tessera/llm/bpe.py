@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 #: Fixed value: the public pattern that splits text before merges in vocabularies of this kind.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 NONE, LONG, CACHED = 1 << 60, 64, 400_000
+#: Characters of text whose ids and decoded text a worker holds at a time; one longer text is held by itself.
+PART_CHARS = 2_000_000
 
 
 def byte_letters() -> list[str]:
@@ -188,9 +190,11 @@ def bpe_encode(docs: DataFrame, vocabulary: str, text_col: str = "text", ids_col
 
     def work(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         model = loaded(spec.value)
-        for text in texts:
-            ids = [np.frombuffer(model.encode_packed(x), "<i4") for x in text]  # no lists of Python integers for a whole batch
-            yield pd.DataFrame({"ids": ids, "decoded": [model.decode(x.tolist()) for x in ids]})
+        for batch in texts:
+            part = (batch.str.len().cumsum() // PART_CHARS).to_numpy()
+            for _, text in batch.groupby(part):
+                ids = [np.frombuffer(model.encode_packed(x), "<i4") for x in text]  # no lists of Python integers for a whole batch
+                yield pd.DataFrame({"ids": ids, "decoded": [model.decode(x.tolist()) for x in ids]})
 
     # not deterministic to Spark, so that its two fields aren't worked out separately
     encode = F.pandas_udf(work, "ids array<int>, decoded string").asNondeterministic()
