@@ -22,7 +22,7 @@ from math import ceil, comb, log2
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import connected_components, mix64, pack_sorted, unpack_sorted, written
@@ -194,69 +194,119 @@ def simhash_components(docs: DataFrame, shingle: int = 4, bits: int = 64, radius
     return own.join(classes, "fp").select(id_col, hexed.alias("fingerprint"), "component_id")
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, bits: int = 40, radius: int = 4, seeds: tuple[int, ...] = (11, 23), centers: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, centers: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, keeper): for each row of a text that is a near copy or exact copy, the least id of its group; the rest have their own.
 
-    Texts are near copies at Jaccard similarity ``similarity`` of their sets of ``shingle``-word shingles. One edited word
-    changes ``shingle`` shingles but one word, so candidates come from fingerprints of single words (counts damped
-    by the square root): ``len(seeds)`` fingerprints of ``bits`` bits, linked within ``radius`` bits by ball hashing. At each
-    variant where fingerprints meet, every document is compared with the first documents of ``centers`` fixed random
-    orders, by its whole shingle sets; groups are the components of the pairs that pass. A group of very many copies costs
-    ``centers`` comparisons for each copy and meeting, never all pairs. Null texts and texts without words are alike and make
-    one group. Rows that share an id are of one document. Rows with null ids are dropped.
+    Groups are those of ``text_groups``. Rows with null ids are dropped, after they have linked others.
     """
+    groups = text_groups(docs, shingle, similarity, centers, id_col, text_col)
+    keepers = groups.groupBy("root").agg(F.min("id").alias("keeper"))
+    return groups.where("id is not null").join(keepers, "root").select(F.col("id").alias(id_col), "keeper")
+
+
+def text_key(text):
+    """128 bits that tell texts apart; a null text is empty."""
+    text = F.coalesce(text, F.lit(""))
+    return F.xxhash64(text), F.xxhash64(F.lit(7), text)
+
+
+def text_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, centers: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, h1, h2, root), a row for each of ``docs``: the key of its text, and the same ``root`` for all of a group.
+
+    Texts are near copies at Jaccard similarity ``similarity`` of their sets of ``shingle``-word shingles; groups are the
+    components of all such pairs. Null texts and texts without words are alike and make one group.
+
+    Candidates come from an exact prefix filter: with shingles in one order for all texts, two texts this similar share a
+    shingle among the first of both, at places that leave room for the overlap needed. Rare shingles are the first, so that
+    common passages make few candidates; how common they are is taken from a sample, which can't change what is found.
+    """
+    texts = docs.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
+    texts = texts.select("id", "text", *[x.alias(name) for x, name in zip(text_key(F.col("text")), ("h1", "h2"))])
+    common = common_shingles(texts, shingle)
+
     def keyed(batches):
         for batch in batches:
-            texts = batch["text"].tolist()
-            words = [(x or "").encode().lower().split() for x in texts]
-            out = {"id": batch["id"], "sum": [xxhash.xxh3_128_hexdigest(b" ".join(w)) for w in words]}
-            out["counts"] = [counted(shingle_set(w, shingle)) for w in words]
-            for k, seed in enumerate(seeds):
-                out[f"fp{k}"] = np.array([fingerprint(x, 1, bits, seed, True) for x in texts], dtype=np.uint64).view(np.int64)
-            yield pd.DataFrame(out)
+            words = [x.encode().lower().split() for x in batch["text"]]
+            sets = [shingle_hashes(w, shingle) for w in words]
+            out = {c: batch[c] for c in ("id", "h1", "h2")} | {"sum": [xxhash.xxh3_128_hexdigest(b" ".join(w)) for w in words]}
+            out |= {"n": [len(x) for x in sets], "counts": [counted(np.unique(x.astype("<u4"))) for x in sets]}
+            yield pd.DataFrame(out | {"prefix": [prefix(x, common.value, similarity).tobytes() for x in sets]})
+
+    def told(batches):
+        for batch in batches:
+            parts = [np.frombuffer(x, "<i8") for x in batch["prefix"]]
+            size = [len(x) for x in parts]
+            if sum(size):
+                n = np.repeat(batch["n"].to_numpy(), size)
+                place = np.concatenate([np.arange(x) for x in size])
+                yield pd.DataFrame({"token": np.concatenate(parts), "node": np.repeat(batch["node"].to_numpy(), size), "n": n, "room": n - place})
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    own = written(texts.mapInPandas(keyed, f"id {kind}, h1 long, h2 long, sum string, n int, counts binary, prefix binary"))
+    prints = own.groupBy("sum").agg(F.min(F.struct("h1", "h2", "n", "counts", "prefix")).alias("x")).select("sum", "x.*")
+    prints = written(prints.withColumn("node", F.monotonically_increasing_id()))
+    every = Window.partitionBy("token")
+    tokens = prints.select("node", "n", "prefix").mapInPandas(told, "token long, node long, n int, room int")
+    shared = written(tokens.withColumn("held", F.count("*").over(every)).where("held > 1"))
+    roots = connected_components(verified(texts, prints, star_pairs(shared, similarity, centers), shingle, similarity))
+    roots = written(prints.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root")))
+    return own.select("id", "h1", "h2", "sum").join(prints.select("sum", "node").join(roots, "node").select("sum", "root"), "sum").drop("sum")
+
+
+def common_shingles(texts: DataFrame, shingle: int, least: int = 16_384, share: int = 16, most: int = 100_000):
+    """Broadcast: ascending hashes of the shingles that most texts of a sample have, and of how many."""
+    def hashed(batches):
+        for batch in batches:
+            found = [shingle_hashes(x.encode().lower().split(), shingle) for x in batch["text"]]
+            yield pd.DataFrame({"token": np.concatenate(found).view("<i8") if found else np.zeros(0, "<i8")})
 
-    names = [f"fp{k}" for k in range(len(seeds))]
-    texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    own = written(texts.mapInPandas(keyed, "id long, sum string, counts binary, " + ", ".join(f"{x} long" for x in names)))
-    prints = written(own.groupBy("sum").agg(F.min(F.struct("id", "counts", *names)).alias("x")).select("sum", "x.*"))
-    found = None
-    for k in range(len(seeds)):
-        held = prints.select(F.col(f"fp{k}").alias("fp"), "id")
-        members = written(held.groupBy("fp").agg(*[F.min(F.struct(F.xxhash64("id", F.lit(c)).alias("o"), "id")).alias(f"c{c}") for c in range(centers)]))
-        same = [held.join(members.select("fp", F.col(f"c{c}.id").alias("b")), "fp").select(F.col("id").alias("a"), "b") for c in range(centers)]
-
-        def link(key, group):
-            variants, fps = meetings(group)
-            first = np.flatnonzero(np.r_[True, variants[1:] != variants[:-1]])
-            size, pairs = np.diff(np.r_[first, len(fps)]), []
-            for c in range(centers):
-                rank = mix64(fps.view(np.uint64) + np.uint64(c * 0x9E3779B97F4A7C15 % 2**64))
-                lead = fps[np.lexsort((rank, variants))[first]]
-                pairs.append(np.stack([fps, np.repeat(lead, size)], axis=1))
-            pairs = np.concatenate(pairs)
-            return pd.DataFrame(np.unique(pairs[pairs[:, 0] != pairs[:, 1]], axis=0), columns=["f", "g"])
-
-        links = written(colliding(members.select("fp"), bits, radius).groupBy("bucket").applyInPandas(link, "f long, g long").distinct())
-        heads = members.select("fp", F.array(*[F.col(f"c{c}.id") for c in range(centers)]).alias("ids"))
-        met = links.join(heads.select(F.col("fp").alias("f"), F.col("ids").alias("af")), "f").join(heads.select(F.col("fp").alias("g"), F.col("ids").alias("ag")), "g").select(F.explode(F.arrays_zip("af", "ag")).alias("x")).select(F.col("x.af").alias("a"), F.col("x.ag").alias("b"))
-        for pairs in (*same, met):
-            found = pairs if found is None else found.unionByName(pairs)
-    pairs = written(found.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    links = verified(texts, prints.select("id", "counts"), pairs, shingle, similarity)
-    roots = connected_components(links)
-    classes = written(prints.join(roots, prints.id == roots.node, "left").select("sum", F.coalesce("root", "id").alias("keeper")))
-    return own.select("id", "sum").join(classes, "sum").select(F.col("id").alias(id_col), "keeper")
+    part = min(1.0, max(1 / share, least / max(1, texts.count())))
+    sample = texts.where(F.pmod("h2", F.lit(1 << 20)) < int(part * (1 << 20))).dropDuplicates(["h1", "h2"]).select("text")
+    counts = sample.mapInPandas(hashed, "token long").groupBy("token").count().where("count > 2").orderBy(F.desc("count"), "token").limit(most).toPandas()
+    hashes, counts = counts["token"].to_numpy(np.int64).view(np.uint64), counts["count"].to_numpy(np.int64)
+    order = np.argsort(hashes)
+    return texts.sparkSession.sparkContext.broadcast((hashes[order], counts[order]))
 
 
-def shingle_set(words: list[bytes], shingle: int) -> np.ndarray:
-    """Ascending 32-bit hashes of the shingles, whose chance collisions within a pair don't move its similarity measurably."""
+def prefix(hashes: np.ndarray, common: tuple[np.ndarray, np.ndarray], similarity: float) -> np.ndarray:
+    """The first hashes, the rarest, of which a set must share one with each set that is this similar."""
+    known, counts = common
+    held = np.zeros(len(hashes), dtype=np.int64)
+    if len(known):
+        at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
+        held = np.where(known[at] == hashes, counts[at], 0)
+    return hashes[np.lexsort((hashes, held))[: len(hashes) - ceil(similarity * len(hashes) - 1e-9) + 1]]
+
+
+def roomy(x: str, y: str, similarity: float):
+    """Whether two texts can share enough if the shingle of these rows is the first that they share."""
+    need = (F.col(f"{x}.n") + F.col(f"{y}.n")) * F.lit(similarity / (1 + similarity)) - F.lit(1e-6)
+    return F.least(F.col(f"{x}.room"), F.col(f"{y}.room")) >= need
+
+
+def star_pairs(shared: DataFrame, similarity: float, centers: int) -> DataFrame:
+    """Pairs (a, b) of each text with the first texts of ``centers`` fixed random orders among those that share a shingle with it."""
+    every = Window.partitionBy("token")
+    leads = [F.min(F.struct(F.xxhash64("node", F.lit(c)).alias("o"), "node", "n", "room")).over(every) for c in range(centers)]
+    met = shared.select(F.struct("node", "n", "room").alias("x"), F.array(*leads).alias("leads")).select("x", F.explode("leads").alias("y"))
+    met = met.where((F.col("x.node") != F.col("y.node")) & roomy("x", "y", similarity))
+    return written(met.select(F.greatest("x.node", "y.node").alias("a"), F.least("x.node", "y.node").alias("b")).distinct())
+
+
+def shingle_hashes(words: list[bytes], shingle: int) -> np.ndarray:
+    """Ascending 64-bit hashes of the shingles."""
     joined, ends, at = b" ".join(words), [], -1
     for word in words:
         at += len(word) + 1
         ends.append(at)
     digest, begins = xxhash.xxh3_64_intdigest, [0, *(e + 1 for e in ends)]
     ends = ends[shingle - 1 :] or [len(joined)]
-    return np.unique(np.fromiter((digest(joined[i:j]) for i, j in zip(begins, ends)), dtype="<u8", count=len(ends)).astype("<u4"))
+    return np.unique(np.fromiter((digest(joined[i:j]) for i, j in zip(begins, ends)), dtype="<u8", count=len(ends)))
+
+
+def shingle_set(words: list[bytes], shingle: int) -> np.ndarray:
+    """Ascending 32-bit hashes of the shingles, whose chance collisions within a pair don't move its similarity measurably."""
+    return np.unique(shingle_hashes(words, shingle).astype("<u4"))
 
 
 def counted(hashes: np.ndarray) -> bytes:
@@ -274,10 +324,10 @@ def most_shared(x: bytes, y: bytes) -> tuple[int, int]:
     return int(np.minimum(a.reshape(-1, k).sum(axis=0), b.reshape(-1, k).sum(axis=0)).sum()), int(a.sum() + b.sum())
 
 
-def verified(texts: DataFrame, counts: DataFrame, pairs: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """The pairs (a, b) of ids whose sets of shingles have Jaccard similarity ``similarity`` or more.
+def verified(texts: DataFrame, prints: DataFrame, pairs: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """The pairs (a, b) of nodes whose sets of shingles have Jaccard similarity ``similarity`` or more.
 
-    Whole sets are fetched and compared only for pairs whose ``counts`` (id, counts) leave that possible: the least of both
+    Whole sets are fetched and compared only for pairs whose ``counts`` in ``prints`` leave that possible: the least of both
     counts, value by value, bounds what two sets can share, so no pair that passes is lost.
     """
     def possible(batches):
@@ -287,7 +337,7 @@ def verified(texts: DataFrame, counts: DataFrame, pairs: DataFrame, shingle: int
 
     def hashed(batches):
         for batch in batches:
-            yield pd.DataFrame({"id": batch["id"], "set": [shingle_set((text or "").encode().lower().split(), shingle).tobytes() for text in batch["text"]]})
+            yield pd.DataFrame({"node": batch["node"], "set": [shingle_set(text.encode().lower().split(), shingle).tobytes() for text in batch["text"]]})
 
     def compare(batches):
         for batch in batches:
@@ -299,9 +349,11 @@ def verified(texts: DataFrame, counts: DataFrame, pairs: DataFrame, shingle: int
             yield batch.loc[keep, ["a", "b"]]
 
     def sided(pairs: DataFrame, held: DataFrame, value: str) -> DataFrame:
-        return pairs.join(held.select(F.col("id").alias("a"), F.col(value).alias("x")), "a").join(held.select(F.col("id").alias("b"), F.col(value).alias("y")), "b")
+        return pairs.join(held.select(F.col("node").alias("a"), F.col(value).alias("x")), "a").join(held.select(F.col("node").alias("b"), F.col(value).alias("y")), "b")
 
-    near = written(sided(pairs, counts, "counts").mapInPandas(possible, "a long, b long").distinct())
-    wanted = written(near.select(F.explode(F.array("a", "b")).alias("id")).distinct())
-    sets = written(texts.join(wanted, "id").mapInPandas(hashed, "id long, set binary"))
+    near = written(sided(pairs, prints, "counts").mapInPandas(possible, "a long, b long").distinct())
+    wanted = near.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    wanted = written(wanted.join(prints.select("node", "h1", "h2"), "node"))
+    # a text in several rows is taken once
+    sets = written(texts.join(wanted, ["h1", "h2"]).mapInPandas(hashed, "node long, set binary").dropDuplicates(["node"]))
     return written(sided(near, sets, "set").mapInPandas(compare, "a long, b long"))

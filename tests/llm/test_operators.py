@@ -52,6 +52,33 @@ def test_near_duplicates(docs, empty):
     assert simhash.near_duplicates(empty).count() == 0
 
 
+def jaccard(x, y):
+    a, b = ({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in ((t or "").lower().split() for t in (x, y)))
+    return len(a & b) / len(a | b)
+
+
+def brute_groups(texts):
+    """Least place in the texts that pairs of similarity 0.8 or more connect each to."""
+    label = list(range(len(texts)))
+    pairs = [(i, j) for i in range(len(texts)) for j in range(i) if jaccard(texts[i], texts[j]) >= 0.8]
+    for _ in texts:
+        for i, j in pairs:
+            label[i] = label[j] = min(label[i], label[j])
+    return label
+
+
+def test_near_duplicates_of_appended_and_cut_texts(spark):
+    rng = np.random.default_rng(5)
+    texts = []
+    for k in range(40):
+        own = [f"w{x}" for x in rng.zipf(1.3, 60 + 8 * k) % 3000]
+        block = [f"other{x}" for x in rng.integers(0, 50, len(own))]
+        more = int(len(own) * rng.uniform(0.02, 0.28))
+        texts += [" ".join(own), " ".join(own + block[:more]), " ".join(own[more:])]
+    got = {r.doc_id: r.keeper for r in simhash.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == dict(enumerate(brute_groups(texts)))
+
+
 def test_bpe(docs, empty):
     from tokenizers import Tokenizer
 
