@@ -218,7 +218,9 @@ def text_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, cent
 
     Candidates come from an exact prefix filter: with shingles in one order for all texts, two texts this similar share a
     shingle among the first of both, at places that leave room for the overlap needed. Rare shingles are the first, so that
-    common passages make few candidates; how common they are is taken from a sample, which can't change what is found.
+    common passages make few candidates; how common they are is taken from a sample, which can't change what is found. At each
+    shingle texts are first compared with the first of ``centers`` fixed random orders, then all that these leave in
+    different components with each other, so a group of very many copies costs no pairs but those of its first ones.
     """
     texts = docs.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
     texts = texts.select("id", "text", *[x.alias(name) for x, name in zip(text_key(F.col("text")), ("h1", "h2"))])
@@ -248,8 +250,12 @@ def text_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, cent
     every = Window.partitionBy("token")
     tokens = prints.select("node", "n", "prefix").mapInPandas(told, "token long, node long, n int, room int")
     shared = written(tokens.withColumn("held", F.count("*").over(every)).where("held > 1"))
-    roots = connected_components(verified(texts, prints, star_pairs(shared, similarity, centers), shingle, similarity))
-    roots = written(prints.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root")))
+    starred = connected_components(verified(texts, prints, star_pairs(shared, similarity, centers), shingle, similarity))
+    roots = written(prints.join(starred, "node", "left").select("node", F.coalesce("root", "node").alias("root")))
+    more = verified(texts, prints, rest_pairs(shared, roots, similarity), shingle, similarity)
+    ends = roots.select(F.col("node").alias("a"), F.col("root").alias("x")), roots.select(F.col("node").alias("b"), F.col("root").alias("y"))
+    joined = connected_components(more.join(ends[0], "a").join(ends[1], "b").select("x", "y"), "x", "y").select(F.col("node").alias("root"), F.col("root").alias("top"))
+    roots = written(roots.join(joined, "root", "left").select("node", F.coalesce("top", "root").alias("root")))
     return own.select("id", "h1", "h2", "sum").join(prints.select("sum", "node").join(roots, "node").select("sum", "root"), "sum").drop("sum")
 
 
@@ -293,6 +299,21 @@ def star_pairs(shared: DataFrame, similarity: float, centers: int) -> DataFrame:
     return written(met.select(F.greatest("x.node", "y.node").alias("a"), F.least("x.node", "y.node").alias("b")).distinct())
 
 
+def rest_pairs(shared: DataFrame, roots: DataFrame, similarity: float, block: int = 1000) -> DataFrame:
+    """All pairs (a, b) that share a shingle and that ``roots`` (node, root) leaves in different components.
+
+    Shingles whose texts are of one component are done with. A shingle's texts meet in blocks of about ``block`` by all, dealt to
+    tasks of their own, so that a shingle of very many texts isn't one task's.
+    """
+    every = Window.partitionBy("token")
+    open_ = shared.join(roots, "node").withColumns({"low": F.min("root").over(every), "high": F.max("root").over(every)})
+    open_ = written(open_.where("low < high").select("token", "node", "n", "room", "root", F.ceil(F.col("held") / block).cast("int").alias("blocks")))
+    x = open_.withColumn("part", F.expr("pmod(xxhash64(node), blocks)").cast("int")).alias("x")
+    y = open_.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).alias("y")
+    met = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.part") == F.col("y.part")) & (F.col("x.node") > F.col("y.node")) & (F.col("x.root") != F.col("y.root")) & roomy("x", "y", similarity))
+    return written(met.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct())
+
+
 def shingle_hashes(words: list[bytes], shingle: int) -> np.ndarray:
     """Ascending 64-bit hashes of the shingles."""
     joined, ends, at = b" ".join(words), [], -1

@@ -1,5 +1,6 @@
 import hashlib
 from collections import Counter
+from itertools import combinations
 
 import numpy as np
 import pytest
@@ -79,6 +80,18 @@ def test_near_duplicates_of_appended_and_cut_texts(spark):
     assert got == dict(enumerate(brute_groups(texts)))
 
 
+def test_near_duplicates_in_a_crowd(spark):
+    """Two texts each of the same blocks, where many other texts share each block but none is similar."""
+    rng = np.random.default_rng(6)
+    blocks = [" ".join(f"b{k}w{i}" for i in range(100)) for k in range(10)]
+    chosen = [x for k, x in enumerate(combinations(range(10), 5)) if k % 3 == 0]
+    texts = [" ".join(f"{blocks[b]} own{j}x{b}x{side}" for b in x) for j, x in enumerate(chosen) for side in range(2)]
+    order = rng.permutation(len(texts))
+    texts = [texts[i] for i in order]
+    got = {r.doc_id: r.keeper for r in simhash.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == dict(enumerate(brute_groups(texts)))
+
+
 def test_bpe(docs, empty):
     from tokenizers import Tokenizer
 
