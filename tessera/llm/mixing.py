@@ -20,6 +20,11 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("bigint")
 
 
+def source_key(name: Column) -> Column:
+    """A key that is never null and differs for a null source and all named ones."""
+    return F.coalesce(F.concat(F.lit("s"), name), F.lit("n"))
+
+
 def targets(sources: DataFrame, weights: tuple[float, ...], share: float, most: float) -> DataFrame:
     """Each source's target: ``share`` of all sizes by weight, at most ``most`` times its size, the excess reshared by weight.
 
@@ -45,8 +50,13 @@ def targets(sources: DataFrame, weights: tuple[float, ...], share: float, most:
     return named.select("key", "source_size", target.alias("target"))
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0, seed: str = "mix", id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
-    """(id, size, source_size, target, taken): the words of each row that the mix takes, repeats counted.
+def mix(docs: DataFrame, *args, id_col: str = "doc_id", **options) -> DataFrame:
+    """(id, size, source_size, target, taken): the words of each row that the mix takes, repeats counted; see ``shares``."""
+    return shares(docs, *args, id_col=id_col, **options).drop("key")
+
+
+def shares(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0, seed: str = "mix", id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
+    """(id, key, size, source_size, target, taken): the words of each row that the mix takes, repeats counted; ``key`` tells its source.
 
     A source takes all its rows as often as they fit the target whole; what remains of the budget is taken in the order
     of hash-random keys, up to the exact word, so at most one row of a source is cut. A null text has size 0; a null
@@ -55,7 +65,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float =
     """
     name, id_ = F.col(f"`{source_col}`"), F.col(f"`{id_col}`")
     sized = written(docs.select(id_.alias("id"), name.alias("name"), word_count(F.col(f"`{text_col}`")).alias("size")))
-    key = F.coalesce(F.concat(F.lit("s"), "name"), F.lit("n"))
+    key = source_key(F.col("name"))
     order = F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce(F.col("id").cast("string"), F.lit(""))).cast("binary"))
     sources = sized.groupBy("name").agg(F.sum("size").alias("source_size"), F.count("*").alias("n")).withColumn("key", key)
     aims = written(targets(sources.select("key", "name", "source_size"), weights, share, most).join(sources.select("key", "n"), "key"))
@@ -74,4 +84,4 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float =
     rounds = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("bigint")
     left = F.floor(F.col("target")).cast("bigint") - rounds * F.col("source_size")
     last = F.greatest(F.lit(0), F.least(F.col("size"), left - F.col("start") - F.col("inner")))
-    return summed.select(F.col("id").alias(id_col), "size", "source_size", "target", (rounds * F.col("size") + last).cast("bigint").alias("taken"))
+    return summed.select(F.col("id").alias(id_col), "key", "size", "source_size", "target", (rounds * F.col("size") + last).cast("bigint").alias("taken"))

@@ -204,6 +204,26 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
     return groups.where("id is not null").join(keepers, "root").select(F.col("id").alias(id_col), "keeper")
 
 
+def deduplicated(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of each group of near copies and exact copies, with all columns of ``docs``.
+
+    The row of the least id stays, a null id being the last; of rows alike in that, the one of the least text hash, then the
+    least in the other columns. Ids name rows and don't group them: rows of different texts stay, whether
+    their ids are null, repeated or neither.
+    """
+    keyed = docs.withColumns(dict(zip(("h1", "h2"), text_key(F.col(f"`{text_col}`")))))
+    groups = text_groups(docs, shingle, similarity, id_col=id_col, text_col=text_col)
+    texts = written(groups.groupBy("root", "h1", "h2").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id")).alias("least"), F.count("*").alias("rows")))
+    best = texts.groupBy("root").agg(F.min(F.struct("least", F.col("h1").alias("x"), F.col("h2").alias("y"))).alias("best"))
+    judged = written(texts.join(best, "root").select("h1", "h2", "rows", ((F.col("h1") == F.col("best.x")) & (F.col("h2") == F.col("best.y"))).alias("stays")))
+    # only texts that go, and those that stay in several rows, are joined, so that few copies cost no shuffle of texts
+    several = judged.where("stays and rows > 1").select("h1", "h2")
+    once = keyed.join(judged.where("not stays or rows > 1").select("h1", "h2"), ["h1", "h2"], "left_anti").select(*docs.columns)
+    others = [c for c in docs.columns if c != id_col]
+    first = F.min(F.struct(F.col(f"`{id_col}`").isNull().alias("none"), id_col, *others)).alias("x")
+    return once.unionByName(keyed.join(several, ["h1", "h2"], "left_semi").groupBy("h1", "h2").agg(first).select(*[F.col(f"x.`{c}`").alias(c) for c in docs.columns]))
+
+
 def text_key(text):
     """128 bits that tell texts apart; a null text is empty."""
     text = F.coalesce(text, F.lit(""))
