@@ -1,12 +1,11 @@
 """Removal of passages that repeat, by suffix automata of reference shards.
 
-An automaton of the whole corpus fits no machine, and streaming every document past the automaton of every shard
-costs the square of the input. So shards are made by content: a window of ``length`` words is owned by its least
-``GRAM``-word hash (its anchor), which equal windows share. Windows whose anchor occurs once cannot repeat. The passages
-around the other anchors are dealt to shards by anchor, equal ones as one with a count; each shard builds one suffix automaton of
-its passages, streams them past it for matching statistics, and marks the windows that occur twice. Anchors
-with over ``HOT`` occurrences are dealt by whole windows instead, of which each distinct one is a passage, so no
-anchor can fill a shard.
+Streaming every document past the automaton of every shard costs the square of the input, so shards are made by content, and
+each document sends its passages to the shards that can know them. A window of ``length`` words is owned by its least
+``GRAM``-word hash (its anchor), which equal windows share; the run of windows of one anchor is a passage. Windows whose anchor
+occurs once can't repeat. The other passages are dealt to shards by anchor, equal ones as one with a count; each shard builds one
+suffix automaton of its passages, streams them past it for matching statistics, and marks the windows that occur twice. At an anchor
+with over ``HOT`` different passages, which would outgrow a shard, each window is a passage and is dealt by its own hash.
 """
 
 from __future__ import annotations
@@ -145,9 +144,9 @@ class SuffixAutomaton:
 
 
 def repeated_windows(docs: DataFrame, length: int) -> DataFrame:
-    """Windows that occur more than once: (did, th, marks), marks as structs of the first window and a bit for each from there on.
+    """Windows that occur more than once: (h1, h2, marks), a row for each text that has some, marks as structs of the first window and a bit for each from there on.
 
-    ``docs`` has did, th (which name a row; equal rows may share them) and text.
+    ``docs`` has h1, h2 (which name a text, and which rows of equal texts share) and text.
     """
     total = docs.agg(F.sum(F.char_length("text"))).first()[0] or 0
     shards = max(docs.sparkSession.sparkContext.defaultParallelism, ceil(total / SHARD_CHARS))
@@ -161,19 +160,19 @@ def repeated_windows(docs: DataFrame, length: int) -> DataFrame:
                 row = np.searchsorted(starts, first, side="right") - 1
                 data = flat.tobytes()
                 sums = np.fromiter((digest(data[8 * i : 8 * j]) for i, j in zip(first.tolist(), (first + n + length - 1).tolist())), dtype=np.uint64, count=len(first))
-                yield pd.DataFrame({"did": rows["did"].to_numpy()[row], "th": rows["th"].to_numpy()[row], "first": (first - starts[row]).astype(np.int32), "n": n.astype(np.int32), "anchor": anchor.view(np.int64), "sum": sums.view(np.int64)})
+                yield pd.DataFrame({"h1": rows["h1"].to_numpy()[row], "h2": rows["h2"].to_numpy()[row], "first": (first - starts[row]).astype(np.int32), "n": n.astype(np.int32), "anchor": anchor.view(np.int64), "sum": sums.view(np.int64)})
 
-    every = written(docs.mapInPandas(passages, "did long, th long, first int, n int, anchor long, sum long"))
+    every = written(docs.mapInPandas(passages, "h1 long, h2 long, first int, n int, anchor long, sum long"))
     often = written(every.groupBy("anchor").agg(F.count("*").alias("times")).where("times > 1").select("anchor"))
     found = written(every.join(often, "anchor"))  # so that sums are taken before they are dealt by anchor, of which one may be very frequent
-    contents = written(found.groupBy("anchor", "sum").agg(F.count("*").alias("times"), F.min(F.struct("did", "th", "first", "n")).alias("x")).select("anchor", "sum", "times", "x.*"))
+    # rows of equal texts are one from here on, with how many they are
+    found = written(found.groupBy("h1", "h2", "first", "n", "anchor", "sum").agg(F.count("*").alias("times")))
+    contents = found.groupBy("anchor", "sum").agg(F.sum("times").alias("times"), F.min(F.struct("h1", "h2", "first", "n")).alias("x"))
+    contents = written(contents.select("anchor", "sum", "times", "x.*"))
     kinds = written(contents.groupBy("anchor").agg(F.count("*").alias("kinds")))
-    contents = contents.join(kinds, "anchor")
-    # a passage that is alone at its anchor repeats as a whole or not at all
-    alone = contents.where("kinds = 1").select("anchor", "sum", F.expr("shiftleft(1L, n) - 1").alias("mask"))
 
     def fetched(batches):
-        """The words of one passage of each content, or its windows by themselves at an anchor with very many contents."""
+        """The words of one passage of each content, or of its windows by themselves at an anchor with very many contents, with the shard that takes them."""
         for batch in batches:
             for rows in small(batch):
                 flat, starts, _ = word_hashes(rows["text"].tolist())
@@ -183,44 +182,40 @@ def repeated_windows(docs: DataFrame, length: int) -> DataFrame:
                     for x in asked:
                         i, n, a = int(at) + x["first"], x["n"], x["anchor"]
                         if x["kinds"] <= HOT:
-                            out.append((a % shards, a, x["sum"], x["times"], data[8 * i : 8 * (i + n + length - 1)], None, 0))
+                            out.append((a % shards, a, x["sum"], x["times"], 0, data[8 * i : 8 * (i + n + length - 1)]))
                         else:
-                            out += [(None, a, x["sum"], x["times"], None, int(w), k) for k, w in enumerate(whole[i : i + n])]
-                yield pd.DataFrame(out, columns=["shard", "anchor", "sum", "times", "words", "window", "k"]).astype({"shard": "Int32", "window": "Int64"})
+                            out += [(w % shards, a, x["sum"], x["times"], k, data[8 * (i + k) : 8 * (i + k + length)]) for k, w in enumerate(whole[i : i + n].tolist())]
+                yield pd.DataFrame(out, columns=["shard", "anchor", "sum", "times", "k", "words"])
 
-    asked = contents.where("kinds > 1").groupBy("did", "th").agg(F.collect_list(F.struct("first", "n", "anchor", "sum", "times", "kinds")).alias("asked"))
-    held = docs.join(asked, ["did", "th"]).select("text", "asked")
-    held = written(held.mapInPandas(fetched, "shard int, anchor long, sum long, times long, words binary, window long, k int"))
+    asked = contents.join(kinds, "anchor").groupBy("h1", "h2").agg(F.collect_list(F.struct("first", "n", "anchor", "sum", "times", "kinds")).alias("asked"))
+    texts = docs.groupBy("h1", "h2").agg(F.first("text").alias("text"))  # one of the rows of equal texts, so that many copies send few
+    held = written(texts.join(asked, ["h1", "h2"]).select("text", "asked").mapInPandas(fetched, "shard int, anchor long, sum long, times long, k int, words binary"))
 
     def match(key, group):
+        sequences = [np.frombuffer(x, np.uint64).tolist() for x in group["words"]]
+        automaton = SuffixAutomaton()
+        for sequence, n in zip(sequences, group["times"].tolist()):
+            automaton.add(sequence, n)
+        automaton.close()
         out = []
-        for anchor, rows in group.groupby("anchor", sort=False):
-            sequences = [np.frombuffer(x, np.uint64).tolist() for x in rows["words"]]
-            automaton = SuffixAutomaton()
-            for sequence, n in zip(sequences, rows["times"].tolist()):
-                automaton.add(sequence, n)
-            automaton.close()
-            for s, sequence in zip(rows["sum"], sequences):
-                if windows := automaton.repeats(sequence, length):
-                    out.append((anchor, s, sum(1 << i for i in windows)))
+        for anchor, s, k, sequence in zip(group["anchor"], group["sum"], group["k"], sequences):
+            if windows := automaton.repeats(sequence, length):
+                out.append((anchor, s, sum(1 << (k + i) for i in windows)))
         return pd.DataFrame(out, columns=["anchor", "sum", "mask"])
 
-    mixed = held.where("shard is not null").select("shard", "anchor", "sum", "times", "words").groupBy("shard").applyInPandas(match, "anchor long, sum long, mask long")
-    singles = held.where("window is not null").select("window", "anchor", "sum", "times", "k")
-    twice = singles.groupBy("window").agg(F.sum("times").alias("t")).where("t > 1").select("window")
-    single = singles.join(twice, "window").distinct().groupBy("anchor", "sum").agg(F.sum(F.expr("shiftleft(1L, k)")).alias("mask"))
-    marked = alone.unionByName(mixed).unionByName(single)
-    places = found.select("anchor", "sum", "did", "th", "first")
-    return places.join(marked, ["anchor", "sum"]).groupBy("did", "th").agg(F.collect_set(F.struct("first", "mask")).alias("marks"))
+    marked = held.groupBy("shard").applyInPandas(match, "anchor long, sum long, mask long").groupBy("anchor", "sum").agg(F.bit_or("mask").alias("mask"))
+    places = found.select("anchor", "sum", "h1", "h2", "first")
+    return places.join(marked, ["anchor", "sum"]).groupBy("h1", "h2").agg(F.collect_list(F.struct("first", "mask")).alias("marks"))
 
 
 def marked_docs(docs: DataFrame, length: int, id_col: str, text_col: str) -> DataFrame:
-    """(did, th, text, marks, own_0, ...) for every row of ``docs``; own_0, ... are its columns but the text."""
+    """(h1, h2, text, marks, own_0, ...) for every row of ``docs``; own_0, ... are its columns but the text."""
     if not GRAM <= length <= 63 + GRAM - 1:
         raise ValueError("length must be from 8 to 70 words")
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
-    keyed = docs.select(F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(-(2**63))).alias("did"), F.xxhash64(text).alias("th"), text.alias("text"), *[F.col(f"`{c}`").alias(f"own_{i}") for i, c in enumerate(docs.columns) if c != text_col])
-    return keyed.join(repeated_windows(keyed.select("did", "th", "text"), length), ["did", "th"], "left")
+    keys = F.xxhash64(text).alias("h1"), F.xxhash64(F.lit(7), text).alias("h2")
+    keyed = docs.select(*keys, text.alias("text"), *[F.col(f"`{c}`").alias(f"own_{i}") for i, c in enumerate(docs.columns) if c != text_col])
+    return keyed.join(repeated_windows(keyed.select("h1", "h2", "text"), length), ["h1", "h2"], "left")
 
 
 def covered(n: int, marks, length: int) -> np.ndarray:
@@ -257,8 +252,9 @@ def substring_dedup(docs: DataFrame, length: int = 35, id_col: str = "doc_id", t
 
     The window may start again in the same document, overlap itself included; windows are judged on the input, so all
     copies of a passage go. Texts that lose nothing stay as they are, others are their kept words joined by single
-    spaces. ``removed_col`` counts the removed words. Null and empty texts have no words and stay. Repeated rows are
-    copies of each other. Words are compared by 64-bit hashes.
+    spaces. ``removed_col`` counts the removed words and is replaced if ``docs`` has it. Null and empty texts have no words and stay.
+    Repeated rows are copies of each other, so all their windows go; they are worked out once, whatever their ids, which may be of
+    any type. An empty table gives no rows. Very long texts are taken by themselves. Words are compared by 64-bit hashes, texts by 128.
     """
     names = [c for c in docs.columns if c not in (text_col, removed_col)]
 
