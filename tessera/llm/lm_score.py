@@ -46,15 +46,16 @@ def lm_scores(docs: DataFrame, order: int = 3, backoff: float = 0.4, id_col: str
     backoff ** order / N, N being the words of the other documents (1 at least). Counts are of the whole corpus less the
     document itself, so copies elsewhere count and its own repeats don't. The score of a document is the sum of
     logarithms, and the mean is by word; both are 0 for null and empty texts. Repeated rows are documents each.
-    n-grams are told apart by hashes of log2(words) + 17 bits: one in 100,000 shares a count with another.
+    n-grams are told apart by hashes of 48 bits, or of log2(words) + 20 if that is more, up to 64: one in 500,000 of a large
+    corpus shares a count with another. Ids may be of any type, null and repeated ones included; a repeated row is another document, dealt with its
+    like to one task. An empty table gives no rows. A very long text is a chunk by itself. Other columns aren't read.
     """
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), text.alias("text"))
     total = rows.agg(F.sum(F.regexp_count("text", F.lit(WORD)))).first()[0] or 0
-    bits = min(64, ceil(log2(total + 2)) + 17)
+    bits = min(64, max(48, ceil(log2(total + 2)) + 20))
     chunks = max(1, ceil(total / CHUNK_WORDS))
     buckets = max(docs.sparkSession.sparkContext.defaultParallelism, ceil(total / BUCKET_GRAMS))
-    borders = np.array([-(-(b << bits) // buckets) for b in range(1, buckets)], dtype=np.uint64)
     dealt = rows.withColumn("chunk", F.expr(f"pmod(xxhash64(id, text), {chunks})").cast("int"))
 
     def ask(key, group):
@@ -62,11 +63,10 @@ def lm_scores(docs: DataFrame, order: int = 3, backoff: float = 0.4, id_col: str
         out = []
         for n, every in enumerate(hashes):
             grams, counts = np.unique(every, return_counts=True)
-            cut = [0, *np.searchsorted(grams, borders).tolist(), len(grams)]
-            for b in range(buckets):
-                i, j = cut[b], cut[b + 1]
-                if i < j:
-                    out.append((n * buckets + b, key[0], pack_sorted(grams[i:j]), zlib.compress(counts[i:j].astype("<u4").tobytes(), 1)))
+            bucket = (grams >> np.uint64(bits - 32)) * np.uint64(buckets) >> np.uint64(32)  # only buckets that have grams of this chunk get a row
+            cut = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1], True]) if len(grams) else [0]
+            for i, j in zip(cut, cut[1:]):
+                out.append((n * buckets + int(bucket[i]), key[0], pack_sorted(grams[i:j]), zlib.compress(counts[i:j].astype("<u4").tobytes(), 1)))
         return pd.DataFrame(out, columns=["bucket", "chunk", "grams", "counts"])
 
     def answer(key, group):
@@ -116,6 +116,6 @@ def lm_scores(docs: DataFrame, order: int = 3, backoff: float = 0.4, id_col: str
         return pd.DataFrame({"id": group["id"], "n_words": sizes, "log_score": score, "mean_log_score": score / np.maximum(sizes, 1)})
 
     kind = docs.schema[id_col].dataType.simpleString()
-    answers = dealt.groupBy("chunk").applyInPandas(ask, "bucket int, chunk int, grams binary, counts binary").groupBy("bucket").applyInPandas(answer, "chunk int, bucket int, sums binary")
+    answers = dealt.groupBy("chunk").applyInPandas(ask, "bucket long, chunk int, grams binary, counts binary").groupBy("bucket").applyInPandas(answer, "chunk int, bucket long, sums binary")
     scored = dealt.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInPandas(add, f"id {kind}, n_words long, log_score double, mean_log_score double")
     return scored.withColumnRenamed("id", id_col)
