@@ -17,8 +17,14 @@ from pyspark.sql import functions as F
 from .shared import SPACES, WORD
 
 SYMBOL = "[#*$%&|<>]"
-#: Phrases that mark a line as furniture of a page, in lower case.
-BOILERPLATE = ("cookie policy", "privacy policy", "terms of use", "terms of service", "all rights reserved", "enable javascript", "subscribe to our newsletter", "click here", "skip to content", "powered by")
+#: Phrases that mark a line as furniture of a page, in lower case, by language; the sign is of any.
+BOILERPLATE = (
+    *("cookie policy", "privacy policy", "terms of use", "terms of service", "all rights reserved", "enable javascript", "subscribe to our newsletter", "click here", "skip to content", "powered by"),
+    *("politique de confidentialité", "conditions d'utilisation", "tous droits réservés", "mentions légales", "cliquez ici"),
+    *("política de privacidad", "términos de uso", "todos los derechos reservados", "aviso legal", "haga clic aquí"),
+    *("datenschutzerklärung", "nutzungsbedingungen", "alle rechte vorbehalten", "hier klicken"),
+    "©",
+)
 
 
 @dataclass(frozen=True)
@@ -63,7 +69,8 @@ def quality(docs: DataFrame, rules: QualityRules = QualityRules(), id_col: str =
     line; ``n_repeat_words``, words in windows of five words that the text holds twice or more (compared by 64-bit
     hashes); ``base_failed``; ``lines_total`` and ``lines_kept``; ``clean_text``, the lines that pass; ``lost``, the share of code
     points in removed lines; ``kept``. A null text is empty: no words, all counts 0, ``base_failed``, not kept. Repeated
-    rows are judged alike. A column of ``docs`` named ``quality`` is replaced.
+    rows are judged alike, an empty table gives no rows. A column of ``docs`` named ``quality`` is replaced. The work grows with
+    the length of a text, but for the sort of its windows where some repeat.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     trimmed = F.btrim(text, F.lit(SPACES))

@@ -81,7 +81,80 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
+#: Lines that fail, as in quality.line_fails with its default rules.
+LINE = r"""
+            not regexp_matches(right(rtrim(l, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 3), '[.!?…。！？]["''”’»)\]]{0,2}$')
+            or (sy > 0 and sy >= 0.25 * nw) or (me >= 3 and 3 * me >= nw) or (ca >= 10 and ca > 0.6::double * le) or (@phrases@)"""
+PHRASES = " or ".join("contains(lower(l), '{}')".format(p.replace("'", "''")) for p in quality.BOILERPLATE)
+
 SQL = {
+    "op3_chat": r"""
+        with c as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+                   union all values (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')),
+        e as (select *, list_sum(list_transform([role, text], lambda x: length(x) + length(x) - length(replace(x, '\', ''))
+                  + list_sum(list_transform([['<|', '1'], ['|>', '1'], ['<|>', '-1'], ['<s>', '1'], ['</s>', '1'], ['[INST]', '1'], ['[/INST]', '1']],
+                                            lambda m: m[2]::bigint * ((length(x) - length(replace(x, m[1], ''))) // length(m[1])))))) as n from c),
+        t as (select conv_id, count(*) as n_turns, string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text) as turns,
+                     coalesce(string_agg(text, '' order by turn, role, text) filter (role = 'assistant'), '') as loss, sum(13 + n) as chars from e group by conv_id)
+        select conv_id, n_turns, sha256(turns) as turns_sha256, length(loss) as loss_chars, sha256(loss) as loss_sha256, cast(chars as bigint) as formatted_chars from t""",
+    "op4_url_filter": r"""
+        with p as (select page_id, coalesce(url, '') as u from pages),
+        q as (select page_id, translate(regexp_extract(u, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
+                     regexp_extract(u, '(?s)^.*?://[^/?#]*([^?#]*)', 1) as path from p),
+        r as (select *, host || path as s, case when (host = 'example.net' or ends_with(host, '.example.net')) and starts_with(path, '/en/') then 'example.net/en/'
+                     when (host = 'example.com' or ends_with(host, '.example.com')) and starts_with(path, '/de/') then 'example.com/de/'
+                     when (host = 'org' or ends_with(host, '.org')) and starts_with(path, '/fr/') then 'org/fr/'
+                     when (host = 'net' or ends_with(host, '.net')) and starts_with(path, '/') then 'net/' end as rule from q),
+        v as (select *, case when rule in ('example.net/en/', 'org/fr/') then 'allow' when rule is not null then 'block' end as ruled from r),
+        seen as (select distinct s, ruled from v where ruled is not null and s <> ''),
+        sample as (select s, ruled, md5(s)[1] in ('0', '1', '2') as held from seen qualify row_number() over (partition by ruled order by md5(s), s) <= 20000),
+        urls as (select s from sample union select s from v where rule is null and s <> ''),
+        g as (select s, substr(s, greatest(i - 4, 1), least(i, 5)) as gram from (select s, unnest(range(1, length(s) + 1)) as i from urls)),
+        x as (select gram, k, right(gram, k) as suffix, left(right(gram, k), k - 1) as context from (select gram, unnest(range(1, length(gram) + 1)) as k from (select distinct gram from g))),
+        n as (select x.suffix, x.context, count(*) filter (ruled = 'allow') as a, count(*) filter (ruled = 'block') as b
+              from sample join g using (s) join x using (gram) where not held group by 1, 2),
+        cx as (select context, sum(a) as ca, sum(b) as cb from n group by 1),
+        w as (select gram, k, coalesce(a, 0) as a, coalesce(b, 0) as b, coalesce(ca, 0) as ca, coalesce(cb, 0) as cb from x left join n on n.suffix = x.suffix left join cx on cx.context = x.context),
+        chance as (select gram, list_reduce(list({'n': a::double, 'c': ca::double} order by k), lambda p, y: {'n': (y.n + 4.0::double * p.n) / (y.c + 4.0::double), 'c': 0.0::double}, {'n': 1 / 256::double, 'c': 0.0::double}).n as pa,
+                          list_reduce(list({'n': b::double, 'c': cb::double} order by k), lambda p, y: {'n': (y.n + 4.0::double * p.n) / (y.c + 4.0::double), 'c': 0.0::double}, {'n': 1 / 256::double, 'c': 0.0::double}).n as pb from w group by gram),
+        score as (select s, avg(ln(pa) - ln(pb)) as score from g join chance using (gram) group by s),
+        known as (select ruled, held, score from sample join score using (s)),
+        used as (select ruled, score from known where held or (select count(distinct ruled) from known where held) < 2),
+        m as (select ruled, avg(score) as m, stddev_pop(score) + 1e-9 as d from used group by ruled),
+        lim as (select (coalesce(a.m, 0) * coalesce(b.d, 1 + 1e-9) + coalesce(b.m, 0) * coalesce(a.d, 1 + 1e-9)) / (coalesce(a.d, 1 + 1e-9) + coalesce(b.d, 1 + 1e-9)) as t
+                from (select 1) left join m a on a.ruled = 'allow' left join m b on b.ruled = 'block')
+        select page_id, host, path, rule, coalesce(ruled, case when coalesce(score, 0) >= t then 'allow' else 'block' end) as verdict from v left join score using (s), lim""",
+    "op5_quality": r"""
+        with d as (select doc_id, coalesce(text, '') as text, @words@ as w from documents),
+        p as (select doc_id, len(w) as n, w, unnest(range(1, len(w) - 3)) as i from d where len(w) >= 5),
+        y as (select doc_id, i, count(*) over (partition by doc_id, array_to_string(w[i:i + 4], ' ')) as times from p),
+        c as (select doc_id, count(distinct k) as n_repeat_words from (select doc_id, unnest(range(i, i + 5)) as k from y where times > 1) group by doc_id),
+        ls as (select doc_id, unnest(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^ 	-
+]'))) as l from d),
+        ms as (select doc_id, l, len(@words_l@) as nw, len(regexp_extract_all(l, '[#*$%&|<>]')) as sy, len(regexp_extract_all(l, '[|>]')) as me,
+                      len(regexp_extract_all(l, '\p{Lu}')) as ca, len(regexp_extract_all(l, '\p{L}')) as le from ls),
+        js as (select doc_id, count(*) - count(distinct l) as n_dup_lines, sum(length(l)) as total, sum(case when @line@ then 0 else length(l) end) as good from ms group by doc_id),
+        b as (select d.doc_id, len(w)::bigint as n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::bigint as word_chars, len(regexp_extract_all(text, '[#*$%&|<>]'))::bigint as n_symbols,
+                     coalesce(n_dup_lines, 0)::bigint as n_dup_lines, coalesce(n_repeat_words, 0)::bigint as n_repeat_words, case when total > 0 then 1 - good / total::double else 0 end as lost
+              from d left join c on c.doc_id = d.doc_id left join js on js.doc_id = d.doc_id),
+        f as (select *, n_words < 10 or 100 * n_repeat_words > 20 * n_words as base_failed from b)
+        select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and lost <= 0.4::double as kept from f""".replace("@words@", WORDS).replace("@words_l@", WORDS.replace("coalesce(text, '')", "l")).replace("@line@", LINE.replace("@phrases@", PHRASES)),
+    "op9_lm_score": rf"""
+        with d as (select doc_id, {WORDS} as w from documents), size as (select sum(len(w)) as n from d),
+        u as (select doc_id, w, len(w) as n, unnest(range(1, len(w) + 1)) as i from d),
+        g as (select doc_id, n, i, w[i] as g1, case when i > 1 then w[i - 1] || ' ' || w[i] end as g2, case when i > 2 then w[i - 2] || ' ' || w[i - 1] || ' ' || w[i] end as g3,
+                     case when i > 1 then w[i - 1] end as c2, case when i > 2 then w[i - 2] || ' ' || w[i - 1] end as c3 from u),
+        e as (select doc_id, g1 as gram, 1 as k from g union all select doc_id, g2, 2 from g where g2 is not null union all select doc_id, g3, 3 from g where g3 is not null),
+        own as (select doc_id, k, gram, count(*) as m from e group by 1, 2, 3),
+        rest as (select doc_id, k, gram, sum(m) over (partition by k, gram) - m as o from own),
+        s as (select g.doc_id, g.n, g.i, r1.o as o1, r2.o as o2, r3.o as o3, x1.o as x1, x2.o as x2, greatest(size.n - g.n, 1) as total from g, size
+              left join rest r1 on r1.doc_id = g.doc_id and r1.k = 1 and r1.gram = g1 left join rest r2 on r2.doc_id = g.doc_id and r2.k = 2 and r2.gram = g2
+              left join rest r3 on r3.doc_id = g.doc_id and r3.k = 3 and r3.gram = g3 left join rest x1 on x1.doc_id = g.doc_id and x1.k = 1 and x1.gram = g.c2
+              left join rest x2 on x2.doc_id = g.doc_id and x2.k = 2 and x2.gram = g.c3),
+        v as (select doc_id, case when o3 > 0 then ln(o3 / x2::double) when o2 > 0 then ln(o2 / x1::double) + (least(i, 3) - 2) * ln(0.4)
+                                  when o1 > 0 then ln(o1 / total::double) + (least(i, 3) - 1) * ln(0.4) else 3 * ln(0.4) - ln(total::double) end as v from s)
+        select d.doc_id, len(w)::bigint as n_words, round(coalesce(sum(v), 0), 4) as log_score, round(coalesce(sum(v), 0) / greatest(len(w), 1), 6) as mean_log_score
+        from d left join v on v.doc_id = d.doc_id group by d.doc_id, len(w)""",
     "op6_mixing": rf"""
         with d as (select doc_id, source, cast(len({WORDS}) as bigint) as size, md5('mix|' || coalesce(cast(doc_id as varchar), '')) as o from documents),
         s as (select source, sum(size)::bigint as source_size from d group by source),

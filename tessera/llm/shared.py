@@ -16,10 +16,12 @@ WORD = "[^\\x20\\x09-\\x0D]+"
 
 
 def scratch_folder(spark: SparkSession) -> str:
-    """A new path in the folder of ``spark.checkpoint.dir``; the setting is only made here where it is unset."""
+    """A new path in the folder of ``spark.checkpoint.dir``. Where that is unset, a local session gets one; on a cluster it has to be set."""
     context = spark.sparkContext
     base = context.getConf().get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not base:
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = tempfile.mkdtemp(prefix="tessera-")
         context.setCheckpointDir(base)
     return f"{base.rstrip('/')}/tessera-{uuid.uuid4().hex}"
