@@ -22,7 +22,7 @@ from math import ceil, comb, log2
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import connected_components, mix64, pack_sorted, unpack_sorted, written
@@ -30,6 +30,8 @@ from .shared import connected_components, mix64, pack_sorted, unpack_sorted, wri
 #: Variants that one task makes, or gathers, at a time.
 CHUNK_ROWS = 16_000_000
 BUCKET_ROWS = 4_000_000
+#: Bits of the sketch that rules out pairs of texts: 64 bytes decide for texts of up to about a thousand words.
+SKETCH = 512
 
 
 def fingerprint(text: str | None, shingle: int, bits: int = 64, seed: int = 42, damped: bool = False) -> int:
@@ -238,13 +240,15 @@ def text_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, cent
 
     Candidates come from an exact prefix filter: with shingles in one order for all texts, two texts this similar share a
     shingle among the first of both, at places that leave room for the overlap needed. Rare shingles are the first, so that
-    common passages make few candidates; how common they are is taken from a sample, which can't change what is found. At each
-    shingle texts are first compared with the first of ``centers`` fixed random orders, then all that these leave in
-    different components with each other, so a group of very many copies costs no pairs but those of its first ones.
+    common passages make few candidates; how common they are is taken from a sample, which can't change what is found. In each
+    round a text is compared with ``centers`` texts of other components, the first in as many random orders of those it shares a
+    shingle with, so a group of very many copies comes together in few rounds. When a round no longer halves what is open, all that
+    share a shingle and are still in different components are compared with each other.
     """
     texts = docs.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
     texts = texts.select("id", "text", *[x.alias(name) for x, name in zip(text_key(F.col("text")), ("h1", "h2"))])
     common = common_shingles(texts, shingle)
+    held = ("n", "counts", "prefix", "sketch")
 
     def keyed(batches):
         for batch in batches:
@@ -252,7 +256,7 @@ def text_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, cent
             sets = [shingle_hashes(w, shingle) for w in words]
             out = {c: batch[c] for c in ("id", "h1", "h2")} | {"sum": [xxhash.xxh3_128_hexdigest(b" ".join(w)) for w in words]}
             out |= {"n": [len(x) for x in sets], "counts": [counted(np.unique(x.astype("<u4"))) for x in sets]}
-            yield pd.DataFrame(out | {"prefix": [prefix(x, common.value, similarity).tobytes() for x in sets]})
+            yield pd.DataFrame(out | {"prefix": [prefix(x, common.value, similarity).tobytes() for x in sets], "sketch": [odd_sketch(x).tolist() for x in sets]})
 
     def told(batches):
         for batch in batches:
@@ -264,21 +268,33 @@ def text_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, cent
                 yield pd.DataFrame({"token": np.concatenate(parts), "node": np.repeat(batch["node"].to_numpy(), size), "n": n, "room": n - place})
 
     kind = docs.schema[id_col].dataType.simpleString()
-    own = written(texts.mapInPandas(keyed, f"id {kind}, h1 long, h2 long, sum string, n int, counts binary, prefix binary"))
-    prints = own.groupBy("sum").agg(F.min(F.struct("h1", "h2", "n", "counts", "prefix")).alias("x")).select("sum", "x.*")
+    own = written(texts.mapInPandas(keyed, f"id {kind}, h1 long, h2 long, sum string, n int, counts binary, prefix binary, sketch array<long>"))
+    prints = own.groupBy("sum").agg(F.min(F.struct("h1", "h2", *held)).alias("x")).select("sum", "x.*")
     prints = written(prints.withColumn("node", F.monotonically_increasing_id()))
-    every = Window.partitionBy("token")
     tokens = prints.select("node", "n", "prefix").mapInPandas(told, "token long, node long, n int, room int")
-    shared = written(tokens.withColumn("held", F.count("*").over(every)).where("held > 1"))
-    starred = connected_components(verified(texts, prints, star_pairs(shared, similarity, centers), shingle, similarity))
-    roots = written(prints.join(starred, "node", "left").select("node", F.coalesce("root", "node").alias("root")))
-    more = verified(texts, prints, rest_pairs(shared, roots, similarity), shingle, similarity)
-    ends = roots.select(F.col("node").alias("a"), F.col("root").alias("x")), roots.select(F.col("node").alias("b"), F.col("root").alias("y"))
-    joined = connected_components(more.join(ends[0], "a").join(ends[1], "b").select("x", "y"), "x", "y").select(F.col("node").alias("root"), F.col("root").alias("top"))
-    roots = written(roots.join(joined, "root", "left").select("node", F.coalesce("top", "root").alias("root")))
+    several = tokens.groupBy("token").agg(F.count("*").alias("held")).where("held > 1")
+    shared = written(tokens.join(several, "token"))
+    roots = prints.select("node", F.col("node").alias("root"))
+    open_, rows, before = shared.withColumn("root", F.col("node")), shared.count(), None
+    turn = 0
+    while rows and (before is None or 2 * rows <= before):
+        near = verified(texts, prints, star_pairs(open_, similarity, centers, turn), shingle, similarity)
+        roots = written(merged(roots, near))
+        bounds = shared.join(roots, "node").groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
+        open_ = written(shared.join(bounds.select("token"), "token").join(roots, "node"))
+        before, rows, turn = rows, open_.count(), turn + 1
+    if rows:
+        roots = written(merged(roots, verified(texts, prints, rest_pairs(open_, prints, similarity), shingle, similarity)))
     return own.select("id", "h1", "h2", "sum").join(prints.select("sum", "node").join(roots, "node").select("sum", "root"), "sum").drop("sum")
 
 
+def merged(roots: DataFrame, near: DataFrame) -> DataFrame:
+    """Roots (node, root) with the components united that the pairs (a, b) link."""
+    ends = roots.select(F.col("node").alias("a"), F.col("root").alias("x")), roots.select(F.col("node").alias("b"), F.col("root").alias("y"))
+    joined = connected_components(near.join(ends[0], "a").join(ends[1], "b").select("x", "y"), "x", "y").select(F.col("node").alias("root"), F.col("root").alias("top"))
+    return roots.join(joined, "root", "left").select("node", F.coalesce("top", "root").alias("root"))
+
+
 def common_shingles(texts: DataFrame, shingle: int, least: int = 16_384, share: int = 16, most: int = 100_000):
     """Broadcast: ascending hashes of the shingles that most texts of a sample have, and of how many."""
     def hashed(batches):
@@ -304,36 +320,50 @@ def prefix(hashes: np.ndarray, common: tuple[np.ndarray, np.ndarray], similarity
     return hashes[np.lexsort((hashes, held))[: len(hashes) - ceil(similarity * len(hashes) - 1e-9) + 1]]
 
 
-def roomy(x: str, y: str, similarity: float):
-    """Whether two texts can share enough if the shingle of these rows is the first that they share."""
-    need = (F.col(f"{x}.n") + F.col(f"{y}.n")) * F.lit(similarity / (1 + similarity)) - F.lit(1e-6)
-    return F.least(F.col(f"{x}.room"), F.col(f"{y}.room")) >= need
-
+def enough(n, m, room, similarity: float):
+    """Whether two sets of n and m shingles can share enough if no more than ``room`` are left."""
+    return room >= (n + m) * F.lit(similarity / (1 + similarity)) - F.lit(1e-6)
 
-def star_pairs(shared: DataFrame, similarity: float, centers: int) -> DataFrame:
-    """Pairs (a, b) of each text with the first texts of ``centers`` fixed random orders among those that share a shingle with it."""
-    every = Window.partitionBy("token")
-    leads = [F.min(F.struct(F.xxhash64("node", F.lit(c)).alias("o"), "node", "n", "room")).over(every) for c in range(centers)]
-    met = shared.select(F.struct("node", "n", "room").alias("x"), F.array(*leads).alias("leads")).select("x", F.explode("leads").alias("y"))
-    met = met.where((F.col("x.node") != F.col("y.node")) & roomy("x", "y", similarity))
-    return written(met.select(F.greatest("x.node", "y.node").alias("a"), F.least("x.node", "y.node").alias("b")).distinct())
 
+def star_pairs(open_: DataFrame, similarity: float, centers: int, turn: int) -> DataFrame:
+    """Pairs (a, b), ``centers`` for each text at most: in each of as many random orders, the first text of another component that shares a shingle with it.
 
-def rest_pairs(shared: DataFrame, roots: DataFrame, similarity: float, block: int = 1000) -> DataFrame:
-    """All pairs (a, b) that share a shingle and that ``roots`` (node, root) leaves in different components.
-
-    Shingles whose texts are of one component are done with. A shingle's texts meet in blocks of about ``block`` by all, dealt to
-    tasks of their own, so that a shingle of very many texts isn't one task's.
+    A shingle's first texts are aggregates, so that one that very many texts share is combined before it is shuffled.
+    """
+    fields, orders = ("node", "n", "room", "root"), range(centers)
+    order = lambda c: F.xxhash64("node", F.lit(centers * turn + c))
+    firsts = open_.groupBy("token").agg(*[F.min_by(f, order(c)).alias(f"{f}{c}") for c in orders for f in fields])
+    met = open_.alias("x").join(firsts, "token")
+    lead = lambda c: F.struct(F.xxhash64(f"node{c}", F.lit(centers * turn + c)).alias("o"), F.col(f"node{c}").alias("node"))
+    fits = lambda c: (F.col("x.root") != F.col(f"root{c}")) & enough(F.col("x.n"), F.col(f"n{c}"), F.least("x.room", f"room{c}"), similarity)
+    best = met.groupBy("node").agg(*[F.min(F.when(fits(c), lead(c))).alias(f"b{c}") for c in orders])
+    pairs = best.select(F.col("node").alias("x"), F.explode(F.array_distinct(F.array(*[F.col(f"b{c}.node") for c in orders]))).alias("y")).where("y is not null")
+    return written(pairs.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct())
+
+
+def rest_pairs(open_: DataFrame, prints: DataFrame, similarity: float, block: int = 1000) -> DataFrame:
+    """All pairs (a, b) that share a shingle, are in different components, and whose sketches leave it possible that they are similar.
+
+    A shingle's texts meet in blocks of about ``block`` by all, dealt to tasks of their own, so that a shingle of very many texts
+    isn't one task's. Two sketches differ in no more bits than their sets in shingles, and that bounds the similarity.
     """
-    every = Window.partitionBy("token")
-    open_ = shared.join(roots, "node").withColumns({"low": F.min("root").over(every), "high": F.max("root").over(every)})
-    open_ = written(open_.where("low < high").select("token", "node", "n", "room", "root", F.ceil(F.col("held") / block).cast("int").alias("blocks")))
-    x = open_.withColumn("part", F.expr("pmod(xxhash64(node), blocks)").cast("int")).alias("x")
-    y = open_.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).alias("y")
-    met = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.part") == F.col("y.part")) & (F.col("x.node") > F.col("y.node")) & (F.col("x.root") != F.col("y.root")) & roomy("x", "y", similarity))
+    held = open_.select("token", "node", "n", "room", "root", F.ceil(F.col("held") / block).cast("int").alias("blocks")).join(prints.select("node", *[F.col("sketch")[k].alias(f"s{k}") for k in range(SKETCH // 64)]), "node")
+    held = written(held)
+    x = held.withColumn("part", F.expr("pmod(xxhash64(node), blocks)").cast("int")).alias("x")
+    y = held.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).alias("y")
+    differ = sum((F.bit_count(F.col(f"x.s{k}").bitwiseXOR(F.col(f"y.s{k}"))) for k in range(SKETCH // 64)), F.lit(0))
+    possible = differ <= (F.col("x.n") + F.col("y.n")) * F.lit((1 - similarity) / (1 + similarity)) + F.lit(1e-6)
+    roomy = enough(F.col("x.n"), F.col("y.n"), F.least("x.room", "y.room"), similarity)
+    met = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.part") == F.col("y.part")) & (F.col("x.node") > F.col("y.node")) & (F.col("x.root") != F.col("y.root")) & roomy & possible)
     return written(met.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct())
 
 
+def odd_sketch(hashes: np.ndarray) -> np.ndarray:
+    """SKETCH bits, each the parity of the number of hashes that fall to it."""
+    odd = np.bincount((hashes >> np.uint64(64 - SKETCH.bit_length() + 1)).astype(np.int64), minlength=SKETCH) & 1
+    return np.packbits(odd.astype(np.uint8)).view("<i8")
+
+
 def shingle_hashes(words: list[bytes], shingle: int) -> np.ndarray:
     """Ascending 64-bit hashes of the shingles."""
     joined, ends, at = b" ".join(words), [], -1
