@@ -204,6 +204,7 @@ def repeated_windows(docs: DataFrame, length: int) -> DataFrame:
         return pd.DataFrame(out, columns=["anchor", "sum", "mask"])
 
     marked = held.groupBy("shard").applyInPandas(match, "anchor long, sum long, mask long").groupBy("anchor", "sum").agg(F.bit_or("mask").alias("mask"))
+    marked = written(marked)  # so that the places of a content that very many texts have can be split
     places = found.select("anchor", "sum", "h1", "h2", "first")
     return places.join(marked, ["anchor", "sum"]).groupBy("h1", "h2").agg(F.collect_list(F.struct("first", "mask")).alias("marks"))
 
