@@ -6,6 +6,7 @@ import ast
 import difflib
 import unicodedata
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -149,18 +150,56 @@ def valid_ids(liked: Column, n_items: int) -> Column:
     return F.array_distinct(F.filter(liked, lambda x: (x >= 0) & (x < n_items)))
 
 
-def version_stamp() -> Column:
-    return F.date_format(F.current_timestamp(), "yyyyMMddHHmmss")
+def version_stamp(at: Column | None = None) -> Column:
+    return F.date_format(F.current_timestamp() if at is None else at, "yyyyMMddHHmmss")
 
 
-def etag(*columns: Column) -> Column:
+def tag_choices(preset: Column, own: Column) -> Column:
+    """The preset tags, then those of one's own that aren't among them."""
+    return F.array_union(preset, own)
+
+
+def etag(*columns: Column | str) -> Column:
     return F.md5(F.to_json(F.struct(*columns)))
 
 
-def closest_title(keys: list[str], cutoff: float = 0.5):
-    """A function of key columns that gives the most similar of ``keys`` (a catalog's, so bounded) by matching blocks, or null."""
-    def closest(key: pd.Series) -> pd.Series:
-        known = set(keys)
-        return key.map(lambda x: x if x is None or x in known else next(iter(difflib.get_close_matches(x, keys, 1, cutoff)), None))
+def closest(asked: list[str], keys: list[str], cutoff: float) -> list[tuple[str, str, float]]:
+    """(key, its most similar of ``keys``, the similarity) where that is ``cutoff`` or more; of equally similar ones the last in order."""
+    letters = sorted(set("".join(keys)) | set("".join(asked)))
+    place = {c: i for i, c in enumerate(letters)}
+    counts = lambda words: np.array([np.bincount([place[c] for c in w], minlength=len(letters)) for w in words]).reshape(len(words), -1)
+    keys = sorted(keys, reverse=True)
+    held, sizes, out = counts(keys), np.array([len(k) for k in keys]), []
+    for word, own in zip(asked, counts(asked)):
+        bound = 2 * np.minimum(held, own).sum(axis=1) / np.maximum(sizes + len(word), 1)
+        matcher, best = difflib.SequenceMatcher(b=word), (None, cutoff)
+        for at in np.argsort(-bound, kind="stable"):
+            if bound[at] < best[1]:
+                break
+            matcher.set_seq1(keys[at])
+            ratio = matcher.ratio()
+            if ratio > best[1] or ratio == best[1] and (best[0] is None or keys[at] > best[0]):
+                best = keys[at], ratio
+        if best[0] is not None:
+            out.append((word, *best))
+    return out
+
+
+def first_genres(genres: Column, n: int = 2) -> Column:
+    """The first genres of a comma list."""
+    return F.slice(F.filter(F.transform(F.split(genres, ","), lambda x: F.trim(x)), lambda x: x != ""), 1, n)
+
+
+def one_decimal(number: Column) -> Column:
+    """A rating as text with one decimal; null for none."""
+    return F.when(number.isNotNull(), F.format_string("%.1f", number))
+
+
+def same_set(a: Column, b: Column) -> Column:
+    """Whether two lists hold the same ids, in any order."""
+    return F.array_sort(a).eqNullSafe(F.array_sort(b))
+
 
-    return F.pandas_udf(closest, "string")
+def coalesced_year(year: Column, other: Column) -> Column:
+    """A catalog's year, else the other set's if it is positive."""
+    return F.coalesce(year, F.when(other > 0, other))

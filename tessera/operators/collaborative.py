@@ -2,36 +2,154 @@
 
 from __future__ import annotations
 
+from math import ceil
+
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.tables import stored, with_item_ids
 from .interactions import gram
 
-#: The model inverts a dense matrix of the catalog, so a catalog has a limit; counts of likes have none.
-MOST_ITEMS = 12_000
+BLOCKS = "bi int, bj int, data binary"
+
+
+def matrix(data: bytes, rows: int) -> np.ndarray:
+    return np.frombuffer(data).reshape(rows, -1)
+
+
+def gram_blocks(likes: DataFrame, index: DataFrame, l2: float, block: int) -> tuple[DataFrame, int]:
+    """X'X + l2 I as square blocks of doubles, padded with the identity to a whole number of blocks; how many there are a side."""
+    n = index.count()
+    side = max(1, ceil(n / block))
+    counts = gram(likes.join(index.select("item_id"), "item_id", "left_semi"))
+    at = lambda c, p: index.select(F.col("item_id").alias(c), F.col("pos").alias(p))
+    placed = counts.join(at("i", "pi"), "i").join(at("j", "pj"), "j")
+    place = lambda c, f: f(F.col(c) / block).cast("int") if f else (F.col(c) % block).cast("int")
+    cells = placed.select(place("pi", F.floor).alias("bi"), place("pj", F.floor).alias("bj"), place("pi", None).alias("r"), place("pj", None).alias("c"), "w")
+    grid = likes.sparkSession.range(side * side).select(F.floor(F.col("id") / side).cast("int").alias("bi"), (F.col("id") % side).cast("int").alias("bj"))
+
+    def fill(key, _, own):
+        out = np.zeros((block, block))
+        out[own["r"].to_numpy(), own["c"].to_numpy()] = own["w"].to_numpy()
+        if key[0] == key[1]:
+            real = np.arange(block) + key[0] * block < n
+            out[np.diag_indices(block)] += np.where(real, l2, 1.0)
+        return pd.DataFrame({"bi": [key[0]], "bj": [key[1]], "data": [out.tobytes()]})
+
+    return stored(grid.groupBy("bi", "bj").cogroup(cells.groupBy("bi", "bj")).applyInPandas(fill, BLOCKS)), side
+
+
+def inverse(blocks: DataFrame, side: int, block: int) -> DataFrame:
+    """The inverse of a symmetric positive matrix, by Gauss-Jordan elimination of blocks: in each of ``side`` steps all blocks meet the pivot's row and column."""
+    def pivoted(batches):
+        for batch in batches:
+            yield batch.assign(data=[np.linalg.inv(matrix(x, block)).tobytes() for x in batch["data"]])
 
+    for k in range(side):
+        pivot = blocks.where((F.col("bi") == k) & (F.col("bj") == k)).mapInPandas(pivoted, BLOCKS).first()["data"]  # one block
+        shared = blocks.sparkSession.sparkContext.broadcast(matrix(pivot, block))
+        row = blocks.where(F.col("bi") == k).select("bj", F.col("data").alias("row"))
+        column = blocks.where(F.col("bj") == k).select("bi", F.col("data").alias("col"))
+        met = blocks.join(row, "bj").join(column, "bi")
 
-def ease(likes: DataFrame, items: DataFrame, l2: float) -> DataFrame:
-    """Edges (i, j, w) of B, where P = (X'X + l2 I)^-1, B_ij = -P_ij / P_jj and B_ii = 0.
+        def step(batches, k=k, shared=shared):
+            p = shared.value
+            for batch in batches:
+                out = []
+                for i, j, *data in zip(batch["bi"], batch["bj"], batch["data"], batch["row"], batch["col"]):
+                    a, r, c = (matrix(x, block) for x in data)
+                    if i == k:
+                        new = p if j == k else p @ r
+                    else:
+                        new = -(c @ p) if j == k else a - c @ (p @ r)
+                    out.append(np.ascontiguousarray(new).tobytes())
+                yield pd.DataFrame({"bi": batch["bi"], "bj": batch["bj"], "data": out})
 
-    X'X is counted by Spark; only item-by-item counts, bounded by MOST_ITEMS, reach the driver for the inverse.
+        blocks = stored(met.select("bi", "bj", "data", "row", "col").mapInPandas(step, BLOCKS))
+    return blocks
+
+
+def ease_blocks(likes: DataFrame, items: DataFrame, l2: float, block: int = 512) -> tuple[DataFrame, DataFrame]:
+    """(blocks, index): B, where P = (X'X + l2 I)^-1, B_ij = -P_ij / P_jj and B_ii = 0, in square blocks, and each item's place in it.
+
+    The counts, the inverse and the result are blocks that Spark holds; one block at a time goes through the driver.
     """
-    ids = [r[0] for r in items.select("item_id").distinct().orderBy("item_id").limit(MOST_ITEMS + 1).collect()]
-    if len(ids) > MOST_ITEMS:
-        raise ValueError(f"the closed form takes at most {MOST_ITEMS} items")
-    counts = gram(likes.join(items.select("item_id").distinct(), "item_id", "left_semi")).toPandas()
-    place = {x: k for k, x in enumerate(ids)}
-    g = np.zeros((len(ids), len(ids)))
-    g[counts["i"].map(place).to_numpy(dtype=int), counts["j"].map(place).to_numpy(dtype=int)] = counts["w"].to_numpy()
-    g[np.diag_indices(len(ids))] += l2
-    p = np.linalg.inv(g)
-    b = -p / np.diag(p)[None, :]
-    np.fill_diagonal(b, 0.0)
-    spark = likes.sparkSession
-    rows = spark.createDataFrame([(ids[k], b[k].tolist()) for k in range(len(ids))], f"i {items.schema['item_id'].dataType.simpleString()}, row array<double>")
-    names = F.array(*[F.lit(x) for x in ids])
-    return rows.select("i", F.posexplode("row").alias("p", "w")).where("w <> 0").select("i", F.get(names, F.col("p")).alias("j"), "w")
+    index = stored(with_item_ids(items.select("item_id").distinct(), ["item_id"], "pos"))
+    counts, side = gram_blocks(likes, index, l2, block)
+    p = inverse(counts, side, block)
+    diagonal = p.where("bi = bj").select("bj", F.col("data").alias("d"))
+
+    def scaled(batches):
+        for batch in batches:
+            out = []
+            for i, j, data, d in zip(batch["bi"], batch["bj"], batch["data"], batch["d"]):
+                b = -matrix(data, block) / np.diag(matrix(d, block))[None, :]
+                if i == j:
+                    np.fill_diagonal(b, 0.0)
+                out.append(b.tobytes())
+            yield pd.DataFrame({"bi": batch["bi"], "bj": batch["bj"], "data": out})
+
+    return stored(p.join(diagonal, "bj").select("bi", "bj", "data", "d").mapInPandas(scaled, BLOCKS)), index
+
+
+def ease(likes: DataFrame, items: DataFrame, l2: float, block: int = 512) -> DataFrame:
+    """Edges (i, j, w) of B, all that aren't 0: as many as the square of the catalog, so for small ones; see ``block_scores``."""
+    blocks, index = ease_blocks(likes, items, l2, block)
+
+    def told(batches):
+        for batch in batches:
+            for i, j, data in zip(batch["bi"], batch["bj"], batch["data"]):
+                b = matrix(data, block)
+                r, c = np.nonzero(b)
+                yield pd.DataFrame({"pi": i * block + r, "pj": j * block + c, "w": b[r, c]})
+
+    at = lambda c, p: index.select(F.col("item_id").alias(c), F.col("pos").alias(p))
+    return blocks.mapInPandas(told, "pi long, pj long, w double").join(at("i", "pi"), "pi").join(at("j", "pj"), "pj").select("i", "j", "w")
+
+
+def block_scores(fold_in: DataFrame, blocks: DataFrame, index: DataFrame, block: int = 512, users: int = 50_000) -> DataFrame:
+    """(user_id, item_id, score, link) of all items for each user: sums and maxima over the rows of B of the liked items, by column block and chunk of about ``users`` users."""
+    liked = stored(fold_in.join(index, "item_id").groupBy("user_id").agg(F.collect_set("pos").alias("own")))
+    chunks = max(1, ceil(liked.count() / users))
+    columns = blocks.select("bj").distinct().withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
+    asked = liked.withColumn("chunk", F.expr(f"pmod(xxhash64(user_id), {chunks})").cast("int")).join(columns, "chunk")
+    panels = blocks.join(columns, "bj").select("bi", (F.col("bj") + 0).alias("panel"), (F.col("chunk") + 0).alias("part"), "data")
+    kind = fold_in.schema["user_id"].dataType.simpleString()
+
+    def add(key, own, panel):
+        if not len(own) or not len(panel):
+            return pd.DataFrame({"user_id": own["user_id"][:0], "pos": [], "score": [], "link": []})
+        b = np.concatenate([matrix(x, block) for x in panel.sort_values("bi")["data"]])
+        rows = [b[list(p)] for p in own["own"]]
+        total, most = (np.array([f(x, axis=0) for x in rows]) for f in (np.sum, np.max))
+        pos = key[0] * block + np.arange(block)
+        return pd.DataFrame({"user_id": np.repeat(own["user_id"].to_numpy(), block), "pos": np.tile(pos, len(own)), "score": total.ravel(), "link": most.ravel()})
+
+    done = asked.groupBy("bj", "chunk").cogroup(panels.groupBy("panel", "part")).applyInPandas(add, f"user_id {kind}, pos long, score double, link double")
+    return done.join(index, "pos").select("user_id", "item_id", "score", "link")
+
+
+def normal_equations(likes: DataFrame, blocks: DataFrame, index: DataFrame, l2: float, block: int = 512) -> DataFrame:
+    """(k, j, w): the elements of (X'X + l2 I) B beside the diagonal, which are those of X'X if B is exact."""
+    counts, _ = gram_blocks(likes, index, l2, block)
+    left = counts.select("bi", F.col("bj").alias("m"), F.col("data").alias("a"))
+    met = left.join(blocks.select(F.col("bi").alias("m"), "bj", "data"), "m")
+
+    def multiplied(batches):
+        for batch in batches:
+            yield batch[["bi", "bj"]].assign(data=[(matrix(a, block) @ matrix(b, block)).tobytes() for a, b in zip(batch["a"], batch["data"])])
+
+    def summed(key, group):
+        i, j = key
+        total = sum(matrix(x, block) for x in group["data"])
+        r, c = np.nonzero(np.abs(total) > 1e-7)
+        return pd.DataFrame({"pi": i * block + r, "pj": j * block + c, "w": total[r, c]}).query("pi != pj")
+
+    done = met.select("bi", "bj", "a", "data").mapInPandas(multiplied, BLOCKS).groupBy("bi", "bj").applyInPandas(summed, "pi long, pj long, w double")
+    at = lambda c, p: index.select(F.col("item_id").alias(c), F.col("pos").alias(p))
+    return done.join(at("k", "pi"), "pi").join(at("j", "pj"), "pj").select("k", "j", "w")
 
 
 def scores(fold_in: DataFrame, edges: DataFrame) -> DataFrame:
@@ -40,6 +158,25 @@ def scores(fold_in: DataFrame, edges: DataFrame) -> DataFrame:
     return linked.groupBy("user_id", F.col("j").alias("item_id")).agg(F.sum("w").alias("score"))
 
 
+def strongest(likes: DataFrame, edges: DataFrame, out: str) -> DataFrame:
+    """(user_id, item_id, out, out_sum): the largest and the sum of links from liked items; a missing link counts 0."""
+    n = likes.groupBy("user_id").agg(F.count("*").alias("n"))
+    linked = likes.select("user_id", F.col("item_id").alias("i")).join(edges, "i").groupBy("user_id", F.col("j").alias("item_id")).agg(F.max("w").alias("m"), F.sum("w").alias("s"), F.count("*").alias("c"))
+    return linked.join(n, "user_id").select("user_id", "item_id", F.when(F.col("c") < F.col("n"), F.greatest("m", F.lit(0.0))).otherwise(F.col("m")).alias(out), F.col("s").alias(f"{out}_sum"))
+
+
+def edge_scores(fold_in: DataFrame, edges: DataFrame) -> DataFrame:
+    """(user_id, item_id, score, link): sums and maxima of the links from the liked items."""
+    return strongest(fold_in, edges, "link").select("user_id", "item_id", F.col("link_sum").alias("score"), "link")
+
+
+def scored(items: DataFrame, covered: DataFrame, imputed: DataFrame) -> DataFrame:
+    """(item_id, covered, imputed) of the items that a model can score: those with likes and those filled in."""
+    mark = lambda d, c: d.select("item_id").distinct().withColumn(c, F.lit(True))
+    both = items.select("item_id").join(mark(covered, "covered"), "item_id", "left").join(mark(imputed, "imputed"), "item_id", "left").fillna(False, ["covered", "imputed"])
+    return both.where("covered or imputed")
+
+
 def neighbours(sim: DataFrame, cold: DataFrame, covered: DataFrame, k: int, power: float) -> DataFrame:
     """(c, n, a): for each cold item its k most similar covered items, with weights max(sim, 0)^power that add up to 1."""
     near = sim.where("i <> j").join(cold.select(F.col("item_id").alias("i")), "i", "left_semi").join(covered.select(F.col("item_id").alias("j")), "j", "left_semi")

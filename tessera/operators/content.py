@@ -3,11 +3,19 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from math import ceil
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as fx
+from ..sources.tables import stored, with_item_ids
+
+
+#: What names a feature of several blocks.
+KEYS = ("block", "term")
 
 
 @dataclass(frozen=True)
@@ -35,7 +43,7 @@ def tfidf(items: DataFrame, text: str, stop_words: DataFrame | None = None, voca
     words = items.select("item_id", F.explode(fx.word_tokens(F.col(text))).alias("term"))
     if stop_words is not None:
         words = words.join(stop_words.select("term"), "term", "left_anti")
-    counts = words.groupBy("item_id", "term").agg(F.count("*").alias("tf"))
+    counts = stored(words.groupBy("item_id", "term").agg(F.count("*").alias("tf")))
     terms = counts.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("total")).orderBy(F.desc("total"), "term").limit(vocabulary)
     n = items.count()
     weighed = counts.join(terms, "term").select("item_id", "term", (F.col("tf") * (F.log((1 + F.lit(n)) / (1 + F.col("df"))) + 1)).alias("w"))
@@ -102,9 +110,79 @@ def popularity(items: DataFrame) -> DataFrame:
     return items.select("item_id", F.coalesce(F.col("votes" if some else "rating"), F.lit(0.0)).alias("score"))
 
 
-def find_title(catalog: DataFrame, titles: DataFrame, cutoff: float = 0.5) -> DataFrame:
-    """(title, item_id): the item of the same key, of several the last; else of the closest key."""
+def nearest(asked: DataFrame, vectors: DataFrame, k: int, block: int = 8192) -> DataFrame:
+    """(i, j, w): for each of the asked vectors its ``k`` best of all others by cosine, ties by j; both have item_id and embedding.
+
+    Both sides are dealt to blocks, and every two blocks meet in a task of their own, which keeps k rows for each of its asked vectors.
+    """
+    unit = lambda x: x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+    sides = [ceil(max(1, d.count()) / block) for d in (asked, vectors)]
+    part = lambda d, n: d.select("item_id", "embedding", F.expr(f"pmod(xxhash64(item_id), {n})").cast("int").alias("p"))
+    left = part(asked, sides[0]).withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(sides[1] - 1))))
+    right = part(vectors, sides[1]).withColumnsRenamed({"p": "q"}).withColumn("p", F.explode(F.sequence(F.lit(0), F.lit(sides[0] - 1))))
+
+    def meet(key, own, other):
+        out = []
+        if len(own) and len(other):
+            ids = np.sort(other["item_id"].to_numpy())
+            y = unit(np.array(other.sort_values("item_id")["embedding"].tolist(), dtype=np.float64))
+            for r in range(0, len(own), 256):
+                some = own.iloc[r : r + 256]
+                s = np.round(unit(np.array(some["embedding"].tolist(), dtype=np.float64)) @ y.T, 9)
+                s[ids[None, :] == some["item_id"].to_numpy()[:, None]] = -np.inf
+                best = np.argsort(-s, axis=1, kind="stable")[:, :k]
+                w = np.take_along_axis(s, best, axis=1)
+                out.append(pd.DataFrame({"i": np.repeat(some["item_id"].to_numpy(), best.shape[1]), "j": ids[best].ravel(), "w": w.ravel()}))
+        return pd.concat(out).query("w > -2") if out else pd.DataFrame({"i": [], "j": [], "w": []})
+
+    met = left.groupBy("p", "q").cogroup(right.groupBy("p", "q")).applyInPandas(meet, "i long, j long, w double")
+    order = Window.partitionBy("i").orderBy(F.desc("w"), "j")
+    return met.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
+def recommend_for(liked: DataFrame, items: DataFrame, features: DataFrame, quality: DataFrame, beta: float, k: int = 10) -> DataFrame:
+    """(user_id, item_id, score, rank): the best items by profile and quality for each user of ``liked`` (user_id, liked as a list of ids).
+
+    Ids that no item has don't count. A user without a valid one gets the popular items.
+    """
+    rows = liked.select("user_id", F.explode_outer("liked").alias("item_id")).distinct()
+    valid = rows.join(items.select("item_id"), "item_id", "left_semi")
+    some = profile_scores(valid, features)
+    rated = items.select("item_id").join(quality.select("item_id", "quality"), "item_id", "left").fillna(0.0, ["quality"])
+    ranked = with_item_ids(rated.withColumn("_least", -F.col("quality")), ["_least", "item_id"], "place").drop("_least")
+    # of items without a similarity only the best can come in: as many as a user needs if all others stand before them
+    known = some.select("user_id", "item_id").unionByName(valid).distinct().groupBy("user_id").agg(F.count("*").alias("n"))
+    more = known.select("user_id", F.explode(F.sequence(F.lit(0), F.col("n") + k - 1)).alias("place")).join(ranked.select("place", "item_id"), "place").select("user_id", "item_id")
+    every = some.select("user_id", "item_id").unionByName(more).distinct()
+    scored = every.join(some, ["user_id", "item_id"], "left").fillna(0.0, ["score"]).join(ranked.select("item_id", "quality"), "item_id")
+    scored = scored.select("user_id", "item_id", blend_quality(F.col("score"), F.col("quality"), beta).alias("score")).join(valid, ["user_id", "item_id"], "left_anti")
+    order = Window.partitionBy("user_id").orderBy(F.desc(F.round("score", 9)), "item_id")
+    best = scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    top = popularity(items).orderBy(F.desc("score"), "item_id").limit(k).collect()  # k rows
+    rest = liked.select("user_id").distinct().join(valid.select("user_id"), "user_id", "left_anti")
+    if not top:
+        return best
+    listed = F.array(*[F.struct(F.lit(r["item_id"]).alias("item_id"), F.lit(float(r["score"])).alias("score"), F.lit(n + 1).alias("rank")) for n, r in enumerate(top)])
+    return best.unionByName(rest.select("user_id", F.explode(listed).alias("x")).select("user_id", "x.*"))
+
+
+def find_title(catalog: DataFrame, titles: DataFrame, cutoff: float = 0.5, block: int = 4096) -> DataFrame:
+    """(title, item_id): the item of the same key, of several the last; else of the key that is most similar by matching blocks, from ``cutoff`` on; else null.
+
+    Keys that have no equal are dealt to blocks, as the catalog's are, and every two blocks meet in a task of their own.
+    Counts of letters bound the similarity, so that few pairs are compared in full. Of equally similar keys the last in order counts.
+    """
     keyed = catalog.select(fx.normalize_key(F.col("title")).alias("key"), "item_id").groupBy("key").agg(F.max("item_id").alias("item_id"))
-    keys = [r["key"] for r in keyed.select("key").orderBy("key").collect()]  # as long as the catalog
-    closest = fx.closest_title(keys, cutoff)
-    return titles.select("title", closest(fx.normalize_key(F.col("title"))).alias("key")).join(keyed, "key", "left").select("title", "item_id")
+    asked = titles.select("title", fx.normalize_key(F.col("title")).alias("key"))
+    open_ = asked.select("key").where("key is not null").distinct().join(keyed.select("key"), "key", "left_anti")
+    sides = [ceil(max(1, d.count()) / block) for d in (open_, keyed)]
+    part = lambda d, n: d.select("key", F.expr(f"pmod(xxhash64(key), {n})").cast("int").alias("p"))
+    left = part(open_, sides[0]).withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(sides[1] - 1))))
+    right = part(keyed, sides[1]).withColumnRenamed("p", "q").withColumn("p", F.explode(F.sequence(F.lit(0), F.lit(sides[0] - 1))))
+
+    def meet(_, own, other):
+        return pd.DataFrame(fx.closest(own["key"].tolist(), other["key"].tolist(), cutoff), columns=["key", "found", "ratio"])
+
+    near = left.groupBy("p", "q").cogroup(right.groupBy("p", "q")).applyInPandas(meet, "key string, found string, ratio double")
+    near = near.groupBy("key").agg(F.max(F.struct("ratio", "found")).alias("x")).select("key", F.col("x.found").alias("found"))
+    return asked.join(near, "key", "left").select("title", F.coalesce("found", "key").alias("key")).join(keyed, "key", "left").select("title", "item_id")

@@ -68,13 +68,18 @@ def evaluate(score: Callable[[DataFrame], DataFrame], fold_in: DataFrame, held:
 
 
 def popular_lists(fold_in: DataFrame, counts: DataFrame, users: DataFrame, k: int) -> DataFrame:
-    """(user_id, item_id, rank): the most liked items that a user hasn't; the ranking is one array as long as the longest fold-in plus k."""
-    own = users.select("user_id").join(fold_in.groupBy("user_id").agg(F.collect_set("item_id").alias("own")), "user_id", "left")
-    longest = own.agg(F.max(F.coalesce(F.size("own"), F.lit(0)))).first()[0] or 0
-    top = [r["item_id"] for r in counts.orderBy(F.desc("n"), "item_id").limit(longest + k).collect()]
-    listed = F.array(*[F.lit(x).cast("bigint") for x in top])
-    free = F.slice(F.array_except(listed, F.coalesce("own", F.array().cast("array<bigint>"))), 1, k)
-    return own.select("user_id", F.posexplode(free).alias("p", "item_id")).select("user_id", "item_id", (F.col("p") + 1).alias("rank"))
+    """(user_id, item_id, rank): the most liked items that a user hasn't.
+
+    A user needs no more of the ranking than the likes of the user plus k, so each is joined to as many ranks.
+    """
+    own = users.select("user_id").join(fold_in.groupBy("user_id").agg(F.count_distinct("item_id").alias("n")), "user_id", "left").fillna(0, ["n"])
+    longest = own.agg(F.max("n")).first()[0] or 0
+    top = counts.orderBy(F.desc("n"), "item_id").limit(longest + k)
+    top = top.select("item_id", F.row_number().over(Window.orderBy(F.desc("n"), "item_id")).alias("place"))  # as many rows as one user has likes
+    asked = own.select("user_id", F.explode(F.sequence(F.lit(1), (F.col("n") + k).cast("int"))).alias("place")).join(top, "place")
+    free = asked.join(fold_in.select("user_id", "item_id"), ["user_id", "item_id"], "left_anti")
+    rank = F.row_number().over(Window.partitionBy("user_id").orderBy("place"))
+    return free.withColumn("rank", rank).where(F.col("rank") <= k).select("user_id", "item_id", "rank")
 
 
 def candidate_recall(candidates: DataFrame, held: DataFrame) -> DataFrame:
@@ -94,15 +99,61 @@ def cold_users(fold_in: DataFrame, held: DataFrame, cold: DataFrame) -> tuple[Da
     return fold_in.join(cold, "item_id", "left_anti").join(wanted.select("user_id").distinct(), "user_id", "left_semi"), wanted
 
 
-def tune(run: Callable[[float, float], DataFrame], alphas: list[float], betas: list[float]) -> DataFrame:
-    """Metrics of each pair (alpha, beta), numbered in the order of the grid; the best is the first of the highest ndcg."""
-    found = None
-    for i, (a, b) in enumerate((a, b) for a in alphas for b in betas):
-        row = run(a, b).select(F.lit(i).alias("ordinal"), F.lit(float(a)).alias("alpha"), F.lit(float(b)).alias("beta"), "recall", "ndcg", "coverage")
-        found = row if found is None else found.unionByName(row)
+def evaluate_cold(score: Callable[[DataFrame], DataFrame], fold_in: DataFrame, held: DataFrame, cold: DataFrame, k: int = 10) -> DataFrame:
+    """(recall, ndcg) of a model that has to rank the cold items alone, over the users who have a hidden like among them."""
+    seen, wanted = cold_users(fold_in, held, cold)
+    ranked = top_k(score(seen).join(cold.select("item_id"), "item_id", "left_semi"), k)
+    return metrics(ranked, wanted, 1, k).select("recall", "ndcg")
+
+
+def compare(models: dict[str, Callable[[DataFrame], DataFrame]], fold_in: DataFrame, held: DataFrame, n_items: int, k: int = 10) -> DataFrame:
+    """Metrics of each model by its name."""
+    rows = [evaluate(score, fold_in, held, n_items, k).select(F.lit(name).alias("model"), "recall", "ndcg", "coverage") for name, score in models.items()]
+    return union(rows)
+
+
+def union(parts: list[DataFrame]) -> DataFrame:
+    found = parts[0]
+    for x in parts[1:]:
+        found = found.unionByName(x)
     return found
 
 
+def tune(scores: dict[float, DataFrame], blend: Callable[[DataFrame, Column, Column], DataFrame], liked: DataFrame, held: DataFrame, alphas: list[float], betas: list[float], n_items: int, k: int = 10) -> DataFrame:
+    """Metrics of every (l2, alpha, beta), numbered in the order of the grid, with ``best`` at the first of the highest ndcg.
+
+    ``scores`` has the parts of the score for each l2, ``blend`` mixes them. Each row of parts is repeated for every alpha and beta,
+    so that a value of l2 is one plan whatever their number.
+    """
+    cells = [(i, float(a), float(b)) for i, (a, b) in enumerate((a, b) for a in alphas for b in betas)]
+    grid = held.sparkSession.createDataFrame(cells, "cell int, alpha double, beta double")
+    listed = F.array(*[F.struct(F.lit(i).alias("cell"), F.lit(a).alias("alpha"), F.lit(b).alias("beta")) for i, a, b in cells])
+    found = []
+    for place, (l2, parts) in enumerate(scores.items()):
+        mixed = blend(parts.select("*", F.explode(listed).alias("g")).select(*parts.columns, "g.*"), F.col("alpha"), F.col("beta"))
+        free = mixed.join(liked.select("user_id", "item_id"), ["user_id", "item_id"], "left_anti")
+        order = Window.partitionBy("cell", "user_id").orderBy(F.desc("score"), "item_id")
+        ranked = free.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("cell", "user_id", "item_id", "rank")
+        found.append(grid_metrics(ranked, held, grid, n_items, k).withColumns({"ordinal": F.col("cell") + place * len(alphas) * len(betas), "l2": F.lit(float(l2))}))
+    rows = union(found).select("ordinal", "l2", "alpha", "beta", "recall", "ndcg", "coverage")
+    best = Window.orderBy(F.desc(F.round("ndcg", 12)), "ordinal")  # the grid alone
+    return rows.withColumn("best", F.row_number().over(best) == 1)
+
+
+def grid_metrics(ranked: DataFrame, held: DataFrame, grid: DataFrame, n_items: int, k: int) -> DataFrame:
+    """``metrics`` of each cell of a grid; lists are (cell, user_id, item_id, rank)."""
+    wanted = held.groupBy("user_id").agg(F.least(F.count("*"), F.lit(k)).cast("int").alias("m"))
+    n_users = wanted.count()
+    hits = ranked.join(held.select("user_id", "item_id").withColumn("hit", F.lit(1.0)), ["user_id", "item_id"], "left").fillna(0.0, ["hit"]).join(wanted, "user_id")
+    ideal = F.aggregate(F.sequence(F.lit(1), F.col("m")), F.lit(0.0), lambda a, i: a + 1 / F.log2(i + 1))
+    sums = hits.groupBy("cell").agg(
+        (F.sum(F.col("hit") / F.col("m")) / n_users).alias("recall"),
+        (F.sum(F.col("hit") / F.log2(F.col("rank") + 1) / ideal) / n_users).alias("ndcg"),
+        (F.count_distinct("item_id") / F.lit(float(n_items))).alias("coverage"),
+    )
+    return grid.join(sums, "cell", "left").fillna(0.0, ["recall", "ndcg", "coverage"])
+
+
 def aggregate_runs(runs: DataFrame) -> DataFrame:
     """Mean and population deviation of (run, model, metric, value)."""
     return runs.groupBy("model", "metric").agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"))

@@ -31,10 +31,16 @@ def item_stats(ratings: DataFrame, users: DataFrame, items: DataFrame) -> DataFr
     return items.select("item_id").join(found, "item_id", "left")
 
 
+def hide_stats(stats: DataFrame, hidden: DataFrame) -> DataFrame:
+    """The statistics as they are before an item has any: null for the items of ``hidden``, which are marked."""
+    marked = stats.join(hidden.select("item_id", F.lit(True).alias("hidden")), "item_id", "left").fillna(False, ["hidden"])
+    return marked.withColumns({c: F.when(~F.col("hidden"), F.col(c)) for c in ("ml_rating", "like_rate")})
+
+
 def gram(likes: DataFrame) -> DataFrame:
-    """(i, j, w): users who like both; the diagonal has the likes of an item. A user's likes make pairs among themselves only."""
-    listed = likes.groupBy("user_id").agg(F.sort_array(F.collect_set("item_id")).alias("items"))
-    pairs = listed.select(F.explode("items").alias("i"), "items").select("i", F.explode("items").alias("j"))
+    """(i, j, w): users who like both; the diagonal has the likes of an item. A user with very many likes is split by the adaptive skew join."""
+    mine = likes.select("user_id", "item_id").distinct()
+    pairs = mine.withColumnRenamed("item_id", "i").join(mine.withColumnRenamed("item_id", "j"), "user_id")
     return pairs.groupBy("i", "j").agg(F.count("*").cast("double").alias("w"))
 
 

@@ -2,34 +2,41 @@
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.tables import stored
+
 #: Fuzzy matches need keys of this length, a ratio of lengths, and the same digits.
 SHORT, RATIO = 5, 0.3
 
 
-def digits(key):
+def digits(key: Column) -> Column:
     return F.regexp_replace(key, "[^0-9]", "")
 
 
+def ends(keys: DataFrame, suffix: bool) -> DataFrame:
+    """(key, part): the proper beginnings, or ends, of each key that are long enough to match it."""
+    size = F.length("key")
+    sizes = F.sequence(F.greatest(F.lit(SHORT), F.ceil(F.lit(RATIO) * size - 1e-9)).cast("int"), size - 1)
+    some = keys.where((size > SHORT)).select("key", F.explode(F.when(size > F.greatest(F.lit(SHORT), F.ceil(F.lit(RATIO) * size - 1e-9)), sizes)).alias("n"))
+    return some.select("key", (F.right("key", F.col("n")) if suffix else F.left("key", F.col("n"))).alias("part")).where(digits(F.col("key")) == digits(F.col("part")))
+
+
 def tiers(items: DataFrame, keys: DataFrame) -> DataFrame:
     """(item_id, movie_id, tier): 0 for equal keys, 1 where one key begins with the other, 2 where it ends with it; the first tier of an item that has any.
 
-    ``items`` has item_id and key, ``keys`` has key, movie_id and fuzzy (whether its movie is in the fuzzy index). The theta
-    joins go by the first or last five characters, so they are hash joins with a residual condition.
+    ``items`` has item_id and key, ``keys`` has key, movie_id and fuzzy (whether its movie is in the fuzzy index). Keys are compared
+    once each, and a key meets only its own beginnings or ends, so all joins are equi-joins of as many rows as keys have letters.
     """
-    exact = items.join(keys, "key").select("item_id", "movie_id", F.lit(0).alias("tier"))
-    left = items.where(F.length("key") >= SHORT)
+    found = items.join(keys, "key").select("item_id", "movie_id", F.lit(0).alias("tier"))
     index = keys.where("fuzzy").where(F.length("key") >= SHORT).select("key").distinct()
-    found = exact
-    for tier, end, part in ((1, F.startswith, lambda c: F.substring(c, 1, SHORT)), (2, F.endswith, lambda c: F.expr(f"right({c}, {SHORT})"))):
-        rest = left.join(found.select("item_id").distinct(), "item_id", "left_anti")
-        a, b = rest.withColumn("part", part("key")), index.select(F.col("key").alias("other"), part("key").alias("part"))
-        short, long_ = F.least(F.length("key"), F.length("other")), F.greatest(F.length("key"), F.length("other"))
-        near = (end(F.col("key"), F.col("other")) | end(F.col("other"), F.col("key"))) & (short >= RATIO * long_) & (digits("key") == digits("other")) & (F.col("key") != F.col("other"))
-        hit = a.join(b, "part").where(near).select("item_id", F.col("other").alias("key")).distinct()
+    for tier in (1, 2):
+        rest = items.where(F.length("key") >= SHORT).join(found.select("item_id").distinct(), "item_id", "left_anti")
+        mine = rest.select("key").distinct()
+        longer = ends(index, tier == 2).join(mine.withColumnRenamed("key", "part"), "part").select(F.col("part").alias("key"), F.col("key").alias("other"))
+        shorter = ends(mine, tier == 2).join(index.withColumnRenamed("key", "part"), "part").select("key", F.col("part").alias("other"))
+        hit = rest.join(longer.unionByName(shorter), "key").select("item_id", F.col("other").alias("key"))
         found = found.unionByName(hit.join(keys, "key").select("item_id", "movie_id", F.lit(tier).alias("tier")))
     return found.distinct()
 
@@ -44,29 +51,30 @@ def best(candidates: DataFrame, counts: DataFrame) -> DataFrame:
 def claimed(candidates: DataFrame, counts: DataFrame) -> DataFrame:
     """(item_id, movie_id, tier): each item in the order of ids takes its best candidate that none before it has taken.
 
-    Claims only interact within connected groups of items and candidates, which are small: each group is one task's
-    group. Groups come from propagating the least item over shared candidates.
+    A fuzzy candidate without ratings is never taken, and ends its item's list. All items ask for the best candidate that they
+    have left; a movie keeps the least item that has asked for it, and the others ask for their next one, until none has to. As
+    all movies prefer the least item, this gives what taking turns gives, in as many rounds as the longest list of refusals.
     """
-    rated = candidates.join(counts, "movie_id", "left").fillna(0, ["n"])
-    label = rated.select("item_id", "movie_id", F.col("item_id").alias("g"))
+    rated = candidates.join(counts, "movie_id", "left").fillna(0, ["n"]).where("tier = 0 or n > 0")
+    order = Window.partitionBy("item_id").orderBy(F.desc("n"), F.desc("movie_id"))
+    listed = stored(rated.withColumn("place", F.row_number().over(order)).select("item_id", "movie_id", "tier", "place"))
+    asking = stored(listed.where("place = 1"))
     while True:
-        by_movie = label.groupBy("movie_id").agg(F.min("g").alias("m"))
-        by_item = label.join(by_movie, "movie_id").groupBy("item_id").agg(F.min("m").alias("m"))
-        after = label.select("item_id", "movie_id", F.col("g").alias("old")).join(by_item.withColumnRenamed("m", "g"), "item_id").cache()
-        if not after.where("old <> g").limit(1).count():
-            label = after.select("item_id", "movie_id", "g")
-            break
-        label = after.select("item_id", "movie_id", "g")
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        out, taken = [], set()
-        for item, own in rows.sort_values(["item_id", "n", "movie_id"], ascending=[True, False, False]).groupby("item_id", sort=True):
-            free = own[~own["movie_id"].isin(taken)]
-            if len(free):
-                top = free.iloc[0]
-                if top["tier"] == 0 or top["n"] > 0:
-                    taken.add(top["movie_id"])
-                    out.append((int(item), int(top["movie_id"]), int(top["tier"])))
-        return pd.DataFrame(out, columns=["item_id", "movie_id", "tier"])
-
-    return rated.join(label, ["item_id", "movie_id"]).groupBy("g").applyInPandas(run, "item_id long, movie_id long, tier int")
+        kept = F.row_number().over(Window.partitionBy("movie_id").orderBy("item_id")) == 1
+        judged = stored(asking.withColumn("kept", kept))
+        refused = judged.where("not kept").select("item_id", (F.col("place") + 1).alias("place"))
+        more = stored(listed.join(refused, ["item_id", "place"]).select("item_id", "movie_id", "tier", "place"))
+        if more.isEmpty():
+            return judged.where("kept").select("item_id", "movie_id", "tier")
+        asking = judged.where("kept").drop("kept").unionByName(more)
+
+
+def report(resolved: DataFrame, items: DataFrame, movies: DataFrame) -> DataFrame:
+    """(item_id, title, movie_title, tier) of fuzzy matches, for a reader to check."""
+    fuzzy = resolved.where("tier > 0")
+    return fuzzy.join(items.select("item_id", "title"), "item_id").join(movies.select("movie_id", F.col("title").alias("movie_title")), "movie_id").select("item_id", "title", "movie_title", "tier")
+
+
+def matched(items: DataFrame, resolved: DataFrame) -> DataFrame:
+    """(n_items, n_matched) of the whole catalog."""
+    return items.select("item_id").join(resolved.select("item_id", "movie_id"), "item_id", "left").agg(F.count("*").alias("n_items"), F.count("movie_id").alias("n_matched"))

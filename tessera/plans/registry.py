@@ -2,35 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as fx
-from ..operators import collaborative, content, evaluation, hybrid, interactions, library, matching, ranking
+from ..operators import collaborative, content, evaluation, hybrid, interactions, library, matching
 from ..sources import tables
+from ..streaming import counts as folded
+from .base import QUERIES, SQL, Query, query, r6
 from .domain import BRAND_LIKES, CATALOG, LIKES, RATINGS, brand_likes, catalog, likes, ratings, table
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def keep(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return keep
-
-
-def r6(df: DataFrame, *columns: str) -> DataFrame:
-    return df.withColumns({c: F.round(c, 6) for c in columns})
-
-
 SPLIT = f"""likes as ({LIKES}), n as (select user_id, count(*) as n from likes group by user_id),
     able as (select user_id, row_number() over (order by md5('0|' || user_id), user_id) as r, count(*) over () as c from n where n >= 5),
     split as (select n.user_id, case when r <= least(floor(c * 0.15), 5000) then 'val' when r <= least(floor(c * 0.15), 5000) + least(floor(c * 0.15), 20000) then 'test' else 'train' end as split
@@ -43,9 +24,9 @@ SPLIT = f"""likes as ({LIKES}), n as (select user_id, count(*) as n from likes g
 
 def eval_sets(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Likes of training users, and fold-in and hidden likes of test users."""
-    mine = likes(spark, sf_dir)
+    mine = tables.stored(likes(spark, sf_dir))
     split = evaluation.split_users(mine)
-    both = mine.join(split, "user_id")
+    both = tables.stored(mine.join(split, "user_id"))
     cut = evaluation.hide(both.where("split = 'test'").select("user_id", "item_id"))
     return both.where("split = 'train'").select("user_id", "item_id"), cut.where("not hidden").drop("hidden"), cut.where("hidden").drop("hidden")
 
@@ -130,35 +111,48 @@ def title_keys(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", fx.title_key(title).alias("key"))
 
 
-VARIANT = r"regexp_replace(trim(regexp_replace(ml_title, '\s*\(\d{4}\)\s*$', '')), '^(.*), (The|A|An)$', '\2 \1')"
-KEY = "regexp_replace(regexp_replace(lower({}), '^(the|an|a) ', ''), '[^a-z0-9]', '', 'g')"
+CODE = "translate(cast(p_partkey // 3 as varchar), '0123456789', 'abcdefghij')"
+MOVIES = f"select p_partkey as movie_id, upper(p_type[1]) || lower(p_type[2:]) || ' ' || {CODE} as title, lower(p_type) || {CODE} as key from part"
+ITEMS = f"select p_partkey as item_id, case p_partkey % 3 when 0 then '' when 1 then '' else 'zz ' end || lower(p_type) || ' ' || {CODE} || case p_partkey % 3 when 1 then ' x' else '' end as title from part"
+TIERS = f"""movies as materialized ({MOVIES}), keys as materialized (select distinct key, movie_id from movies), items as materialized (select item_id, title, replace(title, ' ', '') as key from ({ITEMS})),
+    ks as (select distinct key from keys), pairs as materialized (select i.key as ikey, k.key as kkey, case when starts_with(i.key, k.key) or starts_with(k.key, i.key) then 1 else 2 end as tier from (select distinct key from items) i join ks k
+          on i.key <> k.key and (starts_with(i.key, k.key) or starts_with(k.key, i.key) or ends_with(i.key, k.key) or ends_with(k.key, i.key))
+          where least(length(i.key), length(k.key)) >= 5 and least(length(i.key), length(k.key)) >= 0.3 * greatest(length(i.key), length(k.key)) and regexp_replace(i.key, '[^0-9]', '', 'g') = regexp_replace(k.key, '[^0-9]', '', 'g')),
+    t as materialized (select item_id, movie_id, 0 as tier from items join keys using (key) union select i.item_id, k.movie_id, p.tier from items i join pairs p on p.ikey = i.key join keys k on k.key = p.kkey),
+    tiers as materialized (select item_id, movie_id, tier from (select *, min(tier) over (partition by item_id) as least_tier from t) where tier = least_tier)"""
+
+
+def code():
+    return F.translate(F.floor(F.col("p_partkey") / 3).cast("string"), "0123456789", "abcdefghij")
+
+
+def part_movies(spark, sf_dir) -> DataFrame:
+    """Titles of the rated set, which three parts share in code, with the other set's article and year: "Economy bcd, The (1961)"."""
+    p = table(spark, sf_dir, "part")
+    name = F.concat(F.initcap("p_type"), F.lit(" "), code())
+    return p.select(F.col("p_partkey").alias("movie_id"), name.alias("title"), F.concat(name, F.lit(", The ("), (F.lit(1950) + F.col("p_size")).cast("string"), F.lit(")")).alias("ml_title"))
 
 
 def movie_keys(spark, sf_dir) -> DataFrame:
     """Keys of all spellings of the derived titles."""
-    rows = catalog(spark, sf_dir).select(F.col("item_id").alias("movie_id"), F.explode(fx.title_variants(F.col("ml_title"))).alias("v"))
+    rows = part_movies(spark, sf_dir).select("movie_id", F.explode(fx.title_variants(F.col("ml_title"))).alias("v"))
     return rows.select(fx.title_key(F.col("v"), fold=False).alias("key"), "movie_id", F.lit(True).alias("fuzzy")).distinct()
 
 
-def supplier_items(spark, sf_dir) -> DataFrame:
-    """Titles to match: words of the first parts' names, some with more before or after."""
-    p = catalog(spark, sf_dir).where("item_id < 300").select("item_id", F.element_at(F.split("title", " "), 2).alias("w"), F.element_at(F.split("title", " "), 1).alias("v"))
-    text = F.when(F.col("item_id") % 3 == 0, F.col("w")).when(F.col("item_id") % 3 == 1, F.concat("w", "v")).otherwise(F.concat("v", "w"))
-    return p.select("item_id", fx.title_key(text, fold=False).alias("key"))
+def catalog_titles(spark, sf_dir) -> DataFrame:
+    """Titles of the catalog to match: a third as they are, a third with more behind, a third with more before."""
+    p, last = table(spark, sf_dir, "part"), F.col("p_partkey") % 3
+    title = F.concat(F.when(last == 2, "zz ").otherwise(""), F.lower("p_type"), F.lit(" "), code(), F.when(last == 1, " x").otherwise(""))
+    return p.select(F.col("p_partkey").alias("item_id"), title.alias("title"))
 
 
-ITEMS = "select p_partkey as item_id, lower(case p_partkey % 3 when 0 then split_part(p_name, ' ', 2) when 1 then split_part(p_name, ' ', 2) || split_part(p_name, ' ', 1) else split_part(p_name, ' ', 1) || split_part(p_name, ' ', 2) end) as key from part where p_partkey < 300"
-TIERS = f"""keys as (select distinct {KEY.format(VARIANT)} as key, item_id as movie_id from ({CATALOG})), items as ({ITEMS}),
-    t as (select item_id, movie_id, 0 as tier from items join keys using (key) union
-          select i.item_id, k.movie_id, case when starts_with(i.key, k.key) or starts_with(k.key, i.key) then 1 else 2 end from items i join keys k on i.key <> k.key and length(i.key) >= 5 and length(k.key) >= 5
-          and (starts_with(i.key, k.key) or starts_with(k.key, i.key) or ends_with(i.key, k.key) or ends_with(k.key, i.key))
-          and least(length(i.key), length(k.key)) >= 0.3 * greatest(length(i.key), length(k.key)) and regexp_replace(i.key, '[^0-9]', '', 'g') = regexp_replace(k.key, '[^0-9]', '', 'g')),
-    tiers as (select * from t where tier = (select min(tier) from t x where x.item_id = t.item_id))"""
+def keyed_titles(spark, sf_dir) -> DataFrame:
+    return catalog_titles(spark, sf_dir).select("item_id", fx.title_key(F.col("title"), fold=False).alias("key"))
 
 
 @query(f"with {TIERS} select item_id, movie_id, tier from tiers")
 def match_tiers(spark, sf_dir):
-    return matching.tiers(supplier_items(spark, sf_dir), movie_keys(spark, sf_dir))
+    return matching.tiers(keyed_titles(spark, sf_dir), movie_keys(spark, sf_dir))
 
 
 RATED = "counts as (select l_partkey as movie_id, count(*) as n from lineitem group by l_partkey)"
@@ -171,23 +165,50 @@ def match_resolve(spark, sf_dir):
     return matching.best(match_tiers(spark, sf_dir), counts).select("item_id", "movie_id", "tier", "n")
 
 
-@query()
+CLAIMS = f"""{TIERS}, {RATED}, c as materialized (select item_id, movie_id, tier, coalesce(n, 0) as n, dense_rank() over (order by item_id) as turn from tiers left join counts using (movie_id)
+        where tier = 0 or coalesce(n, 0) > 0),
+    lists as materialized (select turn, list({{'n': n, 'm': movie_id, 't': tier, 'i': item_id}} order by n desc, movie_id desc) as options from c group by turn),
+    turns(turn, pick, taken) as (select 0::bigint, null::struct(n bigint, m bigint, t integer, i bigint), []::bigint[]
+        union all select l.turn, list_filter(l.options, lambda x: not list_contains(taken, x.m))[1], list_append(taken, (list_filter(l.options, lambda x: not list_contains(taken, x.m))[1]).m) from turns t join lists l on l.turn = t.turn + 1),
+    resolved as materialized (select pick.i as item_id, pick.m as movie_id, pick.t as tier from turns where pick is not null)"""
+
+
+@query(f"with recursive {CLAIMS} select item_id, movie_id, tier from resolved")
 def match_greedy(spark, sf_dir):
     counts = table(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").alias("movie_id")).agg(F.count("*").alias("n"))
     return matching.claimed(match_tiers(spark, sf_dir), counts)
 
 
+@query(f"with recursive {CLAIMS} select item_id, i.title, m.title as movie_title, tier from resolved join items i using (item_id) join movies m using (movie_id) where tier > 0")
+def match_report(spark, sf_dir):
+    return matching.report(match_greedy(spark, sf_dir), catalog_titles(spark, sf_dir), part_movies(spark, sf_dir))
+
+
+@query(f"with recursive {CLAIMS} select count(*) as n_items, count(movie_id) as n_matched from items left join resolved using (item_id)")
+def match_count(spark, sf_dir):
+    return matching.matched(catalog_titles(spark, sf_dir), match_greedy(spark, sf_dir))
+
+
+@query(f"with recursive {CLAIMS}, r as ({RATINGS}) select r.user_id, x.item_id, count(*) as n, round(avg(rating), 6) as rating from r join resolved x on x.movie_id = r.item_id group by 1, 2")
+def remapped_ratings(spark, sf_dir):
+    """Ratings of the rated set's movies under the ids of the catalog."""
+    rated = ratings(spark, sf_dir).withColumnRenamed("item_id", "movie_id")
+    rows = interactions.remapped(rated, match_greedy(spark, sf_dir))
+    return r6(rows.groupBy("user_id", "item_id").agg(F.count("*").alias("n"), F.avg("rating").alias("rating")), "rating")
+
+
 @query(LIKES)
 def interactions_likes(spark, sf_dir):
     return likes(spark, sf_dir)
 
 
-@query(f"""with r as ({RATINGS}), s as (select item_id, avg(rating) as ml_rating, avg(case when rating >= 4 then 1.0::double else 0 end) as like_rate from r where user_id % 2 = 0 group by item_id)
+@query(f"""with {SPLIT}, r as ({RATINGS}), s as (select item_id, avg(rating) as ml_rating, avg(case when rating >= 4 then 1.0::double else 0 end) as like_rate from r semi join (select user_id from split where split = 'train') t using (user_id) group by item_id)
     select p_partkey as item_id, round(ml_rating, 6) as ml_rating, round(like_rate, 6) as like_rate from part left join s on item_id = p_partkey""")
 def item_stats(spark, sf_dir):
-    rows = ratings(spark, sf_dir)
-    users = rows.where("user_id % 2 = 0").select("user_id")
-    return r6(interactions.item_stats(rows, users, catalog(spark, sf_dir)), "ml_rating", "like_rate")
+    """Statistics from the ratings of training users alone."""
+    mine = tables.stored(likes(spark, sf_dir))
+    users = evaluation.split_users(mine).where("split = 'train'").select("user_id")
+    return r6(interactions.item_stats(ratings(spark, sf_dir), users, catalog(spark, sf_dir)), "ml_rating", "like_rate")
 
 
 @query(f"with l as ({BRAND_LIKES}) select a.item_id as i, b.item_id as j, cast(count(*) as double) as w from l a join l b using (user_id) group by 1, 2")
@@ -195,12 +216,13 @@ def gram(spark, sf_dir):
     return interactions.gram(brand_likes(spark, sf_dir))
 
 
-@query(f"""with l as ({LIKES}), g as (select a.item_id as i, b.item_id as j, count(*) as w from l a join l b using (user_id) group by 1, 2), d as (select i as k, greatest(w, 1) as c from g where i = j)
-    select i, j, round(w / sqrt(a.c) / sqrt(b.c), 6) as w from g join d a on a.k = i join d b on b.k = j where i <> j and g.w >= 2""")
+COOC = f"""l as materialized ({LIKES}), g as materialized (select a.item_id as i, b.item_id as j, count(*) as w from l a join l b on a.user_id = b.user_id group by 1, 2),
+    d as materialized (select item_id as k, count(*) as c from l group by 1), cooc as materialized (select i, j, w / sqrt(a.c) / sqrt(b.c) as w from g join d a on a.k = i join d b on b.k = j where i <> j)"""
+
+
+@query(f"with {COOC} select i, j, round(w, 6) as w from cooc")
 def cooc_cosine(spark, sf_dir):
-    g = interactions.gram(likes(spark, sf_dir))
-    strong = g.where("w >= 2 or i = j")
-    return r6(interactions.cooccurrence(strong), "w")
+    return r6(interactions.cooccurrence(tables.stored(interactions.gram(likes(spark, sf_dir)))), "w")
 
 
 @query(f"with r as ({RATINGS}) select item_id, count(*) as n from r where item_id in (select p_partkey from part where p_brand = 'Brand#11') group by item_id")
@@ -211,7 +233,11 @@ def candidate_semi_filter(spark, sf_dir):
 
 @query("select user_id, event_type, count(*) as n, round(sum(value), 6) as total from events group by user_id, event_type")
 def incremental_count(spark, sf_dir):
-    return r6(table(spark, sf_dir, "events").groupBy("user_id", "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total")), "total")
+    """Counts and sums folded over the files of the table as a stream, which stops when it has read them all."""
+    schema = table(spark, sf_dir, "events").schema
+    folder = tables.scratch(spark)
+    total = folded.fold_available(spark, f"{sf_dir}/events.parquet*", schema, ["user_id", "event_type"], [F.count("*").alias("n"), F.sum("value").alias("total")], f"{folder}/state", f"{folder}/out")
+    return r6(total, "total")
 
 
 TFIDF = r"""w as (select doc_id as item_id, unnest(regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}_]{2,}')) as term from documents), tf as (select item_id, term, count(*) as tf from w group by 1, 2),
@@ -232,9 +258,6 @@ def tfidf_topterms(spark, sf_dir):
 
 BLOCKS = """t as (select p_partkey as item_id, unnest(regexp_extract_all(lower(p_type), '[^,|\\s]+')) as term from part), c as (select item_id, term, cast(count(*) as double) as n from t group by 1, 2),
     genre as (select item_id, term, n / sqrt(sum(n * n) over (partition by item_id)) as w, 'genre' as block from c), brand as (select p_partkey as item_id, lower(p_brand) as term, 1.0::double as w, 'director' as block from part)"""
-SAMPLE = "item_id < 400"
-
-
 def part_features(spark, sf_dir) -> DataFrame:
     items = catalog(spark, sf_dir)
     blocks = [content.token_block(items, fx.genre_tokens(F.col("genres")), "genre"), content.token_block(items, fx.name_tokens(F.col("director")), "director")]
@@ -251,11 +274,9 @@ def block_norms(spark, sf_dir):
     select i, j, round(s, 6) as w, r as rank from r where r <= 5""")
 def embedding_topk(spark, sf_dir):
     """Every twentieth vector against all."""
-    rows = content.vector_block(table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("item_id"), "embedding")).select("item_id", "term", "w")
-    asked = rows.where("item_id % 20 = 0").select("term", F.col("item_id").alias("i"), F.col("w").alias("wi"))
-    s = asked.join(rows.withColumnRenamed("item_id", "j"), "term").where("i <> j").groupBy("i", "j").agg(F.round(F.sum(F.col("wi") * F.col("w")), 9).alias("s"))
-    top = interactions.top_k(s, 5, by="i", score="s", item="j")
-    return top.select("i", "j", F.round("s", 6).alias("w"), F.col("rank").cast("long").alias("rank"))
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("item_id"), "embedding")
+    top = content.nearest(rows.where("item_id % 20 = 0"), rows, 5)
+    return top.select("i", "j", F.round("w", 6).alias("w"), F.col("rank").cast("long").alias("rank"))
 
 
 @query(f"""with l as ({LIKES}), {BLOCKS}, s as (select user_id, term, sum(w) as w from l join genre using (item_id) group by 1, 2), p as (select user_id, term, w / sqrt(sum(w * w) over (partition by user_id)) as w from s)
@@ -285,7 +306,7 @@ def brand_items(spark, sf_dir) -> DataFrame:
 
 
 def brand_edges(spark, sf_dir) -> DataFrame:
-    return collaborative.ease(brand_likes(spark, sf_dir), brand_items(spark, sf_dir), 200.0)
+    return tables.stored(collaborative.ease(tables.stored(brand_likes(spark, sf_dir)), brand_items(spark, sf_dir), 200.0, 32))
 
 
 @query(f"with recursive {EASE} select i, j, round(w, 6) as w from ease")
@@ -298,46 +319,12 @@ def ease_scores(spark, sf_dir):
     return r6(collaborative.scores(brand_likes(spark, sf_dir), brand_edges(spark, sf_dir)), "score")
 
 
-HYBRID = f"""{EASE}, s as (select user_id, j as item_id, sum(w) as cf from bl join ease on i = item_id group by user_id, j), own as (select s.*, b.user_id is null as free from s left join bl b using (user_id, item_id)),
-    pk as (select *, max(case when free then cf end) over (partition by user_id) as peak from own), q as (select user_id, item_id, round(0.9 * greatest(0, least(1, cf / peak)), 9) as score from pk where free and peak > 0),
-    rk as (select *, row_number() over (partition by user_id order by score desc, item_id) as rank from q)"""
-
-
-def hybrid_lists(spark, sf_dir, k: int) -> DataFrame:
-    mine = brand_likes(spark, sf_dir)
-    cf = collaborative.scores(mine, brand_edges(spark, sf_dir))
-    done = hybrid.rescaled(cf, mine).where("cf is not null").select("user_id", "item_id", F.round(hybrid.blend(F.lit(0.0), F.col("cf"), F.lit(0.0), 0.9, 0.0), 9).alias("score"))
-    return hybrid.recommend(done, mine, k)
-
-
-@query(f"with recursive {HYBRID} select user_id, item_id, round(score, 6) as score, rank from rk where rank <= 3")
-def hybrid_topk(spark, sf_dir):
-    return r6(hybrid_lists(spark, sf_dir, 3).select("user_id", "item_id", "score", F.col("rank").cast("long").alias("rank")), "score")
-
-
-@query(f"with recursive {HYBRID} select user_id, rank, round(min(least(1, greatest(0, score))) over (partition by user_id order by rank), 6) as shown from rk where rank <= 5")
-def display_running_min(spark, sf_dir):
-    return r6(hybrid.displayed(hybrid_lists(spark, sf_dir, 5)).select("user_id", F.col("rank").cast("long").alias("rank"), "shown"), "shown")
-
-
 @query(f"with l as ({LIKES}), c as ({CATALOG}) select c.item_id, 0.0::double as score from c left join (select item_id, count(*) as n from l group by 1) x using (item_id) order by coalesce(n, 0) desc, coalesce(votes, 0) desc, item_id limit 20")
 def popular_fallback(spark, sf_dir):
     counts = likes(spark, sf_dir).groupBy("item_id").agg(F.count("*").alias("n"))
     return hybrid.popular(catalog(spark, sf_dir).select("item_id", "votes").join(counts, "item_id", "left").fillna(0, ["n", "votes"]), 20).withColumn("score", F.lit(0.0))
 
 
-@query()
-def impute_cold(spark, sf_dir):
-    """Edges between brands with a tenth of them hidden and filled in from similar ones."""
-    mine = brand_likes(spark, sf_dir)
-    items = brand_items(spark, sf_dir)
-    cold = evaluation.pick_cold(mine, items.count(), 0.1)
-    warm = items.join(cold, "item_id", "left_anti")
-    edges = collaborative.ease(mine.join(cold, "item_id", "left_anti"), warm, 200.0)
-    parts = catalog(spark, sf_dir).select(F.col("director").alias("item_id"), F.explode(fx.genre_tokens(F.col("genres"))).alias("term")).groupBy("item_id", "term").agg(F.count("*").cast("double").alias("w"))
-    return r6(collaborative.impute_cold(edges, content.similarity(content.unit_rows(parts, ["item_id"])), items, warm, 5), "w")
-
-
 @query(f"with {SPLIT} select user_id, split from split")
 def split_users(spark, sf_dir):
     return evaluation.split_users(likes(spark, sf_dir))
@@ -362,53 +349,12 @@ def cold_items(spark, sf_dir):
     return evaluation.pick_cold(likes(spark, sf_dir), table(spark, sf_dir, "part").count(), 0.1, 10)
 
 
-@query()
-def tune_grid(spark, sf_dir):
-    mine = brand_likes(spark, sf_dir)
-    val = evaluation.split_users(mine).where("split = 'val'").select("user_id")
-    cut = evaluation.hide(mine.join(val, "user_id"))
-    fold, held = cut.where("not hidden").drop("hidden"), cut.where("hidden").drop("hidden")
-    cf = hybrid.rescaled(collaborative.scores(fold, collaborative.ease(mine.join(val, "user_id", "left_anti"), brand_items(spark, sf_dir), 200.0)), fold).cache()
-    counts = mine.groupBy("item_id").agg((F.count("*") / 1000.0).alias("quality"))
-
-    def one(alpha, beta):
-        s = cf.join(counts, "item_id").select("user_id", "item_id", hybrid.blend(F.lit(0.0), F.col("cf"), F.col("quality"), alpha, beta).alias("score"))
-        return evaluation.metrics(hybrid.recommend(s, fold, 5), held, 25, 5)
-
-    return r6(evaluation.tune(one, [0.0, 0.5, 1.0], [0.0, 0.1]), "recall", "ndcg", "coverage")
-
-
 @query("""select event_type as model, 'value' as metric, round(avg(value), 6) as mean, round(stddev_pop(value), 6) as std from events group by event_type""")
 def aggregate_runs(spark, sf_dir):
     runs = table(spark, sf_dir, "events").select(F.col("event_id").alias("run"), F.col("event_type").alias("model"), F.lit("value").alias("metric"), "value")
     return r6(evaluation.aggregate_runs(runs), "mean", "std")
 
 
-def rank_rows(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    """Features of test users over all parts, and their hidden likes; nearest parts by co-occurrence stand for the item model."""
-    train, fold, held = eval_sets(spark, sf_dir)
-    g = interactions.gram(train)
-    edges = interactions.cooccurrence(g)
-    counts = g.where("i = j").select(F.col("i").alias("item_id"), F.col("w").alias("n"))
-    stats = interactions.item_stats(ratings(spark, sf_dir), train.select("user_id"), catalog(spark, sf_dir))
-    items = catalog(spark, sf_dir).join(counts, "item_id", "left").fillna(0.0, ["n"]).join(stats, "item_id", "left")
-    items = items.select("item_id", F.log1p("n").alias("log_pop"), (F.col("n") > 0).alias("covered"), "rating", F.log1p("votes").alias("log_votes"), F.lit(None).cast("double").alias("metascore"), "year", "ml_rating", "like_rate")
-    return ranking.candidates_and_features(fold, items, edges, edges, part_features(spark, sf_dir), 30, 10), held
-
-
-@query()
-def rank_features(spark, sf_dir):
-    rows, held = rank_rows(spark, sf_dir)
-    return r6(ranking.labelled(rows, held), *ranking.FEATURES)
-
-
-@query()
-def ltr_scores(spark, sf_dir):
-    rows, held = rank_rows(spark, sf_dir)
-    model = ranking.Reranker.fit(ranking.labelled(rows, held), ranking.RankerParams(rounds=20, leaves=8, min_leaf=20))
-    return r6(interactions.top_k(model.scores(rows), 10), "score")
-
-
 def event_favorites(spark, sf_dir) -> DataFrame:
     """Each event as a favorite kept in JSON text, read back by the source."""
     e = table(spark, sf_dir, "events")
@@ -418,9 +364,22 @@ def event_favorites(spark, sf_dir) -> DataFrame:
     return tables.favorites(state, "state")
 
 
-@query("select event_id, user_id as item_id, cast(floor(epoch_us(ts) / 1000) as bigint) as added, cast(floor(value % 6) as integer) as rating from events")
+FAVS = "favs as (select event_id, user_id as item_id, cast(floor(epoch_us(ts) / 1000) as bigint) as added, cast(floor(value % 6) as integer) as stars, event_type as tag from events)"
+
+
+@query(f"""with {FAVS}, c as ({CATALOG}), n as (select f.*, c.title, row_number() over (order by added desc, f.item_id, event_id) as place from favs f join c using (item_id) where tag = 'click')
+    select event_id, item_id, added, stars, title, place from n where place <= 200""")
 def favorites_view(spark, sf_dir):
-    return event_favorites(spark, sf_dir).select("event_id", "item_id", F.col("addedAt").alias("added"), "rating")
+    """The latest favorites of one tag with their items."""
+    rows = event_favorites(spark, sf_dir).withColumnRenamed("rating", "stars")
+    top = library.favorites_view(rows, catalog(spark, sf_dir), "recent", "click", ties=["event_id"]).limit(200)
+    order = Window.orderBy(F.desc("addedAt"), "item_id", "event_id")  # the rows shown
+    return top.select("event_id", "item_id", F.col("addedAt").alias("added"), "stars", "title", F.row_number().over(order).cast("long").alias("place"))
+
+
+@query(f"with {FAVS} select event_id, item_id, added, stars from favs")
+def favorites_json(spark, sf_dir):
+    return event_favorites(spark, sf_dir).select("event_id", "item_id", F.col("addedAt").alias("added"), F.col("rating").alias("stars"))
 
 
 @query("select distinct event_type as tag from events")
@@ -428,10 +387,14 @@ def used_tags(spark, sf_dir):
     return library.used_tags(event_favorites(spark, sf_dir))
 
 
-@query("select distinct p_name as title from part where p_partkey < 1000 and p_name not in (select p_name from part where p_partkey % 50 = 1 and p_partkey < 1000)")
+@query("select distinct p_name as title from part where p_name not in (select p_name from part where p_brand = 'Brand#11')")
 def resume_todo(spark, sf_dir):
-    p = table(spark, sf_dir, "part").where("p_partkey < 1000").select(F.col("p_name").alias("title"), "p_partkey")
-    return tables.missing_from(p.select("title"), p.where("p_partkey % 50 = 1").select("title"), "title")
+    """Titles that none of a brand's parts has."""
+    p = table(spark, sf_dir, "part").select(F.col("p_name").alias("title"), "p_brand")
+    return tables.missing_from(p.select("title"), p.where("p_brand = 'Brand#11'").select("title"), "title")
+
+
+from . import models, views  # noqa: E402, F401  they register their queries
 
 
 def queries() -> dict[str, Query]:

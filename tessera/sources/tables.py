@@ -4,16 +4,19 @@ from __future__ import annotations
 
 import json
 import os
-from pathlib import Path
+import tempfile
+import uuid
+from collections.abc import Callable
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import text as fx
 
-#: Names under which a catalog's columns may go, best first.
+#: Names under which a catalog's columns may go, best first.
 ALIASES = {
     "title": ("title", "movietitle", "seriestitle", "name"),
     "genres": ("genres", "genre"),
@@ -28,9 +31,30 @@ ALIASES = {
 RATINGS = "userId int, movieId int, rating float, timestamp long"
 #: Public addresses of rating sets; getting them is left to the user.
 DATASETS = {"small": "ml-latest-small", "32m": "ml-32m"}
+#: The metadata that is shown of a model.
+MODEL_INFO = ("version", "trained_at", "dataset", "n_users", "n_items", "k", "ndcg")
 FAVORITES = "map<string, struct<addedAt: bigint, rating: int, tags: array<string>>>"
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new path in the shared folder of ``spark.checkpoint.dir``; a local session without one gets a temporary folder."""
+    context = spark.sparkContext
+    base = context.getConf().get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not base:
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="tessera-")
+        context.setCheckpointDir(base)
+    return f"{base.rstrip('/')}/tessera-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder and read back, so that what is used several times is worked out once."""
+    path = scratch(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def data_path(name: str, default: str) -> str:
     """A path that the environment may override."""
     return os.environ.get(f"TESSERA_{name.upper()}", default)
@@ -43,8 +67,9 @@ def resolve(columns: list[str], candidates: tuple[str, ...]) -> str | None:
 
 
 def read_csv(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
+    """A CSV file with a header; types are inferred unless a schema is given."""
     reader = spark.read.option("header", True).option("quote", '"').option("escape", '"').option("multiLine", True)
-    return (reader.schema(schema) if schema else reader).csv(path)
+    return (reader.schema(schema) if schema else reader.option("inferSchema", True)).csv(path)
 
 
 def normalize_catalog(raw: DataFrame) -> DataFrame:
@@ -74,11 +99,13 @@ def normalize_catalog(raw: DataFrame) -> DataFrame:
     return raw.select(*[v.alias(k) for k, v in columns.items()], *[F.col(f"`{c}`") for c in rest])
 
 
-def with_item_ids(catalog: DataFrame, order: list[str]) -> DataFrame:
-    """item_id 0 to n - 1 in the order of the columns named; a catalog is small, so one task may number it."""
-    from pyspark.sql import Window
-
-    return catalog.withColumn("item_id", (F.row_number().over(Window.orderBy(*order)) - 1).cast("long"))
+def with_item_ids(catalog: DataFrame, order: list[str], out: str = "item_id") -> DataFrame:
+    """``out``, 0 to n - 1 in the order of the columns named: rows are dealt by ranges, numbered within each, and moved up by the ranges before."""
+    ranged = stored(catalog.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
+    sizes = ranged.groupBy("_range").agg(F.count("*").alias("_n"))  # as many rows as there are ranges
+    before = sizes.withColumn("_start", F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    place = F.row_number().over(Window.partitionBy("_range").orderBy(*order)) - 1
+    return ranged.withColumn("_place", place).join(before, "_range").withColumn(out, F.col("_place") + F.col("_start")).drop("_range", "_place", "_n", "_start")
 
 
 def read_ratings(spark: SparkSession, path: str) -> DataFrame:
@@ -86,8 +113,16 @@ def read_ratings(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("header", True).schema(RATINGS).csv(path).select("userId", "movieId", "rating")
 
 
-def read_embeddings(spark: SparkSession, path: str, expected: int) -> DataFrame:
-    df = spark.read.parquet(path)
+def read_embeddings(spark: SparkSession, source: str | DataFrame | None, expected: int, default: str = "") -> DataFrame | None:
+    """Embeddings of ``expected`` items: a table, a path, ``auto`` for the default path if there is one, or None for none."""
+    if source is None:
+        return None
+    try:
+        df = source if isinstance(source, DataFrame) else spark.read.parquet(default if source == "auto" else source)
+    except AnalysisException:
+        if source == "auto":
+            return None
+        raise
     if (n := df.count()) != expected:
         raise ValueError(f"{n} embeddings for {expected} items")
     return df
@@ -149,14 +184,18 @@ def favorites(state: DataFrame, column: str) -> DataFrame:
     return rows.select(*[c for c in state.columns if c != column], F.col("key").try_cast("bigint").alias("item_id"), "value.*")
 
 
-def posters(spark: SparkSession, path: str) -> dict[str, str | None]:
-    """Title to address; an unreadable file is no posters."""
+def posters(state: DataFrame, column: str) -> DataFrame:
+    """(title, url) from JSON maps of titles to addresses; text that can't be read is no posters."""
+    held = F.coalesce(F.from_json(column, "map<string, string>"), F.create_map().cast("map<string, string>"))
+    return state.select(F.explode(held).alias("title", "url"))
+
+
+def served(load: Callable[[], DataFrame], fallback: Callable[[], DataFrame]) -> DataFrame:
+    """What ``load`` gives, or ``fallback`` where the trained model is missing or doesn't fit."""
     try:
-        text = spark.read.text(path, wholetext=True).first()
-        found = json.loads(text[0]) if text else {}
-    except Exception:
-        return {}
-    return found if isinstance(found, dict) else {}
+        return load()
+    except (AnalysisException, FileNotFoundError, KeyError, ValueError):
+        return fallback()
 
 
 def save_model(folder: str, tables: dict[str, DataFrame], metadata: dict[str, Any]) -> None:
@@ -171,5 +210,11 @@ def load_model(spark: SparkSession, folder: str) -> tuple[dict[str, DataFrame],
     return {name: spark.read.parquet(f"{folder}/{name}") for name in metadata["tables"]}, metadata
 
 
-def save_metrics(metrics: dict, path: str) -> None:
-    Path(path).write_text(json.dumps(metrics, indent=2, sort_keys=True))
+def model_info(metadata: DataFrame, column: str) -> DataFrame:
+    """The metadata that is shown of a model, from its JSON text; what it lacks is null."""
+    return metadata.select(*[F.get_json_object(column, f"$.{k}").alias(k) for k in MODEL_INFO])
+
+
+def save_metrics(metrics: DataFrame, path: str) -> None:
+    """A few rows of metrics as JSON lines in one file."""
+    metrics.coalesce(1).write.mode("overwrite").json(path)
