@@ -126,8 +126,9 @@ SQL = {
         select page_id, host, path, rule, coalesce(ruled, case when coalesce(score, 0) >= t then 'allow' else 'block' end) as verdict from v left join score using (s), lim""",
     "op5_quality": r"""
         with d as (select doc_id, coalesce(text, '') as text, @words@ as w from documents),
-        p as (select doc_id, len(w) as n, w, unnest(range(1, len(w) - 3)) as i from d where len(w) >= 5),
-        y as (select doc_id, i, count(*) over (partition by doc_id, array_to_string(w[i:i + 4], ' ')) as times from p),
+        u as (select doc_id, unnest(w) as x, generate_subscripts(w, 1) as i from d),
+        p as (select doc_id, i, concat_ws(' ', x, lead(x, 1) over z, lead(x, 2) over z, lead(x, 3) over z) || ' ' || lead(x, 4) over z as five from u window z as (partition by doc_id order by i)),
+        y as (select doc_id, i, count(*) over (partition by doc_id, five) as times from p where five is not null),
         c as (select doc_id, count(distinct k) as n_repeat_words from (select doc_id, unnest(range(i, i + 5)) as k from y where times > 1) group by doc_id),
         ls as (select doc_id, unnest(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^ 	-
 ]'))) as l from d),
@@ -180,12 +181,11 @@ SQL = {
         select v.vec_id, (select count(*) from l where l.a = v.vec_id) as n_links, c.component_id, v.vec_id = c.component_id as kept from v join c on c.a = v.vec_id""",
     "op8_substring_dedup": rf"""
         with d as (select doc_id, {WORDS} as w from documents),
-        p as (select doc_id, w, unnest(range(1, len(w) - 33)) as i from d where len(w) >= 35),
-        x as (select doc_id, i, count(*) over (partition by md5(array_to_string(w[i:i + 34], ' '))) as n from p),
-        m as (select doc_id, i from x where n > 1),
-        g as (select distinct doc_id, unnest(range(i, i + 35)) as k from m),
-        q as (select doc_id, w, unnest(range(1, len(w) + 1)) as k from d where len(w) > 0),
-        k as (select q.doc_id, count(*) as n, string_agg(q.w[q.k], ' ' order by q.k) as t from q anti join g on q.doc_id = g.doc_id and q.k = g.k group by q.doc_id)
+        u as (select doc_id, unnest(w) as word, generate_subscripts(w, 1) as i from d),
+        p as (select doc_id, i, string_agg(word, ' ') over z as t, count(*) over z as c from u window z as (partition by doc_id order by i rows between current row and 34 following)),
+        x as (select doc_id, i, count(*) over (partition by md5(t)) as n from p where c = 35),
+        g as (select distinct doc_id, unnest(range(i, i + 35)) as k from x where n > 1),
+        k as (select u.doc_id, count(*) as n, string_agg(u.word, ' ' order by u.i) as t from u anti join g on u.doc_id = g.doc_id and u.i = g.k group by u.doc_id)
         select d.doc_id, cast(len(w) as bigint) as n_words, cast(len(w) - coalesce(k.n, 0) as bigint) as n_removed, sha256(coalesce(k.t, '')) as kept_sha256 from d left join k on k.doc_id = d.doc_id""",
 }
 
