@@ -165,7 +165,9 @@ def etag(*columns: Column | str) -> Column:
 
 def closest(asked: list[str], keys: list[str], cutoff: float) -> list[tuple[str, str, float]]:
     """(key, its most similar of ``keys``, the similarity) where that is ``cutoff`` or more; of equally similar ones the last in order."""
-    letters = sorted(set("".join(keys)) | set("".join(asked)))
+    if not asked or not keys:
+        return []
+    letters = sorted(set("".join(keys)) | set("".join(asked)) | {""})
     place = {c: i for i, c in enumerate(letters)}
     counts = lambda words: np.array([np.bincount([place[c] for c in w], minlength=len(letters)) for w in words]).reshape(len(words), -1)
     keys = sorted(keys, reverse=True)

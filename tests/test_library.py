@@ -127,3 +127,101 @@ def test_entry(spark):
 
     r = entry.entry(spark).first()
     assert 0 <= r.recall <= 1 and not math.isnan(r.ndcg) and set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_claims_in_turn(spark):
+    """Rounds of refusals give what taking turns gives."""
+    import random
+
+    rng = random.Random(3)
+    pairs = sorted({(i, rng.randrange(12)) for i in range(18) for _ in range(4)})
+    tier = {i: rng.randrange(3) for i in range(18)}
+    n = {m: rng.randrange(4) for m in range(12)}
+    want, taken = [], set()
+    for i in range(18):
+        free = sorted((m for j, m in pairs if j == i and m not in taken and (tier[i] == 0 or n[m] > 0)), key=lambda m: (-n[m], -m))
+        if free:
+            taken.add(free[0])
+            want.append((i, free[0], tier[i]))
+    candidates = spark.createDataFrame([(i, m, tier[i]) for i, m in pairs], "item_id long, movie_id long, tier int")
+    counts = spark.createDataFrame([(m, x) for m, x in n.items() if x], "movie_id long, n long")
+    assert rows(matching.claimed(candidates, counts), "item_id") == want
+
+
+def test_ease_in_several_blocks(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    x = (rng.random((30, 11)) < 0.3).astype(float)
+    likes = spark.createDataFrame([(int(u), int(i)) for u, i in zip(*np.nonzero(x))], "user_id long, item_id long")
+    items = spark.range(11).select(F.col("id").alias("item_id"))
+    p = np.linalg.inv(x.T @ x + 3 * np.eye(11))
+    want = -p / np.diag(p)[None, :]
+    np.fill_diagonal(want, 0)
+    blocks, index = collaborative.ease_blocks(likes, items, 3.0, 4)
+    got = {(r.user_id, r.item_id): (r.score, r.link) for r in collaborative.block_scores(likes, blocks, index, 4, 10).collect()}
+    own = x @ want
+    assert all(abs(got[u, i][0] - own[u, i]) < 1e-9 and abs(got[u, i][1] - want[x[u] > 0][:, i].max()) < 1e-9 for u in range(30) if x[u].any() for i in range(11))
+
+
+def test_find_title_against_all_pairs(spark):
+    import difflib
+    import random
+
+    rng = random.Random(5)
+    titles = ["".join(rng.choices("abcdef", k=rng.randint(3, 12))) for _ in range(60)]
+    asked = ["".join(rng.choices("abcdef", k=rng.randint(3, 12))) for _ in range(25)] + titles[:3] + ["zzz", None]
+    catalog = spark.createDataFrame(list(enumerate(titles)), "item_id long, title string")
+    got = {r.title: r.item_id for r in content.find_title(catalog, spark.createDataFrame([(x,) for x in asked], "title string"), 0.5, 7).collect()}
+    ratio = lambda a, b: difflib.SequenceMatcher(a=b, b=a).ratio()
+    for x in asked[:-1]:
+        best = max(ratio(x, t) for t in titles)
+        if best < 0.5:
+            assert got[x] is None
+        else:
+            assert abs(ratio(x, titles[got[x]]) - best) < 1e-12, x
+    assert got[None] is None
+
+
+def test_recommendations_fall_back_to_popular_items(spark):
+    items = spark.createDataFrame([(0, 5.0, 3), (1, 9.0, 1), (2, None, 3), (3, 1.0, 0)], "item_id long, votes double, n long")
+    liked = spark.createDataFrame([(1, [0, 0, 99]), (2, []), (3, [-4]), (4, None)], "user_id long, liked array<long>")
+    features = spark.createDataFrame([(0, "genre", "a", 1.0), (1, "genre", "a", 1.0), (2, "genre", "b", 1.0), (3, "genre", "a", 0.6), (3, "genre", "b", 0.8)], "item_id long, block string, term string, w double")
+    quality = items.select("item_id", F.lit(0.5).alias("quality"))
+    got = content.recommend_for(liked, items, features, quality, 0.2, 2).orderBy("user_id", "rank").collect()
+    assert [(r.user_id, r.item_id) for r in got] == [(1, 1), (1, 3), (2, 1), (2, 0), (3, 1), (3, 0), (4, 1), (4, 0)] and abs(got[0].score - 0.9) < 1e-9
+    valid = spark.createDataFrame([(1, 0)], "user_id long, item_id long")
+    sim, cf = content.profile_scores(valid, features, content.KEYS), spark.createDataFrame([(1, 2, 4.0), (1, 3, 1.0)], "user_id long, item_id long, score double")
+    both = hybrid.recommend_for(liked, items.fillna(0.0), sim, cf, quality, 2).orderBy("user_id", "rank").collect()
+    assert [(r.user_id, r.item_id) for r in both] == [(1, 2), (1, 3), (2, 0), (2, 2), (3, 0), (3, 2), (4, 0), (4, 2)]
+    alone = hybrid.recommend_for(liked, items.fillna(0.0), sim, cf, quality, 2, alpha=0.0).where("user_id = 1").orderBy("rank").collect()
+    assert [r.item_id for r in alone] == [1, 3]
+    with pytest.raises(ValueError):
+        hybrid.recommend_for(liked, items.where("item_id < 3"), sim, cf, quality)
+
+
+def test_changes_of_favorites(spark):
+    kinds = "map<bigint, struct<addedAt: bigint, rating: int, tags: array<string>>>", "array<struct<action: string, item: bigint, rating: int, tags: array<string>, at: bigint>>"
+    change = lambda action, item=None, rating=None, tags=None, at=None: {"action": action, "item": item, "rating": rating, "tags": tags, "at": at}
+    steps = [change("rate", 1, 3), change("toggle", 1, at=5), change("rate", 1, 4), change("tag", 1, tags=["x"]), change("toggle", 2, at=6), change("toggle", 2)]
+    df = spark.createDataFrame([({}, steps), ({}, steps + [change("clear")])], f"held {kinds[0]}, changes {kinds[1]}")
+    got = [r[0] for r in df.select(library.updated_favorites(F.col("held"), F.col("changes"))).collect()]
+    assert {k: tuple(v) for k, v in got[0].items()} == {1: (5, 4, ["x"])} and got[1] == {}
+
+
+def test_reranker_learns_and_tells_its_features(spark):
+    from tessera.operators import ranking
+
+    base = spark.range(40).select(F.col("id").alias("user_id"), F.explode(F.expr("sequence(0L, 29L)")).alias("item_id"))
+    data = base.select("*", *[F.when(F.lit(f == "ease_raw"), F.pmod(F.xxhash64("user_id", "item_id"), F.lit(1000)) / 1000.0).otherwise(F.lit(0.0)).alias(f) for f in ranking.FEATURES])
+    data = data.withColumn("label", (F.col("ease_raw") > 0.8).cast("int"))
+    model = ranking.Reranker.fit(data, ranking.RankerParams(rounds=10, leaves=4, min_leaf=20))
+    top = interactions.top_k(model.scores(data), 1).join(data, ["user_id", "item_id"])
+    assert top.agg(F.avg("label")).first()[0] > 0.9 and model.importance()[0][0] == "ease_raw" and abs(sum(g for _, g in model.importance()) - 1) < 1e-9
+
+
+def test_sources_without_their_files(spark, tmp_path):
+    assert tables.read_embeddings(spark, None, 5) is None and tables.read_embeddings(spark, "auto", 5, str(tmp_path / "none")) is None
+    with pytest.raises(ValueError):
+        tables.read_embeddings(spark, spark.range(3).toDF("item_id"), 5)
+    assert tables.served(lambda: tables.load_model(spark, str(tmp_path / "none")), lambda: "other") == "other"
