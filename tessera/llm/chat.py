@@ -277,7 +277,8 @@ def format_chats(turns: DataFrame, template: str = TEMPLATE) -> DataFrame:
     """(conv_id, formatted, spans): one row for each conversation, spans as structs of begin and end in code points.
 
     Turns are put in the order of turn, then role, then text; null turns first. A null role or text is empty. Rows with
-    a null conv_id make one conversation. Repeated rows are repeated turns. Other columns are not read.
+    a null conv_id make one conversation. Repeated rows are repeated turns, in ties of turn they go by role and text. An empty table
+    gives no rows, texts of any length are written whole. Other columns are not read, whatever their names.
     """
     parse(template)  # an error in it is told here, not in a task
 

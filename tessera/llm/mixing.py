@@ -61,7 +61,8 @@ def shares(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float
     A source takes all its rows as often as they fit the target whole; what remains of the budget is taken in the order
     of hash-random keys, up to the exact word, so at most one row of a source is cut. A null text has size 0; a null
     source is a source of its own, the last. Keys depend on ``seed`` and the id alone, ties go by id and size, so
-    reruns agree; rows alike in both are interchangeable. An empty table gives no rows.
+    reruns agree; rows alike in both are interchangeable. An empty table gives no rows. Texts of any length are counted whole. Other
+    columns aren't read, whatever their names. The targets of all sources are worked out in one task, a row for each source.
     """
     name, id_ = F.col(f"`{source_col}`"), F.col(f"`{id_col}`")
     sized = written(docs.select(id_.alias("id"), name.alias("name"), word_count(F.col(f"`{text_col}`")).alias("size")))

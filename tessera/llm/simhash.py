@@ -183,7 +183,8 @@ def simhash_components(docs: DataFrame, shingle: int = 4, bits: int = 64, radius
 
     Documents link where their fingerprints differ in at most ``radius`` bits. Texts without words, null ones included,
     have fingerprint 0 and link like any other. Repeated rows and ids are kept; a null id counts for no component.
-    Other columns of ``docs`` are not read. Nothing but counts reaches the driver.
+    Other columns of ``docs`` are not read, whatever their names. An empty table gives no rows. Texts of any length are taken whole.
+    Nothing but counts reaches the driver.
     """
     own = written(fingerprints(docs, shingle, bits, (seed,), id_col=id_col, text_col=text_col).withColumnRenamed("fp0", "fp"))
     prints = written(own.groupBy("fp").agg(F.min(id_col).alias("least")))
@@ -199,7 +200,8 @@ def simhash_components(docs: DataFrame, shingle: int = 4, bits: int = 64, radius
 def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, centers: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, keeper): for each row of a text that is a near copy or exact copy, the least id of its group; the rest have their own.
 
-    Groups are those of ``text_groups``. Rows with null ids are dropped, after they have linked others.
+    Groups are those of ``text_groups``. Rows with null ids are dropped, after they have linked others. Repeated rows stay, ids may be
+    of any type, an empty table gives no rows.
     """
     groups = text_groups(docs, shingle, similarity, centers, id_col, text_col)
     keepers = groups.groupBy("root").agg(F.min("id").alias("keeper"))

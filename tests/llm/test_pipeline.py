@@ -49,3 +49,44 @@ def test_run(spark, tmp_path):
     assert sizes[0] == sizes[1] > 0
     done = corpus_pipeline.run(spark, str(tmp_path)).select("doc_id", "n_tokens", F.size("ids").alias("size")).collect()
     assert any(r.doc_id is None for r in done) and any(r.doc_id is not None for r in done) and all(r.n_tokens == r.size for r in done)
+
+
+def test_quality_stage(spark):
+    good, bad = "This line of ten words ends as a sentence does.", "a menu | of | links | to pages"
+    rows = [(1, f"{good}\n{good[:-1]} too.\n{bad}", "a"), (None, "\n".join([bad] * 5), "a"), (2, "too short.", "b"), (2, f"{good}\nno end of a sentence here", "b"), (None, None, None), (3, f"{good} " * 4, "a")]
+    got = Counter((r.doc_id, r.text, r.n_chars) for r in corpus_pipeline.quality_stage(spark, frame(spark, rows), "").collect())
+    want = Counter()
+    for i, t, _ in rows:
+        lines = [x for x in (t or "").split("\n") if x.split()]
+        kept = [x for x in lines if x.rstrip().endswith(".")]
+        words = (t or "").split()
+        grams = Counter(tuple(words[j : j + 5]) for j in range(len(words) - 4))
+        repeat = {k for j in range(len(words) - 4) if grams[tuple(words[j : j + 5])] > 1 for k in range(j, j + 5)}
+        if len(words) >= 10 and 5 * len(repeat) <= len(words) and 1 - sum(map(len, kept)) / sum(map(len, lines)) <= 0.4:
+            want["\n".join(kept)] += 1
+    assert Counter(t for _, t, _ in got.elements()) == want and all(n == len(t) for _, t, n in got)
+
+
+def test_substring_stage(spark):
+    long = text(9, 50)
+    rows = [(None, f"{text(1, 20)} {long} {text(2, 20)}", "a"), (5, f"{long} {text(3, 30)}", "b"), (5, text(4, 40), "b"), (None, None, "a"), (6, " ", "a"), (None, long, None), (7, long, "c"), (8, f"a  b\n{text(6, 3)}", "c")]
+    got = Counter((r.doc_id, r.text) for r in corpus_pipeline.substring_stage(spark, frame(spark, rows), "").collect())
+    seen = Counter(tuple(w[j : j + 35]) for _, t, _ in rows for w in [(t or "").split()] for j in range(len(w) - 34))
+    want = Counter()
+    for i, t, _ in rows:
+        w = (t or "").split()
+        gone = {k for j in range(len(w) - 34) if seen[tuple(w[j : j + 35])] > 1 for k in range(j, j + 35)}
+        if not gone or len(gone) < len(w):
+            want[i, " ".join(x for k, x in enumerate(w) if k not in gone) if gone else t or ""] += 1
+    assert got == want
+
+
+def test_bpe_stage(spark):
+    from tokenizers import Tokenizer
+
+    from tessera.llm.queries import vocabulary
+
+    model = Tokenizer.from_file(vocabulary())
+    rows = [(None, "One text, two words.", "a"), (1, "é" * 90, "b"), (1, None, "b"), (None, "One text, two words.", None)]
+    got = Counter((r.doc_id, r.source, r.n_tokens, tuple(r.ids)) for r in corpus_pipeline.bpe_stage(spark, frame(spark, rows), "").collect())
+    assert got == Counter((i, s, len(x), tuple(x)) for i, t, s in rows for x in [model.encode(t or "", add_special_tokens=False).ids])
