@@ -225,3 +225,18 @@ def test_sources_without_their_files(spark, tmp_path):
     with pytest.raises(ValueError):
         tables.read_embeddings(spark, spark.range(3).toDF("item_id"), 5)
     assert tables.served(lambda: tables.load_model(spark, str(tmp_path / "none")), lambda: "other") == "other"
+
+
+def test_training_run(spark, tmp_path):
+    from tessera.plans import models, train
+    from tessera.plans.domain import brand_likes, ratings, table
+
+    folder = "/root/testdata/sf0.001"
+    of_brands = table(spark, folder, "part").select(F.col("p_partkey").alias("item_id"), F.col("p_brand").alias("brand"))
+    rated = ratings(spark, folder).join(of_brands, "item_id").select("user_id", F.col("brand").alias("item_id"), "rating")
+    items = table(spark, folder, "part").groupBy(F.col("p_brand").alias("item_id")).agg(F.avg("p_retailprice").alias("rating"), F.count("*").cast("double").alias("votes"), F.lit(None).cast("double").alias("metascore"), F.min(1950 + F.col("p_size")).alias("year"))
+    said = []
+    got = train.train(brand_likes(spark, folder), rated, tables.stored(items), models.brand_features(spark, folder), str(tmp_path / "m"), k=5, quick=True, n_collab=6, n_content=3, log=said.append)
+    assert {r.model: 0 <= r.ndcg <= 1 and r.recall > 0 for r in got.collect()} == {"hybrid": True, "two stages": True} and said[-1] == "saved"
+    held, meta = tables.load_model(spark, str(tmp_path / "m"))
+    assert held["edges"].count() > 0 and meta["k"] == 5 and set(meta["importance"]) <= set(__import__("tessera.operators.ranking", fromlist=["x"]).FEATURES)
