@@ -1,7 +1,7 @@
 """Mixing sources to target weights.
 
 Rows get hash-random keys, are range-sorted within each source, and taken in that order up to the source's exact
-budget. A source's keys are cut into as many ranges as its rows need; sums of the ranges, then of the rows in each
+budget. A source's keys are cut into ranges, the square root of its rows many; sums of the ranges, then of the rows in each
 range, make the distributed prefix sums, so that no source has to fit one task.
 """
 
@@ -12,9 +12,6 @@ from pyspark.sql import functions as F
 
 from .shared import WORD, written
 
-#: Rows that share a range of keys, and the most ranges of one source.
-RANGE_ROWS, MOST_RANGES = 64, 4096
-
 
 def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("bigint")
@@ -71,7 +68,7 @@ def shares(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float
     sources = sized.groupBy("name").agg(F.sum("size").alias("source_size"), F.count("*").alias("n")).withColumn("key", key)
     aims = written(targets(sources.select("key", "name", "source_size"), weights, share, most).join(sources.select("key", "n"), "key"))
     place = F.conv(F.substring("order", 1, 8), 16, 10).cast("bigint")
-    ranges = F.least(F.lit(MOST_RANGES), F.ceil(F.col("n") / RANGE_ROWS))
+    ranges = F.ceil(F.sqrt("n"))  # as many as a range has rows, so that neither the ranges of a source nor the rows of a range outgrow a task
     # every row needs its source's number of ranges; hot sources are dealt out by the key's first digits, targets repeated for each
     salts = 16
     salted = sized.select("id", "size", key.alias("key"), order.alias("order")).withColumn("salt", F.ascii("order") % salts)
