@@ -240,3 +240,11 @@ def test_training_run(spark, tmp_path):
     assert {r.model: 0 <= r.ndcg <= 1 and r.recall > 0 for r in got.collect()} == {"hybrid": True, "two stages": True} and said[-1] == "saved"
     held, meta = tables.load_model(spark, str(tmp_path / "m"))
     assert held["edges"].count() > 0 and meta["k"] == 5 and set(meta["importance"]) <= set(__import__("tessera.operators.ranking", fromlist=["x"]).FEATURES)
+
+
+def test_paths_reports_and_counts(monkeypatch):
+    monkeypatch.setenv("TESSERA_MODEL", "/elsewhere")
+    assert tables.data_path("model", "m") == "/elsewhere" and tables.data_path("catalog", "c.csv") == "c.csv" and set(tables.DATASETS) == {"small", "32m"}
+    lines = evaluation.format_table([{"model": "hybrid", "ndcg": 0.12345}], {"hybrid": {"ndcg": 0.01}}).split("\n")
+    assert lines[0].split() == ["model", "ndcg"] and lines[1].split() == ["hybrid", "0.1235", "±", "0.0100"] or lines[1].split()[1] == "0.1234"
+    assert library.Filters(query=" a ", min_rating=3, certificate="U").active() == 3
