@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, embed_dedup, html_text, lm_score, mixing, quality, simhash, substring, url_filter
+from . import bpe, chat, embed_dedup, exact_dedup, html_text, lm_score, mixing, phrases, quality, simhash, substring, url_filter, vector_code
 
 VOCABULARY = "byte_bpe_50k.json"
 
@@ -79,6 +79,18 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract_text(table(spark, sf_dir, "pages")).select("page_id", "text", F.char_length("text").cast("long").alias("n_chars"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
+def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op13_vector_code(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_code.vector_code_digest(table(spark, sf_dir, "embeddings"))
+
+
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
 #: Lines that fail, as in quality.line_fails with its default rules.
@@ -87,6 +99,15 @@ LINE = r"""
             or (sy > 0 and sy >= 0.25 * nw) or (me >= 3 and 3 * me >= nw) or (ca >= 10 and ca > 0.6::double * le) or (@phrases@)"""
 PHRASES = " or ".join("contains(lower(l), '{}')".format(p.replace("'", "''")) for p in quality.BOILERPLATE)
 
+#: One round of op13: parts go to the nearest entry, and entries become the floored means of their parts.
+DISTANCE = "list_sum(list_transform(list_zip(x, y), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::bigint"
+ROUND = """
+        a@r@ as materialized (select vec_id, label, part, x, min({'d': @distance@, 'e': e}) as best from p join b@r@ using (part) group by all),
+        s@r@ as (select part, best.e as e, unnest(range(1, len(x) + 1)) as i, unnest(x) as c from a@r@),
+        m@r@ as (select part, e, i, case when sum(c) >= 0 then sum(c) // count(*) else -((-sum(c) + count(*) - 1) // count(*)) end::bigint as c from s@r@ group by all),
+        l@r@ as (select part, e, list(c order by i) as y from m@r@ group by all),
+        b@s@ as materialized (select part, b.e, coalesce(l.y, b.y) as y from b@r@ b left join l@r@ l using (part, e)),"""
+
 SQL = {
     "op3_chat": r"""
         with c as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
@@ -140,6 +161,40 @@ SQL = {
               from d left join c on c.doc_id = d.doc_id left join js on js.doc_id = d.doc_id),
         f as (select *, n_words < 10 or 100 * n_repeat_words > 20 * n_words as base_failed from b)
         select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and lost <= 0.4::double as kept from f""".replace("@words@", WORDS).replace("@words_l@", WORDS.replace("coalesce(text, '')", "l")).replace("@line@", LINE.replace("@phrases@", PHRASES)),
+    "op11_collocations": r"""
+        with d as (select coalesce(lang, 'und') as lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as t from documents),
+        p as (select lang, unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')) as piece from d),
+        w as (select lang, regexp_extract_all(piece, '[^\x20\x09]+') as w from p),
+        total as (select lang, sum(len(w))::bigint as n from w group by lang),
+        g as (select lang, 1 as k, unnest(w) as phrase from w
+              union all select lang, 2, unnest(list_transform(range(1, len(w)), lambda i: array_to_string(w[i : i + 1], ' '))) from w where len(w) > 1
+              union all select lang, 3, unnest(list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i : i + 2], ' '))) from w where len(w) > 2),
+        f as (select lang, k, phrase, count(*)::hugeint as c from g group by all),
+        cand as (select lang, k, phrase, c as a, string_split(phrase, ' ') as x from f where k > 1 and c >= 10),
+        cut as (select lang, k, phrase, a, unnest(range(1, k)) as j, x from cand),
+        parts as (select cut.lang, cut.k, cut.phrase, a, j, l.c as l, r.c as r, (1000000 * a * a) // (l.c * r.c) as score from cut
+                  join f l on l.lang = cut.lang and l.k = j and l.phrase = array_to_string(x[1 : j], ' ') join f r on r.lang = cut.lang and r.k = cut.k - j and r.phrase = array_to_string(x[j + 1 : cut.k], ' ')),
+        best as (select * from parts qualify row_number() over (partition by lang, phrase order by score, j) = 1),
+        longer as (select lang, unnest([array_to_string(x[1 : 2], ' '), array_to_string(x[2 : 3], ' ')]) as phrase, a from cand where k = 3),
+        most as (select lang, phrase, max(a) as a from longer group by all),
+        kept as (select best.* from best left join most m on m.lang = best.lang and m.phrase = best.phrase and k = 2 where m.a is null or 100 * m.a < 50 * best.a)
+        select lang, row_number() over (partition by lang order by score desc, a desc, phrase)::bigint as rank, phrase, a::bigint as a, l::bigint as l, r::bigint as r, n, score::bigint as score
+        from kept join total using (lang) qualify rank <= 2000""",
+    "op12_exact_dedup": """
+        with d as (select doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as t from documents),
+        g as (select *, max(doc_id) over (partition by t) as keep_id, count(*) over (partition by t) as group_size from d)
+        select doc_id, keep_id, group_size, doc_id = keep_id as kept, sha256(t) as text_sha256 from g""",
+    "op13_vector_code": """
+        with v as materialized (select vec_id, label, list_transform(embedding, lambda x: floor(256 * x::double)::bigint) as q from embeddings
+                   where embedding is not null and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0),
+        p as materialized (select vec_id, label, k as part, q[k * len(q) // 16 + 1 : (k + 1) * len(q) // 16] as x from v, range(16) as t(k)),
+        b0 as materialized (select part, e, x as y from (select part, x, row_number() over (partition by part order by vec_id) - 1 as e from p) where e < 64),
+        @0@ @1@
+        a2 as materialized (select vec_id, label, part, min({'d': @distance@, 'e': e}) as best from p join b2 using (part) group by all),
+        c as (select vec_id, label, string_agg(printf('%02x', best.e), '' order by part) as code, sum(best.d)::bigint as error from a2 group by all),
+        h as (select sha256(string_agg(array_to_string(y, ','), ',' order by part, e)) as codebooks_sha256 from b2)
+        select vec_id, code, error, sum(error) over (partition by label)::bigint as label_error, codebooks_sha256 from c, h"""
+    .replace("@0@", ROUND.replace("@r@", "0").replace("@s@", "1")).replace("@1@", ROUND.replace("@r@", "1").replace("@s@", "2")).replace("@distance@", DISTANCE),
     "op9_lm_score": rf"""
         with d as (select doc_id, {WORDS} as w from documents), size as (select sum(len(w)) as n from d),
         u as (select doc_id, w, len(w) as n, unnest(range(1, len(w) + 1)) as i from d),
@@ -191,7 +246,7 @@ SQL = {
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_simhash, op2_bpe, op3_chat, op4_url_filter, op5_quality, op6_mixing, op7_embedding_dedup, op8_substring_dedup, op9_lm_score, op10_html_text)
+    own = (op1_simhash, op2_bpe, op3_chat, op4_url_filter, op5_quality, op6_mixing, op7_embedding_dedup, op8_substring_dedup, op9_lm_score, op10_html_text, op11_collocations, op12_exact_dedup, op13_vector_code)
     return {f.__name__: f for f in own}
 
 
