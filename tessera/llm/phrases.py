@@ -1,14 +1,16 @@
 """Phrase collocations by weighted acyclic automata.
 
-1. Each task counts the n-grams of its texts, a bounded number of words at a time (a shard), sorts them, and builds count transducers:
-   acyclic automata whose transitions bear a word and a count, the count being that of the phrase that the path spells. States with the
-   same transitions are one. Phrases are dealt to ranges by their first two words, and each range gets a transducer of its own.
-2. A range's transducers are unfolded in order, their union is formed and weights are summed. Ranges with too many entries, as of a
-   prefix that very many words follow, are dealt on by the whole phrase first.
-3. Phrases frequent enough are candidates. A range asks the ranges of their parts for counts: what it asks for is an automaton, too, and its
+1. Each task takes its texts apart, a bounded number of words at a time (a shard: its words in order, and its texts as their numbers).
+2. For each length, from one word up, a shard's n-grams are counted, sorted, and built into count transducers: acyclic
+   automata whose transitions bear a word and a count, the count being that of the phrase that the path spells. States with the same
+   transitions are one. Phrases are dealt to ranges by their first two words, and each range gets a transducer of its own.
+3. A range's transducers are unfolded in order, their union is formed and weights are summed. Ranges with too many entries, as of a
+   prefix that very many words follow, are dealt on by the whole phrase first. A phrase is as rare as its parts: the frequent phrases of a length set
+   bits of a filter of fixed size, and of the next length shards count only those whose parts are in it; a false hit only counts in vain.
+4. Frequent phrases of two words or more are candidates. A range asks the ranges of their parts for counts: what it asks for is an automaton, too, and its
    composition with the transducer of the asked range is the answer. What a longer phrase weighs goes with the request, so that the range
    of a part knows whether a longer phrase covers it.
-4. Candidates are scored with the answers, and ranked within ranges, then over all.
+5. Candidates are scored with the answers, and ranked within ranges, then over all.
 """
 
 from __future__ import annotations
@@ -18,6 +20,7 @@ import json
 import re
 import struct
 from collections import defaultdict
+from collections.abc import Iterable
 from math import ceil
 
 import numpy as np
@@ -29,7 +32,9 @@ from pyspark.sql import functions as F
 from .shared import mix64, written
 
 #: Bytes of text that are taken apart at a time; words of a shard; most entries of a range.
-STEP, SHARD, RANGE = 1 << 20, 4_000_000, 1_500_000
+STEP, SHARD, RANGE = 1 << 20, 2_000_000, 1_500_000
+#: Bits of the filter of frequent phrases (8 MB), as a power of two, and the slices in which it is put together.
+FILTER, SLICES = 26, 64
 #: 255 is no byte of any text in UTF-8: it stands for the end of a piece.
 END = b"\xff"
 MARKS = bytes.maketrans(b".,;:!?\x0a\x0b\x0c\x0d\x09", END * 10 + b" ")
@@ -108,8 +113,10 @@ class Transducer:
         return out
 
     def packed(self) -> bytes:
-        parts = [json.dumps([w.decode("latin-1") for w in self.words]).encode() if any(b"\n" in w for w in self.words) else b"\n".join(self.words)]
-        head = struct.pack("<BBI", len(self.levels), int(any(b"\n" in w for w in self.words)), len(self.words))
+        joined = b"\n".join(self.words)
+        escaped = joined.count(b"\n") > max(len(self.words) - 1, 0)
+        parts = [json.dumps([w.decode("latin-1") for w in self.words]).encode() if escaped else joined]
+        head = struct.pack("<BBI", len(self.levels), int(escaped), len(self.words))
         for label, weight, target, start in self.levels:
             for x in (label, weight, target, np.diff(start)):
                 kind = np.min_scalar_type(int(x.max()) if len(x) else 0)
@@ -181,7 +188,7 @@ def summed(paths: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return paths[new], np.add.reduceat(weights[order], new) if len(key) else weights
 
 
-def steps(texts: list[bytes]):
+def steps(texts: Iterable[bytes]):
     """Texts in parts of about ``STEP`` bytes, cut at spaces: (bytes, whether the part goes on with the text before it)."""
     held, size = [], 0
     for text in texts:
@@ -203,7 +210,7 @@ def steps(texts: list[bytes]):
 
 
 class Shard:
-    """Words of a bounded part of a task's texts, by language, as numbers."""
+    """Texts of a bounded part of a task's rows, by language, as numbers of words; 0 ends a piece."""
 
     def __init__(self):
         self.number = defaultdict(itertools.count().__next__)
@@ -220,7 +227,7 @@ class Shard:
         else:
             words = [] if on else [END]
         words += part.replace(END, b" \xff ").split()
-        self.held[lang].append(np.fromiter(map(self.number.__getitem__, words), np.int64, len(words)))
+        self.held[lang].append(np.fromiter(map(self.number.__getitem__, words), np.int32, len(words)))
         self.size += len(words)
 
     def full(self) -> bool:
@@ -231,37 +238,44 @@ class Shard:
         words, tail = list(self.number), np.concatenate(self.held[lang][-4:])[-n:]
         return [words[i] for i in tail[np.flatnonzero(tail == 0)[-1] + 1 if (tail == 0).any() else 0 :]]
 
-    def counts(self, most: int) -> tuple[list[bytes], list[tuple[bytes, int, np.ndarray, np.ndarray]]]:
-        """(words in order, (language, length, paths, counts) in order)."""
-        words = sorted(self.number)
-        rank = np.empty(len(words), dtype=np.int64)
-        rank[np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))] = np.arange(len(words))
-        out = []
-        for lang, held in sorted(self.held.items()):
-            ids = rank[np.concatenate(held)]
-            for n in range(1, most + 1):
-                # phrases that end in a word of this shard
-                at = [ids[d : max(len(ids) - n + 1 + d, d)] for d in range(n)]
-                ok = np.logical_and.reduce([x != rank[0] for x in at])
-                ok[: max(self.known[lang] - n + 1, 0)] = False
-                at = [x[ok] for x in at]
-                if n * BITS < 64:
-                    key, count = runs(sum(x << (BITS * (n - 1 - d)) for d, x in enumerate(at)))
-                    paths = np.stack([key >> (BITS * (n - 1 - d)) & ((1 << BITS) - 1) for d in range(n)], axis=1)
-                else:
-                    paths, count = summed(np.stack(at, axis=1), np.ones(len(at[0]), dtype=np.int64))
-                out.append((lang, n, paths, count))
-        return words, out
+    def rows(self) -> pd.DataFrame:
+        """(lang, known, n, words, ids): a row for each language, words in order, ids from 1, and the number of words of this shard's own."""
+        listed, out = list(self.number), []
+        for lang, held in self.held.items():
+            ids = np.concatenate(held)
+            used = np.zeros(len(listed), dtype=bool)
+            used[ids] = True
+            used[0] = False
+            mine = sorted((listed[i], i) for i in np.flatnonzero(used).tolist())
+            rank = np.zeros(len(listed), dtype=np.uint32)
+            rank[[i for _, i in mine]] = np.arange(1, len(mine) + 1)
+            ids = rank[ids]
+            out.append((lang.decode(), self.known[lang], int((ids[self.known[lang] :] > 0).sum()), b" ".join(w for w, _ in mine), ids.astype("<u4").tobytes()))
+        return pd.DataFrame(out, columns=["lang", "known", "n", "words", "ids"])
+
+
+def mixed(mark: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """The mark of phrases that go on by a word."""
+    return mix64(mark + hashes)
 
 
-def ranges_of(paths: np.ndarray, hashes: np.ndarray, langs: np.ndarray, ranges: int, all_words: bool = False) -> np.ndarray:
-    """The range of each path: by language and its first two words, or by all of them."""
-    mark = langs
-    for d in range(paths.shape[1] if all_words else min(2, paths.shape[1])):
-        mark = mix64(mark + np.where(paths[:, d] >= 0, hashes[paths[:, d]], np.uint64(d)))
+def range_of(mark: np.ndarray, ranges: int) -> np.ndarray:
     return ((mark >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
 
 
+def bit_of(mark: np.ndarray) -> np.ndarray:
+    """The bit of the filter that a phrase sets; not of the digits that tell its range."""
+    return (mix64(mark) >> np.uint64(64 - FILTER)).astype(np.int64)
+
+
+def marks(paths: np.ndarray, hashes: np.ndarray, most: int = 9) -> np.ndarray:
+    """The mark of each path, language first, by ``most`` of its words."""
+    mark = hashes[paths[:, 0]]
+    for d in range(1, min(most + 1, paths.shape[1])):
+        mark = np.where(paths[:, d] >= 0, mixed(mark, hashes[paths[:, d]]), mark)
+    return mark
+
+
 def hash_words(words: list[bytes]) -> np.ndarray:
     return np.fromiter((xxhash.xxh64_intdigest(w) for w in words), np.uint64, len(words))
 
@@ -279,48 +293,74 @@ def transducer(words: list[bytes], paths: np.ndarray, weights: np.ndarray, is_so
     return Transducer.build([words[i] for i in np.flatnonzero(used)], new, weights, paths.shape[1])
 
 
-def shard_rows(shard: Shard, ranges: int, most: int) -> pd.DataFrame:
-    """A row for each range with the shard's transducer of its phrases, and one for each language with its words: range -1."""
-    words, counted = shard.counts(most)
-    langs = sorted(shard.held)
-    listed = words + [b"\x00" + x for x in langs]  # no word and no language are one symbol
-    hashes = hash_words(listed)
-    rows = [(-1, int(count.sum()), lang.decode(), None) for lang, n, _, count in counted if n == 1]
-    paths, weights, where = [], [], []
-    for lang, n, p, count in counted:
-        symbol = len(words) + langs.index(lang)
-        padded = np.pad(p, ((0, 0), (0, most - n)), constant_values=-1)
-        where.append(ranges_of(padded, hashes, np.full(len(p), hashes[symbol]), ranges))
-        paths.append(np.concatenate([np.full((len(p), 1), symbol), padded], axis=1))
-        weights.append(count)
-    paths, weights, where = (np.concatenate(x) for x in (paths, weights, where))
+def language(lang: str) -> bytes:
+    """The symbol of a language, which no word's symbol precedes in a path."""
+    return b"\x00" + lang.encode()
+
+
+def shard_counts(lang: str, known: int, words: bytes, ids: bytes, n: int, most: int, ranges: int, passed: np.ndarray | None) -> list[tuple[int, int, bytes]]:
+    """(range, entries, transducer) of a shard's phrases of ``n`` words whose parts pass the filter, counted where they end."""
+    listed = words.split(b" ") if words else []
+    hashes = np.append(hash_words(listed), np.zeros(1, np.uint64))
+    symbol = hash_words([language(lang)])
+    stream = np.frombuffer(ids, "<u4").astype(np.int64) - 1  # -1, the last of the hashes, where a piece ends
+    begins = np.arange(max(len(stream) - n + 1, 0))
+    # marks of the phrases of n - 1 words that begin at each place, which two neighbours share with one of n
+    ok = np.logical_and.reduce([stream[begins + d] >= 0 for d in range(n)])
+    ok[: max(known - n + 1, 0)] = False
+    begins = begins[ok]
+    if passed is not None:
+        for shift in (0, 1):
+            mark = np.broadcast_to(symbol, len(begins))
+            for d in range(n - 1):
+                mark = mixed(mark, hashes[stream[begins + shift + d]])
+            begins = begins[passed[bit_of(mark) >> 3] >> (bit_of(mark) & 7) & 1 > 0]
+    at = [stream[begins + d] for d in range(n)]
+    if n * BITS < 64:
+        key, count = runs(sum(x << (BITS * (n - 1 - d)) for d, x in enumerate(at)))
+        paths = np.stack([key >> (BITS * (n - 1 - d)) & ((1 << BITS) - 1) for d in range(n)], axis=1)
+    else:
+        paths, count = summed(np.stack(at, axis=1), np.ones(len(at[0]), dtype=np.int64))
+    paths = np.pad(np.concatenate([np.full((len(paths), 1), len(listed)), paths], axis=1), ((0, 0), (0, most - n)), constant_values=-1)
+    listed, hashes = [*listed, language(lang)], np.append(hashes[:-1], symbol)
+    where = range_of(marks(paths, hashes, 2), ranges)
     order = where.argsort(kind="stable")
     bounds = np.searchsorted(where[order], np.arange(ranges + 1))
-    for r in np.flatnonzero(np.diff(bounds)):
-        own = order[bounds[r] : bounds[r + 1]]
-        rows.append((int(r), len(own), None, transducer(listed, paths[own], weights[own]).packed()))
-    return pd.DataFrame(rows, columns=["range", "n", "lang", "data"])
+    return [(int(r), int(bounds[r + 1] - bounds[r]), transducer(listed, paths[own], count[own], True).packed()) for r in np.flatnonzero(np.diff(bounds)) for own in [order[bounds[r] : bounds[r + 1]]]]
 
 
-def shard_counts(docs: DataFrame, ranges: int, most: int) -> DataFrame:
-    """(range, n, lang, data) of all shards; ``docs`` has text and lang."""
-    def count(batches):
+def shards(docs: DataFrame, most: int) -> DataFrame:
+    """(lang, known, n, words, ids) of all shards; ``docs`` has text and lang."""
+    def cut(batches):
         shard = Shard()
         for batch in batches:
             for lang, own in batch.groupby("lang", sort=False):
                 name = lang.encode()
-                texts = [(t or "").encode("utf-8", "surrogatepass").lower().translate(MARKS) for t in own["text"]]
+                texts = ((t or "").encode("utf-8", "surrogatepass").lower().translate(MARKS) for t in own["text"])
                 for part, on in steps(texts):
                     before = []
                     if shard.full():
                         before = shard.last(name, most - 1) if on else []
-                        yield shard_rows(shard, ranges, most)
+                        yield shard.rows()
                         shard = Shard()
                     shard.add(name, part, on, before)
         if shard.held:
-            yield shard_rows(shard, ranges, most)
+            yield shard.rows()
+
+    return docs.mapInPandas(cut, "lang string, known int, n long, words binary, ids binary")
 
-    return docs.mapInPandas(count, "range int, n long, lang string, data binary")
+
+def level_counts(cut: DataFrame, n: int, most: int, ranges: int, passed: np.ndarray | None) -> DataFrame:
+    """(range, n, data) of all shards' phrases of ``n`` words; ``passed`` are the bits of the frequent ones of n - 1 words."""
+    shared = None if passed is None else cut.sparkSession.sparkContext.broadcast(passed)
+
+    def count(batches):
+        for batch in batches:
+            for lang, known, words, ids in zip(batch["lang"], batch["known"], batch["words"], batch["ids"]):
+                rows = shard_counts(lang, known, words, ids, n, most, ranges, None if shared is None else shared.value)
+                yield pd.DataFrame(rows, columns=["range", "n", "data"])
+
+    return cut.select("lang", "known", "words", "ids").mapInPandas(count, "range int, n long, data binary")
 
 
 def union(pieces: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
@@ -348,49 +388,65 @@ def split_pieces(pieces: DataFrame) -> DataFrame:
                 t = Transducer.unpacked(data)
                 p, w = t.unfolded()
                 hashes = hash_words(t.words)
-                where = ranges_of(p[:, 1:], hashes, hashes[p[:, 0]], subs, all_words=True)
+                where = range_of(mix64(marks(p, hashes)), subs)
                 rows += [(r, int(s), transducer(t.words, p[where == s], w[where == s]).packed()) for s in np.unique(where)]
             yield pd.DataFrame(rows, columns=["range", "sub", "data"])
 
     return pieces.select("range", "subs", "data").mapInPandas(split, "range int, sub int, data binary")
 
 
-def frequent(pieces: DataFrame, ranges: int, least: int) -> DataFrame:
-    """(kind, range, sub, to_range, data) by range: 'all' its phrases of ``least`` occurrences or more; 'part' those that can be a part, for the lookups; 'ask' the
-    parts of its candidates for each range that counts them, with the most that a phrase weighs which the part begins or ends."""
+def frequent(pieces: DataFrame, ranges: int, least: int, n: int, most: int) -> DataFrame:
+    """(kind, range, sub, to_range, data) by range, of phrases of ``n`` words with ``least`` occurrences or more: 'all' candidates; 'part' phrases that longer ones
+    may have as a part, and 'bits' theirs in the filter, by slice; 'ask' the parts of candidates for each range that counts them, with the most
+    that a phrase weighs which the part begins or ends."""
     def count(key, group):
         words, paths, weights = union(list(group["data"]))
         keep = weights >= least
         paths, weights = paths[keep], weights[keep]
-        rows, depth = [], paths.shape[1]
+        rows = []
         if len(paths):
-            short = paths[:, -1] < 0
-            rows.append(("all", *key, key[0], transducer(words, paths, weights, True).packed()))
-            if short.any():
-                rows.append(("part", *key, key[0], transducer(words, paths[short], weights[short], True).packed()))
-            hashes = hash_words(words)
-            parts, loads = [], []
-            for n in range(2, depth):
-                own = (paths >= 0).sum(axis=1) == n + 1
+            data, hashes = transducer(words, paths, weights, True).packed(), hash_words(words)
+            if n < most:
+                rows.append(("part", *key, key[0], data))
+                bits = np.unique(bit_of(marks(paths, hashes)))
+                slices = bits >> (FILTER - SLICES.bit_length() + 1)
+                rows += [("bits", *key, int(x), bits[slices == x].astype("<u4").tobytes()) for x in np.unique(slices)]
+            if n > 1:
+                rows.append(("all", *key, key[0], data))
+                parts = []
                 for first, size in [x for k in range(1, n) for x in ((0, k), (k, n - k))]:
-                    part = np.pad(paths[own][:, 1 + first : 1 + first + size], ((0, 0), (1, depth - 1 - size)), constant_values=-1)
-                    part[:, 0] = paths[own, 0]
+                    part = np.full_like(paths, -1)
+                    part[:, 0], part[:, 1 : 1 + size] = paths[:, 0], paths[:, 1 + first : 1 + first + size]
                     parts.append(part)
-                    loads.append(weights[own])
-            if parts and sum(map(len, parts)):
                 # of a part's requests the greatest weight counts: they are put in order of weight, and the first of each part stays
-                parts, loads = np.concatenate(parts), np.concatenate(loads)
+                parts, loads = np.concatenate(parts), np.tile(weights, len(parts))
                 order = np.lexsort((-loads, *parts.T[::-1]))
                 parts, loads = parts[order], loads[order]
                 new = np.concatenate([[True], (parts[1:] != parts[:-1]).any(axis=1)])
                 parts, loads = parts[new], loads[new]
-                where = ranges_of(parts[:, 1:], hashes, hashes[parts[:, 0]], ranges)
+                where = range_of(marks(parts, hashes, 2), ranges)
                 rows += [("ask", *key, int(r), transducer(words, parts[where == r], loads[where == r], True).packed()) for r in np.unique(where)]
         return pd.DataFrame(rows, columns=["kind", "range", "sub", "to_range", "data"])
 
     return pieces.groupBy("range", "sub").applyInPandas(count, "kind string, range int, sub int, to_range int, data binary")
 
 
+def filter_bits(found: DataFrame) -> np.ndarray:
+    """The filter of the frequent phrases of a level: each slice's bits are set in one task, and the filter, of a fixed size, comes to the driver."""
+    size = (1 << FILTER) // SLICES
+
+    def put(key, group):
+        on = np.zeros(size, dtype=bool)
+        for data in group["data"]:
+            on[np.frombuffer(data, "<u4").astype(np.int64) - int(key[0]) * size] = True
+        return pd.DataFrame({"slice": [key[0]], "data": [np.packbits(on, bitorder="little").tobytes()]})
+
+    passed = np.zeros((1 << FILTER) // 8, dtype=np.uint8)
+    for r in found.where("kind = 'bits'").select(F.col("to_range").alias("slice"), "data").groupBy("slice").applyInPandas(put, "slice int, data binary").collect():
+        passed[r["slice"] * size // 8 : (r["slice"] + 1) * size // 8] = np.frombuffer(r["data"], np.uint8)
+    return passed
+
+
 def answers(found: DataFrame, cover: int) -> DataFrame:
     """(range, sub, kind, data): to each range that asked, 'count', the parts with their counts; to the range of a part that a longer phrase covers, 'drop', those parts."""
     def compose(key, asked, own):
@@ -464,16 +520,18 @@ def collocations(docs: DataFrame, longest: int = 3, least: int = 10, cover: int
     own = docs.select(F.coalesce(F.col(f"`{lang_col}`"), F.lit("und")).alias("lang"), F.col(f"`{text_col}`").alias("text"))
     size = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     ranges = max(1, ceil(size / range_bytes))
-    counted = written(shard_counts(own, ranges, longest))
-    pieces = counted.where("range >= 0")
-    loads = pieces.groupBy("range").agg(F.ceil(F.sum("n") / range_entries).cast("int").alias("subs"))
-    heavy = written(loads.where("subs > 1"))
-    dealt = pieces.join(heavy, "range", "left").fillna(1, ["subs"])
-    found = written(frequent(split_pieces(dealt), ranges, least))
+    cut = written(shards(own, longest))
+    found, passed = None, None
+    for n in range(1, longest + 1):
+        pieces = written(level_counts(cut, n, longest, ranges, passed))
+        heavy = written(pieces.groupBy("range").agg(F.ceil(F.sum("n") / range_entries).cast("int").alias("subs")).where("subs > 1"))
+        level = written(frequent(split_pieces(pieces.join(heavy, "range", "left").fillna(1, ["subs"])), ranges, least, n, longest))
+        found = level if found is None else found.unionByName(level)
+        passed = filter_bits(level) if n < longest else None
     marked = scored(found, written(answers(found, cover)))
     in_order = [F.desc("score"), F.desc("a"), "phrase"]
     marked = marked.withColumn("deal", F.pmod(F.xxhash64("phrase"), F.lit(64)))
     first = marked.withColumn("place", F.row_number().over(Window.partitionBy("lang", "deal").orderBy(*in_order))).where(F.col("place") <= best)
     last = first.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*in_order)).cast("long")).where(F.col("rank") <= best)
-    totals = counted.where("range < 0").groupBy("lang").agg(F.sum("n").alias("n"))
+    totals = cut.groupBy("lang").agg(F.sum("n").alias("n"))
     return last.join(totals, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")

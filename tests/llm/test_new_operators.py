@@ -171,24 +171,26 @@ def test_shards_of_a_long_text(monkeypatch):
     monkeypatch.setattr(phrases, "SHARD", 300)
     rng = random.Random(1)
     texts = [prose(rng, n).translate(LOWER) for n in (4000, 3, 90, 1200)]
-    shard, pieces = phrases.Shard(), []
+    shard, rows = phrases.Shard(), []
     encoded = [t.encode().translate(phrases.MARKS) for t in texts]
     for part, on in phrases.steps(encoded):
         before = []
         if shard.full():
             before = shard.last(b"en", 2) if on else []
-            pieces.append(phrases.shard_rows(shard, 3, 3))
+            rows.append(shard.rows())
             shard = phrases.Shard()
         shard.add(b"en", part, on, before)
-    pieces.append(phrases.shard_rows(shard, 3, 3))
-    words, paths, weights = phrases.union([d for p in pieces for d in p["data"] if d is not None])
-    want = Counter()
+    rows.append(shard.rows())
+    want, got = Counter(), {}
     for t in texts:
         for piece in re.split("[.,;:!?\x0a-\x0d]", t):
             w = re.findall(r"[^\x20\x09]+", piece)
             want.update(tuple(w[i : i + n]) for n in (1, 2, 3) for i in range(len(w) - n + 1))
-    got = {tuple(words[i].decode() for i in p[1:] if i >= 0): int(n) for p, n in zip(paths, weights)}
-    assert len(pieces) > 5 and got == dict(want)
+    for n in (1, 2, 3):
+        pieces = [d for r in rows for x in r.itertuples() for _, _, d in phrases.shard_counts("en", x.known, x.words, x.ids, n, 3, 3, None)]
+        words, paths, weights = phrases.union(pieces)
+        got |= {tuple(words[i].decode() for i in p[1:] if i >= 0): int(c) for p, c in zip(paths, weights)}
+    assert len(rows) > 5 and got == dict(want) and sum(r["n"].sum() for r in rows) == sum(c for p, c in want.items() if len(p) == 1)
 
 
 def test_transducer():
