@@ -29,10 +29,10 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import mix64, written
+from .shared import batches_of, mix64, written
 
 #: Bytes of text that are taken apart at a time; words of a shard; most entries of a range.
-STEP, SHARD, RANGE = 1 << 20, 2_000_000, 1_500_000
+STEP, SHARD, RANGE = 1 << 20, 1_000_000, 1_500_000
 #: Bits of the filter of frequent phrases (8 MB), as a power of two, and the slices in which it is put together.
 FILTER, SLICES = 26, 64
 #: 255 is no byte of any text in UTF-8: it stands for the end of a piece.
@@ -520,12 +520,16 @@ def collocations(docs: DataFrame, longest: int = 3, least: int = 10, cover: int
     own = docs.select(F.coalesce(F.col(f"`{lang_col}`"), F.lit("und")).alias("lang"), F.col(f"`{text_col}`").alias("text"))
     size = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     ranges = max(1, ceil(size / range_bytes))
-    cut = written(shards(own, longest))
+    spark = docs.sparkSession
+    with batches_of(spark, 1000):
+        cut = written(shards(own, longest))
     found, passed = None, None
     for n in range(1, longest + 1):
-        pieces = written(level_counts(cut, n, longest, ranges, passed))
+        with batches_of(spark, 1):
+            pieces = written(level_counts(cut, n, longest, ranges, passed))
         heavy = written(pieces.groupBy("range").agg(F.ceil(F.sum("n") / range_entries).cast("int").alias("subs")).where("subs > 1"))
-        level = written(frequent(split_pieces(pieces.join(heavy, "range", "left").fillna(1, ["subs"])), ranges, least, n, longest))
+        with batches_of(spark, 100):
+            level = written(frequent(split_pieces(pieces.join(heavy, "range", "left").fillna(1, ["subs"])), ranges, least, n, longest))
         found = level if found is None else found.unionByName(level)
         passed = filter_bits(level) if n < longest else None
     marked = scored(found, written(answers(found, cover)))

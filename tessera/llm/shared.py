@@ -5,6 +5,7 @@ from __future__ import annotations
 import struct
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -34,6 +35,18 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def batches_of(spark: SparkSession, rows: int):
+    """Within it, what is run hands Python workers so many rows at a time: few where rows are large, whatever the size of a partition."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def pack_sorted(values: np.ndarray) -> bytes:
     """Ascending unsigned integers as gaps, one plane for each byte of the largest gap."""
     n = len(values)
