@@ -12,6 +12,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+#: Articles that may lead a title, or follow it after a comma.
+ARTICLES = ("the", "a", "an", "les", "la", "le", "il", "das", "der", "die", "el", "l'")
+
+
 def normalize_key(text: Column) -> Column:
     """Lower case without anything but a-z and 0-9."""
     return F.regexp_replace(F.lower(text), "[^a-z0-9]", "")
@@ -22,8 +26,8 @@ def folded(text: pd.Series) -> pd.Series:
 
 
 def fold_ascii(text: Column) -> Column:
-    """Compatibility decomposition less all that isn't ASCII; Spark has no function for it."""
-    return F.pandas_udf(folded, "string")(text)
+    """Compatibility decomposition less all that isn't ASCII; Spark has no function for it, so texts that need it go through Python, others stay."""
+    return F.when(has_non_ascii(text), F.pandas_udf(folded, "string")(F.when(has_non_ascii(text), text))).otherwise(text)
 
 
 def has_non_ascii(text: Column) -> Column:
@@ -31,7 +35,7 @@ def has_non_ascii(text: Column) -> Column:
 
 
 def strip_article(text: Column) -> Column:
-    return F.regexp_replace(text, "^(the|an|a) ", "")
+    return F.regexp_replace(text, f"^({'|'.join(ARTICLES)}) ", "")
 
 
 def title_key(title: Column, fold: bool = True) -> Column:
@@ -41,13 +45,19 @@ def title_key(title: Column, fold: bool = True) -> Column:
     return F.regexp_replace(strip_article(spelled), "[^a-z0-9]", "")
 
 
+def title_base(title: Column) -> Column:
+    """The title without the year in brackets at its end."""
+    return F.regexp_replace(F.trim(title), "\\s*\\(\\d{4}\\)\\s*$", "")
+
+
 def title_variants(title: Column) -> Column:
-    """All spellings of a title such as "Name, The (Other Name) (1995)": year and brackets peeled, articles put first."""
-    bare = F.trim(F.regexp_replace(title, "\\s*\\(\\d{4}\\)\\s*$", ""))
-    inner = F.transform(F.regexp_extract_all(bare, F.lit("\\(([^()]*)\\)"), 1), lambda x: F.regexp_replace(x, "^(?i:a\\.?k\\.?a\\.?)\\s+", ""))
-    outer = F.trim(F.regexp_replace(bare, "\\s*\\([^()]*\\)", ""))
-    front = lambda x: F.regexp_replace(F.trim(x), "^(.*), (The|A|An|Le|La|Les|L'|Il|El|Der|Die|Das)$", "$2 $1")
-    return F.array_distinct(F.filter(F.transform(F.concat(F.array(outer), inner), front), lambda x: x != ""))
+    """All spellings of a title such as "Name, The (Other Name) (1995)": the whole without brackets, as of "(500) Days of Summer", the
+    part outside of brackets, and each part within; the latter without a.k.a., and with a trailing article put first."""
+    base = title_base(title)
+    inner = F.regexp_extract_all(base, F.lit("\\(([^)]*)\\)"), 1)
+    plain = lambda x: F.regexp_replace(F.trim(F.regexp_replace(x, "\\([^)]*\\)", "")), "^a\\.k\\.a\\.\\s*", "")
+    front = lambda x: F.regexp_replace(plain(x), f"^(.*), ({'|'.join(x.capitalize() for x in ARTICLES)})$", "$2 $1")
+    return F.array_distinct(F.filter(F.concat(F.array(F.regexp_replace(base, "[()]", "")), F.transform(F.concat(F.array(base), inner), front)), lambda x: x != ""))
 
 
 def title_year(title: Column) -> Column:
@@ -89,10 +99,10 @@ def word_tokens(text: Column) -> Column:
 def literal_parts(cell: pd.Series) -> pd.Series:
     def one(x: str | None) -> str | None:
         try:
-            names = ast.literal_eval(x)
-        except (ValueError, SyntaxError, TypeError, MemoryError, RecursionError):
+            names = ast.literal_eval(x.strip())
+        except (ValueError, SyntaxError, TypeError, AttributeError, MemoryError, RecursionError):
             return None
-        return " | ".join(y for y in (str(n).strip() for n in names) if y) or None if isinstance(names, (list, tuple)) else None
+        return " | ".join(y for y in (str(n).strip() for n in names) if y) if isinstance(names, (list, tuple)) else None
 
     return cell.map(one)
 
@@ -103,10 +113,10 @@ def literal_names(cell: Column) -> Column:
 
 
 def actors(cell: Column) -> Column:
-    """A list literal or a comma list as names joined by bars; the cell itself if it gives no names."""
-    listed = F.array_join(F.filter(F.transform(F.split(cell, ","), lambda x: F.trim(x)), lambda x: x != ""), " | ")
-    parsed = F.when(F.startswith(F.ltrim(cell), F.lit("[")), literal_names(cell)).otherwise(listed)
-    return F.coalesce(F.nullif(parsed, F.lit("")), cell)
+    """A list or tuple literal, or a comma list without brackets and single quotes, as names joined by bars; the cell itself if the comma list gives no names."""
+    able = cell.rlike("^\\s*[\\[(]|['\"]")
+    listed = F.array_join(F.filter(F.transform(F.split(F.regexp_replace(cell, "[\\[\\]']", ""), ","), lambda x: F.trim(x)), lambda x: x != ""), " | ")
+    return F.coalesce(F.when(able, literal_names(F.when(able, cell))), F.nullif(listed, F.lit("")), F.trim(cell))
 
 
 def runtime_bucket(minutes: Column) -> Column:

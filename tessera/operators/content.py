@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as fx
 from ..sources.tables import stored, with_item_ids
+from . import matches
 
 
 #: What names a feature of several blocks.
@@ -39,7 +40,7 @@ def quality_prior(items: DataFrame) -> DataFrame:
 
 
 def tfidf(items: DataFrame, text: str, stop_words: DataFrame | None = None, vocabulary: int = 20_000) -> DataFrame:
-    """(item_id, term, w): raw counts times ln((1 + n) / (1 + df)) + 1, of length 1 for each item; the most frequent terms only."""
+    """(item_id, term, w): raw counts times ln((1 + n) / (1 + df)) + 1, of length 1 for each item; the most frequent terms only, without those of ``stop_words`` (term)."""
     words = items.select("item_id", F.explode(fx.word_tokens(F.col(text))).alias("term"))
     if stop_words is not None:
         words = words.join(stop_words.select("term"), "term", "left_anti")
@@ -50,6 +51,13 @@ def tfidf(items: DataFrame, text: str, stop_words: DataFrame | None = None, voca
     return unit_rows(weighed, ["item_id"])
 
 
+def english_stop_words(spark) -> DataFrame:
+    """(term): the English stop words that come with Spark."""
+    from pyspark.ml.feature import StopWordsRemover
+
+    return spark.createDataFrame([(w,) for w in StopWordsRemover.loadDefaultStopWords("english")], "term string")
+
+
 def unit_rows(features: DataFrame, by: list[str]) -> DataFrame:
     norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(*by)))
     return features.withColumn("w", F.col("w") / norm)
@@ -66,9 +74,10 @@ def vector_block(vectors: DataFrame, block: str = "embedding") -> DataFrame:
 
 
 def year_block(items: DataFrame) -> DataFrame:
-    """A block of one column has length 1 wherever it isn't 0, so all years but the earliest weigh the same."""
-    first = items.agg(F.min("year")).first()[0]
-    return items.where(F.col("year") > F.lit(first)).select("item_id", F.lit("year").alias("term"), F.lit(1.0).alias("w"), F.lit("year").alias("block"))
+    """Years scaled to 0..1, unknown ones as the median. A block of one column has length 1 wherever it isn't 0, so all but the earliest weigh the same."""
+    stats = items.agg(F.min("year").alias("lo"), F.max("year").alias("hi"), F.median("year").alias("mid")).first()
+    some = items.where(F.coalesce(F.col("year"), F.lit(stats["mid"])) > F.lit(stats["lo"])) if stats["lo"] is not None and stats["hi"] > stats["lo"] else items.limit(0)
+    return some.select("item_id", F.lit("year").alias("term"), F.lit(1.0).alias("w"), F.lit("year").alias("block"))
 
 
 def feature_table(blocks: list[DataFrame], weights: ContentWeights) -> DataFrame:
@@ -81,22 +90,27 @@ def feature_table(blocks: list[DataFrame], weights: ContentWeights) -> DataFrame
     return unit_rows(weighed, ["item_id"])
 
 
-def similarity(features: DataFrame, keys: tuple[str, ...] = ("term",)) -> DataFrame:
+def similarity(features: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
     """(i, j, w) for all pairs of items that share a term, themselves included."""
     a = features.select(*keys, F.col("item_id").alias("i"), F.col("w").alias("wa"))
     b = features.select(*keys, F.col("item_id").alias("j"), F.col("w").alias("wb"))
     return a.join(b, list(keys)).groupBy("i", "j").agg(F.sum(F.col("wa") * F.col("wb")).alias("w"))
 
 
-def profiles(likes: DataFrame, features: DataFrame, keys: tuple[str, ...] = ("term",)) -> DataFrame:
+def profiles(likes: DataFrame, features: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
     """(user_id, term, w): the mean of liked items' vectors, of length 1."""
     summed = likes.join(features, "item_id").groupBy("user_id", *keys).agg(F.sum("w").alias("w"))
     return unit_rows(summed, ["user_id"])
 
 
-def profile_scores(likes: DataFrame, features: DataFrame, keys: tuple[str, ...] = ("term",)) -> DataFrame:
+def profile_scores(likes: DataFrame, features: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
     """(user_id, item_id, score): cosine of the user's profile and the item."""
-    mine = profiles(likes, features, keys).withColumnRenamed("w", "wu")
+    return scored_by(profiles(likes, features, keys), features, keys)
+
+
+def scored_by(asked: DataFrame, features: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
+    """(user_id, item_id, score) of every user and item that share a term; for lists of the best see ``matches``, which pairs fewer."""
+    mine = asked.withColumnRenamed("w", "wu")
     return mine.join(features, list(keys)).groupBy("user_id", "item_id").agg(F.sum(F.col("wu") * F.col("w")).alias("score"))
 
 
@@ -140,22 +154,37 @@ def nearest(asked: DataFrame, vectors: DataFrame, k: int, block: int = 8192) ->
     return met.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+def best_profiles(likes: DataFrame, features: DataFrame, k: int, among: DataFrame | None = None) -> DataFrame:
+    """(user_id, item_id, score, rank): the ``k`` best items by ``profile_scores`` that a user hasn't liked, of those ``among`` has if it is given; scores are rounded as ``matches`` does."""
+    needs = likes.groupBy("user_id").agg((F.count("*") + k).alias("need"))
+    items = features if among is None else features.join(among.select("item_id"), "item_id", "left_semi")
+    rows = matches.best_matches(profiles(likes, features), needs, items).join(likes.select("user_id", "item_id"), ["user_id", "item_id"], "left_anti")
+    order = Window.partitionBy("user_id").orderBy("rank")
+    return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("user_id", "item_id", "score", "rank")
+
+
 def recommend_for(liked: DataFrame, items: DataFrame, features: DataFrame, quality: DataFrame, beta: float, k: int = 10) -> DataFrame:
     """(user_id, item_id, score, rank): the best items by profile and quality for each user of ``liked`` (user_id, liked as a list of ids).
 
-    Ids that no item has don't count. A user without a valid one gets the popular items.
+    Ids that no item has don't count. A user without a valid one gets the popular items. An item without a term in common with the user has
+    its quality alone.
     """
     rows = liked.select("user_id", F.explode_outer("liked").alias("item_id")).distinct()
-    valid = rows.join(items.select("item_id"), "item_id", "left_semi")
-    some = profile_scores(valid, features)
-    rated = items.select("item_id").join(quality.select("item_id", "quality"), "item_id", "left").fillna(0.0, ["quality"])
+    valid = stored(rows.join(items.select("item_id"), "item_id", "left_semi"))
+    rated = stored(items.select("item_id").join(quality.select("item_id", "quality"), "item_id", "left").fillna(0.0, ["quality"]))
+    asked, features = stored(profiles(valid, features)), stored(features)
+    needs = valid.groupBy("user_id").agg((F.count("*") + k).alias("need"))
+    if features.where("w < 0").isEmpty():
+        near = matches.best_matches(asked, needs.withColumn("scale", F.lit(1.0 - beta)), features, rated.select("item_id", (beta * F.col("quality")).alias("bonus")))
+    else:  # an item may lose by its profile: of those that share a term all count
+        near = scored_by(asked, features)
+        needs = needs.join(near.groupBy("user_id").agg(F.count("*").alias("n")), "user_id", "left").select("user_id", (F.col("need") + F.coalesce("n", F.lit(0))).alias("need"))
+    # of the other items only the best can come in, as many as a user needs
     ranked = with_item_ids(rated.withColumn("_least", -F.col("quality")), ["_least", "item_id"], "place").drop("_least")
-    # of items without a similarity only the best can come in: as many as a user needs if all others stand before them
-    known = some.select("user_id", "item_id").unionByName(valid).distinct().groupBy("user_id").agg(F.count("*").alias("n"))
-    more = known.select("user_id", F.explode(F.sequence(F.lit(0), F.col("n") + k - 1)).alias("place")).join(ranked.select("place", "item_id"), "place").select("user_id", "item_id")
-    every = some.select("user_id", "item_id").unionByName(more).distinct()
-    scored = every.join(some, ["user_id", "item_id"], "left").fillna(0.0, ["score"]).join(ranked.select("item_id", "quality"), "item_id")
-    scored = scored.select("user_id", "item_id", blend_quality(F.col("score"), F.col("quality"), beta).alias("score")).join(valid, ["user_id", "item_id"], "left_anti")
+    more = needs.select("user_id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("need").cast("long") - 1)).alias("place")).join(ranked.select("place", "item_id"), "place")
+    every = near.select("user_id", "item_id").unionByName(more.select("user_id", "item_id")).distinct().join(valid, ["user_id", "item_id"], "left_anti")
+    scored = matches.pair_products(every, asked, features).join(rated, "item_id")
+    scored = scored.select("user_id", "item_id", blend_quality(F.col("product"), F.col("quality"), beta).alias("score"))
     order = Window.partitionBy("user_id").orderBy(F.desc(F.round("score", 9)), "item_id")
     best = scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     top = popularity(items).orderBy(F.desc("score"), "item_id").limit(k).collect()  # k rows

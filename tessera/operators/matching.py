@@ -24,10 +24,11 @@ def ends(keys: DataFrame, suffix: bool) -> DataFrame:
 
 
 def tiers(items: DataFrame, keys: DataFrame) -> DataFrame:
-    """(item_id, movie_id, tier): 0 for equal keys, 1 where one key begins with the other, 2 where it ends with it; the first tier of an item that has any.
+    """(item_id, movie_id, tier): 0 for equal keys, 1 where a movie's key begins with the item's, 2 where it ends with it; the first tier of an item that has any.
 
-    ``items`` has item_id and key, ``keys`` has key, movie_id and fuzzy (whether its movie is in the fuzzy index). Keys are compared
-    once each, and a key meets only its own beginnings or ends, so all joins are equi-joins of as many rows as keys have letters.
+    ``items`` has item_id and key, ``keys`` has key, movie_id and fuzzy (whether its movie is in the fuzzy index, which documentaries aren't; a key that
+    is in it brings all its movies). Keys are compared once each, and a movie's key meets only its own beginnings or ends, so all joins
+    are equi-joins of as many rows as keys have letters.
     """
     found = items.join(keys, "key").select("item_id", "movie_id", F.lit(0).alias("tier"))
     index = keys.where("fuzzy").where(F.length("key") >= SHORT).select("key").distinct()
@@ -35,8 +36,7 @@ def tiers(items: DataFrame, keys: DataFrame) -> DataFrame:
         rest = items.where(F.length("key") >= SHORT).join(found.select("item_id").distinct(), "item_id", "left_anti")
         mine = rest.select("key").distinct()
         longer = ends(index, tier == 2).join(mine.withColumnRenamed("key", "part"), "part").select(F.col("part").alias("key"), F.col("key").alias("other"))
-        shorter = ends(mine, tier == 2).join(index.withColumnRenamed("key", "part"), "part").select("key", F.col("part").alias("other"))
-        hit = rest.join(longer.unionByName(shorter), "key").select("item_id", F.col("other").alias("key"))
+        hit = rest.join(longer, "key").select("item_id", F.col("other").alias("key"))
         found = found.unionByName(hit.join(keys, "key").select("item_id", "movie_id", F.lit(tier).alias("tier")))
     return found.distinct()
 
@@ -51,22 +51,41 @@ def best(candidates: DataFrame, counts: DataFrame) -> DataFrame:
 def claimed(candidates: DataFrame, counts: DataFrame) -> DataFrame:
     """(item_id, movie_id, tier): each item in the order of ids takes its best candidate that none before it has taken.
 
-    A fuzzy candidate without ratings is never taken, and ends its item's list. All items ask for the best candidate that they
+    A fuzzy candidate without ratings is never taken, and ends its item's list. Items ask for the best candidate that they
     have left; a movie keeps the least item that has asked for it, and the others ask for their next one, until none has to. As
-    all movies prefer the least item, this gives what taking turns gives, in as many rounds as the longest list of refusals.
+    all movies prefer the least item, this gives what taking turns gives.
+
+    A round reads and writes the movies that were asked in it, and their holders, alone: rows written over all rounds are one for each
+    request. Items of the same list take its movies in the order of their ids, so the n-th of them never gets one before the n-th place and
+    begins there; many items that share a list need few rounds.
     """
     rated = candidates.join(counts, "movie_id", "left").fillna(0, ["n"]).where("tier = 0 or n > 0")
     order = Window.partitionBy("item_id").orderBy(F.desc("n"), F.desc("movie_id"))
     listed = stored(rated.withColumn("place", F.row_number().over(order)).select("item_id", "movie_id", "tier", "place"))
-    asking = stored(listed.where("place = 1"))
-    while True:
-        kept = F.row_number().over(Window.partitionBy("movie_id").orderBy("item_id")) == 1
-        judged = stored(asking.withColumn("kept", kept))
+    lists = listed.groupBy("item_id").agg(F.array_sort(F.collect_list(F.struct("place", "movie_id"))).alias("all"))
+    begin = lists.select("item_id", F.row_number().over(Window.partitionBy("all").orderBy("item_id")).alias("place"))
+    asking, won = stored(listed.join(begin, ["item_id", "place"]).select("item_id", "movie_id", "tier", "place")), []
+    while not asking.isEmpty():
+        now = asking.withColumn("new", F.lit(True))
+        if won:
+            asked = asking.select("movie_id").distinct()
+            before = union(won).join(asked, "movie_id", "left_semi").withColumn("r", F.row_number().over(Window.partitionBy("movie_id").orderBy("item_id"))).where("r = 1").drop("r")
+            now = now.unionByName(before.withColumn("new", F.lit(False)))
+        judged = stored(now.withColumn("kept", F.row_number().over(Window.partitionBy("movie_id").orderBy("item_id")) == 1))
+        won.append(judged.where("kept and new").drop("kept", "new"))
         refused = judged.where("not kept").select("item_id", (F.col("place") + 1).alias("place"))
-        more = stored(listed.join(refused, ["item_id", "place"]).select("item_id", "movie_id", "tier", "place"))
-        if more.isEmpty():
-            return judged.where("kept").select("item_id", "movie_id", "tier")
-        asking = judged.where("kept").drop("kept").unionByName(more)
+        asking = stored(listed.join(refused, ["item_id", "place"]).select("item_id", "movie_id", "tier", "place"))
+    if not won:
+        return listed.select("item_id", "movie_id", "tier")
+    holders = union(won).withColumn("r", F.row_number().over(Window.partitionBy("movie_id").orderBy("item_id"))).where("r = 1")
+    return holders.select("item_id", "movie_id", "tier")
+
+
+def union(parts: list[DataFrame]) -> DataFrame:
+    found = parts[0]
+    for x in parts[1:]:
+        found = found.unionByName(x)
+    return found
 
 
 def report(resolved: DataFrame, items: DataFrame, movies: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as fx
-from ..operators import collaborative, content, evaluation, hybrid, interactions, ranking
+from ..operators import collaborative, content, evaluation, hybrid, interactions, matches, ranking
 from ..sources import tables
 from .base import query, r6
 from .domain import BRAND_LIKES, CATALOG, LIKES, RATINGS, brand_likes, catalog, likes, ratings, table
@@ -47,7 +47,7 @@ def sets(spark, mine: DataFrame, part: str = "test") -> tuple[DataFrame, DataFra
 
 ITEM_FEATURES = """g0 as (select p_partkey as item_id, unnest(regexp_extract_all(lower(p_type), '[^,|\\s]+')) as term from part), g1 as (select item_id, term, count(*)::double as n from g0 group by 1, 2),
     feat as materialized (select item_id, block, term, w / sqrt(sum(w * w) over (partition by item_id)) as w from (select item_id, 'genre' as block, term, 6.0 * n / sqrt(sum(n * n) over (partition by item_id)) as w from g1
-        union all select p_partkey, 'director', lower(p_brand), 3.0::double from part))"""
+        union all select p_partkey, 'director', lower(case when p_partkey % 50 = 0 then p_type else p_brand end), 3.0::double from part))"""
 QUALITY = f"""qc as ({CATALOG}), qs as (select median(rating) as mr, min(rating) as lr, max(rating) as hr, median(ln(1 + votes)) as mv, min(ln(1 + votes)) as lv, max(ln(1 + votes)) as hv from qc),
     quality as materialized (select item_id, 0.5 * (coalesce(rating, mr) - lr) / (hr - lr) + 0.5 * (coalesce(ln(1 + votes), mv) - lv) / (hv - lv) as quality from qc, qs)"""
 
@@ -58,22 +58,24 @@ def profile_sql(name: str, likes_table: str, features: str = "feat") -> str:
 
 
 def part_features(spark, sf_dir) -> DataFrame:
-    items = catalog(spark, sf_dir)
+    """Types and brands; each fiftieth part has the name of its type for a brand, so that a term stands in two blocks."""
+    items = catalog(spark, sf_dir).withColumn("director", F.when(F.col("item_id") % 50 == 0, F.col("genres")).otherwise(F.col("director")))
     blocks = [content.token_block(items, fx.genre_tokens(F.col("genres")), "genre"), content.token_block(items, fx.name_tokens(F.col("director")), "director")]
     return content.feature_table(blocks, content.ContentWeights())
 
 
 @query(f"with {ITEM_FEATURES}, s as (select a.item_id as i, b.item_id as j, round(sum(a.w * b.w), 9) as s from feat a join feat b on a.block = b.block and a.term = b.term where a.item_id <> b.item_id group by 1, 2), r as (select *, row_number() over (partition by i order by s desc, j) as rank from s) select i, j, round(s, 6) as w, rank from r where rank <= 5")
 def item_similarity_topk(spark, sf_dir):
-    sim = content.similarity(part_features(spark, sf_dir), content.KEYS).where("i <> j").withColumn("s", F.round("w", 9))
-    return interactions.top_k(sim, 5, by="i", score="s", item="j").select("i", "j", F.round("s", 6).alias("w"), F.col("rank").cast("long").alias("rank"))
+    rows = matches.similar_items(tables.stored(part_features(spark, sf_dir)), 5)
+    return rows.select("i", "j", F.round("w", 6).alias("w"), F.col("rank").cast("long").alias("rank"))
 
 
 @query(f"with {split_sql(LIKES)}, {ITEM_FEATURES}, {profile_sql('sim', 'fold')}, r as (select user_id, item_id, round(score, 9) as s from sim), k as (select *, row_number() over (partition by user_id order by s desc, item_id) as rank from r) select user_id, item_id, round(s, 6) as score, rank from k where rank <= 5")
 def profile_topk(spark, sf_dir):
     _, fold, _ = sets(spark, likes(spark, sf_dir))
-    sim = content.profile_scores(fold, part_features(spark, sf_dir), content.KEYS).withColumn("score", F.round("score", 9))
-    return r6(interactions.top_k(sim, 5).select("user_id", "item_id", "score", F.col("rank").cast("long").alias("rank")), "score")
+    features = tables.stored(part_features(spark, sf_dir))
+    rows = matches.best_matches(content.profiles(fold, features), fold.select("user_id", F.lit(5).alias("need")).distinct(), features)
+    return r6(rows.select("user_id", "item_id", "score", F.col("rank").cast("long").alias("rank")), "score")
 
 
 COOC = """tg as materialized (select a.item_id as i, b.item_id as j, count(*) as w from train a join train b on a.user_id = b.user_id group by 1, 2), td as materialized (select item_id as k, count(*) as c from train group by 1),
@@ -102,8 +104,7 @@ def hybrid_items(spark, sf_dir):
 
     train, fold, _ = sets(spark, likes(spark, sf_dir))
     cf = collaborative.scores(fold, cooc_model(train))
-    sim = content.profile_scores(fold, part_features(spark, sf_dir), content.KEYS)
-    scored = hybrid.hybrid_scores(sim, cf, fold, item_quality(spark, sf_dir), 0.9, 0.15).withColumn("score", F.round("score", 9))
+    scored = hybrid.best_blended(fold, part_features(spark, sf_dir), cf, item_quality(spark, sf_dir), 5, 0.9, 0.15).withColumn("score", F.round("score", 9))
     shown = hybrid.displayed(hybrid.recommend(scored, fold, 5))
     rows = library.titled(shown, catalog(spark, sf_dir).select("item_id", "title"))
     return r6(rows.select("user_id", "item_id", "score", F.col("rank").cast("long").alias("rank"), "shown", "title"), "score", "shown")
@@ -138,8 +139,8 @@ def hybrid_recommend(spark, sf_dir):
     lists, items = tables.stored(liked_lists(spark, sf_dir)), catalog(spark, sf_dir).select("item_id", "votes")
     fold = lists.select("user_id", F.explode("liked").alias("item_id")).distinct().join(items.select("item_id"), "item_id", "left_semi")
     counts = train.groupBy("item_id").agg(F.count("*").alias("n"))
-    cf, sim = collaborative.scores(fold, cooc_model(train)), content.profile_scores(fold, part_features(spark, sf_dir), content.KEYS)
-    rows = hybrid.recommend_for(lists, items.join(counts, "item_id", "left").fillna(0, ["n", "votes"]), sim, tables.stored(cf), item_quality(spark, sf_dir))
+    cf = tables.stored(collaborative.scores(fold, cooc_model(train)))
+    rows = hybrid.recommend_for(lists, items.join(counts, "item_id", "left").fillna(0, ["n", "votes"]), part_features(spark, sf_dir), cf, item_quality(spark, sf_dir))
     return r6(rows.select("user_id", "item_id", "score", F.col("rank").cast("long").alias("rank")), "score")
 
 
@@ -161,9 +162,9 @@ def compare_models(spark, sf_dir):
     edges, features, quality = cooc_model(train), tables.stored(part_features(spark, sf_dir)), tables.stored(item_quality(spark, sf_dir))
     counts = train.groupBy("item_id").agg(F.count("*").alias("n"))
     rounded = lambda d: d.withColumn("score", F.round("score", 9))
-    content_score = lambda f: rounded(content.profile_scores(f, features, content.KEYS))
+    content_score = lambda f: content.best_profiles(f, features, 10).select("user_id", "item_id", "score")
     co_likes = lambda f: rounded(collaborative.scores(f, edges))
-    both = lambda f: rounded(hybrid.hybrid_scores(content.profile_scores(f, features, content.KEYS), collaborative.scores(f, edges), f, quality))
+    both = lambda f: rounded(hybrid.best_blended(f, features, collaborative.scores(f, edges), quality, 10))
     n_items = table(spark, sf_dir, "part").count()
     rows = evaluation.compare({"content": content_score, "co-likes": co_likes, "hybrid": both}, fold, held, n_items)
     popular = evaluation.metrics(evaluation.popular_lists(fold, counts, held.select("user_id").distinct(), 10), held, n_items)
@@ -181,7 +182,7 @@ def evaluate_cold(spark, sf_dir):
     _, fold, held = sets(spark, mine)
     cold = tables.stored(evaluation.pick_cold(mine, table(spark, sf_dir, "part").count(), 0.1, 10))
     features = tables.stored(part_features(spark, sf_dir))
-    score = lambda f: content.profile_scores(f, features, content.KEYS).withColumn("score", F.round("score", 9))
+    score = lambda f: content.best_profiles(f, features, 10, cold)
     return r6(evaluation.evaluate_cold(score, fold, held, cold), "recall", "ndcg")
 
 
@@ -234,9 +235,9 @@ def ease_topk(spark, sf_dir):
     return r6(hybrid.recommend(scored, fold, 10).select("user_id", "item_id", "score", "rank"), "score")
 
 
-def item_rank_rows(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    """Features of test users over all parts, and their hidden likes."""
-    train, fold, held = sets(spark, likes(spark, sf_dir))
+def item_rank_rows(spark, sf_dir, part: str = "test") -> tuple[DataFrame, DataFrame]:
+    """Features of the users of one part over all parts, and their hidden likes."""
+    train, fold, held = sets(spark, likes(spark, sf_dir), part)
     blocks, index = collaborative.ease_blocks(train, table(spark, sf_dir, "part").select(F.col("p_partkey").alias("item_id")), 200.0)
     cf = tables.stored(collaborative.block_scores(fold, blocks, index))
     counts = train.groupBy("item_id").agg(F.count("*").cast("double").alias("n"))
@@ -257,10 +258,9 @@ def rank_features(spark, sf_dir):
 
 @query()
 def ltr_scores(spark, sf_dir):
-    rows, held = item_rank_rows(spark, sf_dir)
-    rows = tables.stored(rows)
-    model = ranking.Reranker.fit(ranking.labelled(rows, held))
-    return r6(interactions.top_k(model.scores(rows), 10), "score")
+    """Trees fitted on validation users rank the candidates of test users."""
+    model = ranking.Reranker.fit(ranking.labelled(*item_rank_rows(spark, sf_dir, "val")))
+    return r6(interactions.top_k(model.scores(item_rank_rows(spark, sf_dir)[0]), 10), "score")
 
 
 # ---- brands

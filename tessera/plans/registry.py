@@ -105,18 +105,36 @@ def fallback_popular(spark, sf_dir):
 
 
 @query("""with t as (select doc_id, split_part(coalesce(text, ''), '.', 1) as title from documents)
-    select doc_id, regexp_replace(regexp_replace(trim(replace(lower(strip_accents(title)), '&', ' and ')), '^(the|an|a) ', ''), '[^a-z0-9]', '', 'g') as key from t""")
+    select doc_id, regexp_replace(regexp_replace(trim(replace(lower(strip_accents(title)), '&', ' and ')), '^(the|a|an|les|la|le|il|das|der|die|el|l'') ', ''), '[^a-z0-9]', '', 'g') as key from t""")
 def title_keys(spark, sf_dir):
     title = F.split_part(F.coalesce("text", F.lit("")), F.lit("."), F.lit(1))
     return table(spark, sf_dir, "documents").select("doc_id", fx.title_key(title).alias("key"))
 
 
+@query("""with p as (select p_partkey as item_id, 1950 + p_size as year, lower(regexp_replace(p_name, '[^A-Za-z0-9]', '', 'g')) as name, lower(p_type) as kind, p_partkey % 5 as form from part)
+    select distinct item_id, cast(year as integer) as year, unnest(case form when 0 then ['500daysof' || name, 'daysof' || name, '500'] when 1 then ['days' || kind || 'il', 'days' || kind] when 2 then [name || kind || 'die', name, kind]
+        when 3 then [name || 'laka' || kind, name, kind] else [name || 'las' || kind || 'el', name || 'las', kind] end) as key from p""")
+def title_spellings(spark, sf_dir):
+    """Titles in five forms, with brackets in front, articles behind, other names and years, as the keys they match by."""
+    p = table(spark, sf_dir, "part")
+    form, kind, year = F.col("p_partkey") % 5, F.initcap("p_type"), (1950 + F.col("p_size")).cast("string")
+    title = (
+        F.when(form == 0, F.concat(F.lit("(500) Days of "), "p_name"))
+        .when(form == 1, F.concat(F.lit("Days "), kind, F.lit(", Il")))
+        .when(form == 2, F.concat(F.lit("La "), "p_name", F.lit(" ("), kind, F.lit(", Die)")))
+        .when(form == 3, F.concat("p_name", F.lit(", L' (a.k.a. "), kind, F.lit(")")))
+        .otherwise(F.concat("p_name", F.lit(", Las ("), kind, F.lit(", El)")))
+    )
+    titled = p.select(F.col("p_partkey").alias("item_id"), F.concat(title, F.lit(" ("), year, F.lit(")")).alias("title"))
+    return titled.select("item_id", fx.title_year(F.col("title")).alias("year"), F.explode(fx.title_variants(F.col("title"))).alias("v")).select("item_id", "year", fx.title_key(F.col("v")).alias("key")).distinct()
+
+
 CODE = "translate(cast(p_partkey // 3 as varchar), '0123456789', 'abcdefghij')"
 MOVIES = f"select p_partkey as movie_id, upper(p_type[1]) || lower(p_type[2:]) || ' ' || {CODE} as title, lower(p_type) || {CODE} as key from part"
-ITEMS = f"select p_partkey as item_id, case p_partkey % 3 when 0 then '' when 1 then '' else 'zz ' end || lower(p_type) || ' ' || {CODE} || case p_partkey % 3 when 1 then ' x' else '' end as title from part"
+ITEMS = f"select p_partkey as item_id, case p_partkey % 3 when 0 then lower(p_type) || ' ' || {CODE} when 1 then (lower(p_type) || ' ' || {CODE})[:-2] else (lower(p_type) || ' ' || {CODE})[3:] end as title from part"
 TIERS = f"""movies as materialized ({MOVIES}), keys as materialized (select distinct key, movie_id from movies), items as materialized (select item_id, title, replace(title, ' ', '') as key from ({ITEMS})),
-    ks as (select distinct key from keys), pairs as materialized (select i.key as ikey, k.key as kkey, case when starts_with(i.key, k.key) or starts_with(k.key, i.key) then 1 else 2 end as tier from (select distinct key from items) i join ks k
-          on i.key <> k.key and (starts_with(i.key, k.key) or starts_with(k.key, i.key) or ends_with(i.key, k.key) or ends_with(k.key, i.key))
+    ks as (select distinct key from keys where movie_id % 11 <> 0), pairs as materialized (select i.key as ikey, k.key as kkey, case when starts_with(k.key, i.key) then 1 else 2 end as tier from (select distinct key from items) i join ks k
+          on i.key <> k.key and (starts_with(k.key, i.key) or ends_with(k.key, i.key))
           where least(length(i.key), length(k.key)) >= 5 and least(length(i.key), length(k.key)) >= 0.3 * greatest(length(i.key), length(k.key)) and regexp_replace(i.key, '[^0-9]', '', 'g') = regexp_replace(k.key, '[^0-9]', '', 'g')),
     t as materialized (select item_id, movie_id, 0 as tier from items join keys using (key) union select i.item_id, k.movie_id, p.tier from items i join pairs p on p.ikey = i.key join keys k on k.key = p.kkey),
     tiers as materialized (select item_id, movie_id, tier from (select *, min(tier) over (partition by item_id) as least_tier from t) where tier = least_tier)"""
@@ -134,15 +152,16 @@ def part_movies(spark, sf_dir) -> DataFrame:
 
 
 def movie_keys(spark, sf_dir) -> DataFrame:
-    """Keys of all spellings of the derived titles."""
+    """Keys of all spellings of the derived titles; each eleventh movie is a documentary."""
     rows = part_movies(spark, sf_dir).select("movie_id", F.explode(fx.title_variants(F.col("ml_title"))).alias("v"))
-    return rows.select(fx.title_key(F.col("v"), fold=False).alias("key"), "movie_id", F.lit(True).alias("fuzzy")).distinct()
+    return rows.select(fx.title_key(F.col("v"), fold=False).alias("key"), "movie_id", (F.col("movie_id") % 11 != 0).alias("fuzzy")).distinct()
 
 
 def catalog_titles(spark, sf_dir) -> DataFrame:
-    """Titles of the catalog to match: a third as they are, a third with more behind, a third with more before."""
+    """Titles of the catalog to match: a third as they are, a third without their end, a third without their beginning."""
     p, last = table(spark, sf_dir, "part"), F.col("p_partkey") % 3
-    title = F.concat(F.when(last == 2, "zz ").otherwise(""), F.lower("p_type"), F.lit(" "), code(), F.when(last == 1, " x").otherwise(""))
+    whole = F.concat(F.lower("p_type"), F.lit(" "), code())
+    title = F.when(last == 0, whole).when(last == 1, F.left(whole, F.length(whole) - 1)).otherwise(F.substring(whole, 3, 1000))
     return p.select(F.col("p_partkey").alias("item_id"), title.alias("title"))
 
 

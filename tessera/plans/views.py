@@ -16,7 +16,7 @@ from .domain import CATALOG, LIKES, RATINGS, catalog, likes, ratings, table
 def csv_catalog(spark, sf_dir):
     """The catalog as a CSV file with other names for its columns, read back with inferred types."""
     c, path = catalog(spark, sf_dir), tables.scratch(spark)
-    names = {"title": "Movie Title", "genres": "Genre", "director": "Director", "year": "Released_Year", "rating": "IMDB Rating", "votes": "No of Votes"}
+    names = {"title": "Movie Title", "genres": "Genre", "director": "Director", "year": "Release Year", "rating": "IMDB Rating", "votes": "Vote Count"}
     c.select("item_id", *[F.col(k).alias(v) for k, v in names.items()]).write.option("header", True).csv(path)
     read = tables.normalize_catalog(tables.read_csv(spark, path))
     return read.select(F.col("item_id").cast("long").alias("item_id"), *names)
@@ -81,11 +81,14 @@ def model_round_trip(spark, sf_dir):
     return held["edges"].withColumn("n_edges", F.lit(meta["n_edges"]).cast("long"))
 
 
-@query("select null::varchar as version, null::varchar as trained_at, 'orders' as dataset, (select count(distinct o_custkey) from orders)::varchar as n_users, (select count(*) from part)::varchar as n_items, '10' as k, null::varchar as ndcg")
+@query("""with o as (select count(distinct o_custkey) as u, max(o_orderdate)::varchar as made from orders) select null::varchar as version, '{"l2":200.0,"alpha":0.9}' as params, made as trained_at, 'orders' as dataset,
+    '{"n_users":' || u || '}' as test_metrics, null::varchar as cold_start_metrics, null::varchar as feature_importance from o""")
 def model_info(spark, sf_dir):
-    users = table(spark, sf_dir, "orders").agg(F.count_distinct("o_custkey").alias("n_users"), F.lit("orders").alias("dataset"), F.lit(10).alias("k"))
-    counted = users.withColumn("n_items", F.lit(table(spark, sf_dir, "part").count()))
-    return tables.model_info(counted.select(F.to_json(F.struct("*")).alias("metadata")), "metadata")
+    """What is shown of a saved model: its metadata without what it lacks and others don't see."""
+    found = table(spark, sf_dir, "orders").agg(F.count_distinct("o_custkey").alias("n_users"), F.max("o_orderdate").cast("string").alias("at")).first()
+    folder = tables.scratch(spark)
+    tables.save_model(folder, {"edges": spark.range(1)}, {"params": {"l2": 200.0, "alpha": 0.9}, "trained_at": found["at"], "dataset": "orders", "test_metrics": {"n_users": found["n_users"]}, "secret": 1})
+    return tables.model_info(spark.read.text(f"{folder}/metadata"), "value")
 
 
 def titles(spark, sf_dir) -> DataFrame:

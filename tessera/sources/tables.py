@@ -16,23 +16,28 @@ from pyspark.sql import types as T
 
 from ..functions import text as fx
 
-#: Names under which a catalog's columns may go, best first.
+#: Names under which a catalog's columns may go, best first; headers are compared without anything but letters and digits.
 ALIASES = {
-    "title": ("title", "movietitle", "seriestitle", "name"),
-    "genres": ("genres", "genre"),
-    "director": ("director", "directors"),
-    "actors": ("actors", "cast", "stars"),
-    "plot": ("plot", "overview", "description", "summary"),
-    "year": ("year", "releasedyear", "releaseyear"),
-    "rating": ("rating", "imdbrating", "averagerating"),
-    "votes": ("votes", "noofvotes", "numvotes"),
-    "metascore": ("metascore", "metascorerating"),
+    "title": ("title", "moviename", "movie", "name", "movie_title"),
+    "plot": ("plot", "overview", "description", "summary", "story"),
+    "genres": ("genres", "genre", "categories"),
+    "director": ("director", "directors", "director_name"),
+    "actors": ("actors", "cast", "starring", "castandcrew", "stars"),
+    "year": ("year", "releaseyear", "released", "year_of_release", "release_date"),
+    "rating": ("imdbrating", "rating", "imdb_rating", "averagerating"),
+    "votes": ("votes", "numvotes", "votecount", "vote_count"),
+    "metascore": ("metascore", "metacritic"),
 }
 RATINGS = "userId int, movieId int, rating float, timestamp long"
-#: Public addresses of rating sets; getting them is left to the user.
-DATASETS = {"small": "ml-latest-small", "32m": "ml-32m"}
-#: The metadata that is shown of a model.
-MODEL_INFO = ("version", "trained_at", "dataset", "n_users", "n_items", "k", "ndcg")
+MOVIES = "movieId int, title string, genres string"
+#: Rating sets and where their archives are published; getting and unpacking them is left to the user.
+DATASETS = {
+    "ml-latest-small": "https://files.grouplens.org/datasets/movielens/ml-latest-small.zip",
+    "ml-32m": "https://files.grouplens.org/datasets/movielens/ml-32m.zip",
+}
+DEFAULT_DATASET = "ml-32m"
+#: The metadata that is shown of a model, beside its name.
+MODEL_INFO = ("version", "params", "trained_at", "dataset", "test_metrics", "cold_start_metrics", "feature_importance")
 FAVORITES = "map<string, struct<addedAt: bigint, rating: int, tags: array<string>>>"
 
 
@@ -113,6 +118,17 @@ def read_ratings(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("header", True).schema(RATINGS).csv(path).select("userId", "movieId", "rating")
 
 
+def rating_set(spark: SparkSession, folder: str, name: str = DEFAULT_DATASET) -> tuple[DataFrame, DataFrame]:
+    """(movies, ratings) of a rating set unpacked in ``folder``; an unknown name, or a missing file, is an error that tells what to do."""
+    if name not in DATASETS:
+        raise ValueError(f"unknown rating set {name}; known are {', '.join(DATASETS)}")
+    try:
+        movies = spark.read.option("header", True).option("quote", '"').option("escape", '"').schema(MOVIES).csv(f"{folder}/{name}/movies.csv")
+        return movies, read_ratings(spark, f"{folder}/{name}/ratings.csv")
+    except AnalysisException as e:
+        raise FileNotFoundError(f"unpack {DATASETS[name]} in {folder}") from e
+
+
 def read_embeddings(spark: SparkSession, source: str | DataFrame | None, expected: int, default: str = "") -> DataFrame | None:
     """Embeddings of ``expected`` items: a table, a path, ``auto`` for the default path if there is one, or None for none."""
     if source is None:
@@ -128,8 +144,8 @@ def read_embeddings(spark: SparkSession, source: str | DataFrame | None, expecte
     return df
 
 
-def write_embeddings(catalog: DataFrame, encoder, path: str, batch: int = 64) -> None:
-    """``encoder`` makes vectors from a list of texts, in each task; they are normalized and written with a JSON note beside."""
+def write_embeddings(catalog: DataFrame, encoder, path: str, batch: int = 64, model: str = "") -> None:
+    """``encoder`` makes vectors from a list of texts, in each task; they are normalized and written, with a JSON note (model, n, dim) in ``path``.json."""
     def run(batches):
         import numpy as np
         import pandas as pd
@@ -144,13 +160,29 @@ def write_embeddings(catalog: DataFrame, encoder, path: str, batch: int = 64) ->
 
     text = F.trim(F.concat("title", F.lit(". "), "genres", F.lit(". "), F.coalesce("plot", F.lit("")))).alias("text")
     catalog.select("item_id", text).mapInPandas(run, "item_id long, embedding array<float>").write.mode("overwrite").parquet(path)
+    spark = catalog.sparkSession
+    told = spark.read.parquet(path).agg(F.lit(model).alias("model"), F.count("*").alias("n"), F.coalesce(F.max(F.size("embedding")), F.lit(0)).alias("dim"))
+    told.select(F.to_json(F.struct("*")).alias("value")).coalesce(1).write.mode("overwrite").text(f"{path}.json")
+
+
+def list_digest(rows: DataFrame, order: list[str], column: str, piece: int = 4096) -> str:
+    """A digest of the ordered list of a column's values: any that is changed, moved or swapped gives another one.
+
+    A tree: pieces of the list have digests, these make a list that is cut into pieces in turn, until one is left. Values are told
+    apart by their lengths. It doesn't depend on how the rows are partitioned; values of equal order count in order of value.
+    """
+    placed = with_item_ids(rows.select(*order, F.col(column).cast("string").alias("_value")).select(*[F.col(c).alias(f"_o{i}") for i, c in enumerate(order)], "_value"), [f"_o{i}" for i in range(len(order))] + ["_value"], "_at").select("_at", "_value")
+    while True:
+        spelled = F.concat(F.coalesce(F.length("_value"), F.lit(-1)).cast("string"), F.lit(":"), F.coalesce("_value", F.lit("")))
+        listed = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("_at", spelled.alias("x")))), lambda x: x["x"]), "\n")
+        placed = stored(placed.groupBy(F.floor(F.col("_at") / piece).alias("_at")).agg(F.md5(listed.cast("binary")).alias("_value")))
+        if placed.count() <= 1:
+            return (placed.first() or {"_value": "0"})["_value"]
 
 
 def cached(df_factory, spark: SparkSession, folder: str, titles: DataFrame) -> DataFrame:
-    """The table made by ``df_factory`` for these titles (title, item_id), kept under a name made from their digests."""
-    digests = titles.select(F.md5(F.concat_ws("\n", F.col("item_id").cast("string"), "title")).alias("d"))
-    key = digests.agg(F.expr("lower(hex(sum(cast(conv(substring(d, 1, 12), 16, 10) as bigint))))")).first()[0]
-    path = f"{folder}/{(key or '0')[-10:]}"
+    """The table made by ``df_factory`` for these titles (title, item_id), kept under a name made from the digest of their list in the order of ids."""
+    path = f"{folder}/{list_digest(titles, ['item_id'], 'title')[:10]}"
     try:
         return spark.read.parquet(path)
     except Exception as e:  # only a missing table is made anew

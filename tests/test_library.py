@@ -24,7 +24,7 @@ def test_title_keys(spark):
     df = spark.createDataFrame([(i, x) for i, x in enumerate(titles)], "i int, t string")
     assert [r[1] for r in rows(df.select("i", fx.title_key(F.col("t"))), "i")] == ["amelie", "matrix", "tomandjerry", "bugslife", None]
     v = spark.createDataFrame([("Shawshank Redemption, The (1994)",), ("Seven (a.k.a. Se7en) (1995)",)], "t string").select(fx.title_variants(F.col("t")), fx.title_year(F.col("t"))).collect()
-    assert v[0][0] == ["The Shawshank Redemption"] and v[0][1] == 1994 and v[1][0] == ["Seven", "Se7en"]
+    assert v[0][0] == ["Shawshank Redemption, The", "The Shawshank Redemption"] and v[0][1] == 1994 and v[1][0] == ["Seven a.k.a. Se7en", "Seven", "Se7en"]
 
 
 def test_scalars(spark):
@@ -148,6 +148,42 @@ def test_claims_in_turn(spark):
     assert rows(matching.claimed(candidates, counts), "item_id") == want
 
 
+def test_claims_of_one_shared_list(spark):
+    """Two thousand items that all want the same movies in the same order; and the last movie's holder gives way to a lesser item."""
+    pairs = spark.range(2000).select(F.col("id").alias("item_id"), F.lit(0).alias("tier")).crossJoin(spark.range(1500).select(F.col("id").alias("movie_id")))
+    counts = spark.range(1500).select(F.col("id").alias("movie_id"), (F.col("id") + 1).alias("n"))
+    got = rows(matching.claimed(pairs.select("item_id", "movie_id", "tier"), counts), "item_id")
+    assert got == [(i, 1499 - i, 0) for i in range(1500)]
+
+
+def test_digest_of_a_list(spark):
+    df = spark.range(20_000).select(F.col("id").alias("item_id"), F.concat(F.lit("title "), F.col("id")).alias("title"))
+    digest = lambda d: tables.list_digest(d, ["item_id"], "title", 300)
+    first = digest(df)
+    swapped = df.withColumn("title", F.when(F.col("item_id") == 5, "title 9000").when(F.col("item_id") == 9000, "title 5").otherwise(F.col("title")))
+    changed = df.withColumn("title", F.when(F.col("item_id") == 7, "Title 7").otherwise(F.col("title")))
+    moved = df.withColumn("item_id", F.when(F.col("item_id") == 7, 100_000).otherwise(F.col("item_id")))
+    assert first == digest(df.repartition(13)) and len({first, digest(swapped), digest(changed), digest(moved), digest(df.limit(0)), digest(df.where("item_id < 19999"))}) == 6
+
+
+def test_rating_sets(spark, tmp_path):
+    with pytest.raises(ValueError):
+        tables.rating_set(spark, str(tmp_path), "ml-1")
+    with pytest.raises(FileNotFoundError, match="grouplens"):
+        tables.rating_set(spark, str(tmp_path), "ml-32m")
+    (tmp_path / "ml-latest-small").mkdir()
+    (tmp_path / "ml-latest-small" / "movies.csv").write_text('movieId,title,genres\n1,"Heat, The (1995)",Crime|Drama\n')
+    (tmp_path / "ml-latest-small" / "ratings.csv").write_text("userId,movieId,rating,timestamp\n7,1,4.5,1\n")
+    movies, rated = tables.rating_set(spark, str(tmp_path), "ml-latest-small")
+    assert rows(movies, "movieId") == [(1, "Heat, The (1995)", "Crime|Drama")] and rows(rated, "userId") == [(7, 1, 4.5)]
+
+
+def test_alias_priority(spark):
+    raw = spark.createDataFrame([("a", 1.0, 9.0, "x", "12 votes", "Ann", "one | two")], "`Movie Name` string, rating double, `IMDB Rating` double, Story string, `Vote Count` string, Starring string, Categories string")
+    r = tables.normalize_catalog(raw).first()
+    assert (r.title, r.rating, r.text, r.votes, r.actors, r.genres) == ("a", 9.0, "a x", 12.0, "Ann", "one | two")
+
+
 def test_ease_in_several_blocks(spark):
     import numpy as np
 
@@ -190,14 +226,13 @@ def test_recommendations_fall_back_to_popular_items(spark):
     quality = items.select("item_id", F.lit(0.5).alias("quality"))
     got = content.recommend_for(liked, items, features, quality, 0.2, 2).orderBy("user_id", "rank").collect()
     assert [(r.user_id, r.item_id) for r in got] == [(1, 1), (1, 3), (2, 1), (2, 0), (3, 1), (3, 0), (4, 1), (4, 0)] and abs(got[0].score - 0.9) < 1e-9
-    valid = spark.createDataFrame([(1, 0)], "user_id long, item_id long")
-    sim, cf = content.profile_scores(valid, features, content.KEYS), spark.createDataFrame([(1, 2, 4.0), (1, 3, 1.0)], "user_id long, item_id long, score double")
-    both = hybrid.recommend_for(liked, items.fillna(0.0), sim, cf, quality, 2).orderBy("user_id", "rank").collect()
+    cf = spark.createDataFrame([(1, 2, 4.0), (1, 3, 1.0)], "user_id long, item_id long, score double")
+    both = hybrid.recommend_for(liked, items.fillna(0.0), features, cf, quality, 2).orderBy("user_id", "rank").collect()
     assert [(r.user_id, r.item_id) for r in both] == [(1, 2), (1, 3), (2, 0), (2, 2), (3, 0), (3, 2), (4, 0), (4, 2)]
-    alone = hybrid.recommend_for(liked, items.fillna(0.0), sim, cf, quality, 2, alpha=0.0).where("user_id = 1").orderBy("rank").collect()
+    alone = hybrid.recommend_for(liked, items.fillna(0.0), features, cf, quality, 2, alpha=0.0).where("user_id = 1").orderBy("rank").collect()
     assert [r.item_id for r in alone] == [1, 3]
     with pytest.raises(ValueError):
-        hybrid.recommend_for(liked, items.where("item_id < 3"), sim, cf, quality)
+        hybrid.recommend_for(liked, items.where("item_id < 3"), features, cf, quality)
 
 
 def test_changes_of_favorites(spark):
@@ -244,7 +279,7 @@ def test_training_run(spark, tmp_path):
 
 def test_paths_reports_and_counts(monkeypatch):
     monkeypatch.setenv("TESSERA_MODEL", "/elsewhere")
-    assert tables.data_path("model", "m") == "/elsewhere" and tables.data_path("catalog", "c.csv") == "c.csv" and set(tables.DATASETS) == {"small", "32m"}
+    assert tables.data_path("model", "m") == "/elsewhere" and tables.data_path("catalog", "c.csv") == "c.csv" and set(tables.DATASETS) == {"ml-latest-small", "ml-32m"}
     lines = evaluation.format_table([{"model": "hybrid", "ndcg": 0.12345}], {"hybrid": {"ndcg": 0.01}}).split("\n")
     assert lines[0].split() == ["model", "ndcg"] and lines[1].split() == ["hybrid", "0.1235", "±", "0.0100"] or lines[1].split()[1] == "0.1234"
     assert library.Filters(query=" a ", min_rating=3, certificate="U").active() == 3
