@@ -26,10 +26,11 @@ from math import ceil
 import numpy as np
 import pandas as pd
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import batches_of, mix64, written
+from .shared import batches_of, dropped, mix64, written
 
 #: Bytes of text that are taken apart at a time; words of a shard; most entries of a range.
 STEP, SHARD, RANGE = 1 << 20, 1_000_000, 1_500_000
@@ -122,10 +123,11 @@ class Transducer:
                 kind = np.min_scalar_type(int(x.max()) if len(x) else 0)
                 head += struct.pack("<BI", kind.itemsize, len(x))
                 parts.append(x.astype(kind).tobytes())
-        return struct.pack("<II", len(head), len(parts[0])) + head + b"".join(parts)
+        return zstandard.compress(struct.pack("<II", len(head), len(parts[0])) + head + b"".join(parts), 1)
 
     @classmethod
     def unpacked(cls, data: bytes) -> Transducer:
+        data = zstandard.decompress(data)
         size, letters = struct.unpack_from("<II", data)
         depth, escaped, n = struct.unpack_from("<BBI", data, 8)
         at, words = 8 + size, data[8 + size : 8 + size + letters]
@@ -239,7 +241,7 @@ class Shard:
         return [words[i] for i in tail[np.flatnonzero(tail == 0)[-1] + 1 if (tail == 0).any() else 0 :]]
 
     def rows(self) -> pd.DataFrame:
-        """(lang, known, n, words, ids): a row for each language, words in order, ids from 1, and the number of words of this shard's own."""
+        """(lang, known, n, entries, words, ids): a row for each language, words in order and how many, ids from 1, and the number of words of this shard's own."""
         listed, out = list(self.number), []
         for lang, held in self.held.items():
             ids = np.concatenate(held)
@@ -250,8 +252,8 @@ class Shard:
             rank = np.zeros(len(listed), dtype=np.uint32)
             rank[[i for _, i in mine]] = np.arange(1, len(mine) + 1)
             ids = rank[ids]
-            out.append((lang.decode(), self.known[lang], int((ids[self.known[lang] :] > 0).sum()), b" ".join(w for w, _ in mine), ids.astype("<u4").tobytes()))
-        return pd.DataFrame(out, columns=["lang", "known", "n", "words", "ids"])
+            out.append((lang.decode(), self.known[lang], int((ids[self.known[lang] :] > 0).sum()), len(mine), b" ".join(w for w, _ in mine), ids.astype("<u4").tobytes()))
+        return pd.DataFrame(out, columns=["lang", "known", "n", "entries", "words", "ids"])
 
 
 def mixed(mark: np.ndarray, hashes: np.ndarray) -> np.ndarray:
@@ -330,7 +332,7 @@ def shard_counts(lang: str, known: int, words: bytes, ids: bytes, n: int, most:
 
 
 def shards(docs: DataFrame, most: int) -> DataFrame:
-    """(lang, known, n, words, ids) of all shards; ``docs`` has text and lang."""
+    """(lang, known, n, entries, words, ids) of all shards; ``docs`` has text and lang."""
     def cut(batches):
         shard = Shard()
         for batch in batches:
@@ -347,18 +349,19 @@ def shards(docs: DataFrame, most: int) -> DataFrame:
         if shard.held:
             yield shard.rows()
 
-    return docs.mapInPandas(cut, "lang string, known int, n long, words binary, ids binary")
+    return docs.mapInPandas(cut, "lang string, known int, n long, entries long, words binary, ids binary")
 
 
-def level_counts(cut: DataFrame, n: int, most: int, ranges: int, passed: np.ndarray | None) -> DataFrame:
-    """(range, n, data) of all shards' phrases of ``n`` words; ``passed`` are the bits of the frequent ones of n - 1 words."""
+def level_counts(cut: DataFrame, n: int, most: int, ranges: tuple[int, int], passed: np.ndarray | None) -> DataFrame:
+    """(range, n, data) of all shards' phrases of ``n`` words; ``ranges`` has the first of their ranges and how many there are, ``passed`` the bits of the frequent
+    ones of n - 1 words."""
     shared = None if passed is None else cut.sparkSession.sparkContext.broadcast(passed)
 
     def count(batches):
         for batch in batches:
             for lang, known, words, ids in zip(batch["lang"], batch["known"], batch["words"], batch["ids"]):
-                rows = shard_counts(lang, known, words, ids, n, most, ranges, None if shared is None else shared.value)
-                yield pd.DataFrame(rows, columns=["range", "n", "data"])
+                rows = shard_counts(lang, known, words, ids, n, most, ranges[1], None if shared is None else shared.value)
+                yield pd.DataFrame([(ranges[0] + r, *x) for r, *x in rows], columns=["range", "n", "data"])
 
     return cut.select("lang", "known", "words", "ids").mapInPandas(count, "range int, n long, data binary")
 
@@ -395,7 +398,7 @@ def split_pieces(pieces: DataFrame) -> DataFrame:
     return pieces.select("range", "subs", "data").mapInPandas(split, "range int, sub int, data binary")
 
 
-def frequent(pieces: DataFrame, ranges: int, least: int, n: int, most: int) -> DataFrame:
+def frequent(pieces: DataFrame, ranges: list[tuple[int, int]], least: int, n: int, most: int) -> DataFrame:
     """(kind, range, sub, to_range, data) by range, of phrases of ``n`` words with ``least`` occurrences or more: 'all' candidates; 'part' phrases that longer ones
     may have as a part, and 'bits' theirs in the filter, by slice; 'ask' the parts of candidates for each range that counts them, with the most
     that a phrase weighs which the part begins or ends."""
@@ -424,7 +427,9 @@ def frequent(pieces: DataFrame, ranges: int, least: int, n: int, most: int) -> D
                 parts, loads = parts[order], loads[order]
                 new = np.concatenate([[True], (parts[1:] != parts[:-1]).any(axis=1)])
                 parts, loads = parts[new], loads[new]
-                where = range_of(marks(parts, hashes, 2), ranges)
+                size, mark, where = (parts[:, 1:] >= 0).sum(axis=1), marks(parts, hashes, 2), np.zeros(len(parts), dtype=np.int64)
+                for m, (first, count) in enumerate(ranges[: n - 1], 1):
+                    where[size == m] = first + range_of(mark[size == m], count)
                 rows += [("ask", *key, int(r), transducer(words, parts[where == r], loads[where == r], True).packed()) for r in np.unique(where)]
         return pd.DataFrame(rows, columns=["kind", "range", "sub", "to_range", "data"])
 
@@ -506,7 +511,7 @@ def scored(found: DataFrame, answered: DataFrame) -> DataFrame:
     return own.groupBy("range", "sub").cogroup(answered.groupBy("range", "sub")).applyInPandas(score, "lang string, phrase string, a long, l long, r long, score long")
 
 
-def collocations(docs: DataFrame, longest: int = 3, least: int = 10, cover: int = 50, best: int = 2000, lang_col: str = "lang", text_col: str = "text", range_bytes: int = 1 << 23, range_entries: int = RANGE) -> DataFrame:
+def collocations(docs: DataFrame, longest: int = 3, least: int = 10, cover: int = 50, best: int = 2000, lang_col: str = "lang", text_col: str = "text", range_entries: int = RANGE) -> DataFrame:
     """(lang, rank, phrase, a, l, r, n, score): each language's ``best`` phrases of 2 to ``longest`` words with ``least`` occurrences or more.
 
     Words are what spaces and tabs leave of the pieces between ``. , ; : ! ?`` and line ends, A-Z lower-cased; phrases don't cross pieces. a is a
@@ -518,18 +523,22 @@ def collocations(docs: DataFrame, longest: int = 3, least: int = 10, cover: int
     are counted whole. A language without candidates, and an empty table, give no rows. Other columns aren't read, whatever their names.
     """
     own = docs.select(F.coalesce(F.col(f"`{lang_col}`"), F.lit("und")).alias("lang"), F.col(f"`{text_col}`").alias("text"))
-    size = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    ranges = max(1, ceil(size / range_bytes))
     spark = docs.sparkSession
     with batches_of(spark, 1000):
         cut = written(shards(own, longest))
+    # as many ranges for each length as entries are to be expected of all shards: their words, half of their pairs, a fifth of what is longer
+    sizes = cut.agg(F.sum("entries").alias("entries"), F.sum("n").alias("words")).first()
+    shares = [sizes["entries"] or 0] + [(sizes["words"] or 0) * x for x in [0.5] + [0.2] * longest]
+    many = [max(1, ceil(x / range_entries)) for x in shares[:longest]]
+    ranges = [(sum(many[:i]), m) for i, m in enumerate(many)]
     found, passed = None, None
     for n in range(1, longest + 1):
         with batches_of(spark, 1):
-            pieces = written(level_counts(cut, n, longest, ranges, passed))
+            pieces = written(level_counts(cut, n, longest, ranges[n - 1], passed))
         heavy = written(pieces.groupBy("range").agg(F.ceil(F.sum("n") / range_entries).cast("int").alias("subs")).where("subs > 1"))
         with batches_of(spark, 100):
             level = written(frequent(split_pieces(pieces.join(heavy, "range", "left").fillna(1, ["subs"])), ranges, least, n, longest))
+        dropped(pieces)
         found = level if found is None else found.unionByName(level)
         passed = filter_bits(level) if n < longest else None
     marked = scored(found, written(answers(found, cover)))

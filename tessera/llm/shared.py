@@ -3,38 +3,21 @@
 from __future__ import annotations
 
 import struct
-import tempfile
-import uuid
 from contextlib import contextmanager
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.tables import dropped as dropped  # noqa: F401  the library's helpers under the names used here
+from ..sources.tables import scratch as scratch_folder  # noqa: F401
+from ..sources.tables import stored as written
+
 #: The only characters that separate words; ``bytes.split()`` without an argument splits on exactly these.
 SPACES = " \t\n\x0b\x0c\r"
 WORD = "[^\\x20\\x09-\\x0D]+"
 
 
-def scratch_folder(spark: SparkSession) -> str:
-    """A new path in the folder of ``spark.checkpoint.dir``. Where that is unset, a local session gets one; on a cluster it has to be set."""
-    context = spark.sparkContext
-    base = context.getConf().get("spark.checkpoint.dir", None) or context.getCheckpointDir()
-    if not base:
-        if not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = tempfile.mkdtemp(prefix="tessera-")
-        context.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/tessera-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: the plan before it is run once, and a lost executor costs no more than its tasks."""
-    spark, path = df.sparkSession, scratch_folder(df.sparkSession)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 @contextmanager
 def batches_of(spark: SparkSession, rows: int):
     """Within it, what is run hands Python workers so many rows at a time: few where rows are large, whatever the size of a partition."""

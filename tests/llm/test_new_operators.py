@@ -161,7 +161,7 @@ def test_collocations(spark, monkeypatch, longest, step, shard, entries):
     rows += [("en", None), (None, ""), ("de", "... ,,"), ("x\ny", "only here"), ("en", prose(rng, 3000)), ("long", "hot pair " * 4000), ("long", " ".join(f"hot pair q{i % 90}" for i in range(1500)))]
     df = spark.createDataFrame(rows, "lang string, text string")
     # workers take the sizes with the function: they are read from the module, hence tests of small ones run it here
-    got = phrases.collocations(wide(df, ["range", "n", "data", "sub", "kind", "subs"]).repartition(2), longest, least=4, best=40, range_bytes=4000, range_entries=entries).collect()
+    got = phrases.collocations(wide(df, ["range", "n", "data", "sub", "kind", "subs"]).repartition(2), longest, least=4, best=40, range_entries=entries).collect()
     assert sorted(tuple(r) for r in got) == brute_collocations(rows, longest, 4, 50, 40)
 
 
