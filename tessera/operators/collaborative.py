@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from math import ceil
 
 import numpy as np
@@ -9,94 +10,200 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.tables import stored, with_item_ids
-from .interactions import gram
+from ..sources.tables import dropped, stored, with_item_ids
 
 BLOCKS = "bi int, bj int, data binary"
+#: Blocks of a side at most, so that elimination, which writes half a matrix for each, writes four at most; greatest side of a block, 134 MB.
+SIDE, MOST = 8, 4096
+#: Bytes of a pivot's column up to which it is broadcast; a larger one is joined by a shuffle.
+PANEL = 256 << 20
 
 
 def matrix(data: bytes, rows: int) -> np.ndarray:
     return np.frombuffer(data).reshape(rows, -1)
 
 
-def gram_blocks(likes: DataFrame, index: DataFrame, l2: float, block: int) -> tuple[DataFrame, int]:
-    """X'X + l2 I as square blocks of doubles, padded with the identity to a whole number of blocks; how many there are a side."""
-    n = index.count()
-    side = max(1, ceil(n / block))
-    counts = gram(likes.join(index.select("item_id"), "item_id", "left_semi"))
-    at = lambda c, p: index.select(F.col("item_id").alias(c), F.col("pos").alias(p))
-    placed = counts.join(at("i", "pi"), "i").join(at("j", "pj"), "j")
-    place = lambda c, f: f(F.col(c) / block).cast("int") if f else (F.col(c) % block).cast("int")
-    cells = placed.select(place("pi", F.floor).alias("bi"), place("pj", F.floor).alias("bj"), place("pi", None).alias("r"), place("pj", None).alias("c"), "w")
-    grid = likes.sparkSession.range(side * side).select(F.floor(F.col("id") / side).cast("int").alias("bi"), (F.col("id") % side).cast("int").alias("bj"))
+def block_size(n: int) -> int:
+    return min(max(256, ceil(n / SIDE)), MOST)
+
+
+def gram_blocks(likes: DataFrame, index: DataFrame, block: int) -> tuple[DataFrame, int]:
+    """X'X in square blocks of doubles, of which those on and below the diagonal; how many there are a side.
+
+    Pairs of a user's items are counted once, the later place first. A user with very many likes is split by the adaptive skew join.
+    """
+    side = max(1, ceil(index.count() / block))
+    placed = stored(likes.select("user_id", "item_id").distinct().join(index, "item_id").select("user_id", "pos"))
+    pairs = placed.withColumnRenamed("pos", "r").join(placed.withColumnRenamed("pos", "c"), "user_id").where("r >= c")
+    counts = pairs.groupBy("r", "c").agg(F.count("*").alias("w"))
+    at = lambda c: F.floor(F.col(c) / block).cast("int")
+    cells = counts.select(at("r").alias("bi"), at("c").alias("bj"), (F.col("r") % block).cast("int").alias("r"), (F.col("c") % block).cast("int").alias("c"), "w")
+    rows = likes.sparkSession.range(side).select(F.col("id").cast("int").alias("bi"))
+    grid = rows.withColumn("bj", F.explode(F.sequence(F.lit(0), F.col("bi"))))
 
     def fill(key, _, own):
         out = np.zeros((block, block))
-        out[own["r"].to_numpy(), own["c"].to_numpy()] = own["w"].to_numpy()
+        r, c, w = (own[x].to_numpy() for x in ("r", "c", "w"))
+        out[r, c] = w
         if key[0] == key[1]:
-            real = np.arange(block) + key[0] * block < n
-            out[np.diag_indices(block)] += np.where(real, l2, 1.0)
+            out[c, r] = w
         return pd.DataFrame({"bi": [key[0]], "bj": [key[1]], "data": [out.tobytes()]})
 
     return stored(grid.groupBy("bi", "bj").cogroup(cells.groupBy("bi", "bj")).applyInPandas(fill, BLOCKS)), side
 
 
-def inverse(blocks: DataFrame, side: int, block: int) -> DataFrame:
-    """The inverse of a symmetric positive matrix, by Gauss-Jordan elimination of blocks: in each of ``side`` steps all blocks meet the pivot's row and column."""
-    def pivoted(batches):
+def shifted(counts: DataFrame, l2: float, n: int, block: int) -> DataFrame:
+    """The counts with ``l2`` added to the diagonal, and 1 to the places past the last item."""
+    def add(batches):
         for batch in batches:
-            yield batch.assign(data=[np.linalg.inv(matrix(x, block)).tobytes() for x in batch["data"]])
+            out = []
+            for i, j, data in zip(batch["bi"], batch["bj"], batch["data"]):
+                if i == j:
+                    a = matrix(data, block).copy()
+                    a[np.diag_indices(block)] += np.where(np.arange(block) + i * block < n, l2, 1.0)
+                    data = a.tobytes()
+                out.append(data)
+            yield batch.assign(data=out)
+
+    return counts.mapInPandas(add, BLOCKS)
+
 
+def inverse(blocks: DataFrame, side: int, block: int) -> DataFrame:
+    """The inverse of a symmetric positive matrix, of which blocks on and below the diagonal are given and returned.
+
+    Block by block the pivot D is inverted, its column A_ik becomes A_ik D^-1, and A_ij loses A_ik D^-1 A_jk'. A step works the
+    column out first, which the others then meet: broadcast while it is small enough, by a shuffle otherwise. A step's predecessor is deleted
+    once the step is written. With all steps done the matrix is the inverse with its sign changed.
+    """
+    if side == 1:
+        def inverted(batches):
+            for batch in batches:
+                yield batch.assign(data=[np.linalg.inv(matrix(x, block)).tobytes() for x in batch["data"]])
+
+        return stored(blocks.mapInPandas(inverted, BLOCKS))
+    now, temporary = blocks, False
+    hint = F.broadcast if side * block * block * 8 * 2 <= PANEL else lambda d: d
     for k in range(side):
-        pivot = blocks.where((F.col("bi") == k) & (F.col("bj") == k)).mapInPandas(pivoted, BLOCKS).first()["data"]  # one block
-        shared = blocks.sparkSession.sparkContext.broadcast(matrix(pivot, block))
-        row = blocks.where(F.col("bi") == k).select("bj", F.col("data").alias("row"))
-        column = blocks.where(F.col("bj") == k).select("bi", F.col("data").alias("col"))
-        met = blocks.join(row, "bj").join(column, "bi")
-
-        def step(batches, k=k, shared=shared):
-            p = shared.value
+        column = now.where((F.col("bi") == k) | (F.col("bj") == k))
+        pivot = column.where((F.col("bi") == k) & (F.col("bj") == k)).select(F.col("data").alias("pivot"))
+
+        def scale(batches, k=k):
             for batch in batches:
                 out = []
-                for i, j, *data in zip(batch["bi"], batch["bj"], batch["data"], batch["row"], batch["col"]):
-                    a, r, c = (matrix(x, block) for x in data)
-                    if i == k:
-                        new = p if j == k else p @ r
-                    else:
-                        new = -(c @ p) if j == k else a - c @ (p @ r)
-                    out.append(np.ascontiguousarray(new).tobytes())
-                yield pd.DataFrame({"bi": batch["bi"], "bj": batch["bj"], "data": out})
+                for i, j, data, pivot in zip(batch["bi"], batch["bj"], batch["data"], batch["pivot"]):
+                    d = np.linalg.inv(matrix(pivot, block))
+                    a = matrix(data, block) if j == k else matrix(data, block).T
+                    w = -d if i == j else a @ d
+                    out.append((int(i if j == k else j), np.ascontiguousarray(a).tobytes(), np.ascontiguousarray(w).tobytes()))
+                yield pd.DataFrame(out, columns=["at", "a", "w"])
+
+        panel = stored(column.withColumn("k", F.lit(k)).join(pivot.withColumn("k", F.lit(k)), "k").select("bi", "bj", "data", "pivot").mapInPandas(scale, "at int, a binary, w binary"))
+        # the pivot's own column is done; the others meet its blocks of their row and of their column
+        rest = now.where((F.col("bi") != k) & (F.col("bj") != k))
+        met = rest.join(hint(panel.select(F.col("at").alias("bi"), "w")), "bi").join(hint(panel.select(F.col("at").alias("bj"), "a")), "bj")
+
+        def step(batches):
+            for batch in batches:
+                yield pd.DataFrame({"bi": batch["bi"], "bj": batch["bj"], "data": [(matrix(d, block) - matrix(w, block) @ matrix(a, block).T).tobytes() for d, w, a in zip(batch["data"], batch["w"], batch["a"])]})
 
-        blocks = stored(met.select("bi", "bj", "data", "row", "col").mapInPandas(step, BLOCKS))
-    return blocks
+        def placed(batches, k=k):
+            for batch in batches:
+                out = [(int(max(i, k)), int(min(i, k)), w if i >= k else np.ascontiguousarray(matrix(w, block).T).tobytes()) for i, w in zip(batch["at"], batch["w"])]
+                yield pd.DataFrame(out, columns=["bi", "bj", "data"])
 
+        done = met.select("bi", "bj", "data", "w", "a").mapInPandas(step, BLOCKS).unionByName(panel.select("at", "w").mapInPandas(placed, BLOCKS))
+        following = stored(done)
+        dropped(panel)
+        if temporary:
+            dropped(now)
+        now, temporary = following, True
 
-def ease_blocks(likes: DataFrame, items: DataFrame, l2: float, block: int = 512) -> tuple[DataFrame, DataFrame]:
-    """(blocks, index): B, where P = (X'X + l2 I)^-1, B_ij = -P_ij / P_jj and B_ii = 0, in square blocks, and each item's place in it.
+    def negated(batches):
+        for batch in batches:
+            yield batch.assign(data=[(-matrix(x, block)).tobytes() for x in batch["data"]])
 
-    The counts, the inverse and the result are blocks that Spark holds; one block at a time goes through the driver.
-    """
-    index = stored(with_item_ids(items.select("item_id").distinct(), ["item_id"], "pos"))
-    counts, side = gram_blocks(likes, index, l2, block)
-    p = inverse(counts, side, block)
-    diagonal = p.where("bi = bj").select("bj", F.col("data").alias("d"))
+    return now.mapInPandas(negated, BLOCKS)
+
+
+@dataclass
+class ItemModel:
+    """B as blocks (bi, bj, data) of ``block`` rows and columns, each item's place in it, ``index`` (item_id, pos), and the spans of places that items have."""
+
+    blocks: DataFrame
+    index: DataFrame
+    block: int
+    spans: tuple[tuple[int, int], ...]
+
+
+def real(spans: tuple[tuple[int, int], ...], start: int, block: int) -> np.ndarray:
+    """Which places of the block that begins at ``start`` are items'."""
+    place = start + np.arange(block)
+    return np.logical_or.reduce([(place >= a) & (place < b) for a, b in spans])
+
+
+def weights_of(half: DataFrame, block: int) -> DataFrame:
+    """All blocks of B_ij = -P_ij / P_jj, B_ii = 0, from those of P on and below the diagonal."""
+    diagonal = half.where("bi = bj").select("bj", F.col("data").alias("d"))
+
+    def diagonals(batches):
+        for batch in batches:
+            yield pd.DataFrame({"at": batch["bj"], "d": [np.diag(matrix(x, block)).tobytes() for x in batch["d"]]})
+
+    diagonal = diagonal.mapInPandas(diagonals, "at int, d binary")
 
-    def scaled(batches):
+    def both(batches):
         for batch in batches:
             out = []
-            for i, j, data, d in zip(batch["bi"], batch["bj"], batch["data"], batch["d"]):
-                b = -matrix(data, block) / np.diag(matrix(d, block))[None, :]
+            for i, j, data, di, dj in zip(batch["bi"], batch["bj"], batch["data"], batch["di"], batch["dj"]):
+                p = matrix(data, block)
+                b = -p / np.frombuffer(dj)[None, :]
                 if i == j:
                     np.fill_diagonal(b, 0.0)
-                out.append(b.tobytes())
-            yield pd.DataFrame({"bi": batch["bi"], "bj": batch["bj"], "data": out})
+                else:
+                    out.append((j, i, np.ascontiguousarray(-p.T / np.frombuffer(di)[None, :]).tobytes()))
+                out.append((i, j, np.ascontiguousarray(b).tobytes()))
+            yield pd.DataFrame(out, columns=["bi", "bj", "data"])
+
+    met = half.join(diagonal.select(F.col("at").alias("bi"), F.col("d").alias("di")), "bi").join(diagonal.select(F.col("at").alias("bj"), F.col("d").alias("dj")), "bj")
+    return met.select("bi", "bj", "data", "di", "dj").mapInPandas(both, BLOCKS)
+
+
+@dataclass
+class Counts:
+    """X'X in blocks on and below the diagonal, which serves every ``l2``."""
+
+    blocks: DataFrame
+    index: DataFrame
+    block: int
+    side: int
+    n: int
+
+    @classmethod
+    def of(cls, likes: DataFrame, items: DataFrame, block: int | None = None) -> Counts:
+        index = stored(with_item_ids(items.select("item_id").distinct(), ["item_id"], "pos"))
+        n = index.count()
+        block = block or block_size(n)
+        blocks, side = gram_blocks(likes, index, block)
+        return cls(blocks, index, block, side, n)
+
+    def fit(self, l2: float) -> ItemModel:
+        """B, where P = (X'X + l2 I)^-1, B_ij = -P_ij / P_jj and B_ii = 0."""
+        half = inverse(shifted(self.blocks, l2, self.n, self.block), self.side, self.block)
+        return ItemModel(stored(weights_of(half, self.block)), self.index, self.block, ((0, self.n),))
+
 
-    return stored(p.join(diagonal, "bj").select("bi", "bj", "data", "d").mapInPandas(scaled, BLOCKS)), index
+def ease_model(likes: DataFrame, items: DataFrame, l2: float, block: int | None = None) -> ItemModel:
+    """The model of all items; counts, inverse and result are blocks that Spark holds, none goes through the driver."""
+    return Counts.of(likes, items, block).fit(l2)
 
 
-def ease(likes: DataFrame, items: DataFrame, l2: float, block: int = 512) -> DataFrame:
+def ease(likes: DataFrame, items: DataFrame, l2: float, block: int | None = None) -> DataFrame:
     """Edges (i, j, w) of B, all that aren't 0: as many as the square of the catalog, so for small ones; see ``block_scores``."""
-    blocks, index = ease_blocks(likes, items, l2, block)
+    return edges_of(ease_model(likes, items, l2, block))
+
+
+def edges_of(model: ItemModel) -> DataFrame:
+    block = model.block
 
     def told(batches):
         for batch in batches:
@@ -105,37 +212,164 @@ def ease(likes: DataFrame, items: DataFrame, l2: float, block: int = 512) -> Dat
                 r, c = np.nonzero(b)
                 yield pd.DataFrame({"pi": i * block + r, "pj": j * block + c, "w": b[r, c]})
 
-    at = lambda c, p: index.select(F.col("item_id").alias(c), F.col("pos").alias(p))
-    return blocks.mapInPandas(told, "pi long, pj long, w double").join(at("i", "pi"), "pi").join(at("j", "pj"), "pj").select("i", "j", "w")
+    at = lambda c, p: model.index.select(F.col("item_id").alias(c), F.col("pos").alias(p))
+    return model.blocks.mapInPandas(told, "pi long, pj long, w double").join(at("i", "pi"), "pi").join(at("j", "pj"), "pj").select("i", "j", "w")
+
 
+def panels_of(fold_in: DataFrame, model: ItemModel, users: int, more: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(askers, panels): users by column block and chunk with the places they like, and the column blocks of B repeated for each chunk.
 
-def block_scores(fold_in: DataFrame, blocks: DataFrame, index: DataFrame, block: int = 512, users: int = 50_000) -> DataFrame:
-    """(user_id, item_id, score, link) of all items for each user: sums and maxima over the rows of B of the liked items, by column block and chunk of about ``users`` users."""
-    liked = stored(fold_in.join(index, "item_id").groupBy("user_id").agg(F.collect_set("pos").alias("own")))
+    ``more`` has further columns by user_id.
+    """
+    liked = fold_in.join(model.index, "item_id").groupBy("user_id").agg(F.collect_set("pos").alias("own"))
+    liked = stored(liked if more is None else liked.join(more, "user_id", "left"))
     chunks = max(1, ceil(liked.count() / users))
-    columns = blocks.select("bj").distinct().withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
+    columns = model.blocks.select("bj").distinct().withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
     asked = liked.withColumn("chunk", F.expr(f"pmod(xxhash64(user_id), {chunks})").cast("int")).join(columns, "chunk")
-    panels = blocks.join(columns, "bj").select("bi", (F.col("bj") + 0).alias("panel"), (F.col("chunk") + 0).alias("part"), "data")
+    return asked, model.blocks.join(columns, "bj").select("bi", (F.col("bj") + 0).alias("panel"), (F.col("chunk") + 0).alias("part"), "data")
+
+
+def column_block(panel: pd.DataFrame, block: int) -> np.ndarray:
+    return np.concatenate([matrix(x, block) for x in panel.sort_values("bi")["data"]])
+
+
+def block_scores(fold_in: DataFrame, model: ItemModel, top: int | None = None, wanted: DataFrame | None = None, users: int = 5000) -> DataFrame:
+    """(user_id, item_id, score, link): sums and maxima over the rows of B of the liked items, by column block and chunk of about ``users`` users.
+
+    Of each column block a user gets the ``top`` best items that aren't liked, and those of ``wanted`` (user_id, item_id), liked or not; without
+    both, all items. Tasks keep what is asked for, so no frame of users times items is made.
+    """
+    block, spans = model.block, model.spans
+    more = None if wanted is None else wanted.join(model.index, "item_id").groupBy("user_id").agg(F.collect_set("pos").alias("wanted"))
+    asked, panels = panels_of(fold_in, model, users, more)
     kind = fold_in.schema["user_id"].dataType.simpleString()
+    every, asks = top is None and wanted is None, wanted is not None
 
     def add(key, own, panel):
-        if not len(own) or not len(panel):
-            return pd.DataFrame({"user_id": own["user_id"][:0], "pos": [], "score": [], "link": []})
-        b = np.concatenate([matrix(x, block) for x in panel.sort_values("bi")["data"]])
-        rows = [b[list(p)] for p in own["own"]]
-        total, most = (np.array([f(x, axis=0) for x in rows]) for f in (np.sum, np.max))
-        pos = key[0] * block + np.arange(block)
-        return pd.DataFrame({"user_id": np.repeat(own["user_id"].to_numpy(), block), "pos": np.tile(pos, len(own)), "score": total.ravel(), "link": most.ravel()})
+        out = []
+        if len(own) and len(panel):
+            b, start = column_block(panel, block), key[0] * block
+            places = np.flatnonzero(real(spans, start, block))
+            for user, liked, *some in zip(own["user_id"], own["own"], *([own["wanted"]] if asks else [])):
+                rows = b[np.sort(liked)]
+                total, most = rows.sum(axis=0), rows.max(axis=0)
+                keep = places if every else places[:0]
+                if top is not None:
+                    free = np.setdiff1d(places, np.asarray(liked) - start)
+                    keep = free[np.argsort(-total[free], kind="stable")[:top]]
+                if some and some[0] is not None:
+                    keep = np.union1d(keep, np.intersect1d(np.asarray(some[0]) - start, places))
+                out.append(pd.DataFrame({"user_id": [user] * len(keep), "pos": start + keep, "score": total[keep], "link": most[keep]}))
+        return pd.concat(out) if out else pd.DataFrame({"user_id": own["user_id"][:0], "pos": [], "score": [], "link": []})
 
     done = asked.groupBy("bj", "chunk").cogroup(panels.groupBy("panel", "part")).applyInPandas(add, f"user_id {kind}, pos long, score double, link double")
-    return done.join(index, "pos").select("user_id", "item_id", "score", "link")
+    return done.join(model.index, "pos").select("user_id", "item_id", "score", "link")
+
+
+def block_ranks(fold_in: DataFrame, model: ItemModel, pairs: DataFrame, users: int = 5000) -> DataFrame:
+    """(user_id, item_id, rank): how many items that a user hasn't liked come before each of the given (user_id, item_id, score), by score, ties by place.
 
+    Each column block counts against all scores of a user; the counts are added up.
+    """
+    block, spans = model.block, model.spans
+    limits = pairs.join(model.index, "item_id").groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct(F.col("score").alias("s"), F.col("pos").alias("p")))).alias("limits"))
+    asked, panels = panels_of(fold_in, model, users, limits.select("user_id", F.col("limits.s").alias("limit"), F.col("limits.p").alias("at")))
+    kind = fold_in.schema["user_id"].dataType.simpleString()
 
-def normal_equations(likes: DataFrame, blocks: DataFrame, index: DataFrame, l2: float, block: int = 512) -> DataFrame:
+    def count(key, own, panel):
+        out = []
+        if len(own) and len(panel):
+            b, start = column_block(panel, block), key[0] * block
+            places = np.flatnonzero(real(spans, start, block))
+            for user, liked, limit, at in zip(own["user_id"], own["own"], own["limit"], own["at"]):
+                if limit is None:
+                    continue
+                free = np.setdiff1d(places, np.asarray(liked) - start)
+                total, p = b[np.sort(liked)].sum(axis=0)[free], np.asarray(at)
+                before = [int(((total > x) | ((total == x) & (start + free < y))).sum()) for x, y in zip(limit, p)]
+                out.append(pd.DataFrame({"user_id": [user] * len(p), "pos": p, "rank": before}))
+        return pd.concat(out) if out else pd.DataFrame({"user_id": own["user_id"][:0], "pos": [], "rank": []})
+
+    done = asked.groupBy("bj", "chunk").cogroup(panels.groupBy("panel", "part")).applyInPandas(count, f"user_id {kind}, pos long, rank long")
+    return done.groupBy("user_id", "pos").agg(F.sum("rank").alias("rank")).join(model.index, "pos").select("user_id", "item_id", "rank")
+
+
+def blended_lists(fold_in: DataFrame, model: ItemModel, features: DataFrame, quality: DataFrame, cells: list[tuple[float, float]], k: int, users: int = 5000) -> DataFrame:
+    """(cell, user_id, item_id, score): for each (alpha, beta) the best items that a user hasn't liked by ``hybrid.blend``, ``k`` for each column block.
+
+    The first pass finds each user's largest score, the second one blends in each task the scores, the similarity of the user's profile with
+    the block's items, and their quality, for all cells at once. Scores are rounded to 9 digits, ties go by place. Items of one block that are liked by no one
+    and share no term with the user have quality alone, and count like others.
+    """
+    from . import content, matches
+    from .hybrid import blend_values
+
+    block = model.block
+    fold_in = stored(fold_in.select("user_id", "item_id"))
+    peaks = block_scores(fold_in, model, top=1, users=users).groupBy("user_id").agg(F.max("score").alias("peak"))
+    profile = matches.shapes(content.profiles(fold_in, features), "user_id").select("user_id", "terms", "weights")
+    asked, panels = panels_of(fold_in, model, users, stored(peaks.join(profile, "user_id", "left")))
+    shaped = matches.shapes(features, "item_id").select("item_id", "terms", "weights").join(model.index, "item_id", "right").join(quality.select("item_id", "quality"), "item_id", "left")
+    shaped = stored(shaped.select("pos", "terms", "weights", F.coalesce("quality", F.lit(0.0)).alias("quality")).withColumn("panel", F.floor(F.col("pos") / block).cast("int")))
+    packed = shaped.groupBy("panel").agg(F.array_sort(F.collect_list(F.struct("pos", "terms", "weights", "quality"))).alias("items"))
+    parts = panels.select("panel", "part").distinct().join(packed, "panel").select("panel", "part", F.lit(-1).alias("bi"), F.lit(None).cast("binary").alias("data"), "items")
+    sides = panels.withColumn("items", F.lit(None).cast(packed.schema["items"].dataType)).select("panel", "part", "bi", "data", "items").unionByName(parts)
+    kind = fold_in.schema["user_id"].dataType.simpleString()
+
+    def sparse(terms, weights, number):
+        own = [(r, number.setdefault(t, len(number)), w) for r, (ts, ws) in enumerate(zip(terms, weights)) if ts is not None for t, w in zip(ts, ws)]
+        return [np.array(x) for x in zip(*own)] if own else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
+
+    def mix(key, own, panel):
+        out = []
+        if len(own) and (panel["bi"] >= 0).any():
+            b, start = column_block(panel[panel["bi"] >= 0], block), key[0] * block
+            items = panel[panel["bi"] < 0]["items"].iloc[0]
+            column = np.array([x["pos"] for x in items]) - start
+            place_of = np.full(block, -1)
+            place_of[column] = np.arange(len(column))
+            number: dict[str, int] = {}
+            r, t, w = sparse([x["terms"] for x in items], [x["weights"] for x in items], number)
+            prior = np.array([x["quality"] for x in items])
+            side = {"pos": column, "row": r, "index": t, "weights": w, "terms": list(number)}
+            for first in range(0, len(own), 256):
+                some = own.iloc[first : first + 256]
+                asked_terms: dict[str, int] = {}
+                r, t, w = sparse(some["terms"], some["weights"], asked_terms)
+                sim, _ = matches.products({"pos": np.arange(len(some)), "row": r, "index": t, "weights": w, "terms": list(asked_terms)}, side, np.arange(len(some)))
+                total = np.array([b[np.sort(x)].sum(axis=0)[column] for x in some["own"]])
+                peak = some["peak"].to_numpy(dtype=np.float64)[:, None]
+                taken = np.zeros(total.shape, dtype=bool)
+                for i, x in enumerate(some["own"]):
+                    mine = np.asarray(x) - start
+                    taken[i, [p for p in place_of[mine[(mine >= 0) & (mine < block)]] if p >= 0]] = True
+                for cell, (alpha, beta) in enumerate(cells):
+                    score = np.where(taken, -np.inf, np.round(blend_values(sim, total, peak, prior[None, :], alpha, beta), 9))
+                    best = np.argsort(-score, axis=1, kind="stable")[:, :k]
+                    value = np.take_along_axis(score, best, axis=1)
+                    i, c = np.nonzero(np.isfinite(value))
+                    out.append(pd.DataFrame({"cell": cell, "user_id": some["user_id"].to_numpy()[i], "pos": start + column[best[i, c]], "score": value[i, c]}))
+        return pd.concat(out) if out else pd.DataFrame({"cell": [], "user_id": own["user_id"][:0], "pos": [], "score": []})
+
+    done = asked.groupBy("bj", "chunk").cogroup(sides.groupBy("panel", "part")).applyInPandas(mix, f"cell int, user_id {kind}, pos long, score double")
+    return done.join(model.index, "pos").select("cell", "user_id", "item_id", "score")
+
+
+def normal_equations(counts: Counts, model: ItemModel, l2: float) -> DataFrame:
     """(k, j, w): the elements of (X'X + l2 I) B beside the diagonal, which are those of X'X if B is exact."""
-    counts, _ = gram_blocks(likes, index, l2, block)
-    left = counts.select("bi", F.col("bj").alias("m"), F.col("data").alias("a"))
-    met = left.join(blocks.select(F.col("bi").alias("m"), "bj", "data"), "m")
+    block = counts.block
+    half = shifted(counts.blocks, l2, counts.n, block)
+
+    def mirrored(batches):
+        for batch in batches:
+            out = []
+            for i, j, data in zip(batch["bi"], batch["bj"], batch["data"]):
+                out.append((i, j, data))
+                if i != j:
+                    out.append((j, i, np.ascontiguousarray(matrix(data, block).T).tobytes()))
+            yield pd.DataFrame(out, columns=["bi", "m", "a"])
+
+    met = half.mapInPandas(mirrored, "bi int, m int, a binary").join(model.blocks.select(F.col("bi").alias("m"), "bj", "data"), "m")
 
     def multiplied(batches):
         for batch in batches:
@@ -148,10 +382,54 @@ def normal_equations(likes: DataFrame, blocks: DataFrame, index: DataFrame, l2:
         return pd.DataFrame({"pi": i * block + r, "pj": j * block + c, "w": total[r, c]}).query("pi != pj")
 
     done = met.select("bi", "bj", "a", "data").mapInPandas(multiplied, BLOCKS).groupBy("bi", "bj").applyInPandas(summed, "pi long, pj long, w double")
-    at = lambda c, p: index.select(F.col("item_id").alias(c), F.col("pos").alias(p))
+    at = lambda c, p: model.index.select(F.col("item_id").alias(c), F.col("pos").alias(p))
     return done.join(at("k", "pi"), "pi").join(at("j", "pj"), "pj").select("k", "j", "w")
 
 
+def impute_blocks(model: ItemModel, near: DataFrame) -> ItemModel:
+    """The model with further items behind its own, whose columns, then rows, are weighted means of their neighbours'; its own blocks stay as they are.
+
+    ``near`` has (c, n, a): for each new item c neighbours n among the model's, with weights. The weights are sparse: each block of B meets those
+    of its columns, and gives a block of new columns in part; parts are added up. Rows are made in the same way of all columns, the new ones included,
+    so new items also link to each other. Their diagonal is 0.
+    """
+    block, start = model.block, ceil(max(b for _, b in model.spans) / model.block) * model.block
+    new = with_item_ids(near.select(F.col("c").alias("item_id")).distinct(), ["item_id"], "pos").withColumn("pos", F.col("pos") + start)
+    new = stored(new.select("item_id", "pos"))
+    at = lambda d, c, p: d.select(F.col("item_id").alias(c), F.col("pos").alias(p))
+    placed = near.join(at(new, "c", "pc"), "c").join(at(model.index, "n", "pn"), "n")
+    weights = placed.groupBy(F.floor(F.col("pc") / block).cast("int").alias("to"), F.floor(F.col("pn") / block).cast("int").alias("from"))
+    weights = stored(weights.agg(F.collect_list((F.col("pc") % block).cast("int")).alias("c"), F.collect_list((F.col("pn") % block).cast("int")).alias("n"), F.collect_list("a").alias("a")))
+
+    def combined(met: DataFrame, by_row: bool) -> DataFrame:
+        """Blocks (bi, bj) times the weights of their columns, or the weights of their rows times the blocks, added up by place."""
+        def part(batches):
+            for batch in batches:
+                out = []
+                for i, j, to, data, c, m, a in zip(batch["bi"], batch["bj"], batch["to"], batch["data"], batch["c"], batch["n"], batch["a"]):
+                    w = np.zeros((block, block))
+                    w[np.asarray(c), np.asarray(m)] = a
+                    b = matrix(data, block)
+                    out.append((to, j, (w @ b).tobytes()) if by_row else (i, to, (b @ w.T).tobytes()))
+                yield pd.DataFrame(out, columns=["bi", "bj", "data"])
+
+        def added(key, group):
+            total = sum(matrix(x, block) for x in group["data"])
+            if by_row and key[0] == key[1]:
+                total = total.copy()
+                np.fill_diagonal(total, 0.0)
+            return pd.DataFrame({"bi": [key[0]], "bj": [key[1]], "data": [np.ascontiguousarray(total).tobytes()]})
+
+        return met.select("bi", "bj", "to", "data", "c", "n", "a").mapInPandas(part, BLOCKS).groupBy("bi", "bj").applyInPandas(added, BLOCKS)
+
+    columns = stored(combined(model.blocks.join(weights.withColumnRenamed("from", "bj"), "bj"), False))
+    wide = model.blocks.unionByName(columns)
+    rows = stored(combined(wide.join(weights.withColumnRenamed("from", "bi"), "bi"), True))
+    return ItemModel(wide.unionByName(rows), model.index.select("item_id", "pos").unionByName(new), block, (*model.spans, (start, start + new.count())))
+
+
+
+
 def scores(fold_in: DataFrame, edges: DataFrame) -> DataFrame:
     """(user_id, item_id, score): sums of the rows of the liked items."""
     linked = fold_in.select("user_id", F.col("item_id").alias("i")).join(edges, "i")
@@ -186,6 +464,16 @@ def neighbours(sim: DataFrame, cold: DataFrame, covered: DataFrame, k: int, powe
     return raw.withColumn("t", total).where("t > 0").select(F.col("i").alias("c"), F.col("j").alias("n"), (F.col("a") / F.col("t")).alias("a"))
 
 
+def cold_neighbours(features: DataFrame, cold: DataFrame, covered: DataFrame, k: int = 25, power: float = 4.0) -> DataFrame:
+    """``neighbours`` by the items' features, found without a frame of all similar pairs."""
+    from . import matches
+
+    own = lambda d: features.join(d.select("item_id"), "item_id", "left_semi")
+    asked = own(cold).withColumnRenamed("item_id", "user_id")
+    near = matches.best_matches(asked, cold.select(F.col("item_id").alias("user_id"), F.lit(k).alias("need")), own(covered))
+    return neighbours(near.select(F.col("user_id").alias("i"), F.col("item_id").alias("j"), F.col("product").alias("w")), cold, covered, k, power)
+
+
 def impute_cold(edges: DataFrame, sim: DataFrame, items: DataFrame, covered: DataFrame, k: int = 25, power: float = 4.0) -> DataFrame:
     """Edges with columns, then rows, of cold items as weighted means of their neighbours'; warm edges stay as they are.
 

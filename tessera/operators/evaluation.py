@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.tables import stored
 from .interactions import top_k
 
 
@@ -140,6 +141,19 @@ def tune(scores: dict[float, DataFrame], blend: Callable[[DataFrame, Column, Col
     return rows.withColumn("best", F.row_number().over(best) == 1)
 
 
+def tune_model(fit: Callable[[float], object], lists: Callable[[object, list[tuple[float, float]], int], DataFrame], held: DataFrame, l2s: list[float], alphas: list[float], betas: list[float], n_items: int, k: int = 10) -> DataFrame:
+    """``tune`` of a model whose lists are too long to be kept whole: ``fit`` makes it for an l2 from counts that all share, ``lists`` gives
+    (cell, user_id, item_id, score), free items that hold each user's best ``k``, of all (alpha, beta) at once."""
+    cells = [(float(a), float(b)) for a in alphas for b in betas]
+    grid = held.sparkSession.createDataFrame([(i, *c) for i, c in enumerate(cells)], "cell int, alpha double, beta double")
+    order, found = Window.partitionBy("cell", "user_id").orderBy(F.desc("score"), "item_id"), []
+    for place, l2 in enumerate(l2s):
+        ranked = lists(fit(l2), cells, k).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("cell", "user_id", "item_id", "rank")
+        found.append(stored(grid_metrics(ranked, held, grid, n_items, k).withColumns({"ordinal": F.col("cell") + place * len(cells), "l2": F.lit(float(l2))})))
+    rows = union(found).select("ordinal", "l2", "alpha", "beta", "recall", "ndcg", "coverage")
+    return rows.withColumn("best", F.row_number().over(Window.orderBy(F.desc(F.round("ndcg", 12)), "ordinal")) == 1)  # the grid alone
+
+
 def grid_metrics(ranked: DataFrame, held: DataFrame, grid: DataFrame, n_items: int, k: int) -> DataFrame:
     """``metrics`` of each cell of a grid; lists are (cell, user_id, item_id, rank)."""
     wanted = held.groupBy("user_id").agg(F.least(F.count("*"), F.lit(k)).cast("int").alias("m"))

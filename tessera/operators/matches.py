@@ -205,3 +205,56 @@ def pair_products(pairs: DataFrame, asked: DataFrame, features: DataFrame, by: s
     mine = asked.select(by, "block", "term", F.col("w").alias("wq"))
     met = pairs.select(by, item).join(features.select(item, "block", "term", "w"), item).join(mine, [by, "block", "term"]).groupBy(by, item).agg(F.sum(F.col("w") * F.col("wq")).alias("product"))
     return pairs.select(by, item).join(met, [by, item], "left").fillna(0.0, ["product"])
+
+
+def item_links(pairs: DataFrame, features: DataFrame, item: str = "item_id") -> DataFrame:
+    """(i, j, w) of the given pairs of items: the product of their features, worked out once for each pair of patterns; 0 where they share no term."""
+    _, _, placed = pattern_table(features, None, 1, item)
+    one = stored(placed.groupBy("pos").agg(F.min(item).alias(item)).join(features, item).select("pos", "block", "term", "w"))
+    side = lambda c: placed.select(F.col(item).alias(c), F.col("pos").alias(f"p{c}"))
+    met = stored(pairs.select("i", "j").distinct().join(side("i"), "i", "left").join(side("j"), "j", "left"))
+    kinds = met.select("pi", "pj").where("pi is not null and pj is not null").distinct()
+    left, right = (one.select(F.col("pos").alias(p), "block", "term", F.col("w").alias(w)) for p, w in (("pi", "wi"), ("pj", "wj")))
+    products_of = kinds.join(left, "pi").join(right, ["pj", "block", "term"]).groupBy("pi", "pj").agg(F.sum(F.col("wi") * F.col("wj")).alias("w"))
+    return met.join(products_of, ["pi", "pj"], "left").select("i", "j", F.coalesce("w", F.lit(0.0)).alias("w"))
+
+
+def places_before(asked: DataFrame, features: DataFrame, liked: DataFrame, pairs: DataFrame, by: str = "user_id", item: str = "item_id", chunk: int = 2048) -> DataFrame:
+    """(by, item, rank): how many items that an asker hasn't liked, and shares a term with, come before each of the given (by, item, score), by rounded product, ties by the item.
+
+    Blocks of items meet chunks of askers, and count against all scores of an asker at once; no frame of askers times items is made.
+    """
+    index = stored(with_item_ids(features.select(item).distinct(), [item], "pos"))
+    sized = lambda d, n: max(1, -(-d.count() // n))
+    at = lambda d, *more: d.join(index, item).groupBy(by).agg(*more)
+    own = at(liked.select(by, item), F.collect_set("pos").alias("own"))
+    limits = at(pairs.select(by, item, "score"), F.collect_list(F.struct(F.round("score", DIGITS).alias("s"), F.col("pos").alias("p"))).alias("x"))
+    mine = stored(shapes(asked, by).join(limits, by).join(own, by, "left").select(by, "terms", "weights", "own", F.col("x.s").alias("limit"), F.col("x.p").alias("at")))
+    chunks, blocks = sized(mine, chunk), sized(index, BLOCK)
+    left = mine.withColumn("c", F.expr(f"pmod(xxhash64({by}), {chunks})").cast("int")).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    right = shapes(features, item).join(index, item).select("pos", "terms", "weights", F.floor(F.col("pos") / BLOCK).cast("int").alias("b")).withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
+    kind = asked.schema[by].dataType.simpleString()
+
+    def sparse(rows):
+        number: dict[str, int] = {}
+        flat = [(r, number.setdefault(t, len(number)), w) for r, (ts, ws) in enumerate(zip(rows["terms"], rows["weights"])) for t, w in zip(ts, ws)]
+        r, t, w = (np.array(x) for x in zip(*flat)) if flat else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        return {"pos": np.arange(len(rows)), "row": r, "index": t, "weights": w, "terms": list(number)}
+
+    def count(_, some, items):
+        out = []
+        if len(some) and len(items):
+            items = items.sort_values("pos")
+            place, theirs = items["pos"].to_numpy(), sparse(items)
+            for first in range(0, len(some), 256):
+                few = some.iloc[first : first + 256]
+                total, shared = products(sparse(few), theirs, np.arange(len(few)))
+                total = np.round(total, DIGITS)
+                for i, (who, own, limit, at) in enumerate(zip(few[by], few["own"], few["limit"], few["at"])):
+                    free = shared[i] & ~np.isin(place, np.asarray(own if own is not None else []))
+                    s, p = total[i][free], place[free]
+                    out.append(pd.DataFrame({by: [who] * len(at), "pos": at, "rank": [int(((s > x) | ((s == x) & (p < y))).sum()) for x, y in zip(limit, at)]}))
+        return pd.concat(out) if out else pd.DataFrame({by: some[by][:0], "pos": [], "rank": []})
+
+    done = left.groupBy("b", "c").cogroup(right.groupBy("b", "c")).applyInPandas(count, f"{by} {kind}, pos long, rank long")
+    return done.groupBy(by, "pos").agg(F.sum("rank").alias("rank")).join(index, "pos").select(by, item, "rank")

@@ -219,27 +219,54 @@ def fit_rows(spark, sf_dir):
 @query(f"with l as materialized ({LIKES}) select a.item_id as k, b.item_id as j, count(*)::double as w from l a join l b on a.user_id = b.user_id where a.item_id <> b.item_id group by 1, 2")
 def ease_normal_equations(spark, sf_dir):
     """The closed form over all parts, held to its normal equations: (X'X + l2 I) B is X'X beside the diagonal, zeros included."""
-    mine, l2, block = tables.stored(likes(spark, sf_dir)), 20.0, 512
-    blocks, index = collaborative.ease_blocks(mine, table(spark, sf_dir, "part").select(F.col("p_partkey").alias("item_id")), l2, block)
-    return collaborative.normal_equations(mine, blocks, index, l2, block).where("abs(w) > 0.000001").select("k", "j", F.round("w", 6).alias("w"))
+    counts = collaborative.Counts.of(tables.stored(likes(spark, sf_dir)), part_ids(spark, sf_dir))
+    return collaborative.normal_equations(counts, counts.fit(20.0), 20.0).where("abs(w) > 0.000001").select("k", "j", F.round("w", 6).alias("w"))
+
+
+def part_ids(spark, sf_dir) -> DataFrame:
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("item_id"))
 
 
 @query()
 def ease_topk(spark, sf_dir):
     """The hybrid of the closed form, similarity and quality over all parts."""
     train, fold, _ = sets(spark, likes(spark, sf_dir))
-    blocks, index = collaborative.ease_blocks(train, table(spark, sf_dir, "part").select(F.col("p_partkey").alias("item_id")), 200.0)
-    cf = collaborative.block_scores(fold, blocks, index).select("user_id", "item_id", "score")
-    sim = content.profile_scores(fold, part_features(spark, sf_dir), content.KEYS)
-    scored = hybrid.hybrid_scores(sim, cf, fold, item_quality(spark, sf_dir), 0.9, 0.0).withColumn("score", F.round("score", 9))
-    return r6(hybrid.recommend(scored, fold, 10).select("user_id", "item_id", "score", "rank"), "score")
+    model = collaborative.ease_model(train, part_ids(spark, sf_dir), 200.0)
+    lists = collaborative.blended_lists(fold, model, tables.stored(part_features(spark, sf_dir)), item_quality(spark, sf_dir), [(0.9, 0.0)], 10)
+    return r6(interactions.top_k(lists, 10).select("user_id", "item_id", "score", "rank"), "score")
+
+
+@query()
+def tune_items(spark, sf_dir):
+    """The grid search over all parts on validation users: counts are made once for every l2, and each l2 serves all of alpha and beta in one pass."""
+    train, fold, held = sets(spark, likes(spark, sf_dir), "val")
+    counts = collaborative.Counts.of(train, part_ids(spark, sf_dir))
+    features, quality = tables.stored(part_features(spark, sf_dir)), tables.stored(item_quality(spark, sf_dir))
+    lists = lambda model, cells, k: collaborative.blended_lists(fold, model, features, quality, cells, k)
+    return r6(evaluation.tune_model(counts.fit, lists, held, [50.0, 200.0], [0.5, 0.9, 1.0], [0.0, 0.1], counts.n), "recall", "ndcg", "coverage")
+
+
+def cold_model(spark, sf_dir, mine: DataFrame, cold: DataFrame) -> collaborative.ItemModel:
+    """The closed form of the other parts, with the cold ones filled in from the 25 most similar of them."""
+    warm = part_ids(spark, sf_dir).join(cold, "item_id", "left_anti")
+    model = collaborative.ease_model(mine.join(cold, "item_id", "left_anti"), warm, 200.0)
+    return collaborative.impute_blocks(model, collaborative.cold_neighbours(tables.stored(part_features(spark, sf_dir)), cold, warm))
+
+
+@query()
+def impute_items(spark, sf_dir):
+    """The best items of users by a model of all parts, a tenth of which has no likes and is filled in."""
+    train, fold, _ = sets(spark, likes(spark, sf_dir))
+    cold = tables.stored(evaluation.pick_cold(train, table(spark, sf_dir, "part").count(), 0.1, 3))
+    model = cold_model(spark, sf_dir, train, cold)
+    lists = collaborative.block_scores(fold, model, top=10).join(cold.withColumn("cold", F.lit(True)), "item_id", "left").fillna(False, ["cold"])
+    return r6(interactions.top_k(lists.withColumn("score", F.round("score", 9)), 10).select("user_id", "item_id", "score", "rank", "cold"), "score")
 
 
 def item_rank_rows(spark, sf_dir, part: str = "test") -> tuple[DataFrame, DataFrame]:
     """Features of the users of one part over all parts, and their hidden likes."""
     train, fold, held = sets(spark, likes(spark, sf_dir), part)
-    blocks, index = collaborative.ease_blocks(train, table(spark, sf_dir, "part").select(F.col("p_partkey").alias("item_id")), 200.0)
-    cf = tables.stored(collaborative.block_scores(fold, blocks, index))
+    cf = collaborative.ease_model(train, part_ids(spark, sf_dir), 200.0)
     counts = train.groupBy("item_id").agg(F.count("*").cast("double").alias("n"))
     stats = interactions.item_stats(ratings(spark, sf_dir), train.select("user_id"), catalog(spark, sf_dir))
     items = catalog(spark, sf_dir).join(counts, "item_id", "left").fillna(0.0, ["n"]).join(stats, "item_id", "left")
@@ -294,7 +321,7 @@ HYBRID = f"""bl as materialized ({BRAND_LIKES}), fold as materialized (select *
 
 def brand_lists(spark, sf_dir, k: int) -> DataFrame:
     mine = tables.stored(brand_likes(spark, sf_dir))
-    cf = collaborative.scores(mine, tables.stored(collaborative.ease(mine, brands(spark, sf_dir), 200.0, 32)))
+    cf = collaborative.scores(mine, tables.stored(collaborative.ease(mine, brands(spark, sf_dir), 200.0)))
     sim = content.profile_scores(mine, brand_features(spark, sf_dir), content.KEYS)
     scored = hybrid.hybrid_scores(sim, cf, mine, brand_quality(spark, sf_dir), 0.9, 0.1).withColumn("score", F.round("score", 9))
     return hybrid.recommend(scored, mine, k)
@@ -323,7 +350,7 @@ def imputed_edges(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
     mine, items = tables.stored(brand_likes(spark, sf_dir)), brands(spark, sf_dir)
     cold = tables.stored(evaluation.pick_cold(mine, items.count(), 0.1))
     warm = items.join(cold, "item_id", "left_anti")
-    edges = tables.stored(collaborative.ease(mine.join(cold, "item_id", "left_anti"), warm, 200.0, 32))
+    edges = tables.stored(collaborative.ease(mine.join(cold, "item_id", "left_anti"), warm, 200.0))
     sim = content.similarity(brand_features(spark, sf_dir), content.KEYS)
     return collaborative.impute_cold(edges, sim, items, warm, 5), collaborative.neighbours(sim, cold, warm, 5, 4.0), warm
 
@@ -362,7 +389,7 @@ def tune_sql() -> str:
 def tune_grid(spark, sf_dir):
     train, fold, held = sets(spark, brand_likes(spark, sf_dir), "val")
     sim, quality = tables.stored(content.profile_scores(fold, brand_features(spark, sf_dir), content.KEYS)), tables.stored(brand_quality(spark, sf_dir))
-    scores = {l2: tables.stored(hybrid.parts(sim, collaborative.scores(fold, tables.stored(collaborative.ease(train, brands(spark, sf_dir), l2, 32))), fold, quality)) for l2 in (100.0, 500.0)}
+    scores = {l2: tables.stored(hybrid.parts(sim, collaborative.scores(fold, tables.stored(collaborative.ease(train, brands(spark, sf_dir), l2))), fold, quality)) for l2 in (100.0, 500.0)}
     blend = lambda rows, a, b: rows.select("cell", "user_id", "item_id", F.round(hybrid.blend(F.col("sim"), F.col("cf"), F.col("quality"), a, b), 9).alias("score"))
     return r6(evaluation.tune(scores, blend, fold, held, [0.0, 0.5, 1.0], [0.0, 0.1], 25, 5), "recall", "ndcg", "coverage")
 
@@ -404,7 +431,7 @@ def brand_rank_features(spark, sf_dir):
     counts = train.groupBy("item_id").agg(F.count("*").cast("double").alias("n"))
     about = p.groupBy("item_id").agg((F.avg("p_retailprice") / 200).alias("rating"), F.log1p(F.count("*")).alias("log_votes"), F.max("p_size").cast("double").alias("metascore"), F.min(1950 + F.col("p_size")).alias("year"))
     items = about.join(counts, "item_id", "left").fillna(0.0, ["n"]).join(stats, "item_id", "left").withColumns({"log_pop": F.log1p("n"), "covered": F.col("n") > 0})
-    cf = collaborative.edge_scores(fold, tables.stored(collaborative.ease(train, brands(spark, sf_dir), 200.0, 32)))
+    cf = collaborative.edge_scores(fold, tables.stored(collaborative.ease(train, brands(spark, sf_dir), 200.0)))
     rows = ranking.candidates_and_features(fold, tables.stored(items), tables.stored(cf), cooc_model(train), brand_features(spark, sf_dir), 6, 3)
     return r6(ranking.labelled(rows, held), *ranking.FEATURES)
 

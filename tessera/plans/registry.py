@@ -325,7 +325,7 @@ def brand_items(spark, sf_dir) -> DataFrame:
 
 
 def brand_edges(spark, sf_dir) -> DataFrame:
-    return tables.stored(collaborative.ease(tables.stored(brand_likes(spark, sf_dir)), brand_items(spark, sf_dir), 200.0, 32))
+    return tables.stored(collaborative.ease(tables.stored(brand_likes(spark, sf_dir)), brand_items(spark, sf_dir), 200.0))
 
 
 @query(f"with recursive {EASE} select i, j, round(w, 6) as w from ease")

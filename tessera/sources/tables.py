@@ -57,7 +57,16 @@ def stored(df: DataFrame) -> DataFrame:
     """``df`` written to the shared folder and read back, so that what is used several times is worked out once."""
     path = scratch(df.sparkSession)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    back = df.sparkSession.read.schema(df.schema).parquet(path)
+    back.stored_at = path
+    return back
+
+
+def dropped(df: DataFrame) -> None:
+    """Delete the files of a table that ``stored`` gave; nothing may read it any more."""
+    context = df.sparkSession.sparkContext
+    path = context._jvm.org.apache.hadoop.fs.Path(df.stored_at)
+    path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def data_path(name: str, default: str) -> str:

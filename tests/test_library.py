@@ -194,8 +194,8 @@ def test_ease_in_several_blocks(spark):
     p = np.linalg.inv(x.T @ x + 3 * np.eye(11))
     want = -p / np.diag(p)[None, :]
     np.fill_diagonal(want, 0)
-    blocks, index = collaborative.ease_blocks(likes, items, 3.0, 4)
-    got = {(r.user_id, r.item_id): (r.score, r.link) for r in collaborative.block_scores(likes, blocks, index, 4, 10).collect()}
+    model = collaborative.ease_model(likes, items, 3.0, 4)
+    got = {(r.user_id, r.item_id): (r.score, r.link) for r in collaborative.block_scores(likes, model, users=10).collect()}
     own = x @ want
     assert all(abs(got[u, i][0] - own[u, i]) < 1e-9 and abs(got[u, i][1] - want[x[u] > 0][:, i].max()) < 1e-9 for u in range(30) if x[u].any() for i in range(11))
 
