@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as fx
-from ..operators import collaborative, content, evaluation, hybrid, interactions, matches, ranking
+from ..operators import collaborative, content, evaluation, hybrid, interactions, matches, ranking, served
 from ..sources import tables
 from .base import query, r6
 from .domain import BRAND_LIKES, CATALOG, LIKES, RATINGS, brand_likes, catalog, likes, ratings, table
@@ -268,13 +268,19 @@ def item_rank_rows(spark, sf_dir, part: str = "test") -> tuple[DataFrame, DataFr
     train, fold, held = sets(spark, likes(spark, sf_dir), part)
     cf = collaborative.ease_model(train, part_ids(spark, sf_dir), 200.0)
     counts = train.groupBy("item_id").agg(F.count("*").cast("double").alias("n"))
+    return ranking.candidates_and_features(fold, rank_items(spark, sf_dir, train, counts), cf, cooc_model(train), rank_text_features(spark, sf_dir)), held
+
+
+def rank_items(spark, sf_dir, train: DataFrame, counts: DataFrame) -> DataFrame:
     stats = interactions.item_stats(ratings(spark, sf_dir), train.select("user_id"), catalog(spark, sf_dir))
     items = catalog(spark, sf_dir).join(counts, "item_id", "left").fillna(0.0, ["n"]).join(stats, "item_id", "left")
-    items = items.select("item_id", F.log1p("n").alias("log_pop"), (F.col("n") > 0).alias("covered"), "rating", F.log1p("votes").alias("log_votes"), F.lit(None).cast("double").alias("metascore"), "year", "ml_rating", "like_rate")
+    return tables.stored(items.select("item_id", "n", "votes", F.log1p("n").alias("log_pop"), (F.col("n") > 0).alias("covered"), "rating", F.log1p("votes").alias("log_votes"), F.lit(None).cast("double").alias("metascore"), "year", "ml_rating", "like_rate"))
+
+
+def rank_text_features(spark, sf_dir) -> DataFrame:
     named = content.tfidf(catalog(spark, sf_dir), "title").withColumn("block", F.lit("text"))
     blocks_of = [named, content.token_block(catalog(spark, sf_dir), fx.genre_tokens(F.col("genres")), "genre"), content.token_block(catalog(spark, sf_dir), fx.name_tokens(F.col("director")), "director")]
-    features = tables.stored(content.feature_table(blocks_of, content.ContentWeights()))
-    return ranking.candidates_and_features(fold, tables.stored(items), cf, cooc_model(train), features), held
+    return tables.stored(content.feature_table(blocks_of, content.ContentWeights()))
 
 
 @query()
@@ -290,6 +296,31 @@ def ltr_scores(spark, sf_dir):
     return r6(interactions.top_k(model.scores(item_rank_rows(spark, sf_dir)[0]), 10), "score")
 
 
+@query()
+def training_run(spark, sf_dir):
+    """Metrics of a quick training run over all parts, on all of them and on a tenth held to be new."""
+    from . import train
+
+    items = catalog(spark, sf_dir).withColumn("metascore", F.lit(None).cast("double"))
+    o = train.Options(quick=True, l2s=(50.0, 200.0), n_collab=30, n_content=10, min_cold=5)
+    rows = train.run(likes(spark, sf_dir), ratings(spark, sf_dir), items, part_features(spark, sf_dir), tables.scratch(spark), o, log=lambda _: None)
+    return r6(rows, "recall", "ndcg", "coverage")
+
+
+@query()
+def served_model(spark, sf_dir):
+    """Lists of likes answered by a model that was saved, with trees fitted on validation users, and loaded again."""
+    train, fold, held = sets(spark, likes(spark, sf_dir), "val")
+    rows, _ = item_rank_rows(spark, sf_dir, "val")
+    trees = ranking.Reranker.fit(ranking.labelled(rows, held), ranking.RankerParams(rounds=20, leaves=8))
+    counts = train.groupBy("item_id").agg(F.count("*").cast("double").alias("n"))
+    model = served.TrainedModel(collaborative.ease_model(train, part_ids(spark, sf_dir), 200.0), cooc_model(train), rank_items(spark, sf_dir, train, counts), {"l2": 200.0, "alpha": 0.9, "beta": 0.1, "n_collab": 100, "n_content": 20}, trees.nodes(spark))
+    folder = tables.scratch(spark)
+    model.save(folder)
+    back = served.TrainedModel.load(spark, folder)
+    return r6(back.recommend_for(liked_lists(spark, sf_dir), rank_text_features(spark, sf_dir), item_quality(spark, sf_dir), 5), "score")
+
+
 # ---- brands
 
 BRANDS = "select distinct p_brand as item_id from part"
