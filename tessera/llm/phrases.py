@@ -3,7 +3,7 @@
 1. Each task takes its texts apart, a bounded number of words at a time (a shard: its words in order, and its texts as their numbers).
 2. For each length, from one word up, a shard's n-grams are counted, sorted, and built into count transducers: acyclic
    automata whose transitions bear a word and a count, the count being that of the phrase that the path spells. States with the same
-   transitions are one. Phrases are dealt to ranges by their first two words, and each range gets a transducer of its own.
+   transitions are one. Phrases are dealt to ranges by their first word, and each range gets a transducer of its own.
 3. A range's transducers are unfolded in order, their union is formed and weights are summed. Ranges with too many entries, as of a
    prefix that very many words follow, are dealt on by the whole phrase first. A phrase is as rare as its parts: the frequent phrases of a length set
    bits of a filter of fixed size, and of the next length shards count only those whose parts are in it; a false hit only counts in vain.
@@ -325,7 +325,7 @@ def shard_counts(lang: str, known: int, words: bytes, ids: bytes, n: int, most:
         paths, count = summed(np.stack(at, axis=1), np.ones(len(at[0]), dtype=np.int64))
     paths = np.pad(np.concatenate([np.full((len(paths), 1), len(listed)), paths], axis=1), ((0, 0), (0, most - n)), constant_values=-1)
     listed, hashes = [*listed, language(lang)], np.append(hashes[:-1], symbol)
-    where = range_of(marks(paths, hashes, 2), ranges)
+    where = range_of(marks(paths, hashes, 1), ranges)
     order = where.argsort(kind="stable")
     bounds = np.searchsorted(where[order], np.arange(ranges + 1))
     return [(int(r), int(bounds[r + 1] - bounds[r]), transducer(listed, paths[own], count[own], True).packed()) for r in np.flatnonzero(np.diff(bounds)) for own in [order[bounds[r] : bounds[r + 1]]]]
@@ -427,7 +427,7 @@ def frequent(pieces: DataFrame, ranges: list[tuple[int, int]], least: int, n: in
                 parts, loads = parts[order], loads[order]
                 new = np.concatenate([[True], (parts[1:] != parts[:-1]).any(axis=1)])
                 parts, loads = parts[new], loads[new]
-                size, mark, where = (parts[:, 1:] >= 0).sum(axis=1), marks(parts, hashes, 2), np.zeros(len(parts), dtype=np.int64)
+                size, mark, where = (parts[:, 1:] >= 0).sum(axis=1), marks(parts, hashes, 1), np.zeros(len(parts), dtype=np.int64)
                 for m, (first, count) in enumerate(ranges[: n - 1], 1):
                     where[size == m] = first + range_of(mark[size == m], count)
                 rows += [("ask", *key, int(r), transducer(words, parts[where == r], loads[where == r], True).packed()) for r in np.unique(where)]
