@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from .shared import batches_of, dropped, mix64, written
 
 #: Bytes of text that are taken apart at a time; words of a shard; most entries of a range.
-STEP, SHARD, RANGE = 1 << 20, 1_000_000, 1_500_000
+STEP, SHARD, RANGE = 1 << 20, 1_000_000, 1_200_000
 #: Bits of the filter of frequent phrases (8 MB), as a power of two, and the slices in which it is put together.
 FILTER, SLICES = 26, 64
 #: 255 is no byte of any text in UTF-8: it stands for the end of a piece.
@@ -83,7 +83,7 @@ class Transducer:
     def unfolded(self) -> tuple[np.ndarray, np.ndarray]:
         """(paths, weights) of all phrases with a count; those of one length are in order."""
         paths, weights = [], []
-        states, prefix = np.zeros(1, dtype=np.int64), np.zeros((1, 0), dtype=np.int64)
+        states, prefix = np.zeros(1, dtype=np.int64), np.zeros((1, 0), dtype=np.int32)
         for d, (label, weight, target, start) in enumerate(self.levels):
             source, at = spread(start[states], start[states + 1] - start[states])
             prefix = np.concatenate([prefix[source], label[at][:, None]], axis=1)
@@ -135,7 +135,8 @@ class Transducer:
         at, arrays = at + letters, []
         for i in range(4 * depth):
             width, count = struct.unpack_from("<BI", data, 14 + 5 * i)
-            arrays.append(np.frombuffer(data, f"<u{width}", count, at).astype(np.int64))
+            # numbers of words and states fit 32 bits, counts may not
+            arrays.append(np.frombuffer(data, f"<u{width}", count, at).astype(np.int64 if i % 4 in (1, 3) else np.int32))
             at += width * count
         return cls(listed, [(x, w, t, np.concatenate([[0], n.cumsum()])) for x, w, t, n in zip(*[iter(arrays)] * 4)])
 
@@ -180,10 +181,11 @@ def runs(key: np.ndarray, weight: np.ndarray | None = None) -> tuple[np.ndarray,
 
 def summed(paths: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Different paths in order, with the sums of their weights: by the first two symbols, then by those two's number and the rest."""
-    key = (paths[:, 0] + 1) << 32 | (paths[:, 1] + 1)
+    wide = lambda d: paths[:, d].astype(np.int64) + 1
+    key = wide(0) << 32 | wide(1)
     for d in range(2, paths.shape[1]):
         different, key = np.unique(key, return_inverse=True)
-        key = key.astype(np.int64) << 32 | (paths[:, d] + 1)
+        key = key.astype(np.int64) << 32 | wide(d)
     order = key.argsort(kind="stable")
     key, paths = key[order], paths[order]
     new = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, dtype=np.int64)
@@ -374,7 +376,7 @@ def union(pieces: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
     paths, weights = [], []
     for t in parts:
         p, w = t.unfolded()
-        paths.append(np.append(np.fromiter(map(number.__getitem__, t.words), np.int64, len(t.words)), -1)[p])
+        paths.append(np.append(np.fromiter(map(number.__getitem__, t.words), np.int32, len(t.words)), np.int32(-1))[p])
         weights.append(w)
     return words, *summed(np.concatenate(paths), np.concatenate(weights))
 
@@ -385,9 +387,6 @@ def split_pieces(pieces: DataFrame) -> DataFrame:
         for batch in batches:
             rows = []
             for r, subs, data in zip(batch["range"], batch["subs"], batch["data"]):
-                if subs == 1:
-                    rows.append((r, 0, data))
-                    continue
                 t = Transducer.unpacked(data)
                 p, w = t.unfolded()
                 hashes = hash_words(t.words)
@@ -535,9 +534,11 @@ def collocations(docs: DataFrame, longest: int = 3, least: int = 10, cover: int
     for n in range(1, longest + 1):
         with batches_of(spark, 1):
             pieces = written(level_counts(cut, n, longest, ranges[n - 1], passed))
-        heavy = written(pieces.groupBy("range").agg(F.ceil(F.sum("n") / range_entries).cast("int").alias("subs")).where("subs > 1"))
+        loads = pieces.groupBy("range").agg(F.sum("n").alias("held")).where(F.col("held") > 2 * range_entries)
+        heavy = written(loads.select("range", F.ceil(F.col("held") / range_entries).cast("int").alias("subs")))
+        light = pieces.join(heavy, "range", "left_anti").select("range", F.lit(0).alias("sub"), "data")
         with batches_of(spark, 100):
-            level = written(frequent(split_pieces(pieces.join(heavy, "range", "left").fillna(1, ["subs"])), ranges, least, n, longest))
+            level = written(frequent(light.unionByName(split_pieces(pieces.join(heavy, "range"))), ranges, least, n, longest))
         dropped(pieces)
         found = level if found is None else found.unionByName(level)
         passed = filter_bits(level) if n < longest else None
