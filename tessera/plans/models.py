@@ -296,6 +296,23 @@ def ltr_scores(spark, sf_dir):
     return r6(interactions.top_k(model.scores(item_rank_rows(spark, sf_dir)[0]), 10), "score")
 
 
+@query("""with w as (select p_partkey as item_id, unnest(regexp_extract_all(lower(p_name), '[\\p{L}\\p{N}_]{2,}')) as term from part), tf as (select item_id, term, count(*) as tf from w where term not in ('red', 'small', 'of') group by 1, 2), df as (select term, count(*) as df from tf group by 1),
+    tx as (select item_id, term, tf * (ln((1 + (select count(*) from part)) / (1 + df)::double) + 1) as w from tf join df using (term)), g as (select p_partkey as item_id, unnest(regexp_extract_all(lower(p_type), '[^,|\\s]+')) as term from part), gc as (select item_id, term, count(*)::double as w from g group by 1, 2),
+    y as (select p_partkey as item_id, case when p_partkey % 13 <> 0 then 1950 + p_size end as year from part), ok as (select item_id from y where coalesce(year, (select median(year) from y)) > (select min(year) from y)),
+    e as (select vec_id as item_id, unnest(embedding)::double as w, generate_subscripts(embedding, 1) - 1 as p from embeddings where vec_id in (select p_partkey from part)),
+    u as (select item_id, 'text' as block, term, w / sqrt(sum(w * w) over (partition by item_id)) as w from tx union all select item_id, 'genre', term, 6 * w / sqrt(sum(w * w) over (partition by item_id)) from gc union all select p_partkey, 'director', lower(p_brand), 3.0::double from part
+        union all select item_id, 'year', 'year', 2.0 from ok union all select item_id, 'embedding', p::varchar, 12 * w / sqrt(sum(w * w) over (partition by item_id)) from e)
+    select item_id, block, term, round(w / sqrt(sum(w * w) over (partition by item_id)), 6) as w from u where w <> 0""")
+def content_blocks(spark, sf_dir):
+    """All blocks of the content model: text without stop words, genres, directors, years with unknown ones as the median, and embeddings."""
+    items = catalog(spark, sf_dir).withColumn("year", F.when(F.col("item_id") % 13 != 0, F.col("year")))
+    stop = spark.createDataFrame([("red",), ("small",), ("of",)], "term string")
+    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("item_id"), "embedding").join(items.select("item_id"), "item_id", "left_semi")
+    blocks = [content.tfidf(items, "title", stop).withColumn("block", F.lit("text")), content.token_block(items, fx.genre_tokens(F.col("genres")), "genre"), content.token_block(items, fx.name_tokens(F.col("director")), "director"), content.year_block(items), content.vector_block(vectors)]
+    weights = content.ContentWeights({**content.ContentWeights().blocks, "embedding": 12.0})
+    return r6(content.feature_table(blocks, weights).select("item_id", "block", "term", "w"), "w")
+
+
 @query()
 def training_run(spark, sf_dir):
     """Metrics of a quick training run over all parts, on all of them and on a tenth held to be new."""

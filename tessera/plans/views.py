@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as fx
 from ..operators import interactions, library
-from ..sources import tables
+from ..sources import rest, tables
 from .base import query, r6
 from .domain import CATALOG, LIKES, RATINGS, catalog, likes, ratings, table
 
@@ -72,6 +72,28 @@ def resumed_sink(spark, sf_dir):
     return tables.resume(titles(p), path, "title", work)
 
 
+def stub_client(title: str) -> dict:
+    """A stand-in for a service: some titles fail at first, or have results without a poster, or none."""
+    n = sum(title.encode())
+    return {"results": [{"poster_path": None}, {"poster_path": f"/{title.replace(' ', '-')}.jpg"}] if n % 3 else [{}] if n % 2 else None}
+
+
+@query("""with t as (select distinct p_name as title, list_sum(list_transform(string_split(p_name, ''), lambda x: ord(x)))::bigint as n from part) select title, case when n % 3 <> 0 then 'img/' || replace(title, ' ', '-') || '.jpg' end as url from t""")
+def rest_posters(spark, sf_dir):
+    """Posters of the titles of parts, asked by the tasks of a data source."""
+    return rest.posters_of(table(spark, sf_dir, "part").select(F.col("p_name").alias("title")), "tessera.plans.views:stub_client", "img", pause=0.0)
+
+
+@query("select distinct p_name as title, length(p_name) as n_chars from part")
+def batched_sink(spark, sf_dir):
+    """Work on titles, committed in batches, some of it done before."""
+    p, path = table(spark, sf_dir, "part"), tables.scratch(spark)
+    work = lambda todo: todo.select("title", F.length("title").cast("long").alias("n_chars"))
+    titles = lambda rows: rows.select(F.col("p_name").alias("title")).distinct()
+    work(titles(p.where("p_brand = 'Brand#11'"))).write.parquet(path)
+    return rest.resume_in_batches(titles(p), path, "title", work, at_once=8)
+
+
 @query("with l as (select l_suppkey as i, l_partkey as j, count(*)::double as w from lineitem group by 1, 2) select i, j, w, (select count(*) from l) as n_edges from l")
 def model_round_trip(spark, sf_dir):
     edges = table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("i"), F.col("l_partkey").alias("j")).agg(F.count("*").cast("double").alias("w"))

@@ -262,19 +262,224 @@ def test_sources_without_their_files(spark, tmp_path):
     assert tables.served(lambda: tables.load_model(spark, str(tmp_path / "none")), lambda: "other") == "other"
 
 
-def test_training_run(spark, tmp_path):
-    from tessera.plans import models, train
+def brands_of(spark, folder):
+    from tessera.plans import models
     from tessera.plans.domain import brand_likes, ratings, table
 
-    folder = "/root/testdata/sf0.001"
     of_brands = table(spark, folder, "part").select(F.col("p_partkey").alias("item_id"), F.col("p_brand").alias("brand"))
     rated = ratings(spark, folder).join(of_brands, "item_id").select("user_id", F.col("brand").alias("item_id"), "rating")
     items = table(spark, folder, "part").groupBy(F.col("p_brand").alias("item_id")).agg(F.avg("p_retailprice").alias("rating"), F.count("*").cast("double").alias("votes"), F.lit(None).cast("double").alias("metascore"), F.min(1950 + F.col("p_size")).alias("year"))
-    said = []
-    got = train.train(brand_likes(spark, folder), rated, tables.stored(items), models.brand_features(spark, folder), str(tmp_path / "m"), k=5, quick=True, n_collab=6, n_content=3, log=said.append)
-    assert {r.model: 0 <= r.ndcg <= 1 and r.recall > 0 for r in got.collect()} == {"hybrid": True, "two stages": True} and said[-1] == "saved"
-    held, meta = tables.load_model(spark, str(tmp_path / "m"))
-    assert held["edges"].count() > 0 and meta["k"] == 5 and set(meta["importance"]) <= set(__import__("tessera.operators.ranking", fromlist=["x"]).FEATURES)
+    return brand_likes(spark, folder), rated, tables.stored(items), models.brand_features(spark, folder)
+
+
+def test_training_run_and_served_model(spark, tmp_path):
+    """A run measures all models; repeated, it reads what is committed; the saved model gives the same lists as the one in memory, and shows scores that never rise."""
+    from tessera.operators import ranking
+    from tessera.operators.served import TrainedModel
+    from tessera.plans import train
+
+    likes, rated, items, features = brands_of(spark, "/root/testdata/sf0.001")
+    said, o = [], train.Options(k=5, quick=True, l2s=(100.0, 200.0), n_collab=6, n_content=3, min_cold=1)
+    got = train.run(likes, rated, items, features, str(tmp_path), o, log=said.append)
+    table = {(r.test, r.model): r for r in got.collect()}
+    assert set(table) == {("all", m) for m in ("popularity", "content", "collaborative", "hybrid", "two stages")} | {("new", m) for m in ("votes", "content", "hybrid", "two stages")} and said[-1] == "saved"
+    assert all(0 <= r.ndcg <= 1 for r in table.values()) and table["all", "hybrid"].recall > 0
+    again = train.run(likes.limit(0), rated, items, features, str(tmp_path), o, log=lambda _: None)  # nothing is read but what is committed
+    assert {(r.test, r.model): r for r in again.collect()} == table
+    model = TrainedModel.load(spark, f"{tmp_path}/model")
+    assert model.metadata["feature_importance"] and set(model.metadata["test_metrics"]) == {m for t, m in table if t == "all"} and model.metadata["params"]["l2"] in (100.0, 200.0)
+    lists = likes.groupBy("user_id").agg(F.collect_list("item_id").alias("liked")).orderBy("user_id").limit(20).unionByName(spark.createDataFrame([(-1, [])], "user_id long, liked array<string>"))
+    quality = content.quality_prior(items).select("item_id", "quality")
+    told = lambda m: [(*r[:2], round(r[2], 9), r[3]) for r in rows(m.recommend_for(lists, features, quality, 8), "user_id", "rank")]
+    first = told(model)
+    step = train.Steps(spark, str(tmp_path))
+    view = train.View.of(step, "model", likes, rated, items, features, 0.0)
+    kept = TrainedModel(view.collab, view.cooc, view.items, model.params, step("nodes", None))
+    assert told(kept) == first and len([r for r in first if r[0] == -1]) == 8
+    for user in {r[0] for r in first}:
+        shown = [r[2] for r in sorted((r for r in first if r[0] == user), key=lambda r: r[3])]
+        assert shown == sorted(shown, reverse=True)
+    hybrid_only = TrainedModel(view.collab, view.cooc, view.items, model.params)
+    assert hybrid_only.name == "hybrid" and hybrid_only.recommend_for(lists, features, quality, 8).count() == len(first)
+
+
+def test_trees_as_a_column(spark):
+    from tessera.operators import ranking
+
+    data = spark.range(3000).select((F.col("id") / 30).cast("long").alias("user_id"), (F.col("id") % 30).alias("item_id"), *[F.when(F.col("id") % (7 + n) != 0, F.pmod(F.xxhash64("id", F.lit(n)), F.lit(50)) / 50.0).alias(f) for n, f in enumerate(ranking.FEATURES)])
+    data = data.withColumn("label", (F.coalesce("ease_raw", F.lit(0.0)) + F.coalesce("sim_max", F.lit(0.0)) > 1.2).cast("int"))
+    model = ranking.Reranker.fit(data, ranking.RankerParams(rounds=12, leaves=8, min_leaf=20), data.where("user_id > 80"))
+    told = {(r.user_id, r.item_id): r.score for r in model.scores(data).collect()}
+    spelled = data.select("user_id", "item_id", ranking.node_score(model.nodes(spark)).alias("score")).collect()
+    assert len(model.trees) > 1 and all(abs(r.score - told[r.user_id, r.item_id]) < 1e-12 for r in spelled)
+
+
+def test_evaluation_over_splits(spark, tmp_path):
+    import json
+
+    from tessera.plans import train
+
+    make = lambda seed: spark.createDataFrame([("all", "hybrid", 0.1 + seed, 0.2, None)], "test string, model string, recall double, ndcg double, coverage double")
+    out = train.evaluate_splits(make, 3, str(tmp_path / "e"))
+    assert out["mean"] == {"all/hybrid": {"recall": pytest.approx(1.1), "ndcg": pytest.approx(0.2)}} and out["std"]["all/hybrid"]["recall"] == pytest.approx((2 / 3) ** 0.5)
+    assert json.loads("\n".join(r[0] for r in spark.read.text(str(tmp_path / "e")).collect())) == out
+
+
+def test_inverse_by_symmetric_steps(spark):
+    """Five blocks a side, the last in part past the items, against NumPy; predecessors are deleted."""
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    x = (rng.random((60, 18)) < 0.25).astype(float)
+    likes = spark.createDataFrame([(int(u), int(i)) for u, i in zip(*np.nonzero(x))], "user_id long, item_id long")
+    counts = collaborative.Counts.of(likes, spark.range(18).select(F.col("id").alias("item_id")), 4)
+    assert counts.side == 5 and counts.blocks.count() == 15
+    for l2 in (2.0, 30.0):  # one Gram for both
+        p = np.linalg.inv(x.T @ x + l2 * np.eye(18))
+        want = -p / np.diag(p)[None, :]
+        np.fill_diagonal(want, 0)
+        got = np.zeros((18, 18))
+        for r in collaborative.edges_of(counts.fit(l2)).collect():
+            got[r.i, r.j] = r.w
+        assert np.abs(got - want).max() < 1e-12
+
+
+def test_imputed_blocks(spark):
+    """Blocks of warm items stay bit for bit; columns, then rows, of cold ones are as those of the edges."""
+    import numpy as np
+
+    rng = np.random.default_rng(6)
+    x = (rng.random((50, 11)) < 0.3).astype(float)
+    likes = spark.createDataFrame([(int(u), int(i)) for u, i in zip(*np.nonzero(x))], "user_id long, item_id long")
+    warm, items = spark.range(11).select(F.col("id").alias("item_id")), spark.range(14).select(F.col("id").alias("item_id"))
+    sim = spark.createDataFrame([(int(c), int(n), float(rng.random())) for c in (11, 12, 13) for n in rng.choice(11, 4, replace=False)], "i long, j long, w double")
+    model = collaborative.ease_model(likes, warm, 3.0, 4)
+    near = collaborative.neighbours(sim, items.where("item_id > 10"), warm, 3, 4.0)
+    wide = collaborative.impute_blocks(model, near)
+    before = {(r.bi, r.bj): bytes(r.data) for r in model.blocks.collect()}
+    after = {(r.bi, r.bj): bytes(r.data) for r in wide.blocks.collect()}
+    assert all(after[k] == v for k, v in before.items()) and wide.spans == ((0, 11), (12, 15))
+    want = {(r.i, r.j): r.w for r in collaborative.impute_cold(collaborative.edges_of(model), sim, items, warm, 3).collect()}
+    got = {(r.i, r.j): r.w for r in collaborative.edges_of(wide).collect()}
+    assert set(got) == {k for k, v in want.items() if v != 0} and all(abs(got[k] - want[k]) < 1e-12 for k in got)
+    # lists by column blocks: the best of all, those asked for, and ranks from counts
+    every = {}
+    for r in collaborative.block_scores(likes, wide).collect():
+        every.setdefault(r.user_id, []).append((-r.score, r.item_id))
+    own = {u: {int(i) for i in np.nonzero(x[u])[0]} for u in range(50)}
+    top = {}
+    for r in interactions.top_k(collaborative.block_scores(likes, wide, top=3), 3).collect():
+        top.setdefault(r.user_id, []).append((-r.score, r.item_id))
+    for u, found in top.items():
+        assert sorted(found) == sorted(e for e in every[u] if e[1] not in own[u])[:3]
+    asked = spark.createDataFrame([(u, 12, float(-dict((i, s) for s, i in every[u])[12])) for u in every if 12 not in own[u]], "user_id long, item_id long, score double")
+    for r in collaborative.block_ranks(likes, wide, asked).collect():
+        assert r["rank"] == sorted(e for e in every[r.user_id] if e[1] not in own[r.user_id]).index((dict((i, s) for s, i in every[r.user_id])[12], 12))
+
+
+def test_grid_search_equals_refitting(spark):
+    """Cells of (l2, alpha, beta) against a fit and a blend of their own; of equal ndcg the first wins."""
+    import random
+
+    from tessera.operators import matches
+
+    rng = random.Random(8)
+    likes = spark.createDataFrame([(u, i) for u in range(40) for i in rng.sample(range(20), 6)], "user_id long, item_id long")
+    items = spark.range(20).select(F.col("id").alias("item_id"))
+    features = content.unit_rows(spark.createDataFrame([(i, "genre", rng.choice("abcd"), 1.0) for i in range(20)] + [(i, "text", rng.choice("xyz"), 0.5) for i in range(20)], "item_id long, block string, term string, w double"), ["item_id"])
+    quality = items.withColumn("quality", F.col("item_id") / 20.0)
+    cut = tables.stored(evaluation.hide(likes.where("user_id < 15")))
+    fold, held, train = cut.where("not hidden").drop("hidden"), cut.where("hidden").drop("hidden"), likes.where("user_id >= 15")
+    counts = collaborative.Counts.of(train, items, 8)
+    lists = lambda model, cells, k: collaborative.blended_lists(fold, model, features, quality, cells, k)
+    got = rows(evaluation.tune_model(counts.fit, lists, held, [3.0, 50.0], [0.5, 1.0], [0.0, 0.2], 20, 5), "ordinal")
+    want = []
+    for l2 in (3.0, 50.0):
+        cf = collaborative.block_scores(fold, collaborative.ease_model(train, items, l2, 8)).select("user_id", "item_id", "score")
+        for alpha in (0.5, 1.0):
+            for beta in (0.0, 0.2):
+                scored = hybrid.hybrid_scores(content.profile_scores(fold, features), cf, fold, quality, alpha, beta).withColumn("score", F.round("score", 9))
+                want.append((l2, alpha, beta, *evaluation.evaluate(lambda _, s=scored: s, fold, held, 20, 5).first()))
+    assert [r[1:4] for r in got] == [w[:3] for w in want] and all(abs(a - b) < 1e-9 for r, w in zip(got, want) for a, b in zip(r[4:7], w[3:6]))
+    best = max(range(8), key=lambda n: (round(want[n][4], 12), -n))
+    assert [r[0] for r in got if r[7]] == [best]
+
+
+def test_matches_against_all_pairs(spark, monkeypatch):
+    """Many small blocks, equal items, ties, negative weights and bonuses against all products."""
+    import random
+
+    from tessera.operators import matches
+
+    monkeypatch.setattr(matches, "BLOCK", 8)
+    monkeypatch.setattr(matches, "TERMS", 4)
+    rng = random.Random(2)
+    for signed in (False, True):
+        weight = lambda: rng.choice([0.25, 0.5, 1.0]) * (rng.choice([1, 1, -1]) if signed else 1)
+        kinds = [{(b, t): weight() for b, t in {(rng.choice("ab"), f"t{rng.randrange(9)}") for _ in range(3)}} for _ in range(40)]
+        items, users = {i: rng.choice(kinds) for i in range(120)}, {u: {(b, t): weight() for b in "ab" for t in (f"t{rng.randrange(9)}", f"t{rng.randrange(9)}")} for u in range(25)}
+        frame = lambda d, c: spark.createDataFrame([(k, b, t, w) for k, f in d.items() for (b, t), w in f.items()], f"{c} long, block string, term string, w double")
+        bonus = {i: rng.choice([0.0, 0.1, 0.7]) for i in items}
+        needs = {u: rng.randrange(1, 9) for u in users}
+        features, asked = frame(items, "item_id"), frame(users, "user_id")
+        product = lambda x, y: sum(w * y[k] for k, w in x.items() if k in y)
+        for extra in (None, spark.createDataFrame(list(bonus.items()), "item_id long, bonus double")):
+            plus = bonus if extra is not None else dict.fromkeys(items, 0.0)
+            found = rows(matches.best_matches(asked, spark.createDataFrame(list(needs.items()), "user_id long, need long"), features, extra), "user_id", "rank")
+            want = [(u, i, s) for u, f in users.items() for s, i in sorted((-round(product(f, g) + plus[i], 9), i) for i, g in items.items() if set(f) & set(g))[: needs[u]]]
+            assert [(r[0], r[1], -r[3]) for r in found] == want
+        similar = rows(matches.similar_items(features, 4), "i", "rank")
+        want = [(i, j, -s) for i, f in items.items() for s, j in sorted((-round(product(f, g), 9), j) for j, g in items.items() if j != i and set(f) & set(g))[:4]]
+        assert [(r[0], r[1], r[2]) for r in similar] == want
+
+
+def answers_late(title):
+    """Fails twice for each title, then answers."""
+    calls = answers_late.__dict__.setdefault("calls", {})
+    calls[title] = calls.get(title, 0) + 1
+    if calls[title] <= (2 if title != "never" else 9):
+        raise TimeoutError(title)
+    return {"results": [{"poster_path": None}, {"poster_path": f"/{title}.jpg"}, {"poster_path": "/other.jpg"}] if title != "bare" else []}
+
+
+def test_rest_source_with_retries(spark, tmp_path, monkeypatch):
+    from tessera.sources import rest
+
+    waits = []
+    monkeypatch.setattr(rest.time, "sleep", waits.append)
+    assert rest.looked_up(answers_late, "own", "img", 2, 0.5) == "img/own.jpg" and waits == [0.5, 1.0] and rest.looked_up(answers_late, "never") is None
+    monkeypatch.undo()
+    (tmp_path / "late_client.py").write_text("calls = {}\ndef ask(title):\n    calls[title] = calls.get(title, 0) + 1\n    if calls[title] <= (2 if title != 'never' else 9):\n        raise TimeoutError(title)\n    return {'results': [{'poster_path': None}, {'poster_path': '/' + title}] if title != 'bare' else None}\n")
+    spark.sparkContext.addPyFile(str(tmp_path / "late_client.py"))
+    titles = spark.createDataFrame([("heat",), ("up",), ("heat",), ("bare",), ("never",), (None,)], "title string")
+    assert rows(rest.posters_of(titles, "late_client:ask", "http://img", pause=0.01), "title") == [("bare", None), ("heat", "http://img/heat"), ("never", None), ("up", "http://img/up")]
+    assert rest.posters_of(titles.limit(0), "late_client:ask").collect() == []
+
+
+def test_batches_survive_a_killed_run(spark, tmp_path):
+    """Work that fails in the middle leaves what was committed, and the next run does only the rest."""
+    from tessera.sources import rest
+
+    path, done = str(tmp_path / "out"), []
+    todo = spark.range(0, 60, numPartitions=1).select(F.col("id").cast("string").alias("k"))
+
+    def work(rows, fail=True):
+        def run(batches):
+            for b in batches:
+                if fail and "33" in b["k"].tolist():
+                    raise RuntimeError("killed")
+                yield b
+
+        done.append(rows.count())
+        return rows.mapInPandas(run, "k string")
+
+    with pytest.raises(Exception):
+        rest.resume_in_batches(todo, path, "k", work, 5)
+    first = spark.read.parquet(path).count()
+    assert 0 < first < 60 and first % 5 == 0
+    done.clear()
+    got = rest.resume_in_batches(todo, path, "k", lambda r: work(r, False), 5)
+    assert sorted(r.k for r in got.collect()) == sorted(map(str, range(60))) and sum(done) == 60 - first
 
 
 def test_paths_reports_and_counts(monkeypatch):
