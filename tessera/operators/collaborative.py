@@ -2,21 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from math import ceil
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..sources.tables import dropped, stored, with_item_ids
+from ..sources.tables import batches_of, dropped, stored, with_item_ids
 
 BLOCKS = "bi int, bj int, data binary"
 #: Blocks of a side at most, so that elimination, which writes half a matrix for each, writes four at most; greatest side of a block, 134 MB.
 SIDE, MOST = 8, 4096
-#: Bytes of a pivot's column up to which it is broadcast; a larger one is joined by a shuffle.
-PANEL = 256 << 20
 
 
 def matrix(data: bytes, rows: int) -> np.ndarray:
@@ -68,60 +67,64 @@ def shifted(counts: DataFrame, l2: float, n: int, block: int) -> DataFrame:
     return counts.mapInPandas(add, BLOCKS)
 
 
+def small_enough(spark: SparkSession, size: int) -> Callable[[DataFrame], DataFrame]:
+    """A hint to broadcast tables of so many bytes in all if they take an eighth of the driver's memory at most; larger ones are joined by a shuffle."""
+    most = spark.sparkContext._jvm.java.lang.Runtime.getRuntime().maxMemory() // 8
+    return F.broadcast if size <= most else lambda d: d
+
+
 def inverse(blocks: DataFrame, side: int, block: int) -> DataFrame:
     """The inverse of a symmetric positive matrix, of which blocks on and below the diagonal are given and returned.
 
     Block by block the pivot D is inverted, its column A_ik becomes A_ik D^-1, and A_ij loses A_ik D^-1 A_jk'. A step works the
-    column out first, which the others then meet: broadcast while it is small enough, by a shuffle otherwise. A step's predecessor is deleted
+    column out first, which the others then meet: broadcast where it is small for the driver, by a shuffle otherwise. A step's predecessor is deleted
     once the step is written. With all steps done the matrix is the inverse with its sign changed.
     """
-    if side == 1:
-        def inverted(batches):
-            for batch in batches:
-                yield batch.assign(data=[np.linalg.inv(matrix(x, block)).tobytes() for x in batch["data"]])
+    spark = blocks.sparkSession
 
-        return stored(blocks.mapInPandas(inverted, BLOCKS))
-    now, temporary = blocks, False
-    hint = F.broadcast if side * block * block * 8 * 2 <= PANEL else lambda d: d
-    for k in range(side):
-        column = now.where((F.col("bi") == k) | (F.col("bj") == k))
-        pivot = column.where((F.col("bi") == k) & (F.col("bj") == k)).select(F.col("data").alias("pivot"))
-
-        def scale(batches, k=k):
-            for batch in batches:
-                out = []
-                for i, j, data, pivot in zip(batch["bi"], batch["bj"], batch["data"], batch["pivot"]):
-                    d = np.linalg.inv(matrix(pivot, block))
-                    a = matrix(data, block) if j == k else matrix(data, block).T
-                    w = -d if i == j else a @ d
-                    out.append((int(i if j == k else j), np.ascontiguousarray(a).tobytes(), np.ascontiguousarray(w).tobytes()))
-                yield pd.DataFrame(out, columns=["at", "a", "w"])
-
-        panel = stored(column.withColumn("k", F.lit(k)).join(pivot.withColumn("k", F.lit(k)), "k").select("bi", "bj", "data", "pivot").mapInPandas(scale, "at int, a binary, w binary"))
-        # the pivot's own column is done; the others meet its blocks of their row and of their column
-        rest = now.where((F.col("bi") != k) & (F.col("bj") != k))
-        met = rest.join(hint(panel.select(F.col("at").alias("bi"), "w")), "bi").join(hint(panel.select(F.col("at").alias("bj"), "a")), "bj")
-
-        def step(batches):
-            for batch in batches:
-                yield pd.DataFrame({"bi": batch["bi"], "bj": batch["bj"], "data": [(matrix(d, block) - matrix(w, block) @ matrix(a, block).T).tobytes() for d, w, a in zip(batch["data"], batch["w"], batch["a"])]})
+    def inverted(batches):
+        for batch in batches:
+            yield batch.assign(data=[np.linalg.inv(matrix(x, block)).tobytes() for x in batch["data"]])
 
-        def placed(batches, k=k):
-            for batch in batches:
-                out = [(int(max(i, k)), int(min(i, k)), w if i >= k else np.ascontiguousarray(matrix(w, block).T).tobytes()) for i, w in zip(batch["at"], batch["w"])]
-                yield pd.DataFrame(out, columns=["bi", "bj", "data"])
+    def scale(batches):
+        for batch in batches:
+            out = []
+            for i, j, k, data, pivot in zip(batch["bi"], batch["bj"], batch["k"], batch["data"], batch["pivot"]):
+                a = np.ascontiguousarray(matrix(data, block) if j == k else matrix(data, block).T)
+                out.append((int(i if j == k else j), a.tobytes(), (a @ matrix(pivot, block)).tobytes()))
+            yield pd.DataFrame(out, columns=["at", "a", "w"])
 
-        done = met.select("bi", "bj", "data", "w", "a").mapInPandas(step, BLOCKS).unionByName(panel.select("at", "w").mapInPandas(placed, BLOCKS))
-        following = stored(done)
-        dropped(panel)
-        if temporary:
-            dropped(now)
-        now, temporary = following, True
+    def step(batches):
+        for batch in batches:
+            yield pd.DataFrame({"bi": batch["bi"], "bj": batch["bj"], "data": [(matrix(d, block) - matrix(w, block) @ matrix(a, block).T).tobytes() for d, w, a in zip(batch["data"], batch["w"], batch["a"])]})
 
     def negated(batches):
         for batch in batches:
             yield batch.assign(data=[(-matrix(x, block)).tobytes() for x in batch["data"]])
 
+    if side == 1:
+        return stored(blocks.mapInPandas(inverted, BLOCKS))
+    now, temporary, hint = blocks, False, small_enough(spark, 2 * side * block * block * 8)
+    with batches_of(spark, 1):
+        for k in range(side):
+            pivot = stored(now.where((F.col("bi") == k) & (F.col("bj") == k)).mapInPandas(inverted, BLOCKS))
+            column = now.where(((F.col("bi") == k) | (F.col("bj") == k)) & (F.col("bi") != F.col("bj"))).withColumn("k", F.lit(k))
+            met = column.join(F.broadcast(pivot.select(F.lit(k).alias("k"), F.col("data").alias("pivot"))), "k")  # one block
+            panel = stored(met.select("bi", "bj", "k", "data", "pivot").mapInPandas(scale, "at int, a binary, w binary"))
+            # the pivot's own column is done; the others meet its blocks of their row and of their column
+            rest = now.where((F.col("bi") != k) & (F.col("bj") != k))
+            met = rest.join(hint(panel.select(F.col("at").alias("bi"), "w")), "bi").join(hint(panel.select(F.col("at").alias("bj"), "a")), "bj")
+
+            def placed(batches, k=k):
+                for batch in batches:
+                    out = [(int(max(i, k)), int(min(i, k)), w if i >= k else np.ascontiguousarray(matrix(w, block).T).tobytes()) for i, w in zip(batch["at"], batch["w"])]
+                    yield pd.DataFrame(out, columns=["bi", "bj", "data"])
+
+            done = met.select("bi", "bj", "data", "w", "a").mapInPandas(step, BLOCKS).unionByName(panel.select("at", "w").mapInPandas(placed, BLOCKS)).unionByName(pivot.mapInPandas(negated, BLOCKS))
+            following = stored(done)
+            for gone in (pivot, panel, *([now] if temporary else [])):
+                dropped(gone)
+            now, temporary = following, True
     return now.mapInPandas(negated, BLOCKS)
 
 
@@ -149,7 +152,7 @@ def weights_of(half: DataFrame, block: int) -> DataFrame:
         for batch in batches:
             yield pd.DataFrame({"at": batch["bj"], "d": [np.diag(matrix(x, block)).tobytes() for x in batch["d"]]})
 
-    diagonal = diagonal.mapInPandas(diagonals, "at int, d binary")
+    diagonal = stored(diagonal.mapInPandas(diagonals, "at int, d binary"))  # a number for each item
 
     def both(batches):
         for batch in batches:
@@ -189,7 +192,8 @@ class Counts:
     def fit(self, l2: float) -> ItemModel:
         """B, where P = (X'X + l2 I)^-1, B_ij = -P_ij / P_jj and B_ii = 0."""
         half = inverse(shifted(self.blocks, l2, self.n, self.block), self.side, self.block)
-        return ItemModel(stored(weights_of(half, self.block)), self.index, self.block, ((0, self.n),))
+        with batches_of(self.index.sparkSession, 1):
+            return ItemModel(stored(weights_of(half, self.block)), self.index, self.block, ((0, self.n),))
 
 
 def ease_model(likes: DataFrame, items: DataFrame, l2: float, block: int | None = None) -> ItemModel:
@@ -224,9 +228,10 @@ def panels_of(fold_in: DataFrame, model: ItemModel, users: int, more: DataFrame
     liked = fold_in.join(model.index, "item_id").groupBy("user_id").agg(F.collect_set("pos").alias("own"))
     liked = stored(liked if more is None else liked.join(more, "user_id", "left"))
     chunks = max(1, ceil(liked.count() / users))
-    columns = model.blocks.select("bj").distinct().withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
-    asked = liked.withColumn("chunk", F.expr(f"pmod(xxhash64(user_id), {chunks})").cast("int")).join(columns, "chunk")
-    return asked, model.blocks.join(columns, "bj").select("bi", (F.col("bj") + 0).alias("panel"), (F.col("chunk") + 0).alias("part"), "data")
+    side = ceil(max(b for _, b in model.spans) / model.block)
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    asked = liked.withColumn("chunk", F.expr(f"pmod(xxhash64(user_id), {chunks})").cast("int")).withColumn("bj", each(side))
+    return asked, model.blocks.select("bi", F.col("bj").alias("panel"), each(chunks).alias("part"), "data")
 
 
 def column_block(panel: pd.DataFrame, block: int) -> np.ndarray:

@@ -7,6 +7,7 @@ import os
 import tempfile
 import uuid
 from collections.abc import Callable
+from contextlib import contextmanager
 from typing import Any
 
 from pyspark.errors import AnalysisException
@@ -69,6 +70,18 @@ def dropped(df: DataFrame) -> None:
     path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
+@contextmanager
+def batches_of(spark: SparkSession, rows: int):
+    """Within it, what is run hands Python workers so many rows at a time: few where rows are large, whatever the size of a partition."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def data_path(name: str, default: str) -> str:
     """A path that the environment may override."""
     return os.environ.get(f"TESSERA_{name.upper()}", default)
