@@ -151,8 +151,7 @@ SQL = {
         p as (select doc_id, i, concat_ws(' ', x, lead(x, 1) over z, lead(x, 2) over z, lead(x, 3) over z) || ' ' || lead(x, 4) over z as five from u window z as (partition by doc_id order by i)),
         y as (select doc_id, i, count(*) over (partition by doc_id, five) as times from p where five is not null),
         c as (select doc_id, count(distinct k) as n_repeat_words from (select doc_id, unnest(range(i, i + 5)) as k from y where times > 1) group by doc_id),
-        ls as (select doc_id, unnest(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^ 	-
-]'))) as l from d),
+        ls as (select doc_id, unnest(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]'))) as l from d),
         ms as (select doc_id, l, len(@words_l@) as nw, len(regexp_extract_all(l, '[#*$%&|<>]')) as sy, len(regexp_extract_all(l, '[|>]')) as me,
                       len(regexp_extract_all(l, '\p{Lu}')) as ca, len(regexp_extract_all(l, '\p{L}')) as le from ls),
         js as (select doc_id, count(*) - count(distinct l) as n_dup_lines, sum(length(l)) as total, sum(case when @line@ then 0 else length(l) end) as good from ms group by doc_id),

@@ -3,13 +3,12 @@
 from __future__ import annotations
 
 import struct
-from contextlib import contextmanager
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.tables import dropped as dropped  # noqa: F401  the library's helpers under the names used here
+from ..sources.tables import batches_of, dropped  # noqa: F401  the library's helpers under the names used here
 from ..sources.tables import scratch as scratch_folder  # noqa: F401
 from ..sources.tables import stored as written
 
@@ -18,18 +17,6 @@ SPACES = " \t\n\x0b\x0c\r"
 WORD = "[^\\x20\\x09-\\x0D]+"
 
 
-@contextmanager
-def batches_of(spark: SparkSession, rows: int):
-    """Within it, what is run hands Python workers so many rows at a time: few where rows are large, whatever the size of a partition."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, str(rows))
-    try:
-        yield
-    finally:
-        spark.conf.set(name, before)
-
-
 def pack_sorted(values: np.ndarray) -> bytes:
     """Ascending unsigned integers as gaps, one plane for each byte of the largest gap."""
     n = len(values)
