@@ -343,20 +343,25 @@ def star_pairs(open_: DataFrame, similarity: float, centers: int, turn: int) ->
     return written(pairs.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct())
 
 
-def rest_pairs(open_: DataFrame, prints: DataFrame, similarity: float, block: int = 1000) -> DataFrame:
+def rest_pairs(open_: DataFrame, prints: DataFrame, similarity: float, block: int = 1000, lead: int = 32) -> DataFrame:
     """All pairs (a, b) that share a shingle, are in different components, and whose sketches leave it possible that they are similar.
 
     A shingle's texts meet in blocks of about ``block`` by all, dealt to tasks of their own, so that a shingle of very many texts
-    isn't one task's. Two sketches differ in no more bits than their sets in shingles, and that bounds the similarity.
+    isn't one task's. Two sketches differ in no more bits than their sets in shingles, and that bounds the similarity. Texts
+    that share many shingles meet at the first of them alone: shingles have one order for all texts, so if any is among the first ``lead`` of both,
+    the first such is the first they share, and what room it leaves bounds all they share. Those that share none of these meet wherever they do.
     """
-    held = open_.select("token", "node", "n", "room", "root", F.ceil(F.col("held") / block).cast("int").alias("blocks")).join(prints.select("node", *[F.col("sketch")[k].alias(f"s{k}") for k in range(SKETCH // 64)]), "node")
+    order = F.array_sort(F.collect_list(F.struct((-F.col("room")).alias("r"), "token")))
+    leads = open_.groupBy("node").agg(F.slice(order, 1, lead).alias("lead")).select("node", F.col("lead.token").alias("lead"))
+    held = open_.select("token", "node", "n", "room", "root", F.ceil(F.col("held") / block).cast("int").alias("blocks")).join(leads, "node").join(prints.select("node", *[F.col("sketch")[k].alias(f"s{k}") for k in range(SKETCH // 64)]), "node")
     held = written(held)
     x = held.withColumn("part", F.expr("pmod(xxhash64(node), blocks)").cast("int")).alias("x")
     y = held.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).alias("y")
     differ = sum((F.bit_count(F.col(f"x.s{k}").bitwiseXOR(F.col(f"y.s{k}"))) for k in range(SKETCH // 64)), F.lit(0))
     possible = differ <= (F.col("x.n") + F.col("y.n")) * F.lit((1 - similarity) / (1 + similarity)) + F.lit(1e-6)
     roomy = enough(F.col("x.n"), F.col("y.n"), F.least("x.room", "y.room"), similarity)
-    met = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.part") == F.col("y.part")) & (F.col("x.node") > F.col("y.node")) & (F.col("x.root") != F.col("y.root")) & roomy & possible)
+    first = F.coalesce(F.get(F.array_intersect("x.lead", "y.lead"), F.lit(0)), F.col("x.token")) == F.col("x.token")
+    met = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.part") == F.col("y.part")) & (F.col("x.node") > F.col("y.node")) & (F.col("x.root") != F.col("y.root")) & roomy & possible & first)
     return written(met.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct())
 
 
