@@ -47,39 +47,49 @@ def targets(sources: DataFrame, weights: tuple[float, ...], share: float, most:
     return named.select("key", "source_size", target.alias("target"))
 
 
+def digest(text: Column) -> Column:
+    """128 bits that tell texts apart; a null text is empty."""
+    return F.md5(F.coalesce(text, F.lit("")).cast("binary"))
+
+
 def mix(docs: DataFrame, *args, id_col: str = "doc_id", **options) -> DataFrame:
     """(id, size, source_size, target, taken): the words of each row that the mix takes, repeats counted; see ``shares``."""
-    return shares(docs, *args, id_col=id_col, **options).drop("key")
+    return shares(docs, *args, id_col=id_col, **options).select(id_col, "size", "source_size", "target", "taken")
 
 
-def shares(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0, seed: str = "mix", id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
-    """(id, key, size, source_size, target, taken): the words of each row that the mix takes, repeats counted; ``key`` tells its source.
+def shares(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0, seed: str = "mix", id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(id, key, digest, kept, size, source_size, target, taken): the words of each row that the mix takes, repeats counted.
 
+    ``key`` tells the row's source, ``digest`` its text, and ``kept`` is a struct of the columns ``keep``, null without any.
     A source takes all its rows as often as they fit the target whole; what remains of the budget is taken in the order
     of hash-random keys, up to the exact word, so at most one row of a source is cut. A null text has size 0; a null
-    source is a source of its own, the last. Keys depend on ``seed`` and the id alone, ties go by id and size, so
-    reruns agree; rows alike in both are interchangeable. An empty table gives no rows. Texts of any length are counted whole. Other
+    source is a source of its own, the last. Keys depend on ``seed``, the id and the text, so rows of one id or of none are
+    dealt out like any other and reruns agree; rows alike in id, source, text and ``keep`` are interchangeable and cross
+    shuffles as their number. An empty table gives no rows. Texts of any length are counted whole. Other
     columns aren't read, whatever their names. The targets of all sources are worked out in one task, a row for each source.
     """
-    name, id_ = F.col(f"`{source_col}`"), F.col(f"`{id_col}`")
-    sized = written(docs.select(id_.alias("id"), name.alias("name"), word_count(F.col(f"`{text_col}`")).alias("size")))
-    key = source_key(F.col("name"))
-    order = F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce(F.col("id").cast("string"), F.lit(""))).cast("binary"))
-    sources = sized.groupBy("name").agg(F.sum("size").alias("source_size"), F.count("*").alias("n")).withColumn("key", key)
+    name, id_, text = (F.col(f"`{c}`") for c in (source_col, id_col, text_col))
+    kept = F.struct(*[F.col(f"`{c}`") for c in keep]) if keep else F.lit(None).cast("int")
+    own = docs.select(id_.alias("id"), name.alias("name"), word_count(text).alias("size"), digest(text).alias("digest"), kept.alias("kept"))
+    # like rows are counted where they are read, so that no row stands for more of them than a partition has
+    alike = written(own.withColumn("part", F.spark_partition_id()).groupBy("id", "name", "size", "digest", "kept", "part").agg(F.count("*").alias("rows")))
+    key, many = source_key(F.col("name")), F.col("size") * F.col("rows")
+    order = F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce(F.col("id").cast("string"), F.lit("")), F.lit("|"), F.col("digest")).cast("binary"))
+    sources = alike.groupBy("name").agg(F.sum(many).alias("source_size"), F.count("*").alias("n")).withColumn("key", key)
     aims = written(targets(sources.select("key", "name", "source_size"), weights, share, most).join(sources.select("key", "n"), "key"))
-    place = F.conv(F.substring("order", 1, 8), 16, 10).cast("bigint")
+    digits = lambda i: F.conv(F.substring("order", i, 8), 16, 10).cast("bigint")
     ranges = F.ceil(F.sqrt("n"))  # as many as a range has rows, so that neither the ranges of a source nor the rows of a range outgrow a task
-    # every row needs its source's number of ranges; hot sources are dealt out by the key's first digits, targets repeated for each
+    # every row needs its source's number of ranges; hot sources are dealt out by digits of the key, targets repeated for each
     salts = 16
-    salted = sized.select("id", "size", key.alias("key"), order.alias("order")).withColumn("salt", F.ascii("order") % salts)
+    salted = alike.withColumns({"key": key, "order": order}).drop("name").withColumn("salt", (digits(9) % salts).cast("int"))
     copies = aims.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    keyed = salted.join(copies, ["key", "salt"]).withColumn("range", F.floor(place * ranges / F.lit(2**32)).cast("int"))
-    keyed = written(keyed.select("id", "size", "key", "order", "range", "source_size", "target"))
+    keyed = written(salted.join(copies, ["key", "salt"]).withColumn("range", F.floor(digits(1) * ranges / F.lit(2**32)).cast("int")).drop("salt", "n"))
     by_range = Window.partitionBy("key").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    starts = written(keyed.groupBy("key", "range").agg(F.sum("size").alias("sum")).select("key", "range", F.coalesce(F.sum("sum").over(by_range), F.lit(0)).alias("start")))
-    in_range = Window.partitionBy("key", "range").orderBy("order", "id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    summed = keyed.withColumn("inner", F.coalesce(F.sum("size").over(in_range), F.lit(0))).join(starts, ["key", "range"])
+    starts = written(keyed.groupBy("key", "range").agg(F.sum(many).alias("sum")).select("key", "range", F.coalesce(F.sum("sum").over(by_range), F.lit(0)).alias("start")))
+    in_range = Window.partitionBy("key", "range").orderBy("order", "id", "digest", "kept", "part").rowsBetween(Window.unboundedPreceding, -1)
+    summed = keyed.withColumn("inner", F.coalesce(F.sum(many).over(in_range), F.lit(0))).join(starts, ["key", "range"])
     rounds = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("bigint")
     left = F.floor(F.col("target")).cast("bigint") - rounds * F.col("source_size")
-    last = F.greatest(F.lit(0), F.least(F.col("size"), left - F.col("start") - F.col("inner")))
-    return summed.select(F.col("id").alias(id_col), "key", "size", "source_size", "target", (rounds * F.col("size") + last).cast("bigint").alias("taken"))
+    each = summed.withColumn("nth", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("rows") - 1)))
+    last = F.greatest(F.lit(0), F.least(F.col("size"), left - F.col("start") - F.col("inner") - F.col("nth") * F.col("size")))
+    return each.select(F.col("id").alias(id_col), "key", "digest", "kept", "size", "source_size", "target", (rounds * F.col("size") + last).cast("bigint").alias("taken"))

@@ -211,7 +211,7 @@ SQL = {
         select d.doc_id, len(w)::bigint as n_words, round(coalesce(sum(v), 0), 4) as log_score, round(coalesce(sum(v), 0) / greatest(len(w), 1), 6) as mean_log_score
         from d left join v on v.doc_id = d.doc_id group by d.doc_id, len(w)""",
     "op6_mixing": rf"""
-        with d as (select doc_id, source, cast(len({WORDS}) as bigint) as size, md5('mix|' || coalesce(cast(doc_id as varchar), '')) as o from documents),
+        with d as (select doc_id, source, cast(len({WORDS}) as bigint) as size, md5('mix|' || coalesce(cast(doc_id as varchar), '') || '|' || md5(coalesce(text, ''))) as o from documents),
         s as (select source, sum(size)::bigint as source_size from d group by source),
         w as (select *, [5.0::double, 2.0::double, 1.0::double][(row_number() over (order by source is null, source) - 1) % 3 + 1] as weight from s),
         f as (select *, 1.5::double * sum(source_size) over () as total,

@@ -90,3 +90,24 @@ def test_bpe_stage(spark):
     rows = [(None, "One text, two words.", "a"), (1, "é" * 90, "b"), (1, None, "b"), (None, "One text, two words.", None)]
     got = Counter((r.doc_id, r.source, r.n_tokens, tuple(r.ids)) for r in corpus_pipeline.bpe_stage(spark, frame(spark, rows), "").collect())
     assert got == Counter((i, s, len(x), tuple(x)) for i, t, s in rows for x in [model.encode(t or "", add_special_tokens=False).ids])
+
+
+def test_mix_of_one_id(spark, monkeypatch):
+    """Rows without an id, and rows alike in everything, are dealt to ranges like any other, and one row of a source is cut at most."""
+    rows = spark.range(30_000).select(F.lit(None).cast("long").alias("doc_id"), F.when(F.col("id") % 3 > 0, F.concat(F.lit("same "), F.col("id").cast("string"))).otherwise(F.lit("a copy of one text")).alias("text"), F.lit("s").alias("source"))
+    seen, written = [], mixing.written
+    monkeypatch.setattr(mixing, "written", lambda df: seen.append(written(df)) or seen[-1])
+    got = Counter((r["size"], r.taken) for r in mixing.mix(rows).collect())
+    most = [r["count"] for df in seen if "inner" not in df.columns and {"range", "rows"} <= set(df.columns) for r in df.groupBy("key", "range").count().collect()]
+    assert len(most) > 100 and max(most) < 4 * sum(most) / len(most)
+    assert sum(n for _, n in got.items()) == 30_000 and sum(t * n for (_, t), n in got.items()) == 20_000 * 2 * 3 // 2 + 10_000 * 5 * 3 // 2
+    assert sum(n for (s, t), n in got.items() if t % s) <= 1 and all(s <= t <= 2 * s for s, t in got)
+
+
+def test_stages_of_edge_cases(spark):
+    """Empty tables give no rows; a very long text, extra columns and names that the operators use inside change nothing."""
+    none, long = frame(spark, []), " ".join(f"w{k}" for k in range(200_000)) + "."
+    wide = frame(spark, [(1, long, "a"), (2, text(2) + ".", "b")]).selectExpr("*", "1 as id", "2 as size", "'x' as digest", "3 as taken", "'y' as passed", "4 as new_text")
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, none, "").count() == 0
+        assert {r.doc_id for r in stage(spark, wide, "").collect()} == {1, 2}
