@@ -535,3 +535,11 @@ def test_tiers_take_all_movies(spark, matched_in_python):
 
     folder, _, _, _, hits, _ = matched_in_python
     assert rows(registry.match_tiers(spark, folder), "item_id", "movie_id") == sorted((i, m, t) for i, found in hits.items() for m, t in found)
+
+
+def test_best_candidates_of_all_movies(spark, matched_in_python):
+    from tessera.plans import registry
+
+    folder, _, _, n, hits, _ = matched_in_python
+    best = {i: max((n[m], m, t) for m, t in found) for i, found in hits.items() if found}
+    assert rows(registry.match_resolve(spark, folder), "item_id") == [(i, m, t, k) for i, (k, m, t) in sorted(best.items()) if t == 0 or k]
