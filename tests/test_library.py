@@ -543,3 +543,10 @@ def test_best_candidates_of_all_movies(spark, matched_in_python):
     folder, _, _, n, hits, _ = matched_in_python
     best = {i: max((n[m], m, t) for m, t in found) for i, found in hits.items() if found}
     assert rows(registry.match_resolve(spark, folder), "item_id") == [(i, m, t, k) for i, (k, m, t) in sorted(best.items()) if t == 0 or k]
+
+
+def test_claims_of_all_movies(spark, matched_in_python):
+    from tessera.plans import registry
+
+    folder, _, _, _, _, resolved = matched_in_python
+    assert rows(registry.match_greedy(spark, folder), "item_id") == [(i, m, t) for i, (m, t) in sorted(resolved.items())]
