@@ -550,3 +550,10 @@ def test_claims_of_all_movies(spark, matched_in_python):
 
     folder, _, _, _, _, resolved = matched_in_python
     assert rows(registry.match_greedy(spark, folder), "item_id") == [(i, m, t) for i, (m, t) in sorted(resolved.items())]
+
+
+def test_report_of_all_movies(spark, matched_in_python):
+    from tessera.plans import registry
+
+    folder, movies, items, _, _, resolved = matched_in_python
+    assert rows(registry.match_report(spark, folder), "item_id") == [(i, items[i], movies[m], t) for i, (m, t) in sorted(resolved.items()) if t]
