@@ -557,3 +557,10 @@ def test_report_of_all_movies(spark, matched_in_python):
 
     folder, movies, items, _, _, resolved = matched_in_python
     assert rows(registry.match_report(spark, folder), "item_id") == [(i, items[i], movies[m], t) for i, (m, t) in sorted(resolved.items()) if t]
+
+
+def test_count_of_all_movies(spark, matched_in_python):
+    from tessera.plans import registry
+
+    folder, _, items, _, _, resolved = matched_in_python
+    assert rows(registry.match_count(spark, folder), "n_items") == [(len(items), len(resolved))]
