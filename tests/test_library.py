@@ -564,3 +564,17 @@ def test_count_of_all_movies(spark, matched_in_python):
 
     folder, _, items, _, _, resolved = matched_in_python
     assert rows(registry.match_count(spark, folder), "n_items") == [(len(items), len(resolved))]
+
+
+def test_ratings_of_all_movies(spark, matched_in_python):
+    from collections import defaultdict
+
+    from tessera.plans import registry
+
+    folder, _, _, _, _, resolved = matched_in_python
+    item, want = {m: i for i, (m, _) in resolved.items()}, defaultdict(list)
+    for r in registry.ratings(spark, folder).collect():
+        if r.item_id in item:
+            want[r.user_id, item[r.item_id]].append(r.rating)
+    got = [(*r[:3], round(r[3], 5)) for r in rows(registry.remapped_ratings(spark, folder), "user_id", "item_id")]
+    assert got == [(*k, len(v), round(sum(v) / len(v), 5)) for k, v in sorted(want.items())]
