@@ -135,6 +135,18 @@ def test_url_model(spark):
     assert got[200] == "allow" and got[201] == "block"
 
 
+def test_url_model_of_many_urls(spark, monkeypatch):
+    """All URLs that rules decide are counted, or set the threshold, however many there are."""
+    import hashlib
+
+    fitted, fit = [], url_filter.fit
+    monkeypatch.setattr(url_filter, "fit", lambda labelled, model: fitted.append(labelled.count()) or fit(labelled, model))
+    urls = [f"{x}{i}" for x in ("h.org/fr/", "h.net/") for i in range(21_000)]
+    rows = spark.createDataFrame([(i, f"http://{u}") for i, u in enumerate(urls)] + [(-1, "http://h.com/fr/1")], "page_id long, url string")
+    assert url_filter.filter_urls(rows).where("page_id = -1").first().verdict == "allow"
+    assert fitted == [sum(hashlib.md5(u.encode()).hexdigest()[0] not in "012" for u in urls)]
+
+
 def test_quality(docs, empty):
     got = {r.doc_id: r.quality for r in quality.quality(docs.withColumn("quality", F.lit(1))).collect()}
     for i, t in enumerate(TEXTS):
