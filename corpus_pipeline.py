@@ -30,8 +30,10 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of copies, exact or of similarity 0.8 on five-word shingles: the one with the least id.
+    """One document of each group of copies: the one with the least id.
 
+    Copies are texts whose SimHash fingerprints differ in at most 4 bits, as in op1. Those that fingerprints leave apart are compared by an
+    exact prefix filter, and texts of similarity 0.8 on five-word shingles are copies too.
     Copies are told by their texts alone. A null id comes after all others; different texts stay, whether or not they
     share an id or have none.
     """

@@ -178,6 +178,12 @@ def print_links(prints: DataFrame, bits: int = 64, radius: int = 4) -> DataFrame
     return colliding(prints, bits, radius).groupBy("bucket").applyInPandas(link, "a long, b long").distinct()
 
 
+def print_roots(prints: DataFrame, bits: int = 64, radius: int = 4) -> DataFrame:
+    """(fp, root) for each of the distinct fingerprints: the least fingerprint reachable by links of at most ``radius`` bits."""
+    roots = connected_components(print_links(prints.select("fp"), bits, radius))
+    return prints.select("fp").join(roots, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("root", "fp").alias("root"))
+
+
 def simhash_components(docs: DataFrame, shingle: int = 4, bits: int = 64, radius: int = 4, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: its id, ``fingerprint`` (hex digits) and ``component_id``, the least id reachable by links.
 
@@ -188,8 +194,7 @@ def simhash_components(docs: DataFrame, shingle: int = 4, bits: int = 64, radius
     """
     own = written(fingerprints(docs, shingle, bits, (seed,), id_col=id_col, text_col=text_col).withColumnRenamed("fp0", "fp"))
     prints = written(own.groupBy("fp").agg(F.min(id_col).alias("least")))
-    roots = connected_components(print_links(prints.select("fp"), bits, radius))
-    rooted = written(prints.join(roots, prints.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root")))
+    rooted = written(prints.join(print_roots(prints, bits, radius), "fp"))
     heads = written(rooted.groupBy("root").agg(F.min("least").alias("component_id")))
     classes = written(rooted.join(heads, "root").select("fp", "component_id"))
     digits = bits // 4
@@ -211,12 +216,14 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
 def deduplicated(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of each group of near copies and exact copies, with all columns of ``docs``.
 
+    Texts link as in ``simhash_components``, where fingerprints of four-word shingles differ in at most 4 bits; those that fingerprints
+    leave apart link where their sets of ``shingle``-word shingles have Jaccard similarity ``similarity``.
     The row of the least id stays, a null id being the last; of rows alike in that, the one of the least text hash, then the
     least in the other columns. Ids name rows and don't group them: rows of different texts stay, whether
     their ids are null, repeated or neither.
     """
     keyed = docs.withColumns(dict(zip(("h1", "h2"), text_key(F.col(f"`{text_col}`")))))
-    groups = text_groups(docs, shingle, similarity, id_col=id_col, text_col=text_col)
+    groups = text_groups(docs, shingle, similarity, id_col=id_col, text_col=text_col, radius=4)
     texts = written(groups.groupBy("root", "h1", "h2").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id")).alias("least"), F.count("*").alias("rows")))
     best = texts.groupBy("root").agg(F.min(F.struct("least", F.col("h1").alias("x"), F.col("h2").alias("y"))).alias("best"))
     judged = written(texts.join(best, "root").select("h1", "h2", "rows", ((F.col("h1") == F.col("best.x")) & (F.col("h2") == F.col("best.y"))).alias("stays")))
@@ -234,11 +241,12 @@ def text_key(text):
     return F.xxhash64(text), F.xxhash64(F.lit(7), text)
 
 
-def text_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, centers: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def text_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, centers: int = 4, id_col: str = "doc_id", text_col: str = "text", radius: int | None = None) -> DataFrame:
     """(id, h1, h2, root), a row for each of ``docs``: the key of its text, and the same ``root`` for all of a group.
 
     Texts are near copies at Jaccard similarity ``similarity`` of their sets of ``shingle``-word shingles; groups are the
-    components of all such pairs. Null texts and texts without words are alike and make one group.
+    components of all such pairs. Null texts and texts without words are alike and make one group. With a ``radius``, texts whose
+    fingerprints of four-word shingles differ in so many bits at most are linked first, and the pairs are those of the components that this leaves.
 
     Candidates come from an exact prefix filter: with shingles in one order for all texts, two texts this similar share a
     shingle among the first of both, at places that leave room for the overlap needed. Rare shingles are the first, so that
@@ -250,7 +258,7 @@ def text_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, cent
     texts = docs.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
     texts = texts.select("id", "text", *[x.alias(name) for x, name in zip(text_key(F.col("text")), ("h1", "h2"))])
     common = common_shingles(texts, shingle)
-    held = ("n", "counts", "prefix", "sketch")
+    held = ("n", "counts", "prefix", "sketch", *(["fp"] if radius is not None else []))
 
     def keyed(batches):
         for batch in batches:
@@ -258,6 +266,8 @@ def text_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, cent
             sets = [shingle_hashes(w, shingle) for w in words]
             out = {c: batch[c] for c in ("id", "h1", "h2")} | {"sum": [xxhash.xxh3_128_hexdigest(b" ".join(w)) for w in words]}
             out |= {"n": [len(x) for x in sets], "counts": [counted(np.unique(x.astype("<u4"))) for x in sets]}
+            if radius is not None:
+                out["fp"] = np.array([fingerprint(x, 4) for x in batch["text"]], dtype=np.uint64).view(np.int64)
             yield pd.DataFrame(out | {"prefix": [prefix(x, common.value, similarity).tobytes() for x in sets], "sketch": [odd_sketch(x).tolist() for x in sets]})
 
     def told(batches):
@@ -270,26 +280,39 @@ def text_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, cent
                 yield pd.DataFrame({"token": np.concatenate(parts), "node": np.repeat(batch["node"].to_numpy(), size), "n": n, "room": n - place})
 
     kind = docs.schema[id_col].dataType.simpleString()
-    own = written(texts.mapInPandas(keyed, f"id {kind}, h1 long, h2 long, sum string, n int, counts binary, prefix binary, sketch array<long>"))
+    own = written(texts.mapInPandas(keyed, f"id {kind}, h1 long, h2 long, sum string, n int, counts binary, prefix binary, sketch array<long>" + ", fp long" * (radius is not None)))
     prints = own.groupBy("sum").agg(F.min(F.struct("h1", "h2", *held)).alias("x")).select("sum", "x.*")
     prints = written(prints.withColumn("node", F.monotonically_increasing_id()))
     tokens = prints.select("node", "n", "prefix").mapInPandas(told, "token long, node long, n int, room int")
     several = tokens.groupBy("token").agg(F.count("*").alias("held")).where("held > 1")
     shared = written(tokens.join(several, "token"))
-    roots = prints.select("node", F.col("node").alias("root"))
-    open_, rows, before = shared.withColumn("root", F.col("node")), shared.count(), None
-    turn = 0
+    roots = prints.select("node", F.col("node").alias("root")) if radius is None else written(linked_by_prints(prints, radius))
+    open_, turn, before = still_open(shared, roots), 0, None
+    rows = open_.count()
     while rows and (before is None or 2 * rows <= before):
         near = verified(texts, prints, star_pairs(open_, similarity, centers, turn), shingle, similarity)
         roots = written(merged(roots, near))
-        bounds = shared.join(roots, "node").groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
-        open_ = written(shared.join(bounds.select("token"), "token").join(roots, "node"))
+        open_ = still_open(shared, roots)
         before, rows, turn = rows, open_.count(), turn + 1
     if rows:
         roots = written(merged(roots, verified(texts, prints, rest_pairs(open_, prints, similarity), shingle, similarity)))
     return own.select("id", "h1", "h2", "sum").join(prints.select("sum", "node").join(roots, "node").select("sum", "root"), "sum").drop("sum")
 
 
+def linked_by_prints(prints: DataFrame, radius: int) -> DataFrame:
+    """(node, root): the least node of all whose fingerprints are linked, for each of ``prints``."""
+    distinct = written(prints.groupBy("fp").agg(F.min("node").alias("least")))
+    classes = written(print_roots(distinct, radius=radius).withColumnRenamed("root", "class"))
+    least = distinct.join(classes, "fp").groupBy("class").agg(F.min("least").alias("root"))
+    return prints.select("node", "fp").join(classes.join(least, "class"), "fp").select("node", "root")
+
+
+def still_open(shared: DataFrame, roots: DataFrame) -> DataFrame:
+    """The rows of shingles whose texts are in different components, with their roots."""
+    bounds = shared.join(roots, "node").groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
+    return written(shared.join(bounds.select("token"), "token").join(roots, "node"))
+
+
 def merged(roots: DataFrame, near: DataFrame) -> DataFrame:
     """Roots (node, root) with the components united that the pairs (a, b) link."""
     ends = roots.select(F.col("node").alias("a"), F.col("root").alias("x")), roots.select(F.col("node").alias("b"), F.col("root").alias("y"))

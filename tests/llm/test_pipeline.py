@@ -5,7 +5,7 @@ from collections import Counter
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tessera.llm import mixing
+from tessera.llm import mixing, simhash
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -24,6 +24,19 @@ def test_near_dedup_stage(spark):
     assert got == Counter([(1, text(1)), (1, text(2)), (None, text(3)), (None, text(4)), (3, None), (2, text(5))])
 
 
+def test_near_dedup_stage_links_by_fingerprints(spark):
+    """No two of the texts that stay are in one component of op1, and copies whose fingerprints are far apart are still found."""
+    often = "one two three " * 200
+    rows = [(1, often + text(1, 30), "a"), (2, often + text(2, 30), "a"), (3, text(3), "a"), (4, " ".join([text(4, 300), text(5, 40)]), "a"), (5, " ".join([text(4, 300), text(6, 30)]), "b")]
+    docs = frame(spark, rows)
+    found = {r.doc_id: r.component_id for r in simhash.simhash_components(docs).collect()}
+    assert found[1] == found[2] == 1 and found[5] == 5
+    assert {r.doc_id for r in corpus_pipeline.near_dedup_stage(spark, docs, "").collect()} == {1, 3, 4}
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    kept = corpus_pipeline.near_dedup_stage(spark, docs, "").select("doc_id").join(simhash.simhash_components(docs), "doc_id")
+    assert kept.count() == kept.select("component_id").distinct().count()
+
+
 def test_mixing_stage(spark):
     rows = [(None if k % 3 == 0 else k // 2, text(k, 20 + k % 7), [None, "a", "b"][k % 3 if k % 5 else 0]) for k in range(60)]
     docs = frame(spark, rows)
