@@ -11,34 +11,34 @@ from ..sources.tables import stored
 SHORT, RATIO = 5, 0.3
 
 
-def digits(key: Column) -> Column:
-    return F.regexp_replace(key, "[^0-9]", "")
-
-
 def ends(keys: DataFrame, suffix: bool) -> DataFrame:
-    """(key, part): the proper beginnings, or ends, of each key that are long enough to match it."""
+    """(key, part): the proper beginnings, or ends, of each key that are long enough to match it and leave out none of its digits."""
     size = F.length("key")
-    sizes = F.sequence(F.greatest(F.lit(SHORT), F.ceil(F.lit(RATIO) * size - 1e-9)).cast("int"), size - 1)
-    some = keys.where((size > SHORT)).select("key", F.explode(F.when(size > F.greatest(F.lit(SHORT), F.ceil(F.lit(RATIO) * size - 1e-9)), sizes)).alias("n"))
-    return some.select("key", (F.right("key", F.col("n")) if suffix else F.left("key", F.col("n"))).alias("part")).where(digits(F.col("key")) == digits(F.col("part")))
+    kept = size - F.length(F.regexp_extract("key", "^[^0-9]*", 0)) if suffix else F.length(F.regexp_replace("key", "[^0-9]+$", ""))
+    some = keys.withColumns({"size": size, "least": F.greatest(F.lit(SHORT), F.ceil(F.lit(RATIO) * size - 1e-9), F.when(F.col("key").rlike("[0-9]"), kept).otherwise(0)).cast("int")})
+    some = some.where("size > least").select("key", F.explode(F.sequence(F.col("least"), F.col("size") - 1)).alias("n"))
+    return some.select("key", (F.right("key", F.col("n")) if suffix else F.left("key", F.col("n"))).alias("part"))
 
 
 def tiers(items: DataFrame, keys: DataFrame) -> DataFrame:
     """(item_id, movie_id, tier): 0 for equal keys, 1 where a movie's key begins with the item's, 2 where it ends with it; the first tier of an item that has any.
 
-    ``items`` has item_id and key, ``keys`` has key, movie_id and fuzzy (whether its movie is in the fuzzy index, which documentaries aren't; a key that
-    is in it brings all its movies). Keys are compared once each, and a movie's key meets only its own beginnings or ends, so all joins
+    ``items`` has item_id and key, one for each item, ``keys`` has key, movie_id and fuzzy (whether its movie is in the fuzzy index, which documentaries aren't; a key that
+    is in it brings all its movies). Keys are worked out and compared once each, and a movie's key meets only its own beginnings or ends, so all joins
     are equi-joins of as many rows as keys have letters.
     """
-    found = items.join(keys, "key").select("item_id", "movie_id", F.lit(0).alias("tier"))
+    items, keys = stored(items.distinct()), stored(keys)
+    mine, exact = items.select("key").distinct(), keys.select("key").distinct()
+    open_keys = stored(mine.where(F.length("key") >= SHORT).join(exact, "key", "left_anti"))
     index = keys.where("fuzzy").where(F.length("key") >= SHORT).select("key").distinct()
+    pairs = [mine.join(exact, "key").select("key", F.col("key").alias("other"), F.lit(0).alias("tier"))]
     for tier in (1, 2):
-        rest = items.where(F.length("key") >= SHORT).join(found.select("item_id").distinct(), "item_id", "left_anti")
-        mine = rest.select("key").distinct()
-        longer = ends(index, tier == 2).join(mine.withColumnRenamed("key", "part"), "part").select(F.col("part").alias("key"), F.col("key").alias("other"))
-        hit = rest.join(longer, "key").select("item_id", F.col("other").alias("key"))
-        found = found.unionByName(hit.join(keys, "key").select("item_id", "movie_id", F.lit(tier).alias("tier")))
-    return found.distinct()
+        hit = stored(ends(index, tier == 2).join(open_keys.withColumnRenamed("key", "part"), "part").select(F.col("part").alias("key"), F.col("key").alias("other"), F.lit(tier).alias("tier")))
+        pairs.append(hit)
+        open_keys = open_keys.join(hit.select("key").distinct(), "key", "left_anti")
+    # An item's key meets a movie by several of the movie's keys, which is told before items multiply them.
+    hits = union(pairs).join(keys.select(F.col("key").alias("other"), "movie_id"), "other").select("key", "movie_id", "tier").distinct()
+    return items.join(hits, "key").select("item_id", "movie_id", "tier")
 
 
 def best(candidates: DataFrame, counts: DataFrame) -> DataFrame:

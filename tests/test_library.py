@@ -578,3 +578,25 @@ def test_ratings_of_all_movies(spark, matched_in_python):
             want[r.user_id, item[r.item_id]].append(r.rating)
     got = [(*r[:3], round(r[3], 5)) for r in rows(registry.remapped_ratings(spark, folder), "user_id", "item_id")]
     assert got == [(*k, len(v), round(sum(v) / len(v), 5)) for k, v in sorted(want.items())]
+
+
+def test_tiers_of_keys_with_digits(spark):
+    """Random keys with digits anywhere, several keys a movie and documentaries, against all pairs in plain Python."""
+    import random
+    import re
+
+    draw = random.Random(7)
+    word = lambda: "".join(draw.choice("ab2") for _ in range(draw.randint(1, 3)))
+    parts = [word() for _ in range(12)]
+    keys = sorted({("".join(draw.choice(parts) for _ in range(draw.randint(2, 9))), m, m % 3 > 0) for m in range(150) for _ in range(draw.randint(1, 3))})
+    items = [(i, draw.choice(keys)[0] if i % 4 == 0 else (lambda k: k[: draw.randint(2, len(k))] if i % 2 else k[draw.randint(0, len(k) - 2) :])(draw.choice(keys)[0])) for i in range(400)]
+    index = {k for k, _, fuzzy in keys if fuzzy}
+    want = set()
+    for i, k in items:
+        fits = lambda x: x != k and len(k) >= 5 and len(k) >= 0.3 * len(x) and re.sub("[^0-9]", "", k) == re.sub("[^0-9]", "", x)
+        found = [{x for x, _, _ in keys if x == k}] + [{x for x in index if fits(x) and f(x, k)} for f in (str.startswith, str.endswith)]
+        tier = next((t for t, xs in enumerate(found) if xs), None)
+        want |= {(i, m, tier) for x, m, _ in keys if tier is not None and x in found[tier]}
+    assert {t for *_, t in want} == {0, 1, 2}
+    got = matching.tiers(spark.createDataFrame(items, "item_id long, key string"), spark.createDataFrame(keys, "key string, movie_id long, fuzzy boolean"))
+    assert rows(got, "item_id", "movie_id") == sorted(want)
