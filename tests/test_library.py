@@ -355,6 +355,40 @@ def test_inverse_by_symmetric_steps(spark):
         assert np.abs(got - want).max() < 1e-12
 
 
+def test_solves_without_the_matrix(spark, monkeypatch):
+    """Conjugate gradients give what the inverse gives, column by column; a model keeps likes and a number for each item, not the square of the catalog."""
+    import numpy as np
+
+    rng = np.random.default_rng(9)
+    n, new = 90, 3
+    x = (rng.random((200, n)) < rng.random(n)[None, :] * 0.2).astype(float)
+    x[:, 7] = 0
+    likes = spark.createDataFrame([(int(u), int(i)) for u, i in zip(*np.nonzero(x))], "user_id long, item_id long")
+    near = spark.createDataFrame([(n + c, int(i), 0.25) for c in range(new) for i in rng.choice(n, 4, replace=False)], "c long, n long, a double")
+    model = collaborative.ease_model(likes, spark.range(n).select(F.col("id").alias("item_id")), 0.5)
+    wide = collaborative.impute_blocks(model, near)
+    parts = wide.parts.toPandas()
+    assert sum(len(d) for d in model.parts.toPandas()["data"]) == 16 * x.sum() + 8 * n < n * n * 8 and wide.new == new
+    p = np.linalg.inv(x.T @ x + 0.5 * np.eye(n))
+    w = np.zeros((n + new, n))
+    w[:n] = np.eye(n)
+    for r in near.collect():
+        w[r.c, r.n] = r.a
+    raw = w @ (np.eye(n) - p / np.diag(p)[None, :]) @ w.T
+    want = raw - np.diag(np.diag(raw))
+    some = [rng.choice(n + new, 5, replace=False) for _ in range(6)] + [np.array([7]), np.arange(n, n + new)]
+    for dense in (2048, 0):
+        monkeypatch.setattr(collaborative, "DENSE", dense)
+        system = collaborative.System(parts, n, new, 0.5)
+        assert (system.inverse is None) == (dense == 0)
+        assert np.abs(system.columns(np.arange(n + new)) - want).max() < 1e-11
+        assert np.abs(system.scores(some) - np.array([want[s].sum(axis=0) for s in some])).max() < 1e-11
+    assert (system.solve(np.eye(n)[:, :40])[:, 30:] == system.solve(np.eye(n)[:, 30:40])).all()
+    worse = collaborative.System(parts, n, 0, 1e-6)
+    b = rng.random((n, 3))
+    assert np.abs((x.T @ x + 1e-6 * np.eye(n)) @ worse.solve(b) - b).max() < 1e-7
+
+
 def test_imputed_blocks(spark):
     """Blocks of warm items stay bit for bit; columns, then rows, of cold ones are as those of the edges."""
     import numpy as np
