@@ -365,10 +365,6 @@ def test_solves_without_the_matrix(spark, monkeypatch):
     x[:, 7] = 0
     likes = spark.createDataFrame([(int(u), int(i)) for u, i in zip(*np.nonzero(x))], "user_id long, item_id long")
     near = spark.createDataFrame([(n + c, int(i), 0.25) for c in range(new) for i in rng.choice(n, 4, replace=False)], "c long, n long, a double")
-    model = collaborative.ease_model(likes, spark.range(n).select(F.col("id").alias("item_id")), 0.5)
-    wide = collaborative.impute_blocks(model, near)
-    parts = wide.parts.toPandas()
-    assert sum(len(d) for d in model.parts.toPandas()["data"]) == 16 * x.sum() + 8 * n < n * n * 8 and wide.new == new
     p = np.linalg.inv(x.T @ x + 0.5 * np.eye(n))
     w = np.zeros((n + new, n))
     w[:n] = np.eye(n)
@@ -379,10 +375,17 @@ def test_solves_without_the_matrix(spark, monkeypatch):
     some = [rng.choice(n + new, 5, replace=False) for _ in range(6)] + [np.array([7]), np.arange(n, n + new)]
     for dense in (2048, 0):
         monkeypatch.setattr(collaborative, "DENSE", dense)
+        model = collaborative.ease_model(likes, spark.range(n).select(F.col("id").alias("item_id")), 0.5)
+        wide = collaborative.impute_blocks(model, near)
+        parts = wide.parts.toPandas()
         system = collaborative.System(parts, n, new, 0.5)
-        assert (system.inverse is None) == (dense == 0)
+        assert (system.inverse is None) == (dense == 0) and wide.new == new
         assert np.abs(system.columns(np.arange(n + new)) - want).max() < 1e-11
         assert np.abs(system.scores(some) - np.array([want[s].sum(axis=0) for s in some])).max() < 1e-11
+    assert sum(len(d) for d in model.parts.toPandas()["data"]) == 16 * x.sum() + 8 * n < n * n * 8
+    own = x @ want[:n, :n]
+    for r in collaborative.block_scores(likes, model, top=3).collect():
+        assert abs(r.score - own[r.user_id, r.item_id]) < 1e-9 and abs(r.link - want[:n, :n][x[r.user_id] > 0][:, r.item_id].max()) < 1e-9 and not x[r.user_id, r.item_id]
     assert (system.solve(np.eye(n)[:, :40])[:, 30:] == system.solve(np.eye(n)[:, 30:40])).all()
     worse = collaborative.System(parts, n, 0, 1e-6)
     b = rng.random((n, 3))
